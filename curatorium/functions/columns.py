@@ -113,3 +113,12 @@ def slug(text: Column, suffix: Column, limit: int = 40) -> Column:
 def strip_marks(text: Column) -> Column:
     """Fold the accented Latin letters of Western European text to ASCII."""
     return F.translate(text, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
+def settle(df, **columns: Column):
+    """Add columns computed once per row.
+
+    Going through a generator keeps the optimizer from copying a long expression
+    into every later use of its result.
+    """
+    return df.select("*", F.stack(F.lit(1), *columns.values()).alias(*columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatorium.functions.columns import joined, reasons
+from curatorium.functions.columns import joined, settle
 from curatorium.operators.filters import unset
 from curatorium.schemas import ATTENTION, MOODS, PACES, SITUATIONS, STYLES, WEIGHTS
 
@@ -320,37 +320,41 @@ def decode_links(links: DataFrame, known: DataFrame, url: str = "url", key: str
     ids it names are known.
     """
     text = F.split_part(F.split_part(F.col(url), F.lit("#"), F.lit(1)), F.lit("?"), F.lit(2))
-    state = F.col("p.ds")
-    body = F.expr("substring(p.ds, instr(p.ds, ':') + 1)")
-    ids = F.split(body, ";")
-    n = F.size(ids)
-    kind = F.split_part(state, F.lit(":"), F.lit(1))
-    third = F.try_element_at(ids, F.lit(2))
+    params = settle(
+        settle(links.select(key, url), query=text),
+        **{k: _param(F.col("query"), k) for k in ("mode", "v", "m", "s", "f", "d", "ds")},
+    )
+    params = params.where(
+        (F.col("mode") == "decision") & F.col("v").isin("v4", "v6") & F.col("m").isin(*MOODS) & (F.instr("ds", ":") > 0)
+    )
+    body = F.split(F.expr("substring(ds, instr(ds, ':') + 1)"), ";")
+    params = settle(params, kind=F.split_part("ds", F.lit(":"), F.lit(1)), parts=body)
+    parts, n, kind = F.col("parts"), F.size("parts"), F.col("kind")
+    second = F.try_element_at(parts, F.lit(2))
     slate_ok = (n == 3) | (
         (n == 5)
-        & F.try_element_at(ids, F.lit(4)).isin("md", "dc")
-        & F.array_contains(F.slice(ids, 1, 3), F.try_element_at(ids, F.lit(5)))
+        & F.try_element_at(parts, F.lit(4)).isin("md", "dc")
+        & F.array_contains(F.slice(parts, 1, 3), F.try_element_at(parts, F.lit(5)))
     )
-    nested = F.split(F.expr("substring(array_join(slice(split(substring(p.ds, instr(p.ds, ':') + 1), ';'), 3, 100), ';'), 4)"), ";")
+    chosen = F.slice(parts, 1, 1)
+    inner = F.transform(F.slice(parts, 3, 12), lambda p: F.regexp_replace(p, "^dl:", ""))
     pick_ids = (
-        F.when(n == 1, ids)
-        .when((n == 5) & (third == "three"), F.concat(F.slice(ids, 1, 1), F.slice(ids, 3, 3)))
-        .when((third == "duel") & F.try_element_at(ids, F.lit(3)).startswith("dl:"), F.concat(F.slice(ids, 1, 1), _duel_ids(nested)))
-        .when(n == 4, ids)
-        .when(n == 6, F.concat(F.slice(ids, 1, 1), _duel_ids(F.slice(ids, 2, 5))))
+        F.when(n == 1, parts)
+        .when((n == 5) & (second == "three"), F.concat(chosen, F.slice(parts, 3, 3)))
+        .when((second == "duel") & F.try_element_at(parts, F.lit(3)).startswith("dl:"), F.concat(chosen, _duel_ids(inner)))
+        .when(n == 4, parts)
+        .when(n == 6, F.concat(chosen, _duel_ids(F.slice(parts, 2, 5))))
     )
     named = (
-        F.when((kind == "ts") & slate_ok, F.slice(ids, 1, 3)).when(kind == "dl", _duel_ids(ids)).when(kind == "pk", pick_ids)
+        F.when((kind == "ts") & slate_ok, F.slice(parts, 1, 3)).when(kind == "dl", _duel_ids(parts)).when(kind == "pk", pick_ids)
     )
     decoded = (
-        links.select(key, F.struct(*[_param(text, k).alias(k) for k in ("mode", "v", "m", "s", "f", "d", "ds")]).alias("p"))
-        .where((F.col("p.mode") == "decision") & F.col("p.v").isin("v4", "v6") & F.col("p.m").isin(*MOODS))
-        .where(F.instr(state, ":") > 0)
-        .withColumns({
-            "ids": named,
-            **{n: _part(F.col("p.f"), k) for n, k in (("g", "g"), ("runtime", "r"), ("language", "l"), ("pace", "p"), ("emotional_weight", "e"))},
-            **{n: _part(F.col("p.d"), k) for n, k in (("attention_demand", "a"), ("discovery_style", "d"))},
-        })
+        settle(
+            params,
+            ids=named,
+            **{n: _part(F.col("f"), k) for n, k in (("g", "g"), ("runtime", "r"), ("language", "l"), ("pace", "p"), ("emotional_weight", "e"))},
+            **{n: _part(F.col("d"), k) for n, k in (("attention_demand", "a"), ("discovery_style", "d"), ("dh", "dh"), ("slow", "ds"), ("dt", "dt"))},
+        )
         .where(
             _one_of(F.col("runtime"), ["short", "medium", "long"])
             & _one_of(F.col("pace"), PACES)
@@ -361,13 +365,13 @@ def decode_links(links: DataFrame, known: DataFrame, url: str = "url", key: str
         .where(F.col("ids").isNotNull())
         .select(
             key,
-            F.col("p.v").alias("version"),
-            F.col("p.m").alias("mood"),
-            F.when(F.col("p.s").isin(*SITUATIONS), F.col("p.s")).alias("situation"),
+            F.col("v").alias("version"),
+            F.col("m").alias("mood"),
+            F.when(F.col("s").isin(*SITUATIONS), F.col("s")).alias("situation"),
             F.coalesce(F.replace("g", F.lit(","), F.lit("|")), F.lit("")).alias("genres"),
             "runtime", "language", "pace", "emotional_weight", "attention_demand", "discovery_style",
-            *[_part(F.col("p.d"), k).isNotNull().alias(n) for n, k in (("avoid_heavy", "dh"), ("avoid_slow", "ds"), ("under_two_hours", "dt"))],
-            kind.alias("kind"),
+            *[F.col(c).isNotNull().alias(n) for n, c in (("avoid_heavy", "dh"), ("avoid_slow", "slow"), ("under_two_hours", "dt"))],
+            "kind",
             "ids",
         )
     )

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["requests"]
+MODULES = ["requests", "scans", "predicates", "checks"]
 
 
 def load_all() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatorium.functions.columns import joined
+from curatorium.functions.columns import joined, settle
 from curatorium.operators import filters, ranking, slates
 from curatorium.plans.registry import query
 from curatorium.sources.projections import CTES, Tables
@@ -311,6 +311,7 @@ def _links(t: Tables) -> DataFrame:
         F.col("p_type") == "LARGE", "r=endless"
     ).otherwise("")
     pref = F.when(F.col("p_type") == "PROMO", "a=easy|dh=1|dt=1").otherwise("")
+    part = settle(part, state=state, filt=filt, pref=pref)
     return part.select(
         key.alias("link_id"),
         F.concat(
@@ -318,7 +319,7 @@ def _links(t: Tables) -> DataFrame:
             F.lit("&v="), F.when(size % 2 == 0, "v4").otherwise("v6"),
             F.lit("&m="), F.element_at(moods, (key % 7 + 1).cast("int")),
             F.lit("&s="), F.when(size % 3 == 0, "date-night").otherwise("nowhere"),
-            F.lit("&f="), F.url_encode(filt), F.lit("&d="), F.url_encode(pref), F.lit("&ds="), F.url_encode(state), F.lit("#top"),
+            F.lit("&f="), F.url_encode("filt"), F.lit("&d="), F.url_encode("pref"), F.lit("&ds="), F.url_encode("state"), F.lit("#top"),
         ).alias("url"),
     )
 
