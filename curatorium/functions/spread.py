@@ -122,14 +122,15 @@ def discrete_quantiles(
     group size column ``n``.  Equal values are counted first, so a hot value is
     one row, and the cumulative count is bucketed by value.
     """
+    if not parts:
+        return discrete_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, positions, width).drop("__all")
     counts = df.where(F.col(value).isNotNull()).groupBy(*parts, value).agg(F.count(F.lit(1)).alias("__c"))
     cumulative = running_sums(
         counts, parts, [F.col(value).asc()], [(integer_bucket(value, width), True)], {"__cum": F.col("__c")}
     )
     sizes = counts.groupBy(*parts).agg(F.sum("__c").alias("n"))
-    joined = cumulative.join(sizes, list(parts)) if parts else cumulative.crossJoin(F.broadcast(sizes))
     picks = [
         F.min(F.when(F.col("__cum") >= position, F.col(value))).alias(name)
         for name, position in positions.items()
     ]
-    return joined.groupBy(*parts).agg(*picks, F.max("n").alias("n"))
+    return cumulative.join(sizes, list(parts)).groupBy(*parts).agg(*picks, F.max("n").alias("n"))

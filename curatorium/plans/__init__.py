@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["requests", "scans", "predicates", "checks"]
+MODULES = ["requests", "scans", "predicates", "checks", "joins", "aggregates"]
 
 
 def load_all() -> None:
