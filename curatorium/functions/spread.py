@@ -109,6 +109,29 @@ def previous(
     return out.withColumns({n: F.col(f"__prev.{n}") for n in columns}).drop("__prev", "__carry", "__bucket0")
 
 
+def earlier_max(
+    df: DataFrame,
+    parts: Sequence[str],
+    order_column: str,
+    bucket: Column,
+    values: dict[str, Column],
+) -> DataFrame:
+    """Greatest value over the rows before each row, per group ordered by a unique column.
+
+    Values may be structs, so a struct starting with the order column gives the
+    latest earlier row that has one.
+    """
+    df = df.withColumn("__bucket0", bucket).withColumns({f"__v_{k}": v for k, v in values.items()})
+    keys = [*parts, "__bucket0"]
+    before = Window.partitionBy(*parts).orderBy("__bucket0").rowsBetween(Window.unboundedPreceding, -1)
+    carry = df.groupBy(*keys).agg(*[F.max(f"__v_{k}").alias(f"__t_{k}") for k in values])
+    carry = carry.select(*keys, *[F.max(f"__t_{k}").over(before).alias(f"__o_{k}") for k in values])
+    inside = Window.partitionBy(*keys).orderBy(order_column).rowsBetween(Window.unboundedPreceding, -1)
+    local = df.withColumns({f"__l_{k}": F.max(f"__v_{k}").over(inside) for k in values})
+    out = local.join(carry, keys).withColumns({k: F.greatest(f"__l_{k}", f"__o_{k}") for k in values})
+    return out.drop("__bucket0", *[f"__{p}_{k}" for p in "vlo" for k in values])
+
+
 def discrete_quantiles(
     df: DataFrame,
     parts: Sequence[str],

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatorium.functions.columns import hex_mod, overlap_count, preimage_hash
-from curatorium.functions.spread import hash_bucket, integer_bucket, ranked
+from curatorium.functions.spread import earlier_max, hash_bucket, integer_bucket, ranked
 
 
 def rank_pool(pool: DataFrame, by_tier: bool = True) -> DataFrame:
@@ -105,7 +105,7 @@ def round_robin(
     cell: Sequence[str],
     group: str,
     order: Sequence[Column],
-    seed: Column,
+    seed: Column | None,
     quota: Column,
     max_quota: int,
     max_groups: int | None = None,
@@ -114,7 +114,7 @@ def round_robin(
 
     Groups go by key text, or by their best row when ``max_groups`` caps them;
     the starting group is the seed digest's first eight hex digits modulo the
-    group count.  ``seed`` and ``quota`` are expressions over the cell columns;
+    group count, or the first group without a seed.  ``seed`` and ``quota`` are expressions over the cell columns;
     ``max_quota`` bounds the rows any group can contribute.
     """
     inner = Window.partitionBy(*cell, group).orderBy(*order)
@@ -128,7 +128,7 @@ def round_robin(
         groups = groups.where(F.col("__g") < max_groups)
     groups = groups.select(*cell, group, "__g")
     count = F.count(F.lit(1)).over(Window.partitionBy(*cell))
-    offset = hex_mod(F.sha2(seed, 256), count)
+    offset = F.lit(0) if seed is None else hex_mod(F.sha2(seed, 256), count)
     groups = groups.withColumn("__slot", F.pmod(F.col("__g") - offset, count)).drop("__g")
     pick = Window.partitionBy(*cell).orderBy("__turn", "__slot")
     return (
@@ -212,3 +212,121 @@ def greedy_coverage(items: DataFrame, id_column: str, features: Column, n: int)
     finally:
         profiles.unpersist()
     return chosen
+
+
+def partition_contiguity(cells: DataFrame, start: str, end: str, first: str, last: str) -> DataFrame:
+    """Ordered date cells (a short table): GAP or OVERLAP against the one before, and the outer bounds."""
+    order = Window.orderBy(start)
+    prev = F.lag(end).over(order)
+    step = F.datediff(F.col(start).cast("date"), prev.cast("date"))
+    problem = (
+        F.when(prev.isNull(), F.when(F.col(start) != first, "START_BOUND"))
+        .when(step < 1, "OVERLAP")
+        .when(step > 1, "GAP")
+    )
+    tail = F.when(F.lead(start).over(order).isNull() & (F.col(end) != last), "END_BOUND")
+    return cells.withColumn("problem", F.coalesce(problem, tail, F.lit("OK")))
+
+
+def sequence_completeness(received: DataFrame, planned: DataFrame, stratum: str, page: str, total: str) -> DataFrame:
+    """Per stratum counts of missing, repeated, unexpected and drifted pages, and the first failing check.
+
+    ``planned`` has one row per stratum with the expected number of pages.
+    """
+    per_page = received.groupBy(stratum, page).agg(
+        F.count(F.lit(1)).alias("copies"), F.min(total).alias("low"), F.max(total).alias("high")
+    )
+    expected = per_page.join(planned, stratum, "right")
+    known = F.col(page).between(1, F.col("planned"))
+    out = expected.groupBy(stratum, "planned").agg(
+        F.count_if(known).alias("received"),
+        F.count_if(F.col("copies") > 1).alias("duplicated"),
+        F.count_if(F.col(page).isNotNull() & ~known).alias("unexpected"),
+        F.count_if((F.col("low") != F.col("planned")) | (F.col("high") != F.col("planned"))).alias("drifted"),
+    )
+    status = (
+        F.when(F.col("unexpected") > 0, "UNEXPECTED_PAGE")
+        .when(F.col("duplicated") > 0, "DUPLICATE_PAGE")
+        .when(F.col("received") < F.col("planned"), "INCOMPLETE")
+        .when(F.col("drifted") > 0, "TOTAL_DRIFT")
+        .otherwise("COMPLETE")
+    )
+    return out.withColumns({"missing": F.col("planned") - F.col("received"), "status": status})
+
+
+def first_contributor(rows: DataFrame, key: str, order: str, source: str) -> DataFrame:
+    """The earliest source of every key."""
+    return rows.groupBy(key).agg(F.min_by(source, order).alias(source))
+
+
+def section_ancestors(sections: DataFrame, page: str, pos: str, level: str, heading: str, max_level: int = 6) -> DataFrame:
+    """Headings of the open sections above each section, outermost first.
+
+    The section of level L is open unless a later one at level L or lower
+    replaced it, so the latest earlier section per level decides; no page is
+    gathered into one value.
+    """
+    at = F.struct(F.col(pos).alias("pos"), F.col(heading).alias("heading"))
+    latest = {f"__s{i}": F.when(F.col(level) == i, at) for i in range(1, max_level + 1)}
+    seen = earlier_max(sections, [page], pos, integer_bucket(pos), latest)
+    open_ones = []
+    for i in range(1, max_level + 1):
+        newest_above = F.lit(-1).cast("bigint")
+        for j in range(1, i):
+            newest_above = F.greatest(newest_above, F.coalesce(F.col(f"__s{j}.pos").cast("bigint"), F.lit(-1)))
+        is_open = (F.lit(i) < F.col(level)) & (F.col(f"__s{i}.pos").cast("bigint") > newest_above)
+        open_ones.append(F.when(is_open, F.col(f"__s{i}.heading")))
+    return seen.withColumn("ancestors", F.array_compact(F.array(*open_ones))).drop(*latest)
+
+
+def preferred_candidate(rows: DataFrame, page: str, preference: Column, index: str, keep: Sequence[str]) -> DataFrame:
+    """Per page the row with the lowest preference, then index."""
+    best = F.min_by(F.struct(*keep), F.struct(preference.alias("p"), F.col(index).alias("i")))
+    return rows.groupBy(page).agg(best.alias("b")).select(page, "b.*")
+
+
+def next_unresolved(rows: DataFrame, run: str, order: str, resolved: Column, key: str) -> DataFrame:
+    """Per run the earliest unresolved row, and whether a later row was resolved before it."""
+    out = rows.groupBy(run).agg(
+        F.min_by(key, F.when(~resolved, F.col(order))).alias("next_id"),
+        F.min(F.when(~resolved, F.col(order))).alias("next_order"),
+        F.max(F.when(resolved, F.col(order))).alias("__last"),
+    )
+    return out.withColumn("out_of_order", F.coalesce(F.col("__last") > F.col("next_order"), F.lit(False))).drop("__last")
+
+
+def top_repeated(rows: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return counted.orderBy(F.col("n").desc(), *columns).limit(k)
+
+
+def cohort_extension(prior: DataFrame, fresh: DataFrame, cohort: str, key: str, order: str, target: int) -> DataFrame:
+    """Prior rows, then the next fresh rows by order until each cohort reaches ``target``."""
+    have = prior.groupBy(cohort).agg(F.count(F.lit(1)).alias("have"))
+    new = fresh.join(prior.select(key), key, "left_anti")
+    ranked_new = first_per_group(new, [cohort], [F.col(order)], target, "rank").join(have, cohort, "left")
+    added = ranked_new.where(F.col("rank") <= target - F.coalesce("have", F.lit(0)))
+    return prior.select(cohort, key, F.lit("prior").alias("origin")).unionByName(
+        added.select(cohort, key, F.lit("new").alias("origin"))
+    )
+
+
+def unique_slugs(batch: DataFrame, taken: DataFrame, key: str, slug: Column) -> DataFrame:
+    """Slug per row; repeated or taken slugs get the numeric key appended."""
+    rows = batch.withColumn("slug", slug)
+    repeated = rows.groupBy("slug").agg((F.count(F.lit(1)) > 1).alias("__many"))
+    held = taken.select("slug").distinct().withColumn("__taken", F.lit(True))
+    out = rows.join(repeated, "slug").join(held, "slug", "left")
+    clash = F.col("__many") | F.coalesce("__taken", F.lit(False))
+    return out.withColumn("unique_slug", F.when(clash, F.concat_ws("-", "slug", F.col(key).cast("string"))).otherwise(F.col("slug"))).drop(
+        "__many", "__taken"
+    )
+
+
+def first_k_qualifying(rows: DataFrame, cls: str, order: str, key: str, qualifies: Column, k: int = 4) -> DataFrame:
+    """Per class the first ``k`` qualifying rows; the others carry the reason they are not chosen."""
+    good = first_per_group(rows.where(qualifies), [cls], [F.col(order)], k, "__r").select(key, F.col("__r").alias("rank"))
+    totals = rows.groupBy(cls).agg(F.least(F.count_if(qualifies), F.lit(k)).alias("__n"))
+    out = rows.join(good, key, "left").join(totals, cls)
+    reason = F.when(F.col("rank").isNotNull(), "SELECTED").when(qualifies, "AFTER_QUOTA").otherwise("NOT_QUALIFIED")
+    return out.withColumns({"reason": reason, "class_status": F.when(F.col("__n") < k, "SHORT").otherwise("READY")}).drop("__n")

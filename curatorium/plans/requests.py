@@ -373,8 +373,8 @@ def _(t):
     """
 cells AS (SELECT mood, situation, count(*) AS n FROM (SELECT id, unnest(moods) AS mood, situations FROM catalogue), LATERAL (SELECT unnest(situations) AS situation) GROUP BY ALL),
 wide AS (PIVOT cells ON situation IN ('alone','date-night','friends','family','easy-watch') USING sum(n) GROUP BY mood)
-SELECT mood, COALESCE("alone",0) AS alone, COALESCE("date-night",0) AS date_night, COALESCE("friends",0) AS friends, COALESCE("family",0) AS family, COALESCE("easy-watch",0) AS easy_watch,
-  least(COALESCE("alone",0), COALESCE("date-night",0), COALESCE("friends",0), COALESCE("family",0), COALESCE("easy-watch",0)) AS smallest FROM wide
+SELECT mood, COALESCE("alone",0)::BIGINT AS alone, COALESCE("date-night",0)::BIGINT AS date_night, COALESCE("friends",0)::BIGINT AS friends, COALESCE("family",0)::BIGINT AS family, COALESCE("easy-watch",0)::BIGINT AS easy_watch,
+  CAST(least(COALESCE("alone",0), COALESCE("date-night",0), COALESCE("friends",0), COALESCE("family",0), COALESCE("easy-watch",0)) AS BIGINT) AS smallest FROM wide
 """,
 )
 def _(t):
