@@ -537,3 +537,30 @@ def summarize_validation(results: DataFrame, key: str, issue_array: str = "issue
         F.sum(F.size(F.filter(issue_array, lambda i: i["severity"] == "hard_fail"))).alias("hard_failures"),
         F.sum(F.size(F.filter(issue_array, lambda i: i["severity"] != "hard_fail"))).alias("review_flags"),
     ).withColumn("ok", F.col("hard_failures") == 0)
+
+
+def production_row_failures(fields: list[str], hashes: list[str]) -> Column:
+    """Unknown or missing fields of a record, hashes that moved on, and a foreign identity."""
+    keys = F.json_object_keys("record")
+    exact = F.array(*[F.lit(f) for f in fields])
+    return F.concat(
+        F.transform(F.array_except(keys, exact), lambda k: F.concat(F.lit("UNKNOWN_FIELD:"), k)),
+        F.transform(F.array_except(exact, keys), lambda k: F.concat(F.lit("MISSING_FIELD:"), k)),
+        F.array_compact(F.array(*[F.when(F.col(f"recorded.{h}") != F.col(f"actual.{h}"), F.lit(f"STALE_HASH:{h}")) for h in hashes])),
+        F.array_compact(F.array(F.when(F.col("artifact_tmdb") != F.col("tmdb_id"), F.lit("IDENTITY_MISMATCH")))),
+    )
+
+
+def check_manifest(manifest: DataFrame, accepted: DataFrame, group: str) -> DataFrame:
+    """Counts and roster digests of a promotion manifest against the accepted rows."""
+    from curatorium.operators.sets import table_digest
+
+    said = table_digest(manifest, [group]).select(group, F.col("rows").alias("m_rows"), F.col("digest").alias("m_digest"))
+    real = table_digest(accepted, [group])
+    failures = F.array_compact(
+        F.array(
+            F.when(~F.col("m_rows").eqNullSafe(F.col("rows")), F.lit("COUNT_MISMATCH")),
+            F.when(~F.col("m_digest").eqNullSafe(F.col("digest")), F.lit("ROSTER_MISMATCH")),
+        )
+    )
+    return real.join(said, group, "left").select(group, F.array_join(failures, "|").alias("failures"))
