@@ -105,7 +105,7 @@ def stopping_position(rows: DataFrame, parts: Sequence[str], order: str, counter
         done = done & (F.col(name) >= target)
     return counted.where(done).groupBy(*parts).agg(
         F.min(order).alias("stop_at"), *[F.min_by(n, order).alias(n) for n in counters]
-    )
+    ).where(F.col("stop_at").isNotNull())
 
 
 def compare_state(rebuilt: DataFrame, stored: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

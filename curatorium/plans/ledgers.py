@@ -152,7 +152,7 @@ def _(t):
     return L.compare_state(state(rows), state(rows.where("cost_cents <= 15000")), "attempt", ["events", "terminal", "spent"])
 
 
-KEY_SQL = """sha256('{' || CASE WHEN pace = 'fast' THEN '"config":"turbo",' ELSE '' END || '"schema":"v2","stage":"classify","tmdb_id":' || tmdb_id || ',"title":"' || title || '"}')"""
+KEY_SQL = """sha256('{' || CASE WHEN pace = 'fast' THEN '"config":"turbo",' ELSE '' END || '"schema":"v2","stage":"classify","title":"' || title || '","tmdb_id":' || tmdb_id || '}')"""
 
 
 def _cache_key(title: Column) -> Column:
