@@ -64,9 +64,11 @@ def duplicate_owners(rows: DataFrame, key: str, owner: str) -> DataFrame:
 
 
 def identity_index(sources: Sequence[DataFrame], key: str, value: str) -> DataFrame:
-    """Distinct values per key over many sources; more than one is a conflict for the lookup."""
-    pairs = union_all([s.select(key, value) for s in sources]).distinct()
-    return pairs.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("ids"))
+    """One value per key over many sources, and whether the sources disagree."""
+    pairs = union_all([s.select(key, value) for s in sources])
+    return pairs.groupBy(key).agg(
+        F.min(value).alias("resolved_id"), (F.min(value) != F.max(value)).alias("conflict"), F.count_distinct(value).alias("ids")
+    )
 
 
 def breakdown(rows: DataFrame, dimensions: Sequence[str], status: str, values: dict[str, str]) -> DataFrame:

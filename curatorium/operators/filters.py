@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatorium.functions.spread import small
+
 
 def unset(param: Column) -> Column:
     return param.isNull() | (param == "")
@@ -73,10 +75,10 @@ def as_params(requests: DataFrame) -> DataFrame:
 def match_requests(catalogue: DataFrame, requests: DataFrame) -> DataFrame:
     """One row per (request, item) passing mood and practical filters, flagged ``exact``.
 
-    Items are joined on their mood; the requests table is a bounded parameter
-    table, so the catalogue is never shuffled.
+    Items are joined on their mood.  A small requests table is broadcast, so the
+    catalogue is not shuffled.
     """
-    params = F.broadcast(as_params(requests).where(~unset(F.col("q_mood"))))
+    params = small(as_params(requests).where(~unset(F.col("q_mood"))))
     q = lambda c: F.col(f"q_{c}")
     return (
         catalogue.withColumn("q_mood", F.explode(F.array_distinct("moods")))
@@ -97,7 +99,7 @@ def relax_if_few(matched: DataFrame, minimum: int = 3) -> DataFrame:
     exact = matched.groupBy("request_id").agg(F.count_if("exact").alias("exact_count"))
     relaxed = ~unset(F.col("q_situation")) & (F.col("exact_count") < minimum)
     return (
-        matched.join(F.broadcast(exact), "request_id")
+        matched.join(exact, "request_id")
         .where(F.col("exact") | relaxed)
         .withColumn("tier", F.when(F.col("exact"), 1).otherwise(2))
     )

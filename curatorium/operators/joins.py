@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatorium.functions.columns import jaccard, normalized_title, reasons, same_set
+from curatorium.functions.spread import small
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -111,8 +112,8 @@ def collision_check(batch: DataFrame, mapping: DataFrame, key: str, owner: str)
 
 
 def range_join(rows: DataFrame, ranges: DataFrame, value: str, low: str, high: str) -> DataFrame:
-    """Rows with the range holding their value; ranges is a bounded parameter table."""
-    return rows.join(F.broadcast(ranges), F.col(value).between(F.col(low), F.col(high)), "left")
+    """Rows with the range holding their value; a range join needs a small table of ranges."""
+    return rows.join(small(ranges, 10_000, required=True), F.col(value).between(F.col(low), F.col(high)), "left")
 
 
 def complete_join(left: DataFrame, sides: dict[str, DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
@@ -176,8 +177,8 @@ def paired_delta(rows: DataFrame, key: str, arm: str, first: str, second: str, v
 def resolve_identity(rows: DataFrame, index: DataFrame, key: str = "canonical_id") -> DataFrame:
     """Numeric id per canonical id; RESOLVED, CONFLICT or MISSING."""
     wide = rows.join(index, key, "left")
-    status = F.when(F.col("ids").isNull(), "MISSING").when(F.size("ids") > 1, "CONFLICT").otherwise("RESOLVED")
-    return wide.withColumn("status", status).withColumn("resolved_id", F.when(status == "RESOLVED", F.element_at("ids", 1))).drop("ids")
+    status = F.when(F.col("conflict").isNull(), "MISSING").when(F.col("conflict"), "CONFLICT").otherwise("RESOLVED")
+    return wide.select(key, status.alias("status"), F.when(~F.col("conflict"), F.col("resolved_id")).alias("resolved_id"))
 
 
 def usable_reserves(queue: DataFrame, cell: str, tier: str, ready: Column) -> DataFrame:
@@ -248,7 +249,7 @@ def layered_priority(layers: Sequence[DataFrame], key: str, value: str) -> DataF
 def spec_coverage(misses: DataFrame, mapping: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """A miss is covered only when all vocabulary entries it maps to are defined."""
     known = vocabulary.select("kind", "entry", F.lit(True).alias("__known"))
-    wide = misses.join(F.broadcast(mapping), "defect", "left").join(F.broadcast(known), ["kind", "entry"], "left")
+    wide = misses.join(small(mapping), "defect", "left").join(small(known), ["kind", "entry"], "left")
     return wide.groupBy("candidate_id", "defect").agg(
         F.coalesce(F.bool_and(F.coalesce("__known", F.lit(False))), F.lit(False)).alias("covered")
     )

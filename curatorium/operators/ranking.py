@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatorium.functions.columns import hex_mod, overlap_count, preimage_hash
-from curatorium.functions.spread import earlier_max, hash_bucket, integer_bucket, ranked
+from curatorium.functions.spread import earlier_max, hash_bucket, integer_bucket, ranked, small
 
 
 def rank_pool(pool: DataFrame, by_tier: bool = True) -> DataFrame:
@@ -54,8 +54,6 @@ def similar_items(catalogue: DataFrame, seeds: DataFrame, k: int = 3) -> DataFra
     ``k + 1`` of each profile can reach a top ``k`` (one may be the seed itself).
     That cut runs before seeds meet items.
     """
-    if seeds.limit(MAX_SEEDS + 1).count() > MAX_SEEDS:
-        raise ValueError(f"more than {MAX_SEEDS} seeds in one call")
     per_profile = Window.partitionBy(*PROFILE).orderBy("ord")
     reachable = (
         catalogue.select("id", "ord", *PROFILE)
@@ -66,7 +64,7 @@ def similar_items(catalogue: DataFrame, seeds: DataFrame, k: int = 3) -> DataFra
     seed = seeds.select(F.col("id").alias("seed_id"), F.struct(*PROFILE).alias("seed"))
     scored = (
         reachable.select("id", "ord", F.struct(*PROFILE).alias("item"))
-        .join(F.broadcast(seed), F.col("id") != F.col("seed_id"))
+        .join(small(seed, MAX_SEEDS, required=True), F.col("id") != F.col("seed_id"))
         .select("seed_id", "id", "ord", similarity_score("seed", "item").alias("score"))
     )
     best = Window.partitionBy("seed_id").orderBy(F.col("score").desc(), "ord")
@@ -87,7 +85,7 @@ def quota_by_hash(
         candidates.withColumn("selection_hash", hashed)
         .withColumn("selection_rank", F.row_number().over(order))
         .where(F.col("selection_rank") <= largest)
-        .join(F.broadcast(quotas.select(stratum, "quota")), stratum)
+        .join(small(quotas.select(stratum, "quota")), stratum)
         .where(F.col("selection_rank") <= F.col("quota"))
     )
     available = candidates.groupBy(stratum).agg(F.count(F.lit(1)).alias("available"))
@@ -236,14 +234,16 @@ def sequence_completeness(received: DataFrame, planned: DataFrame, stratum: str,
     per_page = received.groupBy(stratum, page).agg(
         F.count(F.lit(1)).alias("copies"), F.min(total).alias("low"), F.max(total).alias("high")
     )
-    expected = per_page.join(planned, stratum, "right")
     known = F.col(page).between(1, F.col("planned"))
-    out = expected.groupBy(stratum, "planned").agg(
+    seen = per_page.join(planned, stratum).groupBy(stratum).agg(
         F.count_if(known).alias("received"),
         F.count_if(F.col("copies") > 1).alias("duplicated"),
-        F.count_if(F.col(page).isNotNull() & ~known).alias("unexpected"),
+        F.count_if(~known).alias("unexpected"),
         F.count_if((F.col("low") != F.col("planned")) | (F.col("high") != F.col("planned"))).alias("drifted"),
     )
+    # strata without any page are added after the counting, so a hot stratum stays splittable
+    counts = [F.coalesce(n, F.lit(0)).alias(n) for n in ("received", "duplicated", "unexpected", "drifted")]
+    out = planned.join(seen, stratum, "left").select(stratum, "planned", *counts)
     status = (
         F.when(F.col("unexpected") > 0, "UNEXPECTED_PAGE")
         .when(F.col("duplicated") > 0, "DUPLICATE_PAGE")

@@ -59,23 +59,25 @@ def row_digest(df: DataFrame, columns: Sequence[str] | None = None, out: str = "
     return df.withColumn(out, digest(*(columns or df.columns)))
 
 
-def table_digest(df: DataFrame, groups: Sequence[str] = (), digits: int = 3) -> DataFrame:
-    """Order-independent digest per group.
+def table_digest(df: DataFrame, groups: Sequence[str] = (), levels: Sequence[int] = (6, 3)) -> DataFrame:
+    """Order-independent digest and row count per group.
 
-    Rows are hashed, collected in sorted order only inside buckets of their
-    digest prefix, and the bucket hashes are hashed again, so no task holds a
-    whole table.  Raise ``digits`` with the row count.
+    A hash tree over digest prefixes: rows are joined in sorted order inside
+    buckets of six hex digits, the bucket hashes inside three digits, and those
+    once more per group.  Digests fill the prefixes evenly, so no task holds more
+    than about 4096 children, or a six-digit bucket of rows.
     """
     columns = [c for c in df.columns if c not in groups]
-    rows = df.select(*groups, digest(*columns).alias("__d")).groupBy(*groups, "__d").agg(F.count(F.lit(1)).alias("__n"))
-    leaf = F.concat_ws(":", "__d", F.col("__n").cast("string"))
-    buckets = rows.groupBy(*groups, F.substring("__d", 1, digits).alias("__b")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list(leaf)), ""), 256).alias("__h"), F.sum("__n").alias("__rows")
-    )
-    return buckets.groupBy(*groups).agg(
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__b", "__h"))), lambda s: s["__h"]), ""), 256).alias("digest"),
-        F.sum("__rows").alias("rows"),
-    )
+    rows = df.select(*groups, digest(*columns).alias("__p")).groupBy(*groups, "__p").agg(F.count(F.lit(1)).alias("__rows"))
+    nodes = rows.withColumn("__h", F.concat_ws(":", "__p", F.col("__rows").cast("string")))
+    for digits in levels:
+        nodes = nodes.groupBy(*groups, F.substring("__p", 1, digits).alias("__p")).agg(_children(), F.sum("__rows").alias("__rows"))
+    return nodes.groupBy(*groups).agg(_children().alias("digest"), F.sum("__rows").alias("rows"))
+
+
+def _children() -> Column:
+    ordered = F.sort_array(F.collect_list(F.struct("__p", "__h")))
+    return F.sha2(F.array_join(F.transform(ordered, lambda s: s["__h"]), ""), 256).alias("__h")
 
 
 def promote_append(baseline: DataFrame, accepted: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -31,7 +31,7 @@ def _(t):
 @query(
     "collapse_identical_duplicates",
     ["corpus"],
-    """SELECT id, copies, 1 AS identical_contents, contents AS full_contents, contents > 1 AS full_conflict FROM (
+    """SELECT id, copies, 1::BIGINT AS identical_contents, contents AS full_contents, contents > 1 AS full_conflict FROM (
        SELECT id, count(*) AS copies, count(DISTINCT (cell, page, source_order, votes, rating, release_date)) AS contents FROM corpus GROUP BY id)""",
 )
 def _(t):
@@ -72,7 +72,7 @@ def _(t):
 @query(
     "identity_index",
     ["exclusions"],
-    """SELECT canonical_id, string_agg(CAST(tmdb AS VARCHAR), '|' ORDER BY tmdb) AS ids, count(*) > 1 AS conflict FROM (
+    """SELECT canonical_id, min(tmdb) AS resolved_id, count(*) > 1 AS conflict, count(*) AS ids FROM (
        SELECT canonical_id, id AS tmdb FROM exclusions WHERE canonical_id IS NOT NULL UNION SELECT 'm' || p_partkey, CASE WHEN p_size = 20 THEN p_partkey + 1 ELSE p_partkey END FROM part) GROUP BY 1""",
 )
 def _(t):
@@ -80,8 +80,7 @@ def _(t):
         F.concat(F.lit("m"), c("p_partkey").cast("string")).alias("canonical_id"),
         F.when(c("p_size") == 20, c("p_partkey") + 1).otherwise(c("p_partkey")).alias("id"),
     )
-    index = A.identity_index([t.exclusions.where(c("canonical_id").isNotNull()), part], "canonical_id", "id")
-    return index.select("canonical_id", joined(F.transform("ids", lambda i: i.cast("string"))).alias("ids"), (F.size("ids") > 1).alias("conflict"))
+    return A.identity_index([t.exclusions.where(c("canonical_id").isNotNull()), part], "canonical_id", "id")
 
 
 @query("count_by", ["corpus"], "SELECT cell, count(*) AS n FROM corpus GROUP BY cell")
@@ -326,7 +325,7 @@ def _(t):
     "audit_sample_rates",
     ["adjudicated"],
     """s AS (SELECT * FROM adjudicated WHERE lang = 'en')
-       SELECT count(*) AS sampled, count(*) FILTER (WHERE human_decision = 'APPROVE') AS approved, count(*) FILTER (WHERE severity = 'MINOR') AS minor, count(*) FILTER (WHERE severity = 'SEVERE') AS severe, 0 AS rejected,
+       SELECT count(*) AS sampled, count(*) FILTER (WHERE human_decision = 'APPROVE') AS approved, count(*) FILTER (WHERE severity = 'MINOR') AS minor, count(*) FILTER (WHERE severity = 'SEVERE') AS severe, 0::BIGINT AS rejected,
         round(100.0 * count(*) FILTER (WHERE human_decision = 'APPROVE') / count(*), 6) AS approved_percent, round(100.0 * count(*) FILTER (WHERE severity = 'MINOR') / count(*), 6) AS minor_percent, round(100.0 * count(*) FILTER (WHERE severity = 'SEVERE') / count(*), 6) AS severe_percent, 0.0::DOUBLE AS rejected_percent FROM s""",
 )
 def _(t):

@@ -322,7 +322,7 @@ def _(t):
     cells = t.facts.withColumn("cell", P.decade(c("year")))
     queue = ranking.first_per_group(cells, ["cell"], best, 9, "rn").withColumn("tier", F.when(c("rn") <= 6, "primary").otherwise("reserve"))
     queue = queue.withColumn("is_ready", c("poster_path").isNotNull() & (c("original_language") == "en"))
-    return J.usable_reserves(queue, "cell", "tier", c("is_ready")).select("tmdb_id", "cell", "rn", "quota", "ready")
+    return J.usable_reserves(queue, "cell", "tier", c("is_ready")).select("tmdb_id", "cell", c("rn").cast("bigint").alias("rn"), "quota", "ready")
 
 
 CTES["wiki_pages"] = (

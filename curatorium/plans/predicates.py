@@ -73,7 +73,7 @@ def eligibility(t: Tables) -> DataFrame:
     "normalize_search_rows",
     (),
     """SELECT p_partkey - 3 AS id, CASE WHEN p_size < 5 THEN '' ELSE p_name END AS title,
-      CASE WHEN p_size < 40 THEN 1980 + p_partkey % 45 END AS year, CASE WHEN p_type = 'LARGE' THEN '' ELSE p_brand END AS overview
+      CAST(CASE WHEN p_size < 40 THEN 1980 + p_partkey % 45 END AS INT) AS year, CASE WHEN p_type = 'LARGE' THEN '' ELSE p_brand END AS overview
       FROM part WHERE p_partkey - 3 > 0""",
 )
 def _(t):
@@ -90,7 +90,7 @@ def _(t):
 @query(
     "normalize_facts",
     (),
-    """SELECT p_partkey AS tmdb_id, p_name AS title, CASE WHEN p_size <> 44 THEN 1980 + p_partkey % 45 END AS year,
+    """SELECT p_partkey AS tmdb_id, p_name AS title, CAST(CASE WHEN p_size <> 44 THEN 1980 + p_partkey % 45 END AS INT) AS year,
       CASE WHEN p_size = 45 THEN '' WHEN p_size % 2 = 0 THEN 'Ann ' || p_partkey % 9 || ' & Bob' ELSE 'Ann ' || p_partkey % 9 END AS director,
       CASE WHEN p_type = 'PROMO' THEN 'Chile|Peru' ELSE 'Peru' END AS countries, CASE WHEN p_size = 43 THEN '' ELSE 'English|Suomi' END AS spoken_languages,
       array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), '|') AS genres, 70 + 2 * p_size AS runtime_minutes,

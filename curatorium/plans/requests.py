@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatorium.functions.columns import joined, settle
+from curatorium.functions.spread import small
 from curatorium.operators import filters, ranking, slates
 from curatorium.plans.registry import query
 from curatorium.sources.projections import CTES, Tables
@@ -72,7 +73,7 @@ def slate(t: Tables) -> DataFrame:
 
 def _with_params(t: Tables) -> DataFrame:
     """Every (request, item) carrying the request's mood, before other filters."""
-    params = F.broadcast(filters.as_params(t.requests))
+    params = small(filters.as_params(t.requests))
     return t.catalogue.withColumn("q_mood", F.explode("moods")).join(params, "q_mood")
 
 
@@ -167,14 +168,19 @@ def _seeds(t: Tables) -> DataFrame:
     return ranking.first_per_group(per_language, ["language"], [F.col("ord")], 1, "r")
 
 
+def _similar(t: Tables, k: int) -> DataFrame:
+    found = ranking.similar_items(t.catalogue, _seeds(t), k)
+    return found.select("seed_id", "id", F.col("score").cast("bigint").alias("score"), F.col("rn").cast("bigint").alias("rn"))
+
+
 @query("similar_items", ["seeds"], SIMILAR_SQL.format(k=10))
 def _(t):
-    return ranking.similar_items(t.catalogue, _seeds(t), 10).select("seed_id", "id", "score", "rn")
+    return _similar(t, 10)
 
 
 @query("top_k_similar", ["seeds"], SIMILAR_SQL.format(k=3))
 def _(t):
-    return ranking.similar_items(t.catalogue, _seeds(t), 3).select("seed_id", "id", "score", "rn")
+    return _similar(t, 3)
 
 
 CTES["differences"] = (
@@ -227,12 +233,12 @@ _PAIR_COLUMNS = "request_id, first_id, second_id, rank, category, first_value, s
 
 @query("compare_pairs", ["differences"], f"SELECT {_PAIR_COLUMNS} FROM differences WHERE rank <= 2")
 def _(t):
-    return slates.compare_pairs(slate(t))
+    return slates.compare_pairs(slate(t)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("limit_factors", ["differences"], f"SELECT {_PAIR_COLUMNS} FROM differences WHERE rank <= 1")
 def _(t):
-    return slates.compare_pairs(slate(t), limit=1)
+    return slates.compare_pairs(slate(t), limit=1).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(

@@ -365,9 +365,10 @@ def _(t):
     return t.facts.select("tmdb_id", "votes", "rating").orderBy(*best_first())
 
 
-DIGEST_SQL = """rows_ AS (SELECT g, sha256(j) AS d FROM src), leaf AS (SELECT g, d, count(*) AS n FROM rows_ GROUP BY ALL),
- buckets AS (SELECT g, substr(d, 1, 3) AS b, sha256(string_agg(d || ':' || n, '' ORDER BY d || ':' || n)) AS h, sum(n) AS r FROM leaf GROUP BY ALL)
- SELECT g AS {name}, sha256(string_agg(h, '' ORDER BY b)) AS digest, sum(r)::BIGINT AS rows FROM buckets GROUP BY g"""
+DIGEST_SQL = """rows_ AS (SELECT g, sha256(j) AS p FROM src), leaf AS (SELECT g, p, count(*) AS n FROM rows_ GROUP BY ALL),
+ l6 AS (SELECT g, substr(p, 1, 6) AS p, sha256(string_agg(p || ':' || n, '' ORDER BY p)) AS h, sum(n) AS n FROM leaf GROUP BY g, substr(leaf.p, 1, 6)),
+ l3 AS (SELECT g, substr(p, 1, 3) AS p, sha256(string_agg(h, '' ORDER BY p)) AS h, sum(n) AS n FROM l6 GROUP BY g, substr(l6.p, 1, 3))
+ SELECT g AS {name}, sha256(string_agg(h, '' ORDER BY p)) AS digest, sum(n)::BIGINT AS rows FROM l3 GROUP BY g"""
 
 
 @query(
