@@ -267,10 +267,11 @@ def content_risk(rows: DataFrame, html: str) -> DataFrame:
     read = settle(rows, paragraphs=html_paragraphs(F.col(html)))
     read = settle(read, excerpt=F.coalesce(descriptive_excerpt(F.col("paragraphs")), F.lit("")), full_text=F.array_join("paragraphs", " "))
     count = lambda text, family: F.regexp_count(F.col(text), F.lit(_edged(RISK_FAMILIES[family])))
+    mentions = lambda text, family: F.col(text).rlike(_edged(RISK_FAMILIES[family]))
     level = lambda n, high: F.when(n >= high, "HIGH").when(n >= 1, "MODERATE").otherwise("LOW")
     read = settle(
         read,
-        late=(count("excerpt", "experiential") == 0) & (count("full_text", "experiential") > 0),
+        late=~mentions("excerpt", "experiential") & mentions("full_text", "experiential"),
         **{f: level(count("excerpt", f), HIGH_FROM[f]) for f in RISK_FAMILIES},
     )
     usable = F.col("excerpt") != ""

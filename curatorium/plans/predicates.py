@@ -302,7 +302,7 @@ def _(t):
 def _(t):
     text = F.when(F.col("lang") != "es", F.col("text"))
     failure = F.when(F.col("lang") == "es", "NO_MATCHING_SECTION")
-    return t.raw("documents").select("doc_id", P.evidence_viability(text, failure).alias("status"))
+    return t.texts("documents").select("doc_id", P.evidence_viability(text, failure).alias("status"))
 
 
 KEYWORDS_SQL = "list_concat(['  ' || p_name, 'Woman Director', p_brand || ' ', ' ', 'aftercreditsstinger'], list_transform(range(CAST(p_size AS BIGINT)), lambda i: 'kw' || i))"

@@ -185,7 +185,7 @@ CTES["paragraphs"] = ((), f"SELECT page_id, {PARAGRAPH_SQL} AS paragraphs FROM p
 
 @query("html_paragraphs", ["paragraphs"], "SELECT page_id, generate_subscripts(paragraphs, 1) AS pos, unnest(paragraphs) AS paragraph FROM paragraphs")
 def _(t):
-    return t.raw("pages").select("page_id", F.posexplode(X.html_paragraphs(c("html"))).alias("pos", "paragraph")).withColumn("pos", (c("pos") + 1).cast("bigint"))
+    return t.texts("pages").select("page_id", F.posexplode(X.html_paragraphs(c("html"))).alias("pos", "paragraph")).withColumn("pos", (c("pos") + 1).cast("bigint"))
 
 
 SENTENCE_SQL = r"""list_filter(CASE WHEN len(regexp_extract_all(x, '[^.!?]+[.!?]+|[^.!?]+$')) = 0 THEN [x] ELSE regexp_extract_all(x, '[^.!?]+[.!?]+|[^.!?]+$') END, lambda s: NOT regexp_matches(s, '(?i)\b(?:award|accolade|nominat|festival|box[ -]?office|gross(?:ed|ing)?|revenue|chart|ranking|ranked|rotten tomatoes|metacritic|imdb|\d+(?:\.\d+)?%|\d+(?:\.\d+)?\s*(?:out of|/|stars?))'))"""
@@ -208,7 +208,7 @@ def doc_pages(t: Tables) -> DataFrame:
         .when(lang == "de", "Streaming since May. A festival of box office records.")
         .otherwise("Funny, moving, thrilling.")
     )
-    return t.raw("documents").select(
+    return t.texts("documents").select(
         "doc_id", ((lang == "es") & (c("n_chars") < 100)).alias("heterogeneous"),
         F.concat(F.lit("<p>"), "text", F.lit('</p><p class="x">'), second, F.lit("</p>")).alias("html"),
     )
@@ -284,7 +284,7 @@ WORDS_SQL = r"string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-
 )
 def _(t):
     # every fifth protected text is a distinctive one
-    return X.ngram_overlap(t.raw("documents"), "doc_id", "text", t.raw("benchmark"), "text", c("item_id") % 5 == 0)
+    return X.ngram_overlap(t.texts("documents"), "doc_id", "text", t.raw("benchmark"), "text", c("item_id") % 5 == 0)
 
 
 PHRASES = ["and the", "que les", "und der", "123", "www."]
@@ -298,7 +298,7 @@ NAMES = ["the", "que", "und", "est"]
     + " UNION ALL ".join(rf"SELECT doc_id, 'NAME' AS kind, '{n}' AS phrase FROM documents WHERE regexp_matches(text, '(?i)\b{n}\b')" for n in NAMES),
 )
 def _(t):
-    return X.phrase_exposure(t.raw("documents"), "doc_id", "text", PHRASES, NAMES)
+    return X.phrase_exposure(t.texts("documents"), "doc_id", "text", PHRASES, NAMES)
 
 
 @query(
@@ -310,7 +310,7 @@ def _(t):
 def _(t):
     half = F.floor(c("n_chars") / 2).cast("int")
     quote = F.when(c("lang") == "de", "quoted from nowhere").otherwise(F.replace(F.substring("text", half, F.lit(40)), F.lit(" "), F.lit("  ")))
-    return t.raw("documents").select("doc_id", X.quote_in_excerpt(c("text"), quote).alias("grounded"))
+    return t.texts("documents").select("doc_id", X.quote_in_excerpt(c("text"), quote).alias("grounded"))
 
 
 @query(

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curatorium.functions.spread import widen
 from curatorium.schemas import MOODS, SITUATIONS
 
 # (dependencies, SQL) per projection name
@@ -209,6 +210,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A table of long texts, spread over the cores for the regular expressions to come."""
+        return widen(self.raw(name))
+
     def literal(self, values: str, columns: str) -> DataFrame:
         """A fixed parameter table; known size, so safe to broadcast."""
         return self.spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
@@ -382,7 +387,7 @@ class Tables:
             return F.array(*[F.lit(n) for n in names])
 
         return (
-            self.raw("documents")
+            self.texts("documents")
             .join(self.raw("labels"), "doc_id", "left")
             .select(
                 F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("candidate_id"),
