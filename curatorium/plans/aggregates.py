@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curatorium.functions.columns import issue_text, joined
 from curatorium.operators import aggregates as A
 from curatorium.operators import predicates as P
+from curatorium.operators import ranking as R
 from curatorium.operators.joins import range_join
 from curatorium.plans.predicates import judged, readiness
 from curatorium.plans.registry import query
@@ -324,12 +325,12 @@ def _(t):
 @query(
     "audit_sample_rates",
     ["adjudicated"],
-    """s AS (SELECT * FROM adjudicated WHERE lang = 'en')
+    """k AS (SELECT candidate_id, row_number() OVER (ORDER BY sha256('rate-seed|' || candidate_id), candidate_id) AS rn, count(*) OVER () AS n FROM review), s AS (SELECT a.* FROM adjudicated a JOIN k USING (candidate_id) WHERE rn <= (n * 33 + 99) // 100)
        SELECT count(*) AS sampled, count(*) FILTER (WHERE human_decision = 'APPROVE') AS approved, count(*) FILTER (WHERE severity = 'MINOR') AS minor, count(*) FILTER (WHERE severity = 'SEVERE') AS severe, 0::BIGINT AS rejected,
         round(100.0 * count(*) FILTER (WHERE human_decision = 'APPROVE') / count(*), 6) AS approved_percent, round(100.0 * count(*) FILTER (WHERE severity = 'MINOR') / count(*), 6) AS minor_percent, round(100.0 * count(*) FILTER (WHERE severity = 'SEVERE') / count(*), 6) AS severe_percent, 0.0::DOUBLE AS rejected_percent FROM s""",
 )
 def _(t):
-    sample = t.review.where("lang = 'en'").select("candidate_id")
+    sample = R.sample_rate(t.review.select("candidate_id"), [], R.seeded_hash("rate-seed", "candidate_id"), "candidate_id", F.lit(33))
     out = A.audit_rates(adjudicated(t).join(sample, "candidate_id", "left_semi"))
     return out.withColumns({f"{k}_percent": F.round(f"{k}_percent", 6) for k in ("approved", "minor", "severe", "rejected")})
 

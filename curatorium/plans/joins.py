@@ -296,7 +296,7 @@ def _(t):
 @query(
     "resolve_identity_lookup",
     ["exclusions"],
-    """idx AS (SELECT canonical_id, list_sort(list(DISTINCT tmdb)) AS ids FROM (SELECT canonical_id, id AS tmdb FROM exclusions WHERE canonical_id IS NOT NULL UNION SELECT canonical_id, id + 5 FROM exclusions WHERE provenance = 'supplier' AND id % 2 = 0) GROUP BY 1)
+    """idx AS (SELECT canonical_id, list_sort(list(DISTINCT tmdb)) AS ids FROM (SELECT canonical_id, id AS tmdb FROM exclusions WHERE canonical_id IS NOT NULL UNION SELECT canonical_id, id + 5 FROM exclusions WHERE provenance = 'supplier') GROUP BY 1)
        SELECT 'm' || p_partkey AS canonical_id, CASE WHEN ids IS NULL THEN 'MISSING' WHEN len(ids) > 1 THEN 'CONFLICT' ELSE 'RESOLVED' END AS status, CASE WHEN len(ids) = 1 THEN ids[1] END AS resolved_id
        FROM part LEFT JOIN idx ON idx.canonical_id = 'm' || p_partkey""",
 )
@@ -304,7 +304,7 @@ def _(t):
     from curatorium.operators.aggregates import identity_index
 
     known = t.exclusions.where(c("canonical_id").isNotNull()).select("canonical_id", "id")
-    shifted = t.exclusions.where("provenance = 'supplier' AND id % 2 = 0").select("canonical_id", (c("id") + 5).alias("id"))
+    shifted = t.exclusions.where("provenance = 'supplier'").select("canonical_id", (c("id") + 5).alias("id"))
     wanted = t.raw("part").select(F.concat(F.lit("m"), c("p_partkey").cast("string")).alias("canonical_id"))
     return J.resolve_identity(wanted, identity_index([known, shifted], "canonical_id", "id"))
 

@@ -87,10 +87,9 @@ def _(t):
     source = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
     live = Tables(t.spark, t.dir)
     live.raw = lambda name: source  # the projection of a stream
-    checked = ledger_stream.transition_stream(attempts(live), "attempt", "seq")
-    ledger_stream.run_to_files(checked, f"{folder}/out", f"{folder}/state")
+    ledger_stream.run_transitions(attempts(live), "attempt", "seq", f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint")
     found = t.spark.read.parquet(f"{folder}/out").where(c("problem").isNotNull())
-    return found.select("attempt", "seq", F.nullif("before", F.lit("")).alias("before"), "lifecycle", "problem")
+    return found.select("attempt", "seq", "before", "lifecycle", "problem")
 
 
 @query("attempt_status_stream", ["attempts"], """SELECT attempt, count(*) AS events, max(seq) AS last_seq, arg_max(lifecycle, seq) AS last, bool_or(lifecycle = 'TERMINAL') AS terminal FROM attempts GROUP BY attempt""")

@@ -217,13 +217,13 @@ def _(t):
 @query(
     "partition_contiguity",
     ["corpus"],
-    """cells AS (SELECT cell, min(release_date) AS gte, max(release_date) AS lte FROM corpus WHERE rating <= 49 OR cell = 'y1997' GROUP BY cell),
+    """cells AS (SELECT cell, min(release_date) AS gte, max(release_date) AS lte FROM corpus GROUP BY cell),
        o AS (SELECT *, lag(lte) OVER (ORDER BY gte) AS prev, lead(gte) OVER (ORDER BY gte) AS next FROM cells)
        SELECT cell, gte, lte, coalesce(CASE WHEN prev IS NULL THEN CASE WHEN gte <> '1995-01-01' THEN 'START_BOUND' END WHEN CAST(gte AS DATE) - CAST(prev AS DATE) < 1 THEN 'OVERLAP' WHEN CAST(gte AS DATE) - CAST(prev AS DATE) > 1 THEN 'GAP' END,
          CASE WHEN next IS NULL AND lte <> '2001-12-31' THEN 'END_BOUND' END, 'OK') AS problem FROM o""",
 )
 def _(t):
-    cells = t.corpus.where("rating <= 49 OR cell = 'y1997'").groupBy("cell").agg(F.min("release_date").alias("gte"), F.max("release_date").alias("lte"))
+    cells = t.corpus.groupBy("cell").agg(F.min("release_date").alias("gte"), F.max("release_date").alias("lte"))
     return R.partition_contiguity(cells, "gte", "lte", "1995-01-01", "2001-12-31")
 
 

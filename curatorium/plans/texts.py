@@ -232,14 +232,12 @@ def _(t):
     "diagnose_sections",
     ["ancestry"],
     r"""f AS (SELECT page, bool_or(e) AS e, bool_or(l AND regexp_matches(h, '\brelease\b') AND regexp_matches(h, '\breception\b')) AS c, bool_or(l AND ancestors <> '') AS n, bool_or(l AND regexp_matches(h, '\b(reviews?|critics?)\b') AND NOT regexp_matches(h, '\breception\b')) AS d, bool_or(l) AS k, bool_or(h = 'places') AS o
-       FROM (SELECT *, NOT e AND regexp_matches(h, '\b(reception|critical( response| reception| reviews?)?|reviews?|critics?)\b') AS l FROM (SELECT page, lower(heading) AS h, ancestors, lower(heading) IN ('critical response','reception','critical reception','release and reception') AS e FROM ancestry WHERE level < 4)) GROUP BY page)
+       FROM (SELECT *, NOT e AND regexp_matches(h, '\b(reception|critical( response| reception| reviews?)?|reviews?|critics?)\b') AS l FROM (SELECT page, lower(heading) AS h, ancestors, lower(heading) IN ('critical response','reception','critical reception','release and reception') AS e FROM ancestry)) GROUP BY page)
        SELECT p.page, CASE WHEN e IS NULL THEN 'PAGE_WITH_NO_AUDITABLE_SECTIONS' WHEN e THEN 'ELIGIBLE_SECTION_PRESENT' WHEN c THEN 'COMBINED_RELEASE_RECEPTION_HEADING' WHEN n THEN 'RECEPTION_LIKE_HEADING_NESTED' WHEN d THEN 'CRITICISM_DISTRIBUTED_NON_RECEPTION_SECTIONS' WHEN k THEN 'RECEPTION_LIKE_HEADING_VARIANT' WHEN o THEN 'PAGE_IDENTITY_AMBIGUITY' ELSE 'NO_RECEPTION_LIKE_STRUCTURAL_SECTION' END AS classification
        FROM (SELECT DISTINCT conv_id AS page FROM conversations) p LEFT JOIN f ON f.page = p.page""",
 )
 def _(t):
-    # sections of the deepest level are not listed
-    listed = ancestry(t).where("level < 4")
-    return X.diagnose_sections(t.raw("conversations").select(c("conv_id").alias("page")).distinct(), listed, "page", "heading")
+    return X.diagnose_sections(t.raw("conversations").select(c("conv_id").alias("page")).distinct(), ancestry(t), "page", "heading")
 
 
 def _level_sql(family: str) -> str:

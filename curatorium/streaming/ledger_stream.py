@@ -1,48 +1,60 @@
 """Structured Streaming versions of the ledger checks.
 
-Events arrive in files; within a trigger an attempt's events are ordered by
-their sequence number.  An event at or below the last sequence seen for its
-attempt is late: it is reported as LATE and does not change the state.  State is
-two small fields per attempt and stays in the state store, so a late event is
-recognised however late it comes.
+Events arrive in files.  The transition check runs per trigger with the same
+bucketed previous-row join as the batch check, starting from a table of the last
+event per attempt, so one attempt may hold a large part of a trigger.  An event
+at or below the last sequence of an earlier trigger is reported as LATE and does
+not change the state.  Every trigger writes folders named after its number and
+reads those of the trigger before, so a replayed trigger gives the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from curatorium.operators.ledger import ALLOWED
+from curatorium.functions.spread import integer_bucket, previous
+from curatorium.operators.ledger import is_allowed
+
+
+def check_trigger(batch: DataFrame, prior: DataFrame, key: str, seq: str) -> tuple[DataFrame, DataFrame]:
+    """(checked events, last event per attempt) of one trigger.  Sequence numbers are unique per attempt."""
+    events = batch.select(key, seq, "lifecycle")
+    known = events.join(prior.select(key, F.col(seq).alias("__last"), F.col("lifecycle").alias("__state")), key, "left")
+    is_late = F.coalesce(F.col(seq) <= F.col("__last"), F.lit(False))
+    late = known.where(is_late).select(key, seq, F.col("__state").alias("before"), "lifecycle", F.lit("LATE").alias("problem"))
+    fresh = known.where(~is_late).select(key, seq, "lifecycle")
+    chain = fresh.withColumn("__carried", F.lit(False)).unionByName(prior.select(key, seq, "lifecycle", F.lit(True).alias("__carried")))
+    linked = previous(chain, [key], seq, integer_bucket(seq), {"before": "lifecycle"}).where(~F.col("__carried"))
+    problem = F.when(~is_allowed(F.col("before"), F.col("lifecycle")), "INVALID_TRANSITION")
+    checked = linked.select(key, seq, "before", "lifecycle", problem.alias("problem")).unionByName(late)
+    last = fresh.unionByName(prior.select(key, seq, "lifecycle")).groupBy(key).agg(F.max_by(F.struct(seq, "lifecycle"), seq).alias("s"))
+    return checked, last.select(key, "s.*")
 
-OUT = "key string, seq bigint, before string, lifecycle string, problem string"
-STATE = "last_seq bigint, lifecycle string"
-_ALLOWED = frozenset(ALLOWED)
 
+def _exists(spark, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, target, fs.exists(target)
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last_seq, last = state.get if state.exists else (-1, "")
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    out = []
-    for seq, lifecycle in zip(rows["seq"], rows["lifecycle"]):
-        if seq <= last_seq:
-            out.append((key[0], seq, last, lifecycle, "LATE"))
-            continue
-        problem = None if (last, lifecycle) in _ALLOWED else "INVALID_TRANSITION"
-        out.append((key[0], seq, last, lifecycle, problem))
-        last_seq, last = seq, lifecycle
-    state.update((int(last_seq), last))
-    yield pd.DataFrame(out, columns=["key", "seq", "before", "lifecycle", "problem"])
 
+def run_transitions(events: DataFrame, key: str, seq: str, out: str, state: str, checkpoint: str) -> None:
+    """Check all available events; results go to ``out/epoch=N``, the last events to ``state/epoch=N``."""
+    fields = f"{key} string, {seq} bigint, lifecycle string"
 
-def transition_stream(events: DataFrame, key: str, seq: str) -> DataFrame:
-    """Every event with the state before it and the problem it poses, per attempt."""
-    keyed = events.select(F.col(key).cast("string").alias("key"), F.col(seq).alias("seq"), "lifecycle")
-    checked = keyed.groupBy("key").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-    return checked.withColumnRenamed("key", key)
+    def step(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        _, _, there = _exists(spark, f"{state}/epoch={epoch - 1}")
+        prior = spark.read.schema(fields).parquet(f"{state}/epoch={epoch - 1}") if there else spark.createDataFrame([], fields)
+        checked, last = check_trigger(batch, prior, key, seq)
+        checked.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        last.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+        fs, old, stale = _exists(spark, f"{state}/epoch={epoch - 2}")
+        if stale:
+            fs.delete(old, True)
+
+    keyed = events.withColumn(key, F.col(key).cast("string"))
+    _run(keyed.writeStream.foreachBatch(step).outputMode("append"), checkpoint)
 
 
 def status_counts(events: DataFrame, key: str) -> DataFrame:
@@ -55,26 +67,17 @@ def status_counts(events: DataFrame, key: str) -> DataFrame:
     )
 
 
-def run_to_files(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Process all available input once into a parquet folder."""
-    query = (
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-
-
 def run_status(events: DataFrame, key: str, out: str, checkpoint: str) -> None:
-    """Append each trigger's updated statuses, tagged with the trigger number; a replayed trigger overwrites its own folder."""
+    """Write each trigger's updated statuses to a folder of its own."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    query = (
-        status_counts(events, key).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .outputMode("update").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    _run(status_counts(events, key).writeStream.foreachBatch(write).outputMode("update"), checkpoint)
+
+
+def _run(writer, checkpoint: str) -> None:
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def latest_status(updates: DataFrame, key: str) -> DataFrame:

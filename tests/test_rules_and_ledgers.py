@@ -181,12 +181,13 @@ def test_stream_reports_late_events_across_triggers(spark, tmp_path):
     def feed(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        ledger_stream.run_to_files(ledger_stream.transition_stream(stream, "attempt", "seq"), out, state)
+        ledger_stream.run_transitions(stream, "attempt", "seq", out, state, str(tmp_path / "checkpoint"))
 
     feed([("a", 2, "FETCHING"), ("a", 1, "INTENT"), ("b", 1, "RESPONSE")])
     feed([("a", 1, "INTENT"), ("a", 3, "TERMINAL")])
+    feed([("b", 2, "TERMINAL")])
     got = sorted(((r.attempt, r.seq, r.problem or "") for r in spark.read.parquet(out).collect()))
-    assert got == [("a", 1, ""), ("a", 1, "LATE"), ("a", 2, ""), ("a", 3, "INVALID_TRANSITION"), ("b", 1, "INVALID_TRANSITION")]
+    assert got == [("a", 1, ""), ("a", 1, "LATE"), ("a", 2, ""), ("a", 3, "INVALID_TRANSITION"), ("b", 1, "INVALID_TRANSITION"), ("b", 2, "")]
 
 
 def test_budget_and_stopping(spark):
