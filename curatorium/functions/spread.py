@@ -46,7 +46,7 @@ def integer_bucket(column: str | Column, width: int = BUCKET_WIDTH) -> Column:
     return F.floor(column / F.lit(width)).cast("bigint")
 
 
-def hash_bucket(column: str | Column, digits: int = 3) -> Column:
+def hash_bucket(column: str | Column, digits: int = 4) -> Column:
     """Leading hex digits of a digest: ordered like the digest and evenly filled."""
     return F.substring(column, 1, digits)
 

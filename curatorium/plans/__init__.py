@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["requests", "scans", "predicates", "checks", "joins", "aggregates", "selection", "sets", "texts", "ledgers", "pixels"]
+MODULES = ["requests", "scans", "predicates", "checks", "joins", "aggregates", "selection", "sets", "texts", "ledgers", "pixels", "flows"]
 
 
 def load_all() -> None:

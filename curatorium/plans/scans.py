@@ -44,27 +44,26 @@ def _(t):
 @query(
     "scan_paged_corpus",
     ["corpus"],
-    """SELECT 'y' || max(year(CAST(release_date AS DATE))) OVER (PARTITION BY source_order) AS cell_id, source_order AS requested_page,
-       id, release_date, votes AS vote_count, rating AS vote_average FROM corpus""",
+    """SELECT cell AS cell_id, source_order AS requested_page, id, release_date, votes AS vote_count, rating AS vote_average FROM corpus
+       UNION ALL SELECT cell, source_order, id + 1000000, release_date, votes + 1, rating FROM corpus""",
 )
 def _(t):
-    result = F.struct(
-        "id",
-        F.lit(None).cast("string").alias("title"),
-        "release_date",
-        F.col("votes").alias("vote_count"),
-        F.col("rating").cast("double").alias("vote_average"),
+    def result(id_, votes):
+        return F.struct(
+            id_.alias("id"),
+            F.lit(None).cast("string").alias("title"),
+            F.col("release_date"),
+            votes.alias("vote_count"),
+            F.col("rating").cast("double").alias("vote_average"),
+        )
+
+    # a page of two results per corpus row
+    results = F.array(result(F.col("id"), F.col("votes")), result(F.col("id") + 1000000, F.col("votes") + 1))
+    page = F.struct(
+        F.col("source_order").cast("int").alias("page"), F.lit(1).alias("total_pages"), F.lit(2).cast("bigint").alias("total_results"), results.alias("results")
     )
-    # one page per order: an order has few lines, so a page stays small
-    pages = t.corpus.groupBy("source_order").agg(F.max("cell").alias("cell_id"), F.collect_list(result).alias("results"))
-    text = pages.select(
-        F.to_json(
-            F.struct(
-                "cell_id",
-                F.col("source_order").cast("int").alias("requested_page"),
-                F.struct(F.col("source_order").cast("int").alias("page"), F.lit(1).alias("total_pages"), F.size("results").cast("bigint").alias("total_results"), "results").alias("response"),
-            )
-        ).alias("text")
+    text = t.corpus.select(
+        F.to_json(F.struct(F.col("cell").alias("cell_id"), F.col("source_order").cast("int").alias("requested_page"), page.alias("response"))).alias("text")
     )
     parsed = text.select(F.from_json("text", CORPUS_PAGE).alias("p")).select("p.*")
     return readers.explode_corpus(parsed).select(
