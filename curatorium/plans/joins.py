@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatorium.functions.columns import joined
+from curatorium.functions.columns import digest, joined, reasons
 from curatorium.operators import joins as J
 from curatorium.operators import predicates as P
 from curatorium.operators import ranking
+from curatorium.operators.aggregates import identity_index
 from curatorium.plans.checks import editorial
 from curatorium.plans.predicates import routing
 from curatorium.plans.registry import query
@@ -93,8 +94,6 @@ SELECT id, promotion_ready, concat_ws('|', CASE WHEN year_conflict THEN 'year-co
   CASE WHEN in_runtime THEN 'already-in-runtime' END, CASE WHEN NOT promotion_ready THEN 'promotion-blocked' END) AS categories FROM w2""",
 )
 def _(t):
-    from curatorium.functions.columns import reasons
-
     facts = t.facts.select("id", c("runtime_minutes").alias("f_minutes"), c("year").alias("f_year"), "poster_path", c("tmdb_id").alias("f_tmdb"))
     runtime = t.exclusions.select(c("id").alias("tmdb_id")).distinct().withColumn("in_runtime", F.lit(True))
     no = lambda x: F.coalesce(x, F.lit(False))
@@ -244,8 +243,6 @@ def _(t):
        CASE WHEN lang <> 'es' THEN 'UNCHANGED' WHEN source = 'src2' THEN 'STALE_CORRECTION' ELSE 'CORRECTED' END AS status FROM review WHERE human_decision IS NOT NULL""",
 )
 def _(t):
-    from curatorium.functions.columns import digest
-
     history = t.review.where(c("human_decision").isNotNull()).withColumn("record_hash", digest("candidate_id", "text"))
     corrections = history.where("lang = 'es'").select(
         "candidate_id", F.lit("REJECT").alias("decision"), F.when(c("source") == "src2", "old").otherwise(c("record_hash")).alias("bound_hash")
@@ -301,8 +298,6 @@ def _(t):
        FROM part LEFT JOIN idx ON idx.canonical_id = 'm' || p_partkey""",
 )
 def _(t):
-    from curatorium.operators.aggregates import identity_index
-
     known = t.exclusions.where(c("canonical_id").isNotNull()).select("canonical_id", "id")
     shifted = t.exclusions.where("provenance = 'supplier'").select("canonical_id", (c("id") + 5).alias("id"))
     wanted = t.raw("part").select(F.concat(F.lit("m"), c("p_partkey").cast("string")).alias("canonical_id"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from curatorium.functions.columns import digest, joined
 from curatorium.functions.spread import integer_bucket, ranked
-from curatorium.operators import joins as J
 from curatorium.operators import ledger as L
 from curatorium.operators import rules
 from curatorium.plans.joins import HASHES
