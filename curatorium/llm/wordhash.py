@@ -96,3 +96,34 @@ def distinct_sorted(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     keep[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
     counts = np.bincount(rows[keep], minlength=len(first) - 1)
     return hashes[keep], np.concatenate(([0], np.cumsum(counts)))
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
+    """Parts of a batch with about ``limit`` bytes of text each, at least one row; bounds the memory of the numpy steps."""
+    sizes = np.diff(utf8_of(batch.column(column))[1])
+    ends = np.cumsum(sizes)
+    at, n = 0, len(sizes)
+    while at < n:
+        base = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def complete_runs(batches, key: str):
+    """Tables of whole runs of equal ``key`` from batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(values, values[-1], side="left"))
+        if cut == 0 and held and held[-1].column(key)[held[-1].num_rows - 1].as_py() != values[-1]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
