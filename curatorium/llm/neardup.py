@@ -241,7 +241,7 @@ def _links(batches):
         out_a, out_b = [], []
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             own = {int(v): k for k, v in enumerate(nodes[lo:hi], lo)}
-            values = {k: sets[k].values.to_numpy() for k in range(lo, hi)}
+            values = {k: sets[k].values.to_numpy().view(np.uint64) for k in range(lo, hi)}
             parent = {k: k for k in range(lo, hi)}
 
             def root(k):

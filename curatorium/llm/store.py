@@ -1,10 +1,13 @@
-"""Tables written once to the shared folder and read again, so that later steps neither repeat nor lose the work."""
+"""Tables written once to the shared folder and read again, so that later steps neither repeat nor lose the work; code for the executors."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from curatorium.session import ensure_checkpoint_dir
 
@@ -18,3 +21,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, as --py-files would; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_curatorium_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    target = os.path.join(tempfile.mkdtemp(prefix="curatorium-"), "curatorium.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(os.path.join(root, "curatorium")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, root))
+    context.addPyFile(target)
+    context._curatorium_shipped = True
