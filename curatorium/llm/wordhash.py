@@ -37,6 +37,15 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
 
 
+def lower_latin(raw: np.ndarray) -> np.ndarray:
+    """Lower case for ASCII and the Latin-1 letters (U+00C0 to U+00DE but U+00D7, bytes C3 80 to C3 9E)."""
+    raw = lower_ascii(raw)
+    upper = np.flatnonzero(raw[:-1] == 0xC3) + 1 if len(raw) else np.zeros(0, np.int64)
+    upper = upper[(raw[upper] >= 0x80) & (raw[upper] <= 0x9E) & (raw[upper] != 0x97)]
+    raw[upper] += np.uint8(32)
+    return raw
+
+
 def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte bounds of all words and, per row, the index of its first word (n + 1 entries)."""
     solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
@@ -127,3 +136,29 @@ def complete_runs(batches, key: str):
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held)
+
+
+_EDGE = np.zeros(256, bool)
+_EDGE[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+
+
+def trimmed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
+    """The words without ASCII punctuation at their edges; words of nothing else go."""
+    n = len(raw)
+    if not len(starts):
+        return starts, ends, first
+    inner = ~_EDGE[raw]
+    at = np.arange(n)
+    after = np.minimum.accumulate(np.where(inner, at, n)[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(inner, at, -1))
+    new_starts, new_ends = after[starts], before[ends - 1] + 1
+    keep = new_starts < ends
+    return new_starts[keep], new_ends[keep], np.concatenate(([0], np.cumsum(keep)))[first]
+
+
+def plain_words(column) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first) of the lower-cased words without punctuation at their edges."""
+    raw, offsets = utf8_of(column)
+    raw = lower_latin(raw)
+    starts, ends, first = trimmed(raw, *word_bounds(raw, offsets))
+    return span_hashes(raw, starts, ends), first
