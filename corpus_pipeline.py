@@ -1,15 +1,17 @@
-"""The corpus pipeline: stages applied in order to ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages applied in order to ``documents``, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of
+their input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatorium.llm import quality
+from curatorium.llm import decontam, neardup, pieces, quality, secrets
 from curatorium.llm.registry import table
-from curatorium.llm.store import settle
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+from curatorium.llm.store import settle, ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +19,45 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality(docs).where(F.col("kept")).select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id; of repeated rows one."""
+    ship(spark)
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    found = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    return found.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no test item."""
+    ship(spark)
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the values of secrets masked; n_chars follows the new text."""
+    ship(spark)
+    masked = secrets.find_secrets(docs, redact=True).withColumnRenamed("redacted", "text")
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        masked = masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return masked.select(*docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang and source with the ids of the text and their number."""
+    ship(spark)
+    coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), pieces.vocabulary())
+    return coded.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_pieces"), "ids")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
+    ("sentencepiece", sentencepiece),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: decontamination aligns passages and encoding runs an automaton; neither can be said in SQL.
+#: Links of near copies, alignments and the automaton can't be said in SQL.
 ORACLE_SQL = None
