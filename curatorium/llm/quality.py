@@ -139,7 +139,10 @@ def quality(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES)
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     df = df.withColumn("broken", broken_rules(rules))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
-    return df.drop(*[c for c in df.columns if c.startswith("__q_")])
+    found = [c for c in df.columns if c not in docs.columns and not c.startswith("__q_")]
+    # a generator keeps a later filter from being pushed down, which would write the nested measures out over and over
+    once = F.explode(F.array(F.struct(*found))).alias("__q")
+    return df.select(*docs.columns, once).select(*docs.columns, "__q.*")
 
 
 OUTPUT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken"]
