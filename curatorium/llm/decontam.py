@@ -13,7 +13,7 @@
 A hot passage makes one join key hot on the side of the places, which adaptive execution splits; every later step works on
 one place at a time.  Defined cases: null and empty texts are clean; items of fewer than three words can't be found; equal
 items are reported each; rows of the same doc_id and text share their verdict, also where doc_id is null; empty tables give
-clean or no rows; other columns pass through.
+clean or no rows; other columns pass through, but for those named like a result, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from curatorium.llm import wordhash as W
 from curatorium.llm.registry import query, table
-from curatorium.llm.store import settle
+from curatorium.llm.store import name, settle
 
 GRAM = 3
 TABLE_BITS = 25
@@ -175,7 +175,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     )
     joined = docs.join(worst, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__key")), "left")
     return joined.select(
-        *[docs[c] for c in docs.columns],
+        *[docs[name(c)] for c in docs.columns if c.lower() not in ("contaminated", "n_items", "best_item", "best_share")],
         F.col("__n").isNotNull().alias("contaminated"),
         F.coalesce("__n", F.lit(0)).cast("bigint").alias("n_items"),
         F.col("__best.item_id").alias("best_item"),

@@ -11,7 +11,7 @@ weights pass the driver.  A document trains only if crc32 of its id modulo 4 is
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; so is every text if nothing is labelled;
 a null lang never trains; equal probabilities go to the first language in order; repeated rows are labelled alike; other
-columns pass through, and none but the text takes part in a prediction.
+columns pass through (one named like a result is replaced), and none but the text takes part in a prediction.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from curatorium.llm import wordhash as W
 from curatorium.llm.registry import query, table
+from curatorium.llm.store import Carried
 
 HIDDEN = 16
 LONGEST = 24
@@ -270,10 +271,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAM
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without its text and with lang_pred and score."""
-    others = [c for c in docs.columns if c != text]
-    names = [f"c{i}" for i in range(len(others))]
-    plain = docs.select(*[F.col(c).alias(n) for c, n in zip(others, names)], F.col(text).alias("body"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    kinds = "".join(f"{n} {t}, " for n, t in plain.select(*names).dtypes)
+    kept = Carried(docs, text, "body", ["lang_pred", "score"])
+    names = kept.names
+    plain = kept.plain.withColumn("letters", F.coalesce(F.col("body").rlike(r"\p{L}"), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -290,8 +290,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     best[some], score[some] = pooled[some].argmax(axis=1), np.minimum(pooled[some].max(axis=1), 1)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(spelled[best], pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    done = plain.mapInArrow(run, f"{kinds}lang_pred string, score double")
-    return done.select(*[F.col(n).alias(c) for c, n in zip(others, names)], "lang_pred", "score")
+    return kept.back(plain.mapInArrow(run, f"{kept.schema}lang_pred string, score double"), "lang_pred", "score")
 
 
 @query("op7_language_id")

@@ -10,7 +10,7 @@
 
 The templates are a bounded parameter that goes along with the code.  Nothing is shuffled.  Defined cases: null, empty and
 license-free texts have an empty list; a license named twice is found twice; repeated rows are scanned alike; templates
-without words are ignored; equal templates give the first one; other columns pass through.
+without words are ignored; equal templates give the first one; other columns pass through (one named like a result is replaced).
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from curatorium.llm import wordhash as W
 from curatorium.llm.registry import query, table
+from curatorium.llm.store import Carried
 
 # Fixed texts: notices of common licenses, as their authors word them.
 TEMPLATES = {
@@ -208,11 +209,8 @@ _ARROW = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("
 
 def find_licenses(docs: DataFrame, text: str = "text", texts: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """``docs`` without its text and with ``licenses``: license, word span, aligned words and template words of every find."""
-    others = [c for c in docs.columns if c != text]
-    names = [f"c{i}" for i in range(len(others))]
-    plain = docs.select(*[F.col(c).alias(n) for c, n in zip(others, names)], F.col(text).alias("body"))
-    kinds = "".join(f"{n} {t}, " for n, t in plain.dtypes[:-1])
-    fields = ["license", "start", "end", "aligned", "words"]
+    kept = Carried(docs, text, "body", ["licenses"])
+    names, fields = kept.names, ["license", "start", "end", "aligned", "words"]
 
     def run(batches):
         templates = Templates(texts)
@@ -232,8 +230,7 @@ def find_licenses(docs: DataFrame, text: str = "text", texts: dict[str, list[str
                         out[row] = [dict(zip(fields, f)) for f in find(own, templates, np.flatnonzero(possible[row]))]
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(out, _ARROW)], [*names, "licenses"])
 
-    done = plain.mapInArrow(run, f"{kinds}licenses {_FIND}")
-    return done.select(*[F.col(n).alias(c) for c, n in zip(others, names)], "licenses")
+    return kept.back(kept.plain.mapInArrow(run, f"{kept.schema}licenses {_FIND}"), "licenses")
 
 
 @query("op10_licenses")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from curatorium.llm import wordhash as W
 from curatorium.llm.registry import query, table
-from curatorium.llm.store import settle
+from curatorium.llm.store import Carried, settle
 from curatorium.llm.urls import host_of
 
 # Fixed lists of element names.
@@ -295,13 +295,12 @@ def _extract(batches):
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``pages`` without their html and with the main text."""
-    others = [c for c in pages.columns if c != html]
-    names = [f"c{i}" for i in range(len(others))]
-    plain = pages.select(*[F.col(c).alias(n) for c, n in zip(others, names)], F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(html).alias("html"))
+    kept = Carried(pages, html, "html", ["text"])
+    site = F.col(kept.names[kept.others.index(url)])
+    plain = kept.plain.withColumn("host", F.coalesce(host_of(site), F.lit("")))
     wrappers = infer_wrappers(plain.select("host", "html"))
-    joined = plain.join(wrappers, "host", "left").select(*names, "html", "wrapper")
-    kinds = "".join(f"{n} {t}, " for n, t in plain.select(*names).dtypes)
-    return joined.mapInArrow(_extract, f"{kinds}text string").select(*[F.col(n).alias(c) for c, n in zip(others, names)], "text")
+    joined = plain.join(wrappers, "host", "left").select(*kept.names, "html", "wrapper")
+    return kept.back(joined.mapInArrow(_extract, f"{kept.schema}text string"), "text")
 
 
 @query("op6_main_text")

@@ -10,7 +10,7 @@ of its runs "blanks, then other characters" one after the other; a worker rememb
 
 Nothing is shuffled or collected.  Defined cases: a null text has null ids, an empty one an empty list; U+2581 inside a text
 comes back as a blank (as in the library), every other text decodes to itself; repeated rows are encoded alike; other
-columns pass through.
+columns pass through (one named like a result is replaced).
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from curatorium.llm import wordhash as W
 from curatorium.llm.registry import query, table
+from curatorium.llm.store import Carried
 
 SPACE = "▁"
 REMEMBERED = 500_000
@@ -175,16 +176,10 @@ def encoder(path: str):
     return encode
 
 
-def _others(df: DataFrame, column: str):
-    others = [c for c in df.columns if c != column]
-    names = [f"c{i}" for i in range(len(others))]
-    plain = df.select(*[F.col(c).alias(n) for c, n in zip(others, names)], F.col(column).alias("body"))
-    return others, names, plain, "".join(f"{n} {t}, " for n, t in plain.dtypes[:-1])
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False) -> DataFrame:
     """``docs`` without its text, with ids (array<int>) and, if ``check``, round_trip (the ids decode to the text)."""
-    others, names, plain, kinds = _others(docs, text)
+    kept = Carried(docs, text, "body", ["ids", *["round_trip"] * check])
+    names = kept.names
 
     def run(batches):
         to_ids, model = encoder(path), pieces(path)
@@ -199,13 +194,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False)
                     out.append(pa.array([None if t is None else model.decode(x.tolist()) == t for t, x in zip(texts, ids)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(out, [*names, "ids", *["round_trip"] * check])
 
-    coded = plain.mapInArrow(run, f"{kinds}ids array<int>" + ", round_trip boolean" * check)
-    return coded.select(*[F.col(n).alias(c) for c, n in zip(others, names)], "ids", *["round_trip"] * check)
+    coded = kept.plain.mapInArrow(run, f"{kept.schema}ids array<int>" + ", round_trip boolean" * check)
+    return kept.back(coded, "ids", *["round_trip"] * check)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``coded`` without its ids, with text; null ids give a null text."""
-    others, names, plain, kinds = _others(coded, ids)
+    kept = Carried(coded, ids, "body", ["text"])
+    names = kept.names
 
     def run(batches):
         model = pieces(path)
@@ -213,7 +209,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             texts = [None if x is None else model.decode(x) for x in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(texts, pa.string())], [*names, "text"])
 
-    return plain.mapInArrow(run, f"{kinds}text string").select(*[F.col(n).alias(c) for c, n in zip(others, names)], "text")
+    return kept.back(kept.plain.mapInArrow(run, f"{kept.schema}text string"), "text")
 
 
 def vocabulary() -> str:

@@ -5,7 +5,8 @@ Nothing is shuffled: every measure is a function of its own row, so a hot source
 pile up anywhere, and lost executors only repeat their splits.
 
 Defined cases: a null text counts as empty; an empty text has no words and fails the base rule; repeated rows
-are judged alike; any further columns pass through (names starting with ``__q_`` are used inside).
+are judged alike; further columns pass through, but for those named like a measure, which are replaced (names starting with
+``__q_`` are used inside).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatorium.llm.registry import query, table
+from curatorium.llm.store import name
 
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -133,16 +135,24 @@ def broken_rules(rules: Sequence[Rule] = RULES) -> Column:
     return F.filter(F.array(*parts), lambda x: x.isNotNull())
 
 
+RESULTS = [
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_milli", "symbol_permille", "stop_permille",
+    "dup_line_permille", "bullet_line_permille", "ellipsis_line_permille", "upper_permille", "base_failed", "broken", "kept",
+]
+
+
 def quality(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """``docs`` with the measures, base_failed, broken (rule names) and kept."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS])
     df = with_measures(docs, text)
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     df = df.withColumn("broken", broken_rules(rules))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
-    found = [c for c in df.columns if c not in docs.columns and not c.startswith("__q_")]
+    found = [F.col(c) for c in RESULTS]
+    others = [F.col(name(c)) for c in docs.columns]
     # a generator keeps a later filter from being pushed down, which would write the nested measures out over and over
     once = F.explode(F.array(F.struct(*found))).alias("__q")
-    return df.select(*docs.columns, once).select(*docs.columns, "__q.*")
+    return df.select(*others, once).select(*others, "__q.*")
 
 
 OUTPUT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken"]

@@ -9,7 +9,7 @@ Base spans cover the whole match (name, sign and value for ``assign``); ``value_
 is what ``redact`` masks.  Positions are code points, ends exclusive.
 
 Cheap substring tests rule out most texts before any pattern runs; every pattern is linear (no nested repeats).  Nothing is
-shuffled.  Defined cases: a null or empty text has no spans; repeated rows are scanned alike; other columns pass through.
+shuffled.  Defined cases: a null or empty text has no spans; repeated rows are scanned alike; other columns pass through (one named like a result is replaced).
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from curatorium.llm import wordhash as W
 from curatorium.llm.registry import query, table
+from curatorium.llm.store import Carried
 
 # Fixed patterns of the base kinds: pattern, group whose length counts, least length.
 BASE = {
@@ -149,11 +150,8 @@ _ARROW = pa.list_(
 
 def find_secrets(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame:
     """``docs`` without its text and with ``spans``; with ``redact`` also ``redacted``, the text with values masked."""
-    others = [c for c in docs.columns if c != text]
-    names = [f"c{i}" for i in range(len(others))]
-    plain = docs.select(*[F.col(c).alias(n) for c, n in zip(others, names)], F.col(text).alias("body"))
-    kinds = "".join(f"{n} {t}, " for n, t in plain.dtypes[:-1])
-    fields = _ARROW.value_type.names if hasattr(_ARROW.value_type, "names") else [f.name for f in _ARROW.value_type]
+    kept = Carried(docs, text, "body", ["spans", *["redacted"] * redact])
+    names, fields = kept.names, [f.name for f in _ARROW.value_type]
 
     def run(batches):
         for batch in batches:
@@ -165,8 +163,8 @@ def find_secrets(docs: DataFrame, text: str = "text", redact: bool = False) -> D
                     out.append(pa.array([mask(t, f) if f else t for t, f in zip(texts, found)], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, [*names, "spans", *["redacted"] * redact])
 
-    done = plain.mapInArrow(run, f"{kinds}spans {_SPAN}" + ", redacted string" * redact)
-    return done.select(*[F.col(n).alias(c) for c, n in zip(others, names)], "spans", *["redacted"] * redact)
+    done = kept.plain.mapInArrow(run, f"{kept.schema}spans {_SPAN}" + ", redacted string" * redact)
+    return kept.back(done, "spans", *["redacted"] * redact)
 
 
 def _joined(spans):

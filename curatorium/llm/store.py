@@ -8,17 +8,18 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from curatorium.session import ensure_checkpoint_dir
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the session's checkpoint folder and return the table that was written.
 
     Parquet in the shared folder outlives the executors that wrote it.  The folder belongs to the
     session: whoever sets spark.checkpoint.dir decides when it is emptied.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -38,3 +39,24 @@ def ship(spark: SparkSession) -> None:
                     archive.write(path, os.path.relpath(path, root))
     context.addPyFile(target)
     context._curatorium_shipped = True
+
+
+def name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+class Carried:
+    """Columns that pass through a Python step next to the one it reads.
+
+    They travel under short names, so no name can clash on the way; a result column replaces an input column of its name.
+    """
+
+    def __init__(self, df: DataFrame, column: str, body: str, results: list[str]):
+        taken = {r.lower() for r in results}
+        self.others = [c for c in df.columns if c != column and c.lower() not in taken]
+        self.names = [f"c{i}" for i in range(len(self.others))]
+        self.plain = df.select(*[F.col(name(c)).alias(n) for c, n in zip(self.others, self.names)], F.col(name(column)).alias(body))
+        self.schema = "".join(f"{n} {t}, " for n, t in self.plain.dtypes[:-1])
+
+    def back(self, df: DataFrame, *results) -> DataFrame:
+        return df.select(*[F.col(n).alias(c) for c, n in zip(self.others, self.names)], *results)

@@ -6,7 +6,7 @@ rank.  The surviving symbols are the tokens.  Counts of frequent pre-tokens are
 
 Nothing is shuffled or collected; a worker holds about a megabyte of text, the merge table and the remembered counts.
 Defined cases: a null or empty text has 0 bytes and 0 tokens; special strings inside a text are one token each, as the
-library does by default; repeated rows are counted alike; other columns pass through.
+library does by default; repeated rows are counted alike; other columns pass through (one named like a result is replaced).
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from curatorium.llm import wordhash as W
 from curatorium.llm.registry import query, table
+from curatorium.llm.store import Carried
 
 LIMIT = 1024
 REMEMBERED = 400_000
@@ -130,10 +131,9 @@ def counter(path: str):
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """``docs`` without its text, with n_bytes, n_tokens and over_limit."""
-    others = [c for c in docs.columns if c != text]
-    names = [f"c{i}" for i in range(len(others))]
-    plain = docs.select(*[F.col(c).alias(n) for c, n in zip(others, names)], F.col(text).alias("body"))
-    kinds = ", ".join(f"{n} {t}" for (n, t) in plain.dtypes[:-1])
+    kept = Carried(docs, text, "body", ["n_bytes", "n_tokens", "over_limit"])
+
+    names = kept.names
 
     def run(batches):
         count = counter(path)
@@ -143,10 +143,8 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = LI
                 tokens = count([t or "" for t in part.column("body").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(sizes), pa.array(tokens, pa.int64())], [*names, "n_bytes", "n_tokens"])
 
-    counted = plain.mapInArrow(run, f"{kinds}{', ' if kinds else ''}n_bytes long, n_tokens long")
-    return counted.select(
-        *[F.col(n).alias(c) for c, n in zip(others, names)], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
+    counted = kept.plain.mapInArrow(run, f"{kept.schema}n_bytes long, n_tokens long")
+    return kept.back(counted, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 @query("op4_token_counts")

@@ -8,7 +8,7 @@ execution splits.  No Python runs on rows.
 
 Defined cases: a null or unparsable URL and a null fetch date match nothing and are kept; entries with a null field are
 ignored; repeated entries count once; an addition and a removal on one day leave the key unlisted; repeated captures
-are judged alike; empty lists keep everything.  Keys are compared in lower case.
+are judged alike; empty lists keep everything; columns named like a result are replaced.  Keys are compared in lower case.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatorium.llm.registry import query, table
+from curatorium.llm.store import name
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
@@ -88,7 +89,7 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     verdict = met.groupBy("__url", "__day").agg(F.count(F.lit(1)).alias("__n"), F.max(rank).alias("__top"))
     joined = captures.join(verdict, (F.col(url) == F.col("__url")) & (F.col(fetched) == F.col("__day")), "left")
     return joined.select(
-        *[captures[c] for c in captures.columns],
+        *[captures[name(c)] for c in captures.columns if c.lower() not in ("n_active", "decided_by", "kept")],
         F.coalesce("__n", F.lit(0)).cast("bigint").alias("n_active"),
         F.concat_ws(":", "__top.kind", "__top.key").alias("decided_by"),
         F.coalesce("__top.allow", F.lit(True)).alias("kept"),
@@ -112,10 +113,10 @@ def entries_of(captures: DataFrame) -> DataFrame:
     parent = F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1)
     n = F.col("n")
 
-    def entry(kind, key, name, day, action, when):
+    def entry(kind, key, list_, day, action, when):
         return F.when(
             when,
-            F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.lit(name).alias("list"), F.date_add(first, day).alias("listed_on"), F.lit(action).alias("action")),
+            F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.lit(list_).alias("list"), F.date_add(first, day).alias("listed_on"), F.lit(action).alias("action")),
         )
 
     host = F.col("host")
