@@ -11,12 +11,21 @@ from pyspark.sql import functions as F
 
 from curatorium.llm import decontam, neardup, pieces, quality, secrets
 from curatorium.llm.registry import table
-from curatorium.llm.store import settle, ship
+from curatorium.llm.store import name, settle, ship
+
+
+def _others(docs: DataFrame):
+    """All columns but the text as one, so that none can clash with what a stage adds."""
+    return F.struct(*[F.col(name(c)) for c in docs.columns if c != "text"]).alias("others")
+
+
+def _columns(docs: DataFrame, **replaced):
+    return [replaced.get(c, F.col("text") if c == "text" else F.col(f"others.{name(c)}")).alias(c) for c in docs.columns]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality.quality(docs).where(F.col("kept")).select(*docs.columns)
+    return quality.quality(docs.select(_others(docs), "text")).where("kept").select(*_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     found = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    return found.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+    return found.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +46,12 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the values of secrets masked; n_chars follows the new text."""
     ship(spark)
-    masked = secrets.find_secrets(docs, redact=True).withColumnRenamed("redacted", "text")
+    masked = secrets.find_secrets(docs.select(_others(docs), "text"), redact=True).withColumnRenamed("redacted", "text")
+    replaced = {}
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        masked = masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+        length = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+        replaced["n_chars"] = F.when(F.size("spans") > 0, length).otherwise(F.col("others.n_chars"))
+    return masked.select(*_columns(docs, **replaced))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +72,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (label, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = settle(docs, name)
+            docs = settle(docs, label)
     return docs
 
 

@@ -53,8 +53,8 @@ class Direction:
         """States after every position of (rows, steps) byte codes; padding keeps the state."""
         size = self.w["u"].shape[0]
         x = self.w["x"] + self.w["b"]
-        h = np.zeros((len(codes), size), np.float32)
-        out = np.empty((*codes.shape, size), np.float32)
+        h = np.zeros((len(codes), size), x.dtype)
+        out = np.empty((*codes.shape, size), x.dtype)
         memory = []
         for t in order:
             a, g = x[codes[:, t]], h @ self.w["u"]
@@ -72,7 +72,7 @@ class Direction:
     def backward(self, codes, memory, d_out):
         size = self.w["u"].shape[0]
         grads = {k: np.zeros_like(v) for k, v in self.w.items()}
-        d_h = np.zeros((len(codes), size), np.float32)
+        d_h = np.zeros((len(codes), size), d_out.dtype)
         for t, h, z, r, n, g, m in reversed(memory):
             d_h = d_h + d_out[:, t]
             d_n = d_h * m * (1 - z) * (1 - n * n)
@@ -290,7 +290,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     best[some], score[some] = pooled[some].argmax(axis=1), np.minimum(pooled[some].max(axis=1), 1)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(spelled[best], pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    return kept.back(plain.mapInArrow(run, f"{kept.schema}lang_pred string, score double"), "lang_pred", "score")
+    return kept.back(plain.mapInArrow(run, kept.schema("lang_pred string, score double")), "lang_pred", "score")
 
 
 @query("op7_language_id")

@@ -230,7 +230,7 @@ def find_licenses(docs: DataFrame, text: str = "text", texts: dict[str, list[str
                         out[row] = [dict(zip(fields, f)) for f in find(own, templates, np.flatnonzero(possible[row]))]
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(out, _ARROW)], [*names, "licenses"])
 
-    return kept.back(kept.plain.mapInArrow(run, f"{kept.schema}licenses {_FIND}"), "licenses")
+    return kept.back(kept.plain.mapInArrow(run, kept.schema(f"licenses {_FIND}")), "licenses")
 
 
 @query("op10_licenses")

@@ -300,7 +300,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     plain = kept.plain.withColumn("host", F.coalesce(host_of(site), F.lit("")))
     wrappers = infer_wrappers(plain.select("host", "html"))
     joined = plain.join(wrappers, "host", "left").select(*kept.names, "html", "wrapper")
-    return kept.back(joined.mapInArrow(_extract, f"{kept.schema}text string"), "text")
+    return kept.back(joined.mapInArrow(_extract, kept.schema("text string")), "text")
 
 
 @query("op6_main_text")

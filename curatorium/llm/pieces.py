@@ -194,7 +194,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False)
                     out.append(pa.array([None if t is None else model.decode(x.tolist()) == t for t, x in zip(texts, ids)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(out, [*names, "ids", *["round_trip"] * check])
 
-    coded = kept.plain.mapInArrow(run, f"{kept.schema}ids array<int>" + ", round_trip boolean" * check)
+    coded = kept.plain.mapInArrow(run, kept.schema("ids array<int>" + ", round_trip boolean" * check))
     return kept.back(coded, "ids", *["round_trip"] * check)
 
 
@@ -209,7 +209,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             texts = [None if x is None else model.decode(x) for x in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(texts, pa.string())], [*names, "text"])
 
-    return kept.back(kept.plain.mapInArrow(run, f"{kept.schema}text string"), "text")
+    return kept.back(kept.plain.mapInArrow(run, kept.schema("text string")), "text")
 
 
 def vocabulary() -> str:

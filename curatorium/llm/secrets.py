@@ -163,7 +163,7 @@ def find_secrets(docs: DataFrame, text: str = "text", redact: bool = False) -> D
                     out.append(pa.array([mask(t, f) if f else t for t, f in zip(texts, found)], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, [*names, "spans", *["redacted"] * redact])
 
-    done = kept.plain.mapInArrow(run, f"{kept.schema}spans {_SPAN}" + ", redacted string" * redact)
+    done = kept.plain.mapInArrow(run, kept.schema(f"spans {_SPAN}" + ", redacted string" * redact))
     return kept.back(done, "spans", *["redacted"] * redact)
 
 

@@ -9,6 +9,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from curatorium.session import ensure_checkpoint_dir
 
@@ -56,7 +57,9 @@ class Carried:
         self.others = [c for c in df.columns if c != column and c.lower() not in taken]
         self.names = [f"c{i}" for i in range(len(self.others))]
         self.plain = df.select(*[F.col(name(c)).alias(n) for c, n in zip(self.others, self.names)], F.col(name(column)).alias(body))
-        self.schema = "".join(f"{n} {t}, " for n, t in self.plain.dtypes[:-1])
+
+    def schema(self, results: str) -> StructType:
+        return StructType([*self.plain.schema.fields[:-1], *StructType.fromDDL(results).fields])
 
     def back(self, df: DataFrame, *results) -> DataFrame:
         return df.select(*[F.col(n).alias(c) for c, n in zip(self.others, self.names)], *results)

@@ -143,7 +143,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = LI
                 tokens = count([t or "" for t in part.column("body").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(sizes), pa.array(tokens, pa.int64())], [*names, "n_bytes", "n_tokens"])
 
-    counted = kept.plain.mapInArrow(run, f"{kept.schema}n_bytes long, n_tokens long")
+    counted = kept.plain.mapInArrow(run, kept.schema("n_bytes long, n_tokens long"))
     return kept.back(counted, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
