@@ -99,8 +99,8 @@ def word_set(text: Column) -> Column:
 
 
 def normalized_title(text: Column) -> Column:
-    """Lower case, runs of other than ASCII letters and digits to one blank, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    """Lower case, ASCII letters and digits only, so that joined, hyphenated and spaced spellings meet."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
 
 
 def slug(text: Column, suffix: Column, limit: int = 40) -> Column:

@@ -17,29 +17,6 @@ from pyspark.sql import functions as F
 BUCKET_WIDTH = 1 << 18
 
 
-def small(df: DataFrame, limit: int = 100_000, required: bool = False) -> DataFrame:
-    """Mark ``df`` for broadcast only when it has at most ``limit`` rows.
-
-    Larger tables come back unmarked for a shuffled join, or are refused where
-    the join has no other way.
-    """
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    if required:
-        raise ValueError(f"more than {limit} rows; this join needs a small table")
-    return df
-
-
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a CPU-heavy input over the cores when its files make too few partitions.
-
-    A large table has more splits than twice the cores and is left as it is, so
-    nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
-
-
 def integer_bucket(column: str | Column, width: int = BUCKET_WIDTH) -> Column:
     """Coarse, order-preserving bucket of a unique integer column."""
     column = F.col(column) if isinstance(column, str) else column

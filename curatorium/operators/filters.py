@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatorium.functions.spread import small
 
 
 def unset(param: Column) -> Column:
@@ -75,10 +74,9 @@ def as_params(requests: DataFrame) -> DataFrame:
 def match_requests(catalogue: DataFrame, requests: DataFrame) -> DataFrame:
     """One row per (request, item) passing mood and practical filters, flagged ``exact``.
 
-    Items are joined on their mood.  A small requests table is broadcast, so the
-    catalogue is not shuffled.
+    Items are joined on their mood; adaptive execution picks the join from the sizes it measures.
     """
-    params = small(as_params(requests).where(~unset(F.col("q_mood"))))
+    params = as_params(requests).where(~unset(F.col("q_mood")))
     q = lambda c: F.col(f"q_{c}")
     return (
         catalogue.withColumn("q_mood", F.explode(F.array_distinct("moods")))

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatorium.functions.columns import jaccard, normalized_title, reasons, same_set
-from curatorium.functions.spread import small
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -111,18 +110,37 @@ def collision_check(batch: DataFrame, mapping: DataFrame, key: str, owner: str)
     return taken.unionByName(twice)
 
 
-def range_join(rows: DataFrame, ranges: DataFrame, value: str, low: str, high: str) -> DataFrame:
-    """Rows with the range holding their value; a range join needs a small table of ranges."""
-    return rows.join(small(ranges, 10_000, required=True), F.col(value).between(F.col(low), F.col(high)), "left")
+def range_join(rows: DataFrame, ranges: DataFrame, value: str, low: str, high: str, unit: str = "MM") -> DataFrame:
+    """Rows with the ranges of dates holding their value, bounds included; null columns where none does.
+
+    Each range is listed once per calendar ``unit`` it touches, so rows meet ranges by an equality join on the unit and
+    are compared exactly afterwards.  Bounds and values are dates or their ISO texts; a range with a null bound is ignored.
+    """
+    start, stop = F.trunc(F.col(low).cast("date"), unit), F.trunc(F.col(high).cast("date"), unit)
+    step = F.expr("interval 1 year" if unit.lower() in ("year", "yyyy", "yy") else "interval 1 month")
+    cut = ranges.where(start <= stop).withColumn("__unit", F.explode(F.sequence(start, stop, step)))
+    placed = rows.withColumn("__of", F.trunc(F.col(value).cast("date"), unit))
+    held = (F.col("__of") == F.col("__unit")) & F.col(value).between(F.col(low), F.col(high))
+    return placed.join(cut, held, "left").drop("__of", "__unit")
+
+
+def complete_join(left: DataFrame, sides: dict[str, DataFrame], key: str) -> DataFrame:
+    """``left`` with the columns of all sides and ``missing``, the names of the sides without the key.
+
+    Sides have one row per key.  Every input is read once; rows without a missing side are the inner join.
+    """
+    flags = {name: f"__has_{i}" for i, name in enumerate(sides)}
+    wide = reduce(lambda a, name: a.join(sides[name].withColumn(flags[name], F.lit(True)), key, "left"), sides, left)
+    absent = F.array_compact(F.array(*[F.when(F.col(flag).isNull(), F.lit(name)) for name, flag in flags.items()]))
+    return wide.withColumn("missing", absent).drop(*flags.values())
 
 
-def complete_join(left: DataFrame, sides: dict[str, DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
-    """Inner join of all sides, and the (key, side) pairs that are missing."""
-    joined = reduce(lambda a, b: a.join(b, key), sides.values(), left)
-    missing = [
-        left.select(key).join(df.select(key), key, "left_anti").withColumn("side", F.lit(name)) for name, df in sides.items()
-    ]
-    return joined, union_all(missing)
+def joined_or_missing(wide: DataFrame, columns: dict[str, Column], complete: str = "joined") -> DataFrame:
+    """One row per complete row with ``columns`` and status ``complete``; else a row per missing side, columns null."""
+    whole = F.size("missing") == 0
+    states = F.when(whole, F.array(F.lit(complete))).otherwise(F.transform("missing", lambda m: F.concat(F.lit("missing "), m)))
+    kept = [F.when(whole, value).alias(name) for name, value in columns.items()]
+    return wide.select("*", F.explode(states).alias("status")).select(*[c for c in wide.columns[:1]], *kept, "status")
 
 
 def overlay_corrections(history: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
@@ -249,7 +267,7 @@ def layered_priority(layers: Sequence[DataFrame], key: str, value: str) -> DataF
 def spec_coverage(misses: DataFrame, mapping: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """A miss is covered only when all vocabulary entries it maps to are defined."""
     known = vocabulary.select("kind", "entry", F.lit(True).alias("__known"))
-    wide = misses.join(small(mapping), "defect", "left").join(small(known), ["kind", "entry"], "left")
+    wide = misses.join(mapping, "defect", "left").join(known, ["kind", "entry"], "left")
     return wide.groupBy("candidate_id", "defect").agg(
         F.coalesce(F.bool_and(F.coalesce("__known", F.lit(False))), F.lit(False)).alias("covered")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatorium.functions.columns import hex_mod, overlap_count, preimage_hash
-from curatorium.functions.spread import earlier_max, hash_bucket, integer_bucket, ranked, small
+from curatorium.functions.spread import earlier_max, hash_bucket, integer_bucket, ranked
 
 
 def rank_pool(pool: DataFrame, by_tier: bool = True) -> DataFrame:
@@ -44,31 +44,45 @@ def similarity_score(seed: str, other: str) -> Column:
     return score + overlap_count(s("situations"), o("situations"))
 
 
-MAX_SEEDS = 64
-
-
 def similar_items(catalogue: DataFrame, seeds: DataFrame, k: int = 3) -> DataFrame:
     """Top ``k`` items per seed by score, then catalogue order.
 
-    Items with the same tag profile tie for every seed, so only the first
-    ``k + 1`` of each profile can reach a top ``k`` (one may be the seed itself).
-    That cut runs before seeds meet items.
+    Seeds meet tag profiles by an equality join on single tags with their weights.  Items of one profile tie for every
+    seed, so the first ``k + 1`` profiles by (score, first item) hold the top ``k``, with one item to spare for the seed
+    itself, and of each its first ``k + 1`` items.  Where fewer than ``k`` items share a tag, the first items of the
+    catalogue fill up with score 0.
     """
-    per_profile = Window.partitionBy(*PROFILE).orderBy("ord")
-    reachable = (
-        catalogue.select("id", "ord", *PROFILE)
-        .withColumn("__r", F.row_number().over(per_profile))
-        .where(F.col("__r") <= k + 1)
-        .drop("__r")
-    )
-    seed = seeds.select(F.col("id").alias("seed_id"), F.struct(*PROFILE).alias("seed"))
-    scored = (
-        reachable.select("id", "ord", F.struct(*PROFILE).alias("item"))
-        .join(small(seed, MAX_SEEDS, required=True), F.col("id") != F.col("seed_id"))
-        .select("seed_id", "id", "ord", similarity_score("seed", "item").alias("score"))
-    )
+    first = Window.partitionBy(*PROFILE).orderBy("ord")
+    items = catalogue.select("id", "ord", *PROFILE).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= k + 1)
+    items = items.withColumn("head", F.first("ord").over(first))
+    of_item = items.where(F.col("__r") == 1).select("head", F.explode(_tags(distinct=True)).alias("t")).select("head", "t.tag")
+    of_seed = seeds.select(F.col("id").alias("seed_id"), F.explode(_tags(distinct=False)).alias("t")).groupBy("seed_id", "t.tag").agg(F.sum("t.weight").alias("weight"))
+    scored = of_seed.join(of_item, "tag").groupBy("seed_id", "head").agg(F.sum("weight").alias("score"))
+    leading = Window.partitionBy("seed_id").orderBy(F.col("score").desc(), "head")
+    scored = scored.withColumn("__p", F.row_number().over(leading)).where(F.col("__p") <= k + 1)
+    found = scored.join(items.select("id", "ord", "head"), "head").where(F.col("id") != F.col("seed_id")).select("seed_id", "id", "ord", "score")
+
+    # score 0: the first items of the catalogue, enough of them to survive those already found
+    spare = 2 * k
+    filler = catalogue.select("id", "ord").orderBy("ord").limit(spare).withColumn("slot", F.row_number().over(Window.orderBy("ord")))
+    lacking = seeds.select(F.col("id").alias("seed_id")).join(found.groupBy("seed_id").agg(F.count(F.lit(1)).alias("n")), "seed_id", "left")
+    lacking = lacking.where(F.coalesce("n", F.lit(0)) < k).withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(spare))))
+    extra = lacking.join(filler, "slot").where(F.col("id") != F.col("seed_id")).select("seed_id", "id", "ord", F.lit(0).cast("bigint").alias("score"))
+    both = found.unionByName(extra).groupBy("seed_id", "id", "ord").agg(F.max("score").alias("score"))
     best = Window.partitionBy("seed_id").orderBy(F.col("score").desc(), "ord")
-    return scored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
+    return both.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
+
+
+def _tags(distinct: bool) -> Column:
+    """(tag, weight) of every value of a profile: 2 for moods and genres, 1 for situations and the ordinals."""
+
+    def listed(column: str, weight: int) -> Column:
+        values = F.array_distinct(F.col(column)) if distinct else F.col(column)
+        return F.transform(values, lambda v: F.struct(F.concat(F.lit(f"{column}="), v).alias("tag"), F.lit(weight).alias("weight")))
+
+    ordinals = ["pace", "emotional_weight", "attention_demand", "discovery_style"]
+    single = F.filter(F.array(*[F.struct(F.concat(F.lit(f"{o}="), F.col(o)).alias("tag"), F.lit(1).alias("weight")) for o in ordinals]), lambda t: t["tag"].isNotNull())
+    return F.concat(listed("moods", 2), listed("genres", 2), listed("situations", 1), single)
 
 
 def quota_by_hash(
@@ -85,7 +99,7 @@ def quota_by_hash(
         candidates.withColumn("selection_hash", hashed)
         .withColumn("selection_rank", F.row_number().over(order))
         .where(F.col("selection_rank") <= largest)
-        .join(small(quotas.select(stratum, "quota")), stratum)
+        .join(quotas.select(stratum, "quota"), stratum)
         .where(F.col("selection_rank") <= F.col("quota"))
     )
     available = candidates.groupBy(stratum).agg(F.count(F.lit(1)).alias("available"))
@@ -121,18 +135,20 @@ def round_robin(
     group_order = Window.partitionBy(*cell).orderBy(
         *([*order, F.col(group).cast("string")] if max_groups else [F.col(group).cast("string")])
     )
-    groups = heads.withColumn("__g", F.row_number().over(group_order) - 1)
+    # limits compare row_number itself: only then does Spark cut every cell per task before the shuffle
+    groups = heads.withColumn("__g", F.row_number().over(group_order))
     if max_groups:
-        groups = groups.where(F.col("__g") < max_groups)
-    groups = groups.select(*cell, group, "__g")
+        groups = groups.where(F.col("__g") <= max_groups)
+    groups = groups.select(*cell, group, (F.col("__g") - 1).alias("__g"))
     count = F.count(F.lit(1)).over(Window.partitionBy(*cell))
     offset = F.lit(0) if seed is None else hex_mod(F.sha2(seed, 256), count)
     groups = groups.withColumn("__slot", F.pmod(F.col("__g") - offset, count)).drop("__g")
     pick = Window.partitionBy(*cell).orderBy("__turn", "__slot")
     return (
         kept.join(groups, [*cell, group])
-        .withColumn("bucket_index", F.row_number().over(pick) - 1)
-        .where(F.col("bucket_index") < max_quota)
+        .withColumn("bucket_index", F.row_number().over(pick))
+        .where(F.col("bucket_index") <= max_quota)
+        .withColumn("bucket_index", F.col("bucket_index") - 1)
         .where(F.col("bucket_index") < quota)
         .drop("__turn", "__slot")
     )

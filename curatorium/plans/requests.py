@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatorium.functions.columns import joined, settle
-from curatorium.functions.spread import small
 from curatorium.operators import filters, ranking, slates
 from curatorium.plans.registry import query
 from curatorium.schemas import SITUATIONS
@@ -74,7 +73,7 @@ def slate(t: Tables) -> DataFrame:
 
 def _with_params(t: Tables) -> DataFrame:
     """Every (request, item) carrying the request's mood, before other filters."""
-    params = small(filters.as_params(t.requests))
+    params = filters.as_params(t.requests)
     return t.catalogue.withColumn("q_mood", F.explode("moods")).join(params, "q_mood")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatorium.functions.columns import joined, preimage_hash, slug
+from curatorium.functions.spread import ranked
 from curatorium.operators import predicates as P
 from curatorium.operators import ranking as R
 from curatorium.operators.joins import range_join, union_all
@@ -143,11 +144,11 @@ def _(t):
     primary = 4
     picked = R.round_robin(celled(t), ["cell3"], "genre", best_first(), None, F.lit(primary + -(-primary // 2)), primary + -(-primary // 2))
     reserve = c("bucket_index") >= primary
-    queue = Window.orderBy(reserve, "cell3", "bucket_index")  # six rows per cell at most
-    return picked.select(
-        c("cell3").alias("cell"), "tmdb_id", F.when(reserve, "reserve").otherwise("primary").alias("tier"),
-        F.row_number().over(queue).cast("bigint").alias("selection_rank"),
-    )
+    queue = ranked(
+        picked.withColumn("reserve", reserve), [], [c("reserve").asc(), c("cell3").asc(), c("bucket_index").asc()],
+        [(c("reserve"), True), (c("cell3"), True)], out="selection_rank",
+    )
+    return queue.select(c("cell3").alias("cell"), "tmdb_id", F.when(c("reserve"), "reserve").otherwise("primary").alias("tier"), "selection_rank")
 
 
 @query("seeded_sample", ["review"], "SELECT candidate_id FROM review ORDER BY sha256('audit-seed|' || candidate_id), candidate_id LIMIT 50")

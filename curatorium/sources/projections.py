@@ -11,7 +11,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatorium.functions.spread import widen
 from curatorium.schemas import MOODS, SITUATIONS
 
 # (dependencies, SQL) per projection name
@@ -211,8 +210,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def texts(self, name: str) -> DataFrame:
-        """A table of long texts, spread over the cores for the regular expressions to come."""
-        return widen(self.raw(name))
+        """A table of long texts, in the splits its files give."""
+        return self.raw(name)
 
     def literal(self, values: str, columns: str) -> DataFrame:
         """A fixed parameter table; known size, so safe to broadcast."""

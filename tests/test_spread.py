@@ -61,11 +61,3 @@ def test_discrete_quantiles(rows):
         data.setdefault(r.g, []).append(r.v)
     want = {g: sorted(v)[-(-len(v) * 9 // 10) - 1] for g, v in data.items()}
     assert {r.g: r.p90 for r in got.collect()} == want
-
-
-def test_small_marks_only_small_tables(spark):
-    plan = lambda df: spark.range(10).join(df, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(spread.small(spark.range(5), 10))
-    assert "broadcast" not in plan(spread.small(spark.range(50), 10))
-    with pytest.raises(ValueError):
-        spread.small(spark.range(50), 10, required=True)
