@@ -32,50 +32,108 @@ def attempt_status(planned: DataFrame, events: DataFrame, key: str) -> DataFrame
     return planned.select(key).distinct().join(flags, key, "left").select(key, status.alias("status"))
 
 
-def seal(records: DataFrame, seq: str, fields: Sequence[str], parts: Sequence[str] = ()) -> DataFrame:
-    """Add each record's content hash and the hash of the record before it."""
-    hashed = records.withColumn("hash", digest(seq, *fields))
-    linked = previous(hashed, parts, seq, integer_bucket(seq), {"prev_hash": "hash"})
-    return linked.withColumn("prev_hash", F.coalesce("prev_hash", F.lit(GENESIS)))
+def record_hash(seq: str, fields: Sequence[str], before: Column) -> Column:
+    """Hash of a record's content together with the hash of the record before it."""
+    return F.sha2(F.concat(before, F.lit(":"), digest(seq, *fields)), 256)
+
+
+def seal(records: DataFrame, seq: str, fields: Sequence[str], parts: Sequence[str]) -> DataFrame:
+    """Add prev_hash and hash to every record of the ledgers ``parts``.
+
+    A hash needs the one before it, so a ledger is sealed in order: its rows stream through one task, which holds one hash.
+    Different ledgers are sealed side by side.  Checking (``chain_validate``) needs no such order.
+    """
+    kinds = ", ".join(f"`{n}` {t}" for n, t in records.dtypes)
+    names = records.columns
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        ledger, last = None, GENESIS
+        for batch in batches:
+            before, own = [], []
+            keys = zip(*[batch.column(p).to_pylist() for p in parts]) if parts else ((),) * batch.num_rows
+            for key, content in zip(keys, batch.column("__content").to_pylist()):
+                if key != ledger:
+                    ledger, last = key, GENESIS
+                before.append(last)
+                last = hashlib.sha256(f"{last}:{content}".encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(before, pa.string()), pa.array(own, pa.string())], [*names, "prev_hash", "hash"])
+
+    rows = records.withColumn("__content", digest(seq, *fields))
+    rows = (rows.repartition(*parts) if parts else rows.coalesce(1)).sortWithinPartitions(*parts, seq)
+    return rows.mapInArrow(run, f"{kinds}, prev_hash string, hash string")
 
 
 def chain_validate(records: DataFrame, seq: str, fields: Sequence[str], parts: Sequence[str] = ()) -> DataFrame:
-    """One row per broken record: sequence gap, broken link or content that no longer matches its hash."""
+    """One row per broken record: sequence gap, broken link, or content and link that don't match the record's hash."""
     before = previous(records, parts, seq, integer_bucket(seq), {"__hash": "hash", "__seq": seq})
     expected = F.coalesce(F.col("__seq") + 1, F.lit(0))
     problem = (
         F.when(F.col(seq) != expected, "SEQUENCE_GAP")
         .when(F.col("prev_hash") != F.coalesce("__hash", F.lit(GENESIS)), "BROKEN_LINK")
-        .when(digest(seq, *fields) != F.col("hash"), "HASH_MISMATCH")
+        .when(record_hash(seq, fields, F.col("prev_hash")) != F.col("hash"), "HASH_MISMATCH")
     )
     return before.select(*parts, seq, problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
-# previous and next lifecycle; '' is the start of an attempt
-ALLOWED = [
-    ("", "INTENT"),
-    ("INTENT", "FETCHING"),
-    ("INTENT", "TERMINAL"),
-    ("FETCHING", "RESPONSE"),
-    ("FETCHING", "FAILED"),
-    ("FAILED", "FETCHING"),
-    ("RESPONSE", "TERMINAL"),
-]
-
-
-def is_allowed(before: Column, state: Column) -> Column:
-    pairs = F.array(*[F.lit(f"{a}>{b}") for a, b in ALLOWED])
-    return F.array_contains(pairs, F.concat(F.coalesce(before, F.lit("")), F.lit(">"), state))
-
-
-def lifecycle_transitions(events: DataFrame, key: str, seq: str, identity: Sequence[str] = ()) -> DataFrame:
-    """Events that do not follow from the one before, or change the identity of their attempt."""
+# Fixed tables: what may follow each state; '' is the start of an attempt.
+WRITE_AHEAD = {"": ["INTENT"], "INTENT": ["RESPONSE", "TERMINAL"], "RESPONSE": ["TERMINAL"]}
+REVIEW = {
+    "": ["PENDING"],
+    "PENDING": ["PACKET_FROZEN"],
+    "PACKET_FROZEN": ["GEMINI_PENDING", "CLAUDE_PENDING", "REVIEW_PAUSED_PENDING_ADVISORY"],
+    "GEMINI_PENDING": ["GEMINI_VALID", "GEMINI_INVALID", "REVIEW_PAUSED_PENDING_ADVISORY"],
+    "GEMINI_INVALID": ["GEMINI_PENDING", "REVIEW_PAUSED_PENDING_ADVISORY"],
+    "GEMINI_VALID": ["CLAUDE_PENDING", "READY_FOR_HUMAN_ADJUDICATION", "REVIEW_PAUSED_PENDING_ADVISORY"],
+    "CLAUDE_PENDING": ["CLAUDE_VALID", "CLAUDE_INVALID", "REVIEW_PAUSED_PENDING_ADVISORY"],
+    "CLAUDE_INVALID": ["CLAUDE_PENDING", "REVIEW_PAUSED_PENDING_ADVISORY"],
+    "CLAUDE_VALID": ["GEMINI_PENDING", "READY_FOR_HUMAN_ADJUDICATION", "REVIEW_PAUSED_PENDING_ADVISORY"],
+    "REVIEW_PAUSED_PENDING_ADVISORY": ["PACKET_FROZEN", "GEMINI_PENDING", "CLAUDE_PENDING", "READY_FOR_HUMAN_ADJUDICATION"],
+    "READY_FOR_HUMAN_ADJUDICATION": ["HUMAN_ADJUDICATION_PENDING", "HUMAN_ADJUDICATED"],
+    "HUMAN_ADJUDICATION_PENDING": ["HUMAN_ADJUDICATED", "READY_FOR_HUMAN_ADJUDICATION"],
+    "HUMAN_ADJUDICATED": ["QA_PENDING", "COMPLETE"],
+    "QA_PENDING": ["COMPLETE"],
+}
+
+
+def is_allowed(before: Column, state: Column, table: dict[str, list[str]] = WRITE_AHEAD, may_repeat: bool = False) -> Column:
+    """Whether ``state`` may follow ``before`` (null: nothing) by a transition table."""
+    pairs = {(a, b) for a, following in table.items() for b in following}
+    if may_repeat:
+        known = {state for a, following in table.items() for state in (a, *following)} - {""}
+        pairs |= {(s, s) for s in known}
+    listed = F.array(*[F.lit(f"{a}>{b}") for a, b in sorted(pairs)])
+    return F.coalesce(F.array_contains(listed, F.concat(F.coalesce(before, F.lit("")), F.lit(">"), state)), F.lit(False))
+
+
+def fits_disposition(before: Column, state: Column, disposition: Column) -> Column:
+    """A terminal record says whether its request ever left: only after INTENT alone it provably did not."""
+    expected = F.when(before == "INTENT", "PROVABLY_NOT_DISPATCHED").otherwise("COMPLETED")
+    return (state != "TERMINAL") | disposition.eqNullSafe(expected)
+
+
+def lifecycle_transitions(
+    events: DataFrame,
+    key: str,
+    seq: str,
+    identity: Sequence[str] = (),
+    table: dict[str, list[str]] = WRITE_AHEAD,
+    may_repeat: bool = False,
+    disposition: str | None = None,
+) -> DataFrame:
+    """Events that change the identity of their attempt, don't follow from the one before, or end with the wrong disposition."""
     carried = {"before": "lifecycle", **{f"__{c}": c for c in identity}}
     rows = previous(events, [key], seq, integer_bucket(seq), carried)
     changed = F.lit(False)
     for c in identity:
         changed = changed | (F.col("before").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"__{c}")))
-    problem = F.when(changed, "IDENTITY_CHANGED").when(~is_allowed(F.col("before"), F.col("lifecycle")), "INVALID_TRANSITION")
+    problem = F.when(changed, "IDENTITY_CHANGED").when(~is_allowed(F.col("before"), F.col("lifecycle"), table, may_repeat), "INVALID_TRANSITION")
+    if disposition:
+        problem = problem.when(~fits_disposition(F.col("before"), F.col("lifecycle"), F.col(disposition)), "DISPOSITION_MISMATCH")
     return rows.select(key, seq, "before", "lifecycle", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 

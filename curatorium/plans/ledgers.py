@@ -54,28 +54,53 @@ def _(t):
 @query(
     "chain_validate",
     ["ledger"],
-    """SELECT seq, 'HASH_MISMATCH' AS problem FROM ledger WHERE cost_cents > 30000 AND lifecycle = 'FAILED' AND NOT (seq > 0 AND seq - 1 IN (SELECT seq FROM ledger WHERE cost_cents > 25000 AND lifecycle = 'INTENT')) AND NOT (cost_cents > 25000 AND lifecycle = 'INTENT')
-       UNION ALL SELECT seq + 1, 'SEQUENCE_GAP' FROM ledger l WHERE cost_cents > 25000 AND lifecycle = 'INTENT' AND seq + 1 IN (SELECT seq FROM ledger WHERE NOT (cost_cents > 25000 AND lifecycle = 'INTENT'))""",
+    """d AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY seq) - 1 AS pos, cost_cents > 25000 AND lifecycle = 'INTENT' AS gone, cost_cents > 30000 AND lifecycle = 'FAILED' AS rewritten, cost_cents > 30000 AND lifecycle = 'FETCHING' AS rehashed FROM ledger),
+       b AS (SELECT *, lag(gone) OVER w AS after_gone, lag(rehashed) OVER w AS after_rehashed FROM d WINDOW w AS (PARTITION BY day ORDER BY pos))
+       SELECT day, pos, CASE WHEN after_gone THEN 'SEQUENCE_GAP' WHEN after_rehashed THEN 'BROKEN_LINK' ELSE 'HASH_MISMATCH' END AS problem FROM b WHERE NOT gone AND (after_gone OR after_rehashed OR rewritten)""",
 )
 def _(t):
-    sealed = L.seal(t.ledger.select("seq", "lifecycle", "payload", "cost_cents"), "seq", ["lifecycle", "payload"])
-    # costly failures were rewritten, costly intents removed
+    # one ledger a day
+    daily = ranked(t.ledger, ["day"], [c("seq").asc()], [(integer_bucket("seq"), True)], out="pos").withColumn("pos", c("pos") - 1)
+    fields = ["lifecycle", "payload"]
+    sealed = L.seal(daily.select("day", "pos", *fields, "cost_cents"), "pos", fields, ["day"])
+    # costly intents were removed, costly failures rewritten, costly fetches rewritten with a new hash
+    costly = lambda state: (c("cost_cents") > 30000) & (c("lifecycle") == state)
     stored = sealed.where("NOT (cost_cents > 25000 AND lifecycle = 'INTENT')").withColumn(
-        "payload", F.when((c("cost_cents") > 30000) & (c("lifecycle") == "FAILED"), "{}").otherwise(c("payload"))
+        "payload", F.when(costly("FAILED") | costly("FETCHING"), "{}").otherwise(c("payload"))
     )
-    return L.chain_validate(stored, "seq", ["lifecycle", "payload"])
+    stored = stored.withColumn("hash", F.when(costly("FETCHING"), L.record_hash("pos", fields, c("prev_hash"))).otherwise(c("hash")))
+    return L.chain_validate(stored, "pos", fields, ["day"])
 
 
 CTES["transitions"] = (
     ("attempts",),
-    """SELECT attempt, seq, before, lifecycle, 'INVALID_TRANSITION' AS problem FROM (SELECT *, lag(lifecycle) OVER (PARTITION BY attempt ORDER BY seq) AS before FROM attempts)
-       WHERE coalesce(before, '') || '>' || lifecycle NOT IN ('>INTENT','INTENT>FETCHING','INTENT>TERMINAL','FETCHING>RESPONSE','FETCHING>FAILED','FAILED>FETCHING','RESPONSE>TERMINAL')""",
+    """SELECT attempt, seq, before, lifecycle, CASE WHEN allowed THEN 'DISPOSITION_MISMATCH' ELSE 'INVALID_TRANSITION' END AS problem
+       FROM (SELECT *, coalesce(before, '') || '>' || lifecycle IN ('>INTENT','INTENT>RESPONSE','INTENT>TERMINAL','RESPONSE>TERMINAL') AS allowed FROM (SELECT *, lag(lifecycle) OVER (PARTITION BY attempt ORDER BY seq) AS before FROM attempts))
+       WHERE NOT allowed OR (lifecycle = 'TERMINAL' AND disposition IS DISTINCT FROM CASE WHEN before = 'INTENT' THEN 'PROVABLY_NOT_DISPATCHED' ELSE 'COMPLETED' END)""",
 )
 
 
 @query("lifecycle_transitions", ["transitions"], "SELECT * FROM transitions")
 def _(t):
-    return L.lifecycle_transitions(attempts(t), "attempt", "seq", ["owner"])
+    return L.lifecycle_transitions(attempts(t), "attempt", "seq", ["owner"], disposition="disposition")
+
+
+_REVIEW_STATES = [s for s in L.REVIEW if s] + ["COMPLETE"]
+_REVIEW_PAIRS = ", ".join(f"'{a}>{b}'" for a, following in L.REVIEW.items() for b in following)
+
+
+@query(
+    "review_transitions",
+    ["ledger"],
+    f"""e AS (SELECT attempt_id, seq, ({_REVIEW_STATES!r})[1 + cost_cents % {len(_REVIEW_STATES)}] AS lifecycle FROM ledger),
+       p AS (SELECT *, lag(lifecycle) OVER (PARTITION BY attempt_id ORDER BY seq) AS before FROM e)
+       SELECT attempt_id, seq, before, lifecycle, 'INVALID_TRANSITION' AS problem FROM p WHERE before IS DISTINCT FROM lifecycle AND coalesce(before, '') || '>' || lifecycle NOT IN ({_REVIEW_PAIRS})""",
+)
+def _(t):
+    # review states drawn from the cost of each event
+    state = F.element_at(F.array(*[F.lit(s) for s in _REVIEW_STATES]), (c("cost_cents") % len(_REVIEW_STATES)).cast("int") + 1)
+    events = t.ledger.select("attempt_id", "seq", state.alias("lifecycle"))
+    return L.lifecycle_transitions(events, "attempt_id", "seq", table=L.REVIEW, may_repeat=True)
 
 
 @query("lifecycle_transitions_stream", ["transitions"], "SELECT attempt, seq, before, lifecycle, problem FROM transitions")

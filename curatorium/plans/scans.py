@@ -88,19 +88,23 @@ def _(t):
 
 def _ledger_lines(t):
     line = F.to_json(F.struct(F.col("seq"), F.col("attempt_id"), F.col("lifecycle")))
-    # costly records lost their tail
-    text = F.when(F.col("cost_cents") > 20000, F.substring(line, 1, 20)).otherwise(line)
+    # costly records lost their tail, the costliest closed too early
+    text = F.when(F.col("cost_cents") > 25000, F.lit('{"seq":}')).when(F.col("cost_cents") > 20000, F.substring(line, 1, 20)).otherwise(line)
     return t.ledger.select("attempt_id", "seq", text.alias("line"))
 
 
 @query(
     "scan_event_ledger",
     ["ledger"],
-    """SELECT attempt_id, lines, bad, CASE WHEN bad = 0 THEN 'VALID' WHEN bad = 1 AND last_bad THEN 'TORN_TRAILING_RECORD' ELSE 'WAL_CORRUPTION' END AS status
-       FROM (SELECT attempt_id, count(*) AS lines, count(*) FILTER (WHERE cost_cents > 20000) AS bad, arg_max(cost_cents > 20000, seq) AS last_bad FROM ledger GROUP BY attempt_id)""",
+    """w AS (SELECT attempt_id FROM ledger UNION SELECT -1 - c_custkey FROM customer WHERE c_nationkey = 3),
+       s AS (SELECT attempt_id, count(*) AS lines, count(*) FILTER (WHERE cost_cents > 20000) AS bad, arg_max(cost_cents > 20000 AND cost_cents <= 25000, seq) AS torn FROM ledger GROUP BY attempt_id)
+       SELECT w.attempt_id, coalesce(lines, 0) AS lines, coalesce(bad, 0) AS bad, CASE WHEN lines IS NULL THEN 'EMPTY' WHEN bad = 0 THEN 'VALID' WHEN bad = 1 AND torn THEN 'TORN_TRAILING_RECORD' ELSE 'WAL_CORRUPTION' END AS status
+       FROM w LEFT JOIN s USING (attempt_id)""",
 )
 def _(t):
-    return readers.ledger_status(_ledger_lines(t), "attempt_id", "seq", F.try_parse_json("line"))
+    # some ledgers were opened but never written
+    opened = t.ledger.select("attempt_id").unionByName(t.raw("customer").where("c_nationkey = 3").select((-1 - F.col("c_custkey")).alias("attempt_id")))
+    return readers.ledger_status(_ledger_lines(t), "attempt_id", "seq", "line", F.try_parse_json("line"), opened)
 
 
 @query("scan_identity_only", ["review"], "SELECT candidate_id AS \"candidateId\", tmdb_id AS \"tmdbId\" FROM review")

@@ -366,10 +366,9 @@ def _(t):
     return t.facts.select("tmdb_id", "votes", "rating").orderBy(*best_first())
 
 
-DIGEST_SQL = """rows_ AS (SELECT g, sha256(j) AS p FROM src), leaf AS (SELECT g, p, count(*) AS n FROM rows_ GROUP BY ALL),
- l6 AS (SELECT g, substr(p, 1, 6) AS p, sha256(string_agg(p || ':' || n, '' ORDER BY p)) AS h, sum(n) AS n FROM leaf GROUP BY g, substr(leaf.p, 1, 6)),
- l3 AS (SELECT g, substr(p, 1, 3) AS p, sha256(string_agg(h, '' ORDER BY p)) AS h, sum(n) AS n FROM l6 GROUP BY g, substr(l6.p, 1, 3))
- SELECT g AS {name}, sha256(string_agg(h, '' ORDER BY p)) AS digest, sum(n)::BIGINT AS rows FROM l3 GROUP BY g"""
+DIGEST_SQL = """p AS (SELECT g, sha256(j) AS d FROM src),
+ n AS (SELECT g, CAST('0x' || substr(d, 1, 15) AS BIGINT) AS a, CAST('0x' || substr(d, 16, 15) AS BIGINT) AS b, CAST('0x' || substr(d, 31, 15) AS BIGINT) AS c, CAST('0x' || substr(d, 46, 15) AS BIGINT) AS e FROM p)
+ SELECT g AS {name}, sha256(concat_ws(':', CAST(sum(a) AS VARCHAR), CAST(sum(b) AS VARCHAR), CAST(sum(c) AS VARCHAR), CAST(sum(e) AS VARCHAR), CAST(count(*) AS VARCHAR))) AS digest, count(*) AS rows FROM n GROUP BY g"""
 
 
 @query(

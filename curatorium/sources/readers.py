@@ -50,18 +50,40 @@ def read_artifact_directory(spark: SparkSession, path: str, schema: T.StructType
     return with_file_identity(frame, pattern, "candidate_id")
 
 
-def ledger_status(lines: DataFrame, ledger: str, position: str, parsed: Column) -> DataFrame:
-    """Per ledger: VALID, EMPTY, TORN_TRAILING_RECORD (only the last line bad) or WAL_CORRUPTION."""
+def is_incomplete(line: Column) -> Column:
+    """Whether a JSON line stops inside a string or before its brackets close; a complete but wrong line does not."""
+    bare = F.regexp_replace(F.regexp_replace(line, r"\\.", ""), r'"[^"]*"', "")
+    outside = F.regexp_replace(bare, r'"[\s\S]*$', "")
+    depth = F.length(F.regexp_replace(outside, r"[^\[{]", "")) - F.length(F.regexp_replace(outside, r"[^\]}]", ""))
+    return bare.contains('"') | (depth > 0)
+
+
+def ledger_status(
+    lines: DataFrame, ledger: str, position: str, line: str, parsed: Column, ledgers: DataFrame | None = None, broken: DataFrame | None = None
+) -> DataFrame:
+    """Per ledger: VALID, EMPTY, TORN_TRAILING_RECORD or WAL_CORRUPTION.
+
+    Torn means that only the last line is bad and that it is incomplete.  ``ledgers`` lists all ledgers, so that those
+    without a line are EMPTY; ``broken`` lists those whose readable records fail the chain or the transitions.
+    """
     marked = lines.withColumn("__bad", parsed.isNull())
+    cut = F.col("__bad") & is_incomplete(F.col(line))
     summary = marked.groupBy(ledger).agg(
         F.count(position).alias("lines"),
         F.count_if("__bad").alias("bad"),
-        F.max_by("__bad", position).alias("last_bad"),
+        F.max_by(cut, position).alias("torn"),
     )
+    if ledgers is not None:
+        summary = ledgers.select(ledger).distinct().join(summary, ledger, "left").na.fill(0, ["lines", "bad"])
+    wrong = F.lit(False)
+    if broken is not None:
+        summary = summary.join(broken.select(ledger).distinct().withColumn("__broken", F.lit(True)), ledger, "left")
+        wrong = F.coalesce("__broken", F.lit(False))
     status = (
         F.when(F.col("lines") == 0, "EMPTY")
+        .when(wrong, "WAL_CORRUPTION")
         .when(F.col("bad") == 0, "VALID")
-        .when((F.col("bad") == 1) & F.col("last_bad"), "TORN_TRAILING_RECORD")
+        .when((F.col("bad") == 1) & F.col("torn"), "TORN_TRAILING_RECORD")
         .otherwise("WAL_CORRUPTION")
     )
     return summary.select(ledger, "lines", "bad", status.alias("status"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curatorium.operators.sets import table_digest
 
-POINTER = "current"
+PREFIX = "version="
 
 
 def _fs(spark: SparkSession, path: str):
@@ -18,12 +18,17 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), jvm
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """Name of the published version folder, or None."""
+def _versions(spark: SparkSession, root: str) -> list[int]:
     fs, jvm = _fs(spark, root)
-    if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}")):
-        return None
-    return spark.read.text(f"{root}/{POINTER}").first()[0]
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n[len(PREFIX) :]) for n in names if n.startswith(PREFIX) and n[len(PREFIX) :].isdigit())
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """Name of the published version folder, the one with the highest number, or None."""
+    versions = _versions(spark, root)
+    return f"{PREFIX}{versions[-1]}" if versions else None
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
@@ -34,18 +39,22 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
 
 
 def overwrite_snapshot(df: DataFrame, root: str) -> str:
-    """Write a whole new version, then move the pointer; a failed write leaves the old one published."""
+    """Write a whole new version beside the others, then publish it by one rename to the next number.
+
+    A crash before the rename leaves the old version published; there is no state in between.  One writer per root: with two,
+    the slower one finds its number taken and fails.
+    """
     spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(f"{root}/{version}")
+    staged = f"{root}/_staged-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(staged)
     fs, jvm = _fs(spark, root)
-    pointer, staged = (jvm.org.apache.hadoop.fs.Path(f"{root}/{n}") for n in (POINTER, f"{POINTER}-{version}"))
-    out = fs.create(staged, True)
-    out.write(bytearray(version, "utf-8"))
-    out.close()
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(staged, pointer)
+    versions = _versions(spark, root)
+    version = f"{PREFIX}{versions[-1] + 1 if versions else 0}"
+    target = jvm.org.apache.hadoop.fs.Path(f"{root}/{version}")
+    if fs.exists(target) or not fs.rename(jvm.org.apache.hadoop.fs.Path(staged), target):
+        raise RuntimeError(f"{root}/{version} could not be published")
+    for old in versions[:-1]:  # the one before stays for its readers
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{PREFIX}{old}"), True)
     return version
 
 
@@ -61,7 +70,7 @@ def write_if_changed(df: DataFrame, root: str) -> bool:
 
 
 def append_ledger(rows: DataFrame, path: str, seq: str = "seq") -> None:
-    """Append rows whose sequence numbers follow the stored ones; anything else is refused."""
+    """Append rows whose sequence numbers follow the stored ones; anything else is refused.  One writer per ledger."""
     spark = rows.sparkSession
     fs, jvm = _fs(spark, path)
     last = -1

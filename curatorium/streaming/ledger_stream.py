@@ -14,22 +14,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatorium.functions.spread import integer_bucket, previous
-from curatorium.operators.ledger import is_allowed
+from curatorium.operators.ledger import fits_disposition, is_allowed
 
 
 def check_trigger(batch: DataFrame, prior: DataFrame, key: str, seq: str) -> tuple[DataFrame, DataFrame]:
-    """(checked events, last event per attempt) of one trigger.  Sequence numbers are unique per attempt."""
-    events = batch.select(key, seq, "lifecycle")
+    """(checked events, last event per attempt) of one trigger.  Sequence numbers are unique per attempt.
+
+    Only the attempts of the batch meet its events; the others are handed on as they are.
+    """
+    events = batch.select(key, seq, "lifecycle", "disposition")
+    keys = events.select(key).distinct()
+    untouched = prior.select(key, seq, "lifecycle").join(keys, key, "left_anti")
+    prior = prior.join(keys, key, "left_semi")
     known = events.join(prior.select(key, F.col(seq).alias("__last"), F.col("lifecycle").alias("__state")), key, "left")
     is_late = F.coalesce(F.col(seq) <= F.col("__last"), F.lit(False))
     late = known.where(is_late).select(key, seq, F.col("__state").alias("before"), "lifecycle", F.lit("LATE").alias("problem"))
-    fresh = known.where(~is_late).select(key, seq, "lifecycle")
-    chain = fresh.withColumn("__carried", F.lit(False)).unionByName(prior.select(key, seq, "lifecycle", F.lit(True).alias("__carried")))
+    fresh = known.where(~is_late).select(key, seq, "lifecycle", "disposition")
+    carried = prior.select(key, seq, "lifecycle", F.lit(None).cast("string").alias("disposition"), F.lit(True).alias("__carried"))
+    chain = fresh.withColumn("__carried", F.lit(False)).unionByName(carried)
     linked = previous(chain, [key], seq, integer_bucket(seq), {"before": "lifecycle"}).where(~F.col("__carried"))
-    problem = F.when(~is_allowed(F.col("before"), F.col("lifecycle")), "INVALID_TRANSITION")
+    problem = F.when(~is_allowed(F.col("before"), F.col("lifecycle")), "INVALID_TRANSITION").when(
+        ~fits_disposition(F.col("before"), F.col("lifecycle"), F.col("disposition")), "DISPOSITION_MISMATCH"
+    )
     checked = linked.select(key, seq, "before", "lifecycle", problem.alias("problem")).unionByName(late)
-    last = fresh.unionByName(prior.select(key, seq, "lifecycle")).groupBy(key).agg(F.max_by(F.struct(seq, "lifecycle"), seq).alias("s"))
-    return checked, last.select(key, "s.*")
+    last = fresh.select(key, seq, "lifecycle").unionByName(prior.select(key, seq, "lifecycle")).groupBy(key).agg(F.max_by(F.struct(seq, "lifecycle"), seq).alias("s"))
+    return checked, last.select(key, "s.*").unionByName(untouched)
 
 
 def _exists(spark, path: str):
@@ -45,7 +54,9 @@ def run_transitions(events: DataFrame, key: str, seq: str, out: str, state: str,
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         _, _, there = _exists(spark, f"{state}/epoch={epoch - 1}")
-        prior = spark.read.schema(fields).parquet(f"{state}/epoch={epoch - 1}") if there else spark.createDataFrame([], fields)
+        if epoch and not there:
+            raise FileNotFoundError(f"the state of trigger {epoch - 1} is gone from {state}; an empty one would pass wrong events")
+        prior = spark.read.schema(fields).parquet(f"{state}/epoch={epoch - 1}") if epoch else spark.createDataFrame([], fields)
         checked, last = check_trigger(batch, prior, key, seq)
         checked.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         last.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")

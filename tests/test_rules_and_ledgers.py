@@ -129,8 +129,13 @@ def test_snapshot_and_conditional_write(spark, tmp_path):
     with pytest.raises(Exception):
         sinks.overwrite_snapshot(spark.range(3).select(F.raise_error(F.lit("boom")).cast("int").alias("id")), root)
     assert sinks.read_snapshot(spark, root).count() == 3
-    sinks.overwrite_snapshot(spark.range(5), root)
+    assert sinks.overwrite_snapshot(spark.range(5), root) == "version=1"
     assert sinks.read_snapshot(spark, root).count() == 5
+    # a crash between writing and publishing leaves a staged folder, which nobody reads
+    spark.range(9).write.parquet(f"{root}/_staged-crashed")
+    assert sinks.read_snapshot(spark, root).count() == 5
+    sinks.overwrite_snapshot(spark.range(6), root)
+    assert sinks.current_version(spark, root) == "version=2" and not (tmp_path / "snap" / "version=0").exists()
 
 
 def test_append_refuses_old_sequence(spark, tmp_path):
@@ -144,9 +149,13 @@ def test_append_refuses_old_sequence(spark, tmp_path):
 
 def test_ledger_status(spark):
     lines = [("ok", 1, "{}"), ("ok", 2, "{}"), ("torn", 1, "{}"), ("torn", 2, '{"a'), ("bad", 1, "{x"), ("bad", 2, "{}")]
+    lines += [("wrong", 1, "{}"), ("wrong", 2, '{"a":}'), ("deep", 1, '{"a": [1, "]}"'), ("quoted", 1, '{"a": "x\\"}'), ("forged", 1, "{}"), ("forged", 2, "{")]
     df = spark.createDataFrame(lines, "ledger string, n int, line string")
-    got = {r.ledger: r.status for r in readers.ledger_status(df, "ledger", "n", F.try_parse_json("line")).collect()}
-    assert got == {"ok": "VALID", "torn": "TORN_TRAILING_RECORD", "bad": "WAL_CORRUPTION"}
+    names = spark.createDataFrame([(n,) for n in ("ok", "torn", "bad", "wrong", "deep", "quoted", "forged", "new")], "ledger string")
+    broken = spark.createDataFrame([("forged",)], "ledger string")
+    got = {r.ledger: r.status for r in readers.ledger_status(df, "ledger", "n", "line", F.try_parse_json("line"), names, broken).collect()}
+    torn = "TORN_TRAILING_RECORD"
+    assert got == {"ok": "VALID", "torn": torn, "bad": "WAL_CORRUPTION", "wrong": "WAL_CORRUPTION", "deep": torn, "quoted": torn, "forged": "WAL_CORRUPTION", "new": "EMPTY"}
 
 
 def test_readers_from_files(spark, tmp_path):
@@ -166,28 +175,57 @@ def test_readers_from_files(spark, tmp_path):
 
 def test_chain_detects_each_defect(spark):
     rows = spark.createDataFrame([(i, "x", f"p{i}") for i in range(6)], "seq bigint, lifecycle string, payload string")
-    sealed = L.seal(rows, "seq", ["lifecycle", "payload"])
+    sealed = L.seal(rows, "seq", ["lifecycle", "payload"], [])
     check = lambda df: {(r.seq, r.problem) for r in L.chain_validate(df, "seq", ["lifecycle", "payload"]).collect()}
     assert check(sealed) == set()
     assert check(sealed.withColumn("payload", F.when(F.col("seq") == 2, "forged").otherwise(F.col("payload")))) == {(2, "HASH_MISMATCH")}
     assert check(sealed.where("seq <> 3")) == {(4, "SEQUENCE_GAP")}
     assert check(sealed.withColumn("hash", F.when(F.col("seq") == 2, "0").otherwise(F.col("hash")))) == {(2, "HASH_MISMATCH"), (3, "BROKEN_LINK")}
+    # a rewritten record with a fresh hash, and its successor linked to it: the successor's own hash tells
+    forged = sealed.withColumn("payload", F.when(F.col("seq") == 2, "forged").otherwise(F.col("payload")))
+    own = L.record_hash("seq", ["lifecycle", "payload"], F.col("prev_hash"))
+    forged = forged.withColumn("hash", F.when(F.col("seq") == 2, own).otherwise(F.col("hash")))
+    fresh = forged.where("seq = 2").first()["hash"]
+    forged = forged.withColumn("prev_hash", F.when(F.col("seq") == 3, F.lit(fresh)).otherwise(F.col("prev_hash")))
+    assert check(forged) == {(3, "HASH_MISMATCH")}
+
+
+def test_transition_tables(spark):
+    def problems(states, **options):
+        rows = [("a", i, s, d) for i, (s, d) in enumerate(states)]
+        found = L.lifecycle_transitions(spark.createDataFrame(rows, "a string, seq bigint, lifecycle string, disposition string"), "a", "seq", **options)
+        return [(r.seq, r.problem) for r in found.orderBy("seq").collect()]
+
+    wal = {"disposition": "disposition"}
+    assert problems([("INTENT", None), ("RESPONSE", None), ("TERMINAL", "COMPLETED")], **wal) == []
+    assert problems([("INTENT", None), ("TERMINAL", "PROVABLY_NOT_DISPATCHED")], **wal) == []
+    assert problems([("INTENT", None), ("TERMINAL", "COMPLETED")], **wal) == [(1, "DISPOSITION_MISMATCH")]
+    assert problems([("INTENT", None), ("RESPONSE", None), ("TERMINAL", None)], **wal) == [(2, "DISPOSITION_MISMATCH")]
+    assert problems([("RESPONSE", None)], **wal) == [(0, "INVALID_TRANSITION")]
+    assert problems([("INTENT", None), ("INTENT", None), ("FETCHING", None)], **wal) == [(1, "INVALID_TRANSITION"), (2, "INVALID_TRANSITION")]
+    review = {"table": L.REVIEW, "may_repeat": True}
+    steps = ["PENDING", "PACKET_FROZEN", "PACKET_FROZEN", "GEMINI_PENDING", "GEMINI_VALID", "READY_FOR_HUMAN_ADJUDICATION", "HUMAN_ADJUDICATED", "COMPLETE", "COMPLETE"]
+    assert problems([(s, None) for s in steps], **review) == []
+    assert problems([("PENDING", None), ("COMPLETE", None), ("PENDING", None)], **review) == [(1, "INVALID_TRANSITION"), (2, "INVALID_TRANSITION")]
 
 
 def test_stream_reports_late_events_across_triggers(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    schema = "attempt string, seq bigint, lifecycle string"
+    schema = "attempt string, seq bigint, lifecycle string, disposition string"
 
     def feed(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         ledger_stream.run_transitions(stream, "attempt", "seq", out, state, str(tmp_path / "checkpoint"))
 
-    feed([("a", 2, "FETCHING"), ("a", 1, "INTENT"), ("b", 1, "RESPONSE")])
-    feed([("a", 1, "INTENT"), ("a", 3, "TERMINAL")])
-    feed([("b", 2, "TERMINAL")])
+    feed([("a", 2, "FETCHING", None), ("a", 1, "INTENT", None), ("b", 1, "RESPONSE", None)])
+    feed([("a", 1, "INTENT", None), ("a", 3, "TERMINAL", None)])
+    feed([("b", 2, "TERMINAL", "COMPLETED")])
     got = sorted(((r.attempt, r.seq, r.problem or "") for r in spark.read.parquet(out).collect()))
-    assert got == [("a", 1, ""), ("a", 1, "LATE"), ("a", 2, ""), ("a", 3, "INVALID_TRANSITION"), ("b", 1, "INVALID_TRANSITION"), ("b", 2, "")]
+    assert got == [("a", 1, ""), ("a", 1, "LATE"), ("a", 2, "INVALID_TRANSITION"), ("a", 3, "INVALID_TRANSITION"), ("b", 1, "INVALID_TRANSITION"), ("b", 2, "")]
+    (tmp_path / "state").rename(tmp_path / "lost")
+    with pytest.raises(Exception, match="state of trigger"):
+        feed([("b", 3, "TERMINAL", None)])
 
 
 def test_budget_and_stopping(spark):
