@@ -70,8 +70,9 @@ def digest(*columns: str) -> Column:
 
 
 def preimage_hash(separator: str, *parts: Column | str) -> Column:
-    """sha256 hex of the parts joined by a separator; plain strings are literals."""
-    return F.sha2(F.concat_ws(separator, *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), 256)
+    """sha256 hex of the parts joined by a separator; plain strings are literals, a null is U+0000."""
+    texts = [F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("\0")) for p in parts]
+    return F.sha2(F.concat_ws(separator, *texts), 256)
 
 
 def hex_mod(hexdigest: Column, modulus: Column) -> Column:

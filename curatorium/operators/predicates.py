@@ -41,9 +41,10 @@ def vote_coverage_band(votes: Column) -> Column:
 
 
 def discovery_eligible(decades: Sequence[str], minimum_votes: int = 200) -> Column:
-    """Poster and usable overview present, not adult, a wanted decade, enough votes."""
+    """Poster and usable overview present, neither adult nor softcore, a wanted decade, enough votes."""
     return F.coalesce(
         ~F.coalesce(F.col("adult"), F.lit(False))
+        & ~F.coalesce(F.col("softcore"), F.lit(False))
         & (F.coalesce(F.col("poster_path"), F.lit("")) != "")
         & (F.length(F.trim("overview")) >= 30)
         & decade(F.col("year")).isin(*decades)

@@ -205,6 +205,7 @@ def descriptive_excerpt(paragraphs: Column, minimum: int = 24, limit: int = 1000
     return F.nullif(F.substring(collapse_space(F.array_join(F.slice(clean, 1, 2), " ")), 1, limit), F.lit(""))
 
 
+# Fixed lists and patterns of section headings.
 ELIGIBLE_HEADINGS = ["critical response", "reception", "critical reception", "release and reception"]
 RECEPTION_LIKE = r"reception|critical(?:\s+response|\s+reception|\s+reviews?)?|reviews?|critics?"
 OTHER_USES = [
@@ -260,20 +261,39 @@ RISK_FAMILIES = {
     "controversy": "controversy|controversial|censor|censorship|protest|political reaction|public reaction|backlash|banned",
 }
 HIGH_FROM = {"experiential": 3, "spoiler": 2, "prestige": 3, "commercial": 3, "controversy": 2}
+# Fixed: characters of the budget, and commercial mentions in the unfiltered lead from which they dominate.
+BUDGET = 1000
+LEAD_MODERATE, LEAD_HIGH = 2, 5
 
 
-def content_risk(rows: DataFrame, html: str) -> DataFrame:
-    """Risk level per word family over the kept excerpt, and whether the page is usable as evidence."""
+def content_risk(rows: DataFrame, html: str, heading: str) -> DataFrame:
+    """Risk level per word family over the kept excerpt, and whether the section is usable as evidence.
+
+    A section under another heading than the eligible ones keeps no excerpt.  ``lead_commercial`` looks at the first
+    characters before any sentence is dropped, ``clipped`` says that the budget ends before the useful prose, and
+    ``heterogeneous`` that release and reception share a section.
+    """
     read = settle(rows, paragraphs=html_paragraphs(F.col(html)))
-    read = settle(read, excerpt=F.coalesce(descriptive_excerpt(F.col("paragraphs")), F.lit("")), full_text=F.array_join("paragraphs", " "))
+    kept = F.when(eligible_heading(F.col(heading)), descriptive_excerpt(F.col("paragraphs")))
+    read = settle(read, excerpt=F.coalesce(kept, F.lit("")), full_text=F.array_join("paragraphs", " "))
+    read = settle(read, lead=F.substring("full_text", 1, BUDGET))
     count = lambda text, family: F.regexp_count(F.col(text), F.lit(_edged(RISK_FAMILIES[family])))
     mentions = lambda text, family: F.col(text).rlike(_edged(RISK_FAMILIES[family]))
     level = lambda n, high: F.when(n >= high, "HIGH").when(n >= 1, "MODERATE").otherwise("LOW")
     read = settle(
         read,
         late=~mentions("excerpt", "experiential") & mentions("full_text", "experiential"),
+        lead_n=count("lead", "commercial"),
         **{f: level(count("excerpt", f), HIGH_FROM[f]) for f in RISK_FAMILIES},
     )
+    lead = F.when(F.col("lead_n") >= LEAD_HIGH, "HIGH").when(F.col("lead_n") >= LEAD_MODERATE, "MODERATE").otherwise("LOW")
+    read = read.withColumns(
+        {
+            "lead_commercial": lead,
+            "clipped": (F.length("full_text") > BUDGET) & F.col("late"),
+            "heterogeneous": F.coalesce(F.lower(collapse_space(F.col(heading))) == "release and reception", F.lit(False)),
+        }
+    )
     usable = F.col("excerpt") != ""
     bad = F.lit(False)
     for family in ("spoiler", "prestige", "commercial", "controversy"):
@@ -281,7 +301,7 @@ def content_risk(rows: DataFrame, html: str) -> DataFrame:
     viability = (
         F.when(usable & ~F.col("late") & ~bad & (F.col("experiential") != "LOW"), "VIABLE").when(usable & ~bad, "MARGINAL").otherwise("NOT_VIABLE")
     )
-    return read.withColumn("viability", viability).drop("paragraphs", "full_text")
+    return read.withColumn("viability", viability).drop("paragraphs", "full_text", "lead", "lead_n")
 
 
 # Fixed stop words: a run of only these is no evidence of copying.

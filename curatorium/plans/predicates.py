@@ -15,7 +15,7 @@ DECADES = ["1980s", "1990s", "2000s", "2010s", "2020s"]
 
 CTES["pool_facts"] = (
     ("facts", "exclusions"),
-    """SELECT f.* FROM facts f WHERE NOT COALESCE(adult, false) AND COALESCE(poster_path, '') <> '' AND length(trim(overview)) >= 30
+    """SELECT f.* FROM facts f WHERE NOT COALESCE(adult, false) AND NOT COALESCE(softcore, false) AND COALESCE(poster_path, '') <> '' AND length(trim(overview)) >= 30
        AND year BETWEEN 1980 AND 2029 AND votes >= 200 AND NOT EXISTS (SELECT 1 FROM exclusions e WHERE e.id = f.tmdb_id)""",
 )
 

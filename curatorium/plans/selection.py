@@ -211,7 +211,7 @@ def _(t):
         ),
     )
     ids = R.greedy_coverage(t.catalogue, "id", features, 16)
-    order = t.literal(", ".join(f"('{i}', {n})" for n, i in enumerate(ids, 1)), "id, pick")
+    order = t.spark.createDataFrame(list(zip(ids, range(1, len(ids) + 1))), "id string, pick int")
     return t.catalogue.select("id").join(F.broadcast(order), "id")
 
 
@@ -361,9 +361,9 @@ def _(t):
     return out.select("source", "candidate_id", c("rank").cast("bigint").alias("rank"), "reason", "class_status")
 
 
-@query("sort_multi_key", ["facts"], "SELECT tmdb_id, votes, rating FROM facts")
+@query("sort_multi_key", ["facts"], "SELECT tmdb_id, votes, rating, row_number() OVER (ORDER BY votes DESC, rating DESC, tmdb_id) AS place FROM facts")
 def _(t):
-    return t.facts.select("tmdb_id", "votes", "rating").orderBy(*best_first())
+    return ranked(t.facts.select("tmdb_id", "votes", "rating"), [], best_first(), [(c("votes"), False)], out="place").orderBy("place")
 
 
 DIGEST_SQL = """p AS (SELECT g, sha256(j) AS d FROM src),
@@ -381,7 +381,7 @@ def _(t):
     return table_digest(t.corpus.select("cell", "id", "page", "votes").orderBy(F.desc("votes")), ["cell"])
 
 
-@query("stable_sort_text", ["catalogue"], "SELECT title, id FROM catalogue")
+@query("stable_sort_text", ["catalogue"], "SELECT title, id, row_number() OVER (ORDER BY title, id) AS place FROM catalogue")
 def _(t):
     # binary text order, ties by id
-    return t.catalogue.select("title", "id").orderBy("title", "id")
+    return ranked(t.catalogue.select("title", "id"), [], [c("title").asc(), c("id").asc()], [(F.substring("title", 1, 2), True)], out="place").orderBy("place")

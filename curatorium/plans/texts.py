@@ -195,9 +195,9 @@ EXCERPT_SQL = r"nullif(substr(trim(regexp_replace(array_to_string((" + CLEAN_SQL
 # each document as a page of two paragraphs, the second about prizes and mood
 CTES["doc_pages"] = (
     (),
-    """SELECT doc_id, lang = 'es' AND n_chars < 100 AS heterogeneous, '<p>' || text || '</p><p class="x">' || CASE lang WHEN 'en' THEN 'The tone is quiet &amp; tense.<sup>[1]</sup> It won an award.' WHEN 'fr' THEN 'A twist at the ending. The rating is 7/10.' WHEN 'de' THEN 'Streaming since May. A festival of box office records.' ELSE 'Funny, moving, thrilling.' END || '</p>' AS html FROM documents""",
+    """SELECT doc_id, lang, source, '<p>' || text || '</p><p class="x">' || CASE lang WHEN 'en' THEN 'The tone is quiet &amp; tense.<sup>[1]</sup> It won an award.' WHEN 'fr' THEN 'A twist at the ending. The rating is 7/10.' WHEN 'de' THEN 'Streaming since May. A festival of box office records.' ELSE 'Funny, moving, thrilling.' END || '</p>' AS html FROM documents""",
 )
-CTES["doc_excerpts"] = (("doc_pages",), f"SELECT doc_id, heterogeneous, paragraphs, {EXCERPT_SQL} AS excerpt FROM (SELECT doc_id, heterogeneous, {PARAGRAPH_SQL} AS paragraphs FROM doc_pages)")
+CTES["doc_excerpts"] = (("doc_pages",), f"SELECT doc_id, paragraphs, {EXCERPT_SQL} AS excerpt FROM (SELECT doc_id, {PARAGRAPH_SQL} AS paragraphs FROM doc_pages)")
 
 
 def doc_pages(t: Tables) -> DataFrame:
@@ -209,7 +209,7 @@ def doc_pages(t: Tables) -> DataFrame:
         .otherwise("Funny, moving, thrilling.")
     )
     return t.texts("documents").select(
-        "doc_id", ((lang == "es") & (c("n_chars") < 100)).alias("heterogeneous"),
+        "doc_id",
         F.concat(F.lit("<p>"), "text", F.lit('</p><p class="x">'), second, F.lit("</p>")).alias("html"),
     )
 
@@ -246,17 +246,33 @@ def _level_sql(family: str) -> str:
     return f"CASE WHEN {n} >= {high} THEN 'HIGH' WHEN {n} >= 1 THEN 'MODERATE' ELSE 'LOW' END AS {family}"
 
 
+# the section of a document is the first one of the conversation of that number, or plain reception
+CTES["doc_sections"] = (
+    ("doc_excerpts", "sections"),
+    """SELECT d.doc_id, paragraphs, coalesce(s.heading, 'Reception') AS heading,
+         CASE WHEN lower(coalesce(s.heading, 'Reception')) IN ('critical response','reception','critical reception','release and reception') THEN excerpt END AS excerpt
+       FROM doc_excerpts d LEFT JOIN (SELECT page, arg_min(heading, pos) AS heading FROM sections GROUP BY page) s ON s.page = d.doc_id""",
+)
+
+
+def doc_sections(t: Tables) -> DataFrame:
+    first = sections(t).groupBy("page").agg(F.min_by("heading", "pos").alias("heading"))
+    joined_pages = doc_pages(t).join(first, c("doc_id") == c("page"), "left")
+    return joined_pages.select("doc_id", "html", F.coalesce("heading", F.lit("Reception")).alias("heading"))
+
+
 CTES["risk"] = (
-    ("doc_excerpts",),
-    rf"""SELECT *, CASE WHEN excerpt IS NOT NULL AND NOT late AND NOT bad AND experiential <> 'LOW' THEN 'VIABLE' WHEN excerpt IS NOT NULL AND NOT bad THEN 'MARGINAL' ELSE 'NOT_VIABLE' END AS viability FROM (
-       SELECT *, 'HIGH' IN (spoiler, prestige, commercial, controversy) AS bad, experiential = 'LOW' AND regexp_matches(array_to_string(paragraphs, ' '), '(?i)\b(?:{X.RISK_FAMILIES["experiential"]})\b') AS late FROM (
-       SELECT doc_id, heterogeneous, paragraphs, excerpt, {", ".join(_level_sql(f) for f in X.RISK_FAMILIES)} FROM doc_excerpts))""",
+    ("doc_sections",),
+    rf"""SELECT *, length(full_text) > 1000 AND late AS clipped, CASE WHEN lead_n >= 5 THEN 'HIGH' WHEN lead_n >= 2 THEN 'MODERATE' ELSE 'LOW' END AS lead_commercial, lower(heading) = 'release and reception' AS heterogeneous, CASE WHEN excerpt IS NOT NULL AND NOT late AND NOT bad AND experiential <> 'LOW' THEN 'VIABLE' WHEN excerpt IS NOT NULL AND NOT bad THEN 'MARGINAL' ELSE 'NOT_VIABLE' END AS viability FROM (
+       SELECT *, 'HIGH' IN (spoiler, prestige, commercial, controversy) AS bad, experiential = 'LOW' AND regexp_matches(full_text, '(?i)\b(?:{X.RISK_FAMILIES["experiential"]})\b') AS late, len(regexp_extract_all(substr(full_text, 1, 1000), '(?i)\b(?:{X.RISK_FAMILIES["commercial"]})\b')) AS lead_n FROM (
+       SELECT doc_id, heading, array_to_string(paragraphs, ' ') AS full_text, excerpt, {", ".join(_level_sql(f) for f in X.RISK_FAMILIES)} FROM doc_sections))""",
 )
 
 
-@query("content_risk", ["risk"], "SELECT doc_id, experiential, spoiler, prestige, commercial, controversy, late, viability FROM risk")
+@query("content_risk", ["risk"], "SELECT doc_id, experiential, spoiler, prestige, commercial, controversy, late, lead_commercial, clipped, heterogeneous, viability FROM risk")
 def _(t):
-    return X.content_risk(doc_pages(t), "html").select("doc_id", *X.RISK_FAMILIES, "late", "viability")
+    found = X.content_risk(doc_sections(t), "html", "heading")
+    return found.select("doc_id", *X.RISK_FAMILIES, "late", "lead_commercial", "clipped", "heterogeneous", "viability")
 
 
 @query(
@@ -266,7 +282,7 @@ def _(t):
        SELECT *, CASE WHEN NOT mixed AND viable = pages THEN 'GO' WHEN NOT mixed AND viable + marginal >= ceil(pages * 0.75) THEN 'CONDITIONAL' ELSE 'NO_GO' END AS decision FROM n""",
 )
 def _(t):
-    return A.content_risk_summary(X.content_risk(doc_pages(t), "html"))
+    return A.content_risk_summary(X.content_risk(doc_sections(t), "html", "heading"))
 
 
 GRAM_SQL = r"""list_distinct(list_transform(list_filter(list_transform(range(1, len(w) - 2), lambda i: w[i:i+3]), lambda g: len(list_filter(g, lambda x: NOT list_contains({stops}, x))) > 0), lambda g: array_to_string(g, ' ')))""".replace("{stops}", str(X.STOP_WORDS))

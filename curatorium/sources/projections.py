@@ -108,7 +108,7 @@ SELECT 'm' || p.p_partkey AS id, p.p_partkey AS tmdb_id, p.p_name AS title,
   CASE WHEN p.p_size % 13 = 0 THEN NULL ELSE '/p' || p.p_partkey || '.jpg' END AS poster_path,
   CASE WHEN p.p_size < 5 THEN p.p_name ELSE 'A ' || lower(p.p_type) || ' story about the ' || p.p_name || ' of ' || p.p_brand END AS overview,
   CASE WHEN CAST(substr(p.p_brand, 7) AS INT) <= 12 THEN 'en' ELSE 'l' || substr(p.p_brand, 7) END AS original_language,
-  p.p_type = 'PROMO' AND p.p_size = 1 AS adult,
+  p.p_type = 'PROMO' AND p.p_size = 1 AS adult, p.p_size % 10 = 3 AS softcore,
   l.votes, l.rating, l.release_date
 FROM part p JOIN (
   SELECT l_partkey, count(*) * 40 AS votes, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS rating,
@@ -293,6 +293,7 @@ class Tables:
                 F.when(size < 5, F.col("p_name")).otherwise(about).alias("overview"),
                 F.when(brand.cast("int") <= 12, "en").otherwise(F.concat(F.lit("l"), brand)).alias("original_language"),
                 ((F.col("p_type") == "PROMO") & (size == 1)).alias("adult"),
+                (size % 10 == 3).alias("softcore"),
                 "votes",
                 "rating",
                 "release_date",
