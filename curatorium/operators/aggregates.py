@@ -335,12 +335,6 @@ def state_counts(rows: DataFrame, state: str, values: Sequence[str], by: Sequenc
     return rows.groupBy(*by).agg(*[F.count_if(F.col(state) == v).alias(v.lower()) for v in values])
 
 
-def class_coverage(rows: DataFrame, cls: str, available: Column) -> DataFrame:
-    return rows.groupBy(cls).agg(
-        F.count_if(available).alias("available"), F.count_if(~available).alias("missing"), F.count(F.lit(1)).alias("total")
-    )
-
-
 def content_risk_summary(rows: DataFrame) -> DataFrame:
     n = rows.agg(
         F.count(F.lit(1)).alias("pages"), F.count_if(F.col("viability") == "VIABLE").alias("viable"),
@@ -397,7 +391,7 @@ def null_profile(rows: DataFrame, column: str) -> DataFrame:
 def zero_filled(counts: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """Counts for a fixed vocabulary, zero where nothing was counted."""
     spark = counts.sparkSession
-    listed = spark.sql("SELECT explode(array(%s)) AS v" % ", ".join(f"'{v}'" for v in values))
+    listed = spark.createDataFrame([(v,) for v in values], "v string")
     return listed.join(counts.select(F.col(key).alias("v"), "n"), "v", "left").select(F.col("v").alias(key), F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -354,11 +354,11 @@ def simulate_routing(payload: str = "payload", failures: str = "failures") -> Co
     )
 
 
-def output_disposition(provider_error: Column, raw: Column, schema_errors: Column, failures: Column, level: Column) -> Column:
-    """First failing stage of a raw model output, or its risk level."""
+def output_disposition(provider_error: Column, document: Column, schema_errors: Column, failures: Column, level: Column) -> Column:
+    """First failing stage of a model output, or its risk level; ``document`` is the parsed output, null if it isn't JSON."""
     return (
         F.when(provider_error, "PROVIDER_FAILURE")
-        .when(F.try_parse_json(raw).isNull(), "MALFORMED_JSON")
+        .when(document.isNull(), "MALFORMED_JSON")
         .when(F.size(schema_errors) > 0, "SCHEMA_INVALID")
         .when(F.size(failures) > 0, "SEMANTICALLY_INVALID")
         .when(level == "HIGH_RISK", "VALID_HIGH_RISK")

@@ -266,11 +266,8 @@ def payloads(t: Tables) -> DataFrame:
 
 
 def judged(t: Tables) -> DataFrame:
-    parsed = settle(
-        payloads(t).select("candidate_id", "provider_error", "raw"),
-        payload=F.when(F.try_parse_json("raw").isNotNull(), F.from_json("raw", rules.RISK_PAYLOAD)),
-        doc=F.try_parse_json("raw"),
-    )
+    parsed = settle(payloads(t).select("candidate_id", "provider_error", "raw"), doc=F.try_parse_json("raw"))
+    parsed = settle(parsed, payload=F.when(F.col("doc").isNotNull(), F.from_json("raw", rules.RISK_PAYLOAD)))
     errors = F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in rules.schema_errors(F.col("doc"), rules.RISK_SCHEMA)]))
     return settle(parsed, failures=rules.check_risk_payload("payload"), schema_errors=errors)
 
@@ -289,7 +286,7 @@ def _(t):
     c = F.col
     return judged(t).select(
         "candidate_id",
-        rules.output_disposition(c("provider_error"), c("raw"), c("schema_errors"), c("failures"), c("payload.riskLevel")).alias("disposition"),
+        rules.output_disposition(c("provider_error"), c("doc"), c("schema_errors"), c("failures"), c("payload.riskLevel")).alias("disposition"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from curatorium.functions.columns import joined
 from curatorium.functions.spread import integer_bucket
 from curatorium.plans.registry import query
-from curatorium.schemas import CORPUS_PAGE
+from curatorium.schemas import CATALOGUE
 from curatorium.session import ensure_checkpoint_dir
 from curatorium.sources import readers, sinks
 
@@ -27,7 +27,10 @@ def _catalogue_text(df):
 
 @query("scan_catalogue", ["catalogue"], CATALOGUE_SQL)
 def _(t):
-    return _catalogue_text(t.catalogue)
+    # curated rows as JSON lines, read back through the reader
+    path = _folder(t, "catalogue")
+    t.catalogue.select(*[f.name for f in CATALOGUE if f.name in t.catalogue.columns]).write.json(path)
+    return _catalogue_text(readers.read_catalogue(t.spark, path))
 
 
 @query("scan_keyed_map", ["facts"], "SELECT id, title, year, runtime_minutes, poster_path FROM facts")
@@ -65,8 +68,9 @@ def _(t):
     text = t.corpus.select(
         F.to_json(F.struct(F.col("cell").alias("cell_id"), F.col("source_order").cast("int").alias("requested_page"), page.alias("response"))).alias("text")
     )
-    parsed = text.select(F.from_json("text", CORPUS_PAGE).alias("p")).select("p.*")
-    return readers.explode_corpus(parsed).select(
+    path = _folder(t, "corpus")
+    text.write.text(path)
+    return readers.read_paged_corpus(t.spark, path).select(
         "cell_id", F.col("requested_page").cast("bigint").alias("requested_page"), "id", "release_date", "vote_count",
         F.col("vote_average").cast("bigint").alias("vote_average"),
     )
@@ -115,7 +119,9 @@ def _(t):
             F.col("human_decision").alias("humanDecision"), "severity",
         )
     )
-    return readers.parse_identity(t.review.select(text.alias("text")), "text", {"candidateId": "string", "tmdbId": "bigint"})
+    path = _folder(t, "identities")
+    t.review.select(text.alias("text")).write.text(path)
+    return readers.read_identity_only(t.spark, path, {"candidateId": "string", "tmdbId": "bigint"})
 
 
 def _folder(t, name: str) -> str:

@@ -158,20 +158,17 @@ RATIONALES = [
     "It simply is",
     "Direct evidence: no list",
 ]
-EXPECTED = [
-    "UNSUPPORTED_MODEL_MEMORY_ASSERTION",
-    "",
-    "INVALID_DIRECT_EVIDENCE_CUES",
-    "TOO_FEW_SUPPORTED_INFERENCE_CUES",
-    "MISSING_SUPPORTED_INFERENCE_BRIDGE",
-    "INVALID_SUPPORTED_INFERENCE_CUES",
-    "",
-    "MISSING_EVIDENCE_GROUNDING_MODE",
-    "INVALID_DIRECT_EVIDENCE_CUES",
-]
+GROUNDING_SQL = rf"""x AS (SELECT id, ({RATIONALES})[CAST(runtime_minutes % {len(RATIONALES)} AS INT) + 1] AS r FROM catalogue),
+   y AS (SELECT id, regexp_matches(r, '(?i)\b(?:{X.MEMORY})\b') AS memory, regexp_matches(r, '(?i)^Direct evidence:') AS direct, regexp_matches(r, '(?i)^Supported inference:') AS inferred,
+     regexp_matches(r, '(?is)\bBridge:\s*\S.{{11,}}') AS bridge, list_filter(list_transform(string_split(regexp_extract(r, '(?i)\bCues:\s*\[([^\]]+)\]', 1), ';'), lambda s: trim(s)), lambda s: s <> '') AS said FROM x),
+   z AS (SELECT *, list_transform(said, lambda s: trim(split_part(s, ':', 1))) AS refs FROM y),
+   d AS (SELECT *, len(refs) > 0 AND len(list_filter(refs, lambda v: v NOT IN ('overview', 'genre'))) = 0 AS declared FROM z)
+   SELECT id, concat_ws('|', CASE WHEN memory THEN 'UNSUPPORTED_MODEL_MEMORY_ASSERTION' END, CASE WHEN NOT memory AND direct AND NOT declared THEN 'INVALID_DIRECT_EVIDENCE_CUES' END,
+     CASE WHEN NOT memory AND inferred AND len(said) < 2 THEN 'TOO_FEW_SUPPORTED_INFERENCE_CUES' END, CASE WHEN NOT memory AND inferred AND NOT declared THEN 'INVALID_SUPPORTED_INFERENCE_CUES' END,
+     CASE WHEN NOT memory AND inferred AND NOT bridge THEN 'MISSING_SUPPORTED_INFERENCE_BRIDGE' END, CASE WHEN NOT memory AND NOT direct AND NOT inferred THEN 'MISSING_EVIDENCE_GROUNDING_MODE' END) AS issues FROM d"""
 
 
-@query("check_grounding", ["catalogue"], f"SELECT id, {EXPECTED}[CAST(runtime_minutes % 9 AS INT) + 1] AS issues FROM catalogue")
+@query("check_grounding", ["catalogue"], GROUNDING_SQL)
 def _(t):
     texts = F.array(*[F.lit(r) for r in RATIONALES])
     rows = t.catalogue.select("id", F.element_at(texts, (c("runtime_minutes") % 9 + 1).cast("int")).alias("rationale"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import types as T
 
+# Fixed vocabularies and field names of the data model.
 MOODS = ["funny", "exciting", "thoughtful", "relaxing", "emotional", "suspenseful"]
 SITUATIONS = ["alone", "date-night", "friends", "family", "easy-watch"]
 PACES = ["slow", "medium", "fast"]
@@ -23,6 +24,7 @@ CATALOGUE = T.StructType(
         T.StructField("id", T.StringType()),
         T.StructField("ord", T.LongType()),
         T.StructField("tmdb_id", T.LongType()),
+        T.StructField("title", T.StringType()),
         T.StructField("moods", _strings),
         T.StructField("situations", _strings),
         T.StructField("filter_languages", _strings),
@@ -38,20 +40,6 @@ CATALOGUE = T.StructType(
     ]
 )
 
-FACTS = T.StructType(
-    [
-        T.StructField("tmdb_id", T.LongType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("year", T.IntegerType()),
-        T.StructField("director", T.StringType()),
-        T.StructField("countries", _strings),
-        T.StructField("spoken_languages", _strings),
-        T.StructField("genres", _strings),
-        T.StructField("runtime_minutes", T.IntegerType()),
-        T.StructField("poster_path", T.StringType()),
-    ]
-)
-
 CORPUS_PAGE = T.StructType(
     [
         T.StructField("cell_id", T.StringType()),
@@ -82,14 +70,3 @@ CORPUS_PAGE = T.StructType(
         ),
     ]
 )
-
-LEDGER = T.StructType(
-    [
-        T.StructField("seq", T.LongType()),
-        T.StructField("attempt_id", T.StringType()),
-        T.StructField("lifecycle", T.StringType()),
-        T.StructField("payload", T.StringType()),
-        T.StructField("prev_hash", T.StringType()),
-        T.StructField("hash", T.StringType()),
-    ]
-)
