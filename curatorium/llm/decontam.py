@@ -185,5 +185,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
 
 @query("op9_benchmark_decontamination")
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents of the whole table, each with every test item it contains."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    share = F.round(F.max("score") / (MATCH * F.first("n_words")), 4)
+    return found.groupBy("doc_id", "item_id").agg(F.first("n_words").alias("n_words"), F.max("score").alias("score"), share.alias("share"))

@@ -135,8 +135,8 @@ def test_increasing_subsequence_is_longest():
 def test_contamination_equals_alignment_of_all_pairs(spark):
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = {r["doc_id"]: r["contaminated"] for r in registry.QUERIES["op9_benchmark_decontamination"](spark, SF).collect()}
-    assert got == {i: contaminated(t, items) for i, t in texts.items()} and any(got.values()) and not all(got.values())
+    got = {r["doc_id"] for r in registry.QUERIES["op9_benchmark_decontamination"](spark, SF).collect()}
+    assert got == {i for i, t in texts.items() if contaminated(t, items)} and 0 < len(got) < len(texts)
 
 
 def test_edited_copies_are_found_and_clean_texts_left(spark):
