@@ -47,6 +47,7 @@ BOILER_NAMES = {
     "footer", "header", "masthead", "share", "sharing", "social", "related", "newsletter", "subscribe", "promo", "sponsor", "sponsored",
     "widget", "toolbar", "pagination", "skip", "complementary", "contentinfo", "alert",
 }
+COMMENT_NAMES = {"comment", "comments", "respond"}
 MAIN_TAGS, MAIN_NAMES = {"article", "main"}, {"articlebody", "main"}
 BLOCK_ENDS_P = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "nav", "header", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figure", "main", "hr"}
 SAME_PAGES = 3
@@ -60,8 +61,15 @@ _INLINE, _VOID, _RAW = set(INLINE), set(VOID), set(RAW)
 
 
 def _role(parent: str, block: str) -> str:
-    """boiler inside any boilerplate block, else main inside article or main, else other."""
+    """boiler inside any boilerplate block, else main inside article or main, else other.
+
+    Names of the whole page say nothing, and those of an article only whether it is a comment.
+    """
     tag, *names = block.split(".")
+    if tag in ("html", "body"):
+        names = []
+    elif tag in MAIN_TAGS:
+        names = [n for n in names if n in COMMENT_NAMES]
     if parent == "boiler" or tag in BOILER_TAGS or BOILER_NAMES.intersection(names):
         return "boiler"
     return "main" if parent == "main" or tag in MAIN_TAGS or MAIN_NAMES.intersection(names) else "other"

@@ -153,6 +153,14 @@ def test_wrapper_separates_template_from_article(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_names_of_page_and_article_are_no_boilerplate():
+    import json
+
+    html = '<html class="no-nav"><body class="has-sidebar header-fixed"><article class="post related"><p>text</p><article class="comment"><p>reply</p></article></article><div class="share">x</div></body></html>'
+    tokens_, texts = pages.stream(html)
+    assert pages.Extractor()(html, json.dumps(pages.page_wrapper(tokens_, texts))) == "text"
+
+
 def test_wrappers_merge_in_any_grouping(spark, monkeypatch):
     monkeypatch.setattr(pages, "GROUP", 2)
     store.ship(spark)
