@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatorium.functions.columns import joined
+from curatorium.functions.spread import ranked
 from curatorium.operators import aggregates as A
 from curatorium.operators import predicates as P
 from curatorium.operators import ranking as R
@@ -84,9 +85,10 @@ def _(t):
     return A.identity_index([t.exclusions.where(c("canonical_id").isNotNull()), part], "canonical_id", "id")
 
 
-@query("count_by", ["corpus"], "SELECT cell, count(*) AS n FROM corpus GROUP BY cell")
+@query("count_by", ["corpus"], "SELECT cell, count(*) AS n, row_number() OVER (ORDER BY cell) AS place FROM corpus GROUP BY cell")
 def _(t):
-    return t.corpus.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy("cell")
+    counts = t.corpus.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return ranked(counts, [], [c("cell").asc()], [(c("cell"), True)], out="place").orderBy("place")
 
 
 @query(

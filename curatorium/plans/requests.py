@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatorium.functions.columns import joined, settle
+from curatorium.functions.spread import ranked
 from curatorium.operators import filters, ranking, slates
 from curatorium.plans.registry import query
 from curatorium.schemas import SITUATIONS
@@ -361,7 +362,8 @@ def _(t):
 @query(
     "distinct_options",
     ["catalogue"],
-    "SELECT DISTINCT 'genre' AS option, unnest(genres) AS value FROM catalogue UNION SELECT DISTINCT 'language', unnest(languages) FROM catalogue",
+    """o AS (SELECT DISTINCT 'genre' AS option, unnest(genres) AS value FROM catalogue UNION SELECT DISTINCT 'language', unnest(languages) FROM catalogue)
+       SELECT option, value, row_number() OVER (ORDER BY option, value) AS place FROM o""",
 )
 def _(t):
     each = F.explode(
@@ -370,7 +372,9 @@ def _(t):
             F.transform("languages", lambda v: F.named_struct(F.lit("option"), F.lit("language"), F.lit("value"), v)),
         )
     )
-    return t.catalogue.select(each.alias("o")).select("o.*").distinct().orderBy("option", "value")
+    options = t.catalogue.select(each.alias("o")).select("o.*").distinct()
+    buckets = [(F.col("option"), True), (F.substring("value", 1, 2), True)]
+    return ranked(options, [], [F.col("option").asc(), F.col("value").asc()], buckets, out="place").orderBy("place")
 
 
 @query(
