@@ -245,7 +245,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAM
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= sample_docs).select("doc_id").distinct()
-    texts = usable.join(chosen, "doc_id", "left_semi").select("lang", "text")
+    texts = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")  # sample_docs ids a language
 
     def split(batches):
         for batch in batches:
