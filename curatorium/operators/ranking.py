@@ -169,22 +169,25 @@ def seeded_sample(rows: DataFrame, seed: str, id_column: str, n: int) -> DataFra
     return rows.withColumn("sample_hash", seeded_hash(seed, id_column)).orderBy("sample_hash", id_column).limit(n)
 
 
-def seeded_order(rows: DataFrame, parts: Sequence[str], hashed: Column, id_column: str, out: str) -> DataFrame:
-    """Seeded shuffle: 1-based position by digest, at any group size."""
+def seeded_order(rows: DataFrame, parts: Sequence[str], hashed: Column, id_column: str, out: str, digits: int = 4) -> DataFrame:
+    """Seeded shuffle: 1-based position by digest.
+
+    A group is sorted in 16^``digits`` even buckets: four digits keep a bucket under a million rows up to some 6 * 10^10.
+    """
     rows = rows.withColumn("order_hash", hashed)
     return ranked(
         rows,
         parts,
         [F.col("order_hash").asc(), F.col(id_column).asc()],
-        [(hash_bucket("order_hash"), True)],
+        [(hash_bucket("order_hash", digits), True)],
         out=out,
         size_out=f"{out}_of",
     )
 
 
-def sample_rate(rows: DataFrame, parts: Sequence[str], hashed: Column, id_column: str, percent: Column) -> DataFrame:
+def sample_rate(rows: DataFrame, parts: Sequence[str], hashed: Column, id_column: str, percent: Column, digits: int = 4) -> DataFrame:
     """ceil(percent / 100 * N) rows per group by digest; percent is an integer column."""
-    order = seeded_order(rows, parts, hashed, id_column, "sample_rank")
+    order = seeded_order(rows, parts, hashed, id_column, "sample_rank", digits)
     return order.where(F.col("sample_rank") <= F.ceil(percent * F.col("sample_rank_of") / 100))
 
 

@@ -199,6 +199,10 @@ FROM events
 )
 
 
+#: Session setting: partitions for tables of long texts; unset, the files' own splits stay.
+TEXT_PARTITIONS = "spark.curatorium.textPartitions"
+
+
 class Tables:
     """Lazy DataFrames of the raw tables and their projections."""
 
@@ -210,8 +214,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def texts(self, name: str) -> DataFrame:
-        """A table of long texts, in the splits its files give."""
-        return self.raw(name)
+        """A table of long texts, in the splits its files give.
+
+        Files of a single row group can't be split; a user who has such files can ask for a number of partitions.
+        """
+        wanted = self.spark.conf.get(TEXT_PARTITIONS, None)
+        return self.raw(name).repartition(int(wanted)) if wanted else self.raw(name)
 
     def literal(self, values: str, columns: str) -> DataFrame:
         """A fixed parameter table; known size, so safe to broadcast."""
