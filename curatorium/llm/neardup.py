@@ -6,8 +6,8 @@
 2. Texts with the same set are one class; everything later works on classes, so exact copies cost one narrow row.
 3. A bucket is a band key shared by two classes or more.  Every class is compared with the first one of its buckets
    (a star, not all pairs): estimate from the packed bits first, then the full sets.  Most groups become one component.
-4. What is left are pairs of one bucket whose components still differ.  Buckets are cut into blocks by hash, and pairs of
-   blocks are compared inside one task: labels, sizes, the estimate, and only where a pair first shares a band.  The
+4. What is left are pairs of one bucket whose components still differ.  Buckets are cut into blocks by hash, apart for the
+   most frequent component and the rest, and pairs of blocks with a member of the rest are compared inside one task: labels, sizes, the estimate, and only where a pair first shares a band.  The
    survivors' sets are joined once per block and compared.  A task holds two blocks whatever the size of the bucket, and no
    row per pair is ever written.  Nothing is capped: every pair of a bucket is in one component or compared.
 
@@ -269,22 +269,43 @@ def _links(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
+def _parts(rows: Column, weight: Column) -> Column:
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(weight / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
 def _blocks(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of the buckets that still hold two labels, once for every pair of blocks they belong to."""
+    """Rows of the buckets that still hold two labels, once for every pair of blocks they belong to.
+
+    The rows of a bucket's most frequent label need no look at each other: their blocks only meet those of the other rows,
+    so a hot bucket with few strangers is listed about once, not once per block.
+    """
     labelled = members.join(labels, F.col("node") == F.col("nid"), "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
     labelled = labelled.join(classes.select("node", "n_shingles"), "node")
-    open_ = labelled.groupBy("key").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("weight")
-    ).where("lo < hi")
-    parts = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    rows = labelled.join(open_.select("key", parts.alias("parts")), "key")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    # a block met with itself lists each row once; the smaller number of two blocks is side 0
-    return rows.select(
-        block.alias("block"), "node", "label", "band", (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("alone")
-    )
+    per_label = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("weight"))
+    main = F.max(F.struct("rows", "weight", "label"))
+    open_ = per_label.groupBy("key").agg(main.alias("main"), F.sum("rows").alias("rows"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("labels"))
+    open_ = open_.where("labels > 1").select(
+        "key", F.col("main.label").alias("main"), _parts(F.col("main.rows"), F.col("main.weight")).alias("main_parts"),
+        _parts(F.col("rows") - F.col("main.rows"), F.col("weight") - F.col("main.weight")).alias("parts"),
+    )
+    rows = labelled.join(open_, "key").withColumn("usual", F.col("label") == F.col("main"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("usual"), F.col("main_parts")).otherwise(F.col("parts"))).cast("int")
+    rows = rows.withColumn("own", own)
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+
+    def meeting(with_main: bool, other: Column) -> Column:
+        usual = F.col("usual")
+        first = F.when(usual, other).otherwise(F.col("own")) if with_main else F.least(F.col("own"), other)
+        second = F.when(usual, F.col("own")).otherwise(other) if with_main else F.greatest(F.col("own"), other)
+        side = usual.cast("int") if with_main else (F.col("own") > other).cast("int")
+        alone = F.lit(False) if with_main else F.col("own") == other
+        return F.struct(F.xxhash64("key", F.lit(with_main), first, second).alias("block"), side.alias("side"), alone.alias("alone"))
+
+    strangers = F.transform(upto("parts"), lambda other: meeting(False, other))
+    against_main = F.transform(F.when(F.col("usual"), upto("parts")).otherwise(upto("main_parts")), lambda other: meeting(True, other))
+    blocks = F.when(F.col("usual"), against_main).otherwise(F.concat(against_main, strangers))
+    # a block met with itself lists each row once; of two blocks one is side 0
+    return rows.select("node", "label", "band", F.inline(blocks))
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
