@@ -154,6 +154,23 @@ def round_robin(
     )
 
 
+def cell_shortage(cells: DataFrame, halves: dict[str, DataFrame], cell: str, wanted: dict[str, Column]) -> DataFrame:
+    """(cell, half, wanted, got) of every cell whose selection falls short; ``wanted`` are expressions over the cell."""
+    tagged = None
+    for name, chosen in halves.items():
+        part = chosen.select(cell, F.lit(name).alias("half"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    counts = tagged.groupBy(cell).agg(*[F.count_if(F.col("half") == name).alias(f"__{name}") for name in halves])
+    each = F.array(
+        *[
+            F.struct(F.lit(name).alias("half"), need.cast("bigint").alias("wanted"), F.coalesce(F.col(f"__{name}"), F.lit(0)).cast("bigint").alias("got"))
+            for name, need in wanted.items()
+        ]
+    )
+    rows = cells.select(cell).distinct().join(counts, cell, "left").select(cell, F.inline(each))
+    return rows.where(F.col("got") < F.col("wanted"))
+
+
 def interleave(first: DataFrame, second: DataFrame, cell: Sequence[str], rank: str) -> DataFrame:
     """Alternate two ranked lists per cell, the first list leading."""
     both = first.withColumn("__side", F.lit(0)).unionByName(second.withColumn("__side", F.lit(1)))

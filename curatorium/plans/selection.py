@@ -135,6 +135,27 @@ def _(t):
     return R.interleave(english.select(*cols), other.select(*cols), ["cell"], "position")
 
 
+_QUOTA = QUOTA_SQL.format(c="cell")
+
+
+@query(
+    "cell_shortage",
+    ["english", "foreign_rows"],
+    f"""e AS (SELECT cell, count(*) AS n FROM {_rotation_sql('english', 'cell', 'genre', "cell || ':english'", '(' + _QUOTA + ' + 1) // 2')} GROUP BY cell),
+        o AS (SELECT cell, count(*) AS n FROM {_rotation_sql('foreign_rows', 'cell', 'lang', "cell || ':non-english'", _QUOTA + ' // 2', True)} GROUP BY cell),
+        k AS (SELECT cell, {_QUOTA} AS q FROM (SELECT DISTINCT cell FROM celled UNION SELECT DISTINCT replace(cell, '0s', '5s') FROM celled)),
+        w AS (SELECT cell, 'english' AS half, CAST((q + 1) // 2 AS BIGINT) AS wanted, coalesce(n, 0) AS got FROM k LEFT JOIN e USING (cell) UNION ALL SELECT cell, 'other', CAST(q // 2 AS BIGINT), coalesce(n, 0) FROM k LEFT JOIN o USING (cell))
+        SELECT cell, half, wanted, got FROM w WHERE got < wanted""",
+)
+def _(t):
+    quota = F.when(c("cell").endswith(":discovery"), 6).otherwise(7)
+    english, other = _halves(t, "cell", quota)
+    # cells of years that the pool doesn't have are wanted too
+    pool = celled(t).select("cell")
+    cells = pool.unionByName(pool.select(F.replace("cell", F.lit("0s"), F.lit("5s")).alias("cell")))
+    return R.cell_shortage(cells, {"english": english, "other": other}, "cell", {"english": F.ceil(quota / 2), "other": F.floor(quota / 2)})
+
+
 @query(
     "primary_and_reserve",
     ["celled"],
