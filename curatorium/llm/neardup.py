@@ -7,9 +7,10 @@
 3. A bucket is a band key shared by two classes or more.  Every class is compared with the first one of its buckets
    (a star, not all pairs): estimate from the packed bits first, then the full sets.  Most groups become one component.
 4. What is left are pairs of one bucket whose components still differ.  Buckets are cut into blocks by hash, apart for the
-   most frequent component and the rest, and pairs of blocks with a member of the rest are compared inside one task: labels, sizes, the estimate, and only where a pair first shares a band.  The
-   survivors' sets are joined once per block and compared.  A task holds two blocks whatever the size of the bucket, and no
-   row per pair is ever written.  Nothing is capped: every pair of a bucket is in one component or compared.
+   most frequent component and the rest, and pairs of blocks with a member of the rest are compared inside one task:
+   labels, sizes, the estimate, and only where a pair first shares a band.  The survivors' sets are joined once per block
+   and compared.  A task holds two blocks whatever the size of the bucket, and no row per pair is ever written.  Nothing is
+   capped: every pair of a bucket is in one component or compared.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.  The estimate
 (matching share - 2^-BITS) / (1 - 2^-BITS) has a standard error of about 0.04 there; pairs are dropped five of them below.
@@ -156,7 +157,7 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("slot", _slot())
     texts = texts.join(F.broadcast(slots), "slot", "left_semi").select("doc_id", "text")
     found = texts.mapInArrow(_sets, "doc_id long, fp1 long, fp2 long, shingles array<long>")
-    return found.join(classes, ["doc_id", "fp1", "fp2"]).select("node", "shingles").dropDuplicates(["node"])
+    return found.dropDuplicates(["doc_id", "fp1", "fp2"]).join(classes, ["doc_id", "fp1", "fp2"]).select("node", "shingles")
 
 
 def _sizes_allow(a: str, b: str) -> Column:
@@ -273,14 +274,13 @@ def _parts(rows: Column, weight: Column) -> Column:
     return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(weight / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
-def _blocks(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the buckets that still hold two labels, once for every pair of blocks they belong to.
 
     The rows of a bucket's most frequent label need no look at each other: their blocks only meet those of the other rows,
     so a hot bucket with few strangers is listed about once, not once per block.
     """
-    labelled = members.join(labels, F.col("node") == F.col("nid"), "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
-    labelled = labelled.join(classes.select("node", "n_shingles"), "node")
+    labelled = members.join(labels, F.col("node") == F.col("nid"), "left").select("key", "band", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
     per_label = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("weight"))
     main = F.max(F.struct("rows", "weight", "label"))
     open_ = per_label.groupBy("key").agg(main.alias("main"), F.sum("rows").alias("rows"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("labels"))
@@ -305,7 +305,7 @@ def _blocks(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFr
     against_main = F.transform(F.when(F.col("usual"), upto("parts")).otherwise(upto("main_parts")), lambda other: meeting(True, other))
     blocks = F.when(F.col("usual"), against_main).otherwise(F.concat(against_main, strangers))
     # a block met with itself lists each row once; of two blocks one is side 0
-    return rows.select("node", "label", "band", F.inline(blocks))
+    return rows.select("node", "n_shingles", "label", "band", F.inline(blocks))
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
@@ -317,9 +317,9 @@ def classes_of(signed: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, label): the component of every class that is linked with another."""
-    keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    keyed = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("first")).where("rows > 1")
-    members = settle(keyed.join(shared, "key").select("key", "band", "node", "first"), "members")
+    members = settle(keyed.join(shared, "key").select("key", "band", "node", "first", "n_shingles"), "members")
     ids = classes.select("node", "doc_id", "fp1", "fp2")
     sizes = classes.select("node", "n_shingles", "packed")
 
@@ -330,18 +330,18 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     likely = settle(likely, "likely")
     wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
     sets = settle(sets_of(docs, ids.join(wanted, "node", "left_semi")), "sets")
-    stars = _confirmed(likely, sets)
-    labels = components(stars)
+    stars = settle(_confirmed(likely, sets), "stars")
+    labels = components(stars, rounds=2)  # partial labels do: they only spare comparisons
 
-    blocks = _blocks(members, labels.select(F.col("node").alias("nid"), "label"), classes)
-    blocks = blocks.join(classes.select("node", "n_shingles", "bands", "packed"), "node")
+    blocks = _blocks(members, labels.select(F.col("node").alias("nid"), "label"))
+    blocks = blocks.join(classes.select("node", "bands", "packed"), "node")
     pairs = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_survivors, "block long, node long, partners array<long>")
     pairs = settle(pairs, "pairs")
     wanted = pairs.select("node").distinct()
     sets = settle(sets_of(docs, ids.join(wanted, "node", "left_semi")), "sets")
     met = pairs.join(sets, "node").repartition("block").sortWithinPartitions("block")
-    links = met.mapInArrow(_links, "a long, b long")
-    return components(links.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
+    links = met.mapInArrow(_links, "a long, b long").unionByName(stars)
+    return components(settle(links, "links"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
