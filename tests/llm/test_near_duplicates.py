@@ -71,3 +71,13 @@ def test_components_of_paths_stars_and_nothing(spark):
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 160)}}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_partial_labels_never_cross_components(spark):
+    rng = random.Random(8)
+    edges = [(100 * k + rng.randrange(40), 100 * k + rng.randrange(40)) for k in range(5) for _ in range(60)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    whole = {r["node"]: r["label"] for r in graph.components(table).collect()}
+    partial = {r["node"]: r["label"] for r in graph.components(table, rounds=1).collect()}
+    assert whole.keys() == partial.keys()
+    assert all(whole[n] == whole[label] for n, label in partial.items())
