@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. Words are lower-cased runs without punctuation at their edges, as 64-bit hashes.  The 3-grams of all test items set
    bits of a fixed-size table (2^25 bits, whatever the benchmark's size); it is broadcast, and one pass over the texts keeps
    the places whose 3-gram hits a set bit, with the words around them.
-2. Those places meet the items by an equality join on the 3-gram.  A 3-gram is a seed of an item if it is found at most
-   ``RARE`` times as often as the item's median 3-gram: a phrase of common words is no seed, while an item copied into a
-   third of the corpus keeps all of its own, since they are all equally frequent.  No count is capped.
-3. Each (place, item) pair with a seed is aligned by Smith-Waterman over words (+2 equal, -1 different, -1 gap).  A document
+2. Those places meet the items by an equality join on the 3-gram.  Every 3-gram of an item is a seed, however often it is
+   found: how frequent a 3-gram is says nothing about the place it was found at, as copies of an edited item make its
+   intact 3-grams frequent.
+3. Each (place, item) pair is aligned by Smith-Waterman over words (+2 equal, -1 different, -1 gap), but for those whose
+   words in common can't reach the score needed in any order, such as most that share a phrase of common words.  A document
    is contaminated by an item of n words if the best local score reaches n, half of a perfect copy's 2n, and at least that
    of eight equal words (or of the whole item, if shorter).
 
@@ -29,7 +30,6 @@ from curatorium.llm.store import name, settle
 
 GRAM = 3
 TABLE_BITS = 25
-RARE = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 SHARE = 0.5
 LEAST_WORDS = 8
@@ -97,9 +97,21 @@ def _places(bits, reach: int):
     return run
 
 
+def _most(left, left_at, right, right_at) -> np.ndarray:
+    """An upper bound of each pair's score: the words of either side that the other one has, all aligned."""
+    counts = []
+    keys = [(words.view(np.uint64) ^ np.repeat(np.arange(len(at) - 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.diff(at)), at) for words, at in ((left, left_at), (right, right_at))]
+    for (own, at), (other, _) in (keys, keys[::-1]):
+        counts.append(np.diff(np.concatenate(([0], np.cumsum(np.isin(own, other))))[at]))
+    return MATCH * np.minimum(*counts)
+
+
 def _best_scores(batches):
-    """Adds the best local score to rows of (words, item_words): one row of the alignment of all pairs at a time."""
+    """Adds the best local score to rows of (words, item_words) that may reach ``least``: one row of the alignment of all pairs at a time."""
     for batch in batches:
+        text, item = batch.column("words"), batch.column("item_words")
+        at = [np.concatenate(([0], np.cumsum(side.value_lengths().to_numpy()))) for side in (text, item)]
+        batch = batch.filter(pa.array(_most(text.flatten().to_numpy(), at[0], item.flatten().to_numpy(), at[1]) >= batch.column("least").to_numpy()))
         text, item = batch.column("words"), batch.column("item_words")
         left, right = text.flatten().to_numpy(), item.flatten().to_numpy()
         left_at = np.concatenate(([0], np.cumsum(text.value_lengths().to_numpy())))
@@ -115,7 +127,7 @@ def _best_scores(batches):
                 stop += 1
             scores[order[at:stop]] = _align(order[at:stop], left, left_at, n, right, right_at, m)
             at = stop
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "text_key", "item_id", "n_words")], pa.array(scores)], ["doc_id", "text_key", "item_id", "n_words", "score"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "text_key", "item_id", "n_words", "least")], pa.array(scores)], ["doc_id", "text_key", "item_id", "n_words", "least", "score"])
 
 
 def _align(rows, left, left_at, n, right, right_at, m) -> np.ndarray:
@@ -149,21 +161,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     places = settle(places.withColumn("place", F.monotonically_increasing_id()), "places")
 
     hits = places.select("place", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("at").alias("at"))))
-    found = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
-    owned = items.select("item", F.posexplode("grams").alias("item_at", "gram")).join(found, "gram")
-    usual = owned.groupBy("item").agg(F.expr("percentile(times, 0.5)").alias("usual"))
-    seeds = owned.join(usual, "item").where(F.col("times") <= RARE * F.col("usual")).select("gram", "item", "item_at")
+    seeds = items.select("item", F.posexplode("grams").alias("item_at", "gram"))
 
     pairs = hits.join(seeds, "gram").groupBy("place", "item").agg(F.min(F.col("at") - F.col("item_at")).alias("lo"), F.max(F.col("at") - F.col("item_at")).alias("hi"))
     n = F.size("item_words")
     slack = (n / 4).cast("int") + 8
     met = pairs.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item").join(places.select("place", "doc_id", "text_key", "words"), "place")
     start = F.greatest(F.col("lo") - slack, F.lit(0))
-    met = met.select("doc_id", "text_key", "item_id", n.cast("long").alias("n_words"), F.slice("words", start + 1, F.col("hi") + n + slack - start).alias("words"), "item_words")
-    scored = met.mapInArrow(_best_scores, "doc_id long, text_key long, item_id long, n_words long, score long")
-    least = F.greatest(F.ceil(SHARE * MATCH * F.col("n_words")), F.least(F.lit(LEAST_WORDS), F.col("n_words")) * MATCH)
-    scored = scored.groupBy("doc_id", "text_key", "item_id", "n_words").agg(F.max("score").alias("score"))
-    return scored.where(F.col("score") >= least)
+    least = F.greatest(F.ceil(SHARE * MATCH * n), F.least(F.lit(LEAST_WORDS), n) * MATCH)
+    met = met.select("doc_id", "text_key", "item_id", n.cast("long").alias("n_words"), least.cast("long").alias("least"), F.slice("words", start + 1, F.col("hi") + n + slack - start).alias("words"), "item_words")
+    scored = met.mapInArrow(_best_scores, "doc_id long, text_key long, item_id long, n_words long, least long, score long").where("score >= least")
+    return scored.groupBy("doc_id", "text_key", "item_id", "n_words").agg(F.max("score").alias("score"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

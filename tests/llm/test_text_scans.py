@@ -162,3 +162,14 @@ def test_edited_copies_are_found_and_clean_texts_left(spark):
     assert decontam.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontam.decontaminate(docs.limit(0), bench).count() == 0
     assert decontam.decontaminate(edge(spark), bench).count() == len(EDGE)
+
+
+def test_exact_copy_beside_many_edited_copies(spark):
+    item = [f"plain{i}" for i in range(20)]
+    edited = [f"other{i}" if i % 5 == 4 else w for i, w in enumerate(item)]
+    rows = [(0, " ".join(item)), *[(i, " ".join(edited)) for i in range(1, 1001)], (1001, " ".join(item[:3]) + " and nothing else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    store.ship(spark)
+    got = {r["doc_id"]: r["score"] for r in decontam.contamination(docs, bench).collect()}
+    assert got == {0: 40, **dict.fromkeys(range(1, 1001), decontam.MATCH * 16 - 3)}
