@@ -14,7 +14,7 @@ those the wrapper shows to be template: text that never differs over several pag
 
 Only the joined pages are shuffled, once, by host; the wrapper side has one row per host, so adaptive execution splits a
 hot host.  Defined cases: null, empty or text-free html gives an empty text; a null url is a host of its own; unclosed tags
-are closed by their parents; a truncated character reference stays as it is; repeated rows give equal texts; an empty table
+are closed by their parents; of elements without text (``svg``, ``object``, ``select`` and such) that are never closed only the tag is left out; a truncated character reference stays as it is; repeated rows give equal texts; an empty table
 gives an empty one.  White space is what Unicode calls so; ``br`` counts as white space.
 """
 
@@ -38,7 +38,9 @@ from curatorium.llm.urls import host_of
 # Fixed lists of element names.
 INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
-RAW = "script style title textarea noscript iframe template svg math object select canvas audio video".split()
+RAW = "script style title textarea".split()
+SKIPPED = "noscript iframe template svg math object select canvas audio video".split()
+FOREIGN = {"svg", "math"}
 AUTO_CLOSE = {"p": ["p"], "li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"], "option": ["option"]}
 BOILER_TAGS = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "fieldset"}
 BOILER_NAMES = {
@@ -57,7 +59,8 @@ GROUP = 48
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_INLINE, _VOID, _RAW = set(INLINE), set(VOID), set(RAW)
+_INLINE, _VOID, _RAW, _SKIPPED = set(INLINE), set(VOID), set(RAW), set(SKIPPED)
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 
 
 def _role(parent: str, block: str) -> str:
@@ -83,6 +86,33 @@ def _block(tag: str, attrs: str) -> str:
     return ".".join([tag, *words])
 
 
+def _after_raw(page: str, tag: str, at: int) -> int:
+    end = _RAW_END[tag].search(page, at)
+    return end.end() if end else len(page)
+
+
+def skips(page: str) -> dict[int, int]:
+    """Ends of the elements whose content is no text, by the ends of their opening tags; those never closed have none."""
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in SKIPPED}
+    at, last = 0, page.rfind(">")
+    while at <= last and (m := _TOKEN.search(page, at)):
+        at = m.end()
+        tag, closing = (m[2] or m[5] or "").lower(), bool(m[1] or m[4])
+        empty = m[0].endswith("/>")
+        if tag in _RAW and not closing:
+            if not (empty and (opened["svg"] or opened["math"])):
+                at = _after_raw(page, tag, at)
+        elif tag in _SKIPPED and closing:
+            if opened[tag]:
+                found[opened[tag].pop()] = at
+        elif tag in FOREIGN and empty:
+            found[at] = at
+        elif tag in _SKIPPED:
+            opened[tag].append(at)
+    return found
+
+
 def stream(page: str) -> tuple[list, list]:
     """(tokens, texts) of a page: tokens are [symbol, repeated], texts are (token index, text, characters in links)."""
     tokens: list[list] = []
@@ -118,6 +148,7 @@ def stream(page: str) -> tuple[list, list]:
                 at, text, linked = texts[k]
                 texts[k] = (at - size, text, linked)
 
+    ends: dict[int, int] | None = None
     at, n, last = 0, len(page), page.rfind(">")
     while at < n:
         m = _TOKEN.search(page, at) if at <= last else None
@@ -134,8 +165,12 @@ def stream(page: str) -> tuple[list, list]:
             continue
         tag, closing = tag.lower(), bool(m[1] or m[4])
         if tag in _RAW and not closing:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            at = _after_raw(page, tag, at)
+            continue
+        if tag in _SKIPPED:
+            if not closing:
+                ends = skips(page) if ends is None else ends
+                at = ends.get(at, at)
             continue
         if tag in _INLINE:
             if tag == "a":

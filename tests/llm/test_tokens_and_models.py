@@ -161,6 +161,19 @@ def test_names_of_page_and_article_are_no_boilerplate():
     assert pages.Extractor()(html, json.dumps(pages.page_wrapper(tokens_, texts))) == "text"
 
 
+def test_elements_without_text_take_none_of_the_article():
+    def text_of(html):
+        return " ".join(text for _, text, _ in pages.stream(html)[1])
+
+    assert text_of('<p>one <svg class="icon"/>two <math/>three</p><p>four <svg><path/><title/>no</svg>five</p>') == "one two three four five"
+    for tag in pages.SKIPPED:
+        assert text_of(f"<p>one</p><{tag} id=x><p>two</p><p>three</p>") == "one two three"
+        assert text_of(f"<p>one</p><{tag}>no<{tag}>no</{tag}>no</{tag}><p>two</p>") == "one two"
+        assert text_of(f"<p>one</p><{tag}><p>two</p><{tag}>no</{tag}><p>three</p>") == "one two three"
+    assert text_of("<p>one</p><object><!-- </object> --><script>'</object>'</script>no</object><p>two</p><style>no") == "one two"
+    assert text_of("<object>" * 50_000 + "one" + "</object>" * 20_000 + "two") == "two"
+
+
 def test_wrappers_merge_in_any_grouping(spark, monkeypatch):
     monkeypatch.setattr(pages, "GROUP", 2)
     store.ship(spark)
