@@ -10,7 +10,10 @@
 
 A slot is boilerplate if one of its blocks is navigation, a header, footer, sidebar, form, advert, notice or comment, by tag,
 role or class.  If a page has slots inside ``article`` or ``main``, those are main.  Otherwise all other slots are, but for
-those the wrapper shows to be template: text that never differs over several pages of the host, or mostly links.
+those the wrapper shows to be template: mostly links, or text that never differs, is on at least ``SAME_PAGES`` pages and on
+the share ``SAME_SHARE`` of those pages of the host that have the slot's outermost block below ``body``.  Pages count once
+if all their texts outside boilerplate are equal.  Which pages have a token is known for a seeded sample, the ``SEEN`` pages
+of least hash among them, so shares are exact up to ``SEEN`` pages and need no list of pages beyond.
 
 Only the joined pages are shuffled, once, by host; the wrapper side has one row per host, so adaptive execution splits a
 hot host.  Defined cases: null, empty or text-free html gives an empty text; a null url is a host of its own; unclosed tags
@@ -53,6 +56,8 @@ COMMENT_NAMES = {"comment", "comments", "respond"}
 MAIN_TAGS, MAIN_NAMES = {"article", "main"}, {"articlebody", "main"}
 BLOCK_ENDS_P = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "nav", "header", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figure", "main", "hr"}
 SAME_PAGES = 3
+SAME_SHARE = 0.5
+SEEN = 16
 #: Blocks of the path that names a slot, beside its role.
 PATH = 6
 GROUP = 48
@@ -202,7 +207,7 @@ def stream(page: str) -> tuple[list, list]:
     return tokens, texts
 
 
-# A wrapper is a list of [symbol, repeated, optional, pages, characters, link characters, least hash, greatest hash].
+# A wrapper is a list of [symbol, repeated, optional, pages, characters, link characters, least hash, greatest hash, least page hashes].
 
 
 def _hash(text: str) -> int:
@@ -210,7 +215,8 @@ def _hash(text: str) -> int:
 
 
 def page_wrapper(tokens: list, texts: list) -> list:
-    wrapper = [[symbol, repeated, False, 1, 0, 0, None, None] for symbol, repeated in tokens]
+    own = _hash("\n".join(text for at, text, _ in texts if _own_role(tokens[at][0]) != "boiler"))
+    wrapper = [[symbol, repeated, False, 1, 0, 0, None, None, [own]] for symbol, repeated in tokens]
     for at, text, linked in texts:
         item, value = wrapper[at], _hash(text)
         item[4] += len(text)
@@ -220,10 +226,17 @@ def page_wrapper(tokens: list, texts: list) -> list:
     return wrapper
 
 
+def _least(a: list, b: list) -> list:
+    """The SEEN least page hashes of both."""
+    if a == b or (len(a) == SEEN and b[0] > a[-1]):
+        return a
+    return sorted({*a, *b})[:SEEN]
+
+
 def _joined(a: list, b: list) -> list:
     low = [x for x in (a[6], b[6]) if x is not None]
     high = [x for x in (a[7], b[7]) if x is not None]
-    return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], a[4] + b[4], a[5] + b[5], min(low, default=None), max(high, default=None)]
+    return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], a[4] + b[4], a[5] + b[5], min(low, default=None), max(high, default=None), _least(a[8], b[8])]
 
 
 def merge(a: list, b: list) -> list:
@@ -252,15 +265,34 @@ def _own_role(symbol: str) -> str:
 def roles(wrapper: list) -> list[str]:
     """Per token: main, other (main if a page has no main slot), template or boiler; tags are none of these."""
     differs = any(x[0][0] == "#" and x[6] != x[7] for x in wrapper)
+    pages_of: dict[str, list] = {}
+    every: list = []
+    for x in wrapper:
+        every = _least(every, x[8])
+        if x[0][0] == "<":
+            pages_of[x[0]] = _least(pages_of.get(x[0], []), x[8])
+
+    def common(symbol: str, seen: list) -> bool:
+        blocks = [b for b in symbol.split(":", 1)[1].split("/") if b.split(".")[0] not in ("html", "body")]
+        of = pages_of.get("<" + blocks[0], every) if blocks else every
+        return len(seen) >= SAME_PAGES and len(set(of).intersection(seen)) >= SAME_SHARE * len(of)
+
     out = []
-    for symbol, _, _, seen, chars, linked, low, high in wrapper:
+    for symbol, _, _, _, chars, linked, low, high, seen in wrapper:
         role = _own_role(symbol)
-        if role == "other" and ((differs and seen >= SAME_PAGES and low == high) or 2 * linked > chars):
+        if role == "other" and (2 * linked > chars or (differs and low == high and common(symbol, seen))):
             role = "template"
         out.append(role)
     return out
 
 
+def _decided(batches):
+    """Wrappers as the symbols and roles of their tokens, which is what a page needs."""
+    for batch in batches:
+        wrappers = [json.loads(w) for w in batch.column("wrapper").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([json.dumps({"symbols": [x[0] for x in w], "roles": roles(w)}) for w in wrappers], pa.string())], ["host", "wrapper"])
+
+
 class Extractor:
     """Main text of pages by wrapper; alignments of equal streams are done once."""
 
@@ -276,7 +308,8 @@ class Extractor:
                 self.wrappers.clear()
             if wrapper_json not in self.wrappers:
                 wrapper = json.loads(wrapper_json)
-                self.wrappers[wrapper_json] = ([x[0] for x in wrapper], roles(wrapper))
+                decided = isinstance(wrapper, dict)
+                self.wrappers[wrapper_json] = (wrapper["symbols"], wrapper["roles"]) if decided else ([x[0] for x in wrapper], roles(wrapper))
             left, kinds = self.wrappers[wrapper_json]
             plan = [""] * len(symbols)
             for i, k, size in SequenceMatcher(None, left, symbols, autojunk=False).get_matching_blocks():
@@ -341,7 +374,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     kept = Carried(pages, html, "html", ["text"])
     site = F.col(kept.names[kept.others.index(url)])
     plain = kept.plain.withColumn("host", F.coalesce(host_of(site), F.lit("")))
-    wrappers = infer_wrappers(plain.select("host", "html"))
+    wrappers = infer_wrappers(plain.select("host", "html")).mapInArrow(_decided, "host string, wrapper string")
     joined = plain.join(wrappers, "host", "left").select(*kept.names, "html", "wrapper")
     return kept.back(joined.mapInArrow(_extract, kept.schema("text string")), "text")
 

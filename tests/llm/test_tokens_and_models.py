@@ -174,6 +174,21 @@ def test_elements_without_text_take_none_of_the_article():
     assert text_of("<object>" * 50_000 + "one" + "</object>" * 20_000 + "two") == "two"
 
 
+def test_slots_of_copies_are_no_template(spark):
+    store.ship(spark)
+    page = "<html><body><div class=page><h2>Great Site</h2><p>Text {n} of {n}</p>{more}<div>All rights reserved</div></div></body></html>"
+    quote = "<blockquote>As they say</blockquote><table><tr><td>A cell</table>"
+    rows = [(n, "http://a.com/x", page.format(n=n, more="")) for n in range(40)]
+    rows += [(n, "http://a.com/y", page.format(n="y", more=quote).replace("<body>", f"<body><!-- {n} -->")) for n in range(100, 160)]  # captures
+    rows += [(n, "http://a.com/z", page.format(n=n, more="<pre>Near copies</pre>")) for n in range(200, 206)]
+    rows += [(n, "http://b.com/y", page.format(n="y", more=quote)) for n in range(300, 303)] + [(n, "http://b.com/x", page.format(n=n, more="")) for n in range(303, 306)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(8)
+    got = {r["page_id"]: r["text"] for r in pages.extract(df).collect()}
+    assert got[0] == "Text 0 of 0" and got[303] == "Text 303 of 303"
+    assert {got[n] for n in (*range(100, 160), *range(300, 303))} == {"Text y of y As they say A cell"}
+    assert all(got[n] == f"Text {n} of {n} Near copies" for n in range(200, 206))
+
+
 def test_wrappers_merge_in_any_grouping(spark, monkeypatch):
     monkeypatch.setattr(pages, "GROUP", 2)
     store.ship(spark)
