@@ -2,8 +2,9 @@
 
 Base kinds are fixed patterns over the whole text.  The method adds ``literal`` spans: source and configuration syntax
 (``name = "x"``, ``"name": 'x'``, ``name: x``, ``--name x``, ``<name>x</name>``) is read into pairs of a name and literals,
-constants are propagated (``a = "x"; password = a + b`` reaches the literals of a and b), and a literal counts when the
-score of its target name times the score of its own characters is high enough.  A literal that meets a base span adds none.
+constants are propagated (``a = "x"; password = a + b`` reaches the literals of a and b, however many and however far), and a
+literal counts when the score of its target name times the score of its own characters is high enough.  A literal that
+meets a base span adds none.
 
 Base spans cover the whole match (name, sign and value for ``assign``); ``value_start`` says where the value begins, which
 is what ``redact`` masks.  Positions are code points, ends exclusive.
@@ -42,8 +43,6 @@ WEAK = ["key", "auth", "pass", "signature", "salt"]
 STEMS = ["pass", "pwd", "secret", "token", "key", "credential", "auth", "signature", "salt"]
 PLACEHOLDERS = ["example", "changeme", "placeholder", "your", "xxxx", "dummy", "todo", "none", "null", "true", "false", "undefined"]
 LEAST_SCORE = 0.5
-#: Literals that one constant carries to the names it is assigned to.
-REACH = 64
 
 _NAME = r"(?<![\w$])(?<![\w$][.\-])[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_][\w$]*+)*+"
 _QUOTED = r'"(?:[^"\\\n]|\\.)*+"' + r"|'(?:[^'\\\n]|\\.)*+'" + r"|`(?:[^`\\\n]|\\.)*+`"
@@ -75,32 +74,45 @@ def literal_score(value: str, quoted: bool) -> float:
 
 
 def literal_spans(text: str) -> list[tuple[int, int, str, float]]:
-    """(start, end, target name, score) of the literals that reach a sensitive name."""
-    constants: dict[str, list[tuple[int, int, bool]]] = {}
+    """(start, end, target name, score) of the literals that reach a sensitive name.
+
+    Every assignment is a node: its literals, and the nodes its names stood for at that place.  The walk from a sensitive
+    name passes by nodes that one of at least its score has reached, so each is visited once per score.
+    """
+    nodes: list[tuple[list[tuple[int, int, bool]], list[int]]] = []
+    constants: dict[str, int] = {}
+    reached: list[float] = []
     found: dict[tuple[int, int], tuple[str, float]] = {}
     resume = 0
     while pair := _PAIR.search(text, resume):
         resume = pair.end()
         if pair["tag"]:
-            name, parts = pair["tag"], [(pair.start("body"), pair.end("body"), True)]
+            name, parts, names = pair["tag"], [(pair.start("body"), pair.end("body"), True)], []
         else:
-            name, parts, at = pair["name"] or pair["flag"], [], pair
+            name, parts, names, at = pair["name"] or pair["flag"], [], [], pair
             group = "first"
             while at:
                 start, end = at.span(group)
                 if text[start] in "\"'`":
                     parts.append((start + 1, end - 1, True))
                 elif text[start:end] in constants:
-                    parts.extend(constants[text[start:end]])
+                    names.append(constants[text[start:end]])
                 else:
                     parts.append((start, end, False))
                 resume = at.end()
                 at, group = _MORE.match(text, end), 1
-        parts = list(dict.fromkeys(parts))
-        constants[name] = parts[:REACH]
+        constants[name] = len(nodes)
+        nodes.append((parts, names))
+        reached.append(0.0)
         score = name_score(name)
-        if score:
-            for start, end, quoted in parts:
+        walk = [len(nodes) - 1] if score else []
+        while walk:
+            node = walk.pop()
+            if reached[node] >= score:
+                continue
+            reached[node] = score
+            walk.extend(nodes[node][1])
+            for start, end, quoted in nodes[node][0]:
                 value = score * literal_score(text[start:end], quoted)
                 if value >= LEAST_SCORE and value > found.get((start, end), ("", 0.0))[1]:
                     found[start, end] = (name, value)

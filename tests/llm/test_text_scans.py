@@ -54,6 +54,18 @@ def test_literals_reach_sensitive_names():
     assert not any(x in masked for x in found) and masked.count("[REDACTED]") == 4
 
 
+def test_all_literals_of_a_constant_reach_the_name():
+    values = [f"Zx{k:03d}kd9Qm" for k in range(300)]
+    chain = "k = ''\n" + "".join(f'k = k + "{v}"\n' for v in values)
+    for text in ("k = " + " + ".join(f'"{v}"' for v in values) + "\ndb_pwd = k", chain + "db_pwd = k", chain + "auth = k\ndb_pwd = k"):
+        spans = secrets.scan(text)
+        assert [text[s[1] : s[2]] for s in spans] == values and {s[4] for s in spans} == {"db_pwd"}
+        assert secrets.mask(text, spans).count("[REDACTED]") == 300
+    start = time.process_time()
+    secrets.scan("k = k + 'Zx81kd9Qm'\npwd = k\n" * 20_000)
+    assert time.process_time() - start < 5
+
+
 def test_masking_keeps_the_name():
     text = 'password=abcdef0123 and token = "feedfacefeedfacefeedface" end'
     assert secrets.mask(text, secrets.scan(text)) == 'password=[REDACTED] and token = "[REDACTED]" end'
