@@ -1,7 +1,8 @@
 """Secret scans by assignment-aware lexing.
 
 Base kinds are fixed patterns over the whole text.  The method adds ``literal`` spans: source and configuration syntax
-(``name = "x"``, ``"name": 'x'``, ``name: x``, ``--name x``, ``<name>x</name>``) is read into pairs of a name and literals,
+(``name = "x"``, ``"name": 'x'``, ``name: x``, ``a["name"] = "x"``, ``name: type = "x"``, ``--name x``, ``<name>x</name>``, and
+literals joined by ``+``, also over line breaks) is read into pairs of a name and literals,
 constants are propagated (``a = "x"; password = a + b`` reaches the literals of a and b, however many and however far), and a
 literal counts when the score of its target name times the score of its own characters is high enough.  A literal that
 meets a base span adds none.
@@ -47,10 +48,16 @@ LEAST_SCORE = 0.5
 _NAME = r"(?<![\w$])(?<![\w$][.\-])[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_][\w$]*+)*+"
 _QUOTED = r'"(?:[^"\\\n]|\\.)*+"' + r"|'(?:[^'\\\n]|\\.)*+'" + r"|`(?:[^`\\\n]|\\.)*+`"
 _BARE = r"[^\s\"'`,;(){}\[\]<>&|+]++"
+# A type between ':' and '=': one name with its arguments and alternatives, as two words in a row are prose or another pair.
+_ARGS = r"[\[<][^\s=:;{}]*+(?:[\x20\t]++[^\s=:;{}]++)*+"
+_TYPE = rf"(?:[&*?]++(?:'\w++\x20)?(?:mut\x20)?)?(?P<type>[A-Za-z_][\w$]*+(?:(?:::|\.)[A-Za-z_][\w$]*+)*+)(?:{_ARGS})?+(?:[\x20\t]*+\|[\x20\t]*+[A-Za-z_][\w.$]*+(?:{_ARGS})?+)*+[?!]?+"
+_TYPED = rf""":[\x20\t]*+{_TYPE}(?:[\x20\t]++=(?=[\x20\t])|[\x20\t]*+=(?=[\x20\t]*+["'`]))"""
 _PAIR = re.compile(
-    rf"""(?:<(?P<tag>{_NAME})>(?P<body>[^<>\n]++)</)|(?:(?:(?<![\w\-])--(?P<flag>[A-Za-z][\w\-]*+)[\x20=]|(?P<q>["']?)(?P<name>{_NAME})(?P=q)[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+)(?P<first>{_QUOTED}|{_BARE}))"""
+    rf"""(?:<(?P<tag>{_NAME})>(?P<body>[^<>\n]++)</)|(?:(?:(?<![\w\-])--(?P<flag>[A-Za-z][\w\-]*+)[\x20=]|(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:(?<=["'])[\x20\t]*+\])?+[\x20\t]*+(?:{_TYPED}|:=|=>|=(?!=)|:(?![:/]))[\x20\t]*+)(?P<first>{_QUOTED}|{_BARE}))"""
 )
-_MORE = re.compile(rf"[\x20\t]*+\+[\x20\t]*+({_QUOTED}|{_BARE})")
+# Over a line break only what is no name of a pair itself: a leading '+' may also mark an added line.
+_BREAK = r"(?:\s|\\(?=\r?\n))*+"
+_MORE = re.compile(rf"""[\x20\t]*+\+[\x20\t]*+(?!\\\r?\n)({_QUOTED}|{_BARE})|{_BREAK}\+{_BREAK}((?:{_QUOTED}|{_NAME})(?![\x20\t]*+(?:\]|[:=])))""")
 
 
 def name_score(name: str) -> float:
@@ -90,6 +97,8 @@ def literal_spans(text: str) -> list[tuple[int, int, str, float]]:
             name, parts, names = pair["tag"], [(pair.start("body"), pair.end("body"), True)], []
         else:
             name, parts, names, at = pair["name"] or pair["flag"], [], [], pair
+            if pair["type"]:
+                parts.append((*pair.span("type"), False))
             group = "first"
             while at:
                 start, end = at.span(group)
@@ -100,11 +109,16 @@ def literal_spans(text: str) -> list[tuple[int, int, str, float]]:
                 else:
                     parts.append((start, end, False))
                 resume = at.end()
-                at, group = _MORE.match(text, end), 1
+                at = _MORE.match(text, end)
+                group = at.lastindex if at else 0
         constants[name] = len(nodes)
         nodes.append((parts, names))
         reached.append(0.0)
         score = name_score(name)
+        # "note: password = x" may be a word and a pair as well
+        if pair["type"] and name_score(pair["type"]) > score:
+            name, score = pair["type"], name_score(pair["type"])
+            constants[name] = len(nodes) - 1
         walk = [len(nodes) - 1] if score else []
         while walk:
             node = walk.pop()

@@ -66,6 +66,30 @@ def test_all_literals_of_a_constant_reach_the_name():
     assert time.process_time() - start < 5
 
 
+def test_literals_of_subscripts_types_and_broken_lines():
+    one, two = "Zx81kd9Qm", "q9Zt7Lp"
+    forms = [
+        'config["password"] = "{}"', "os.environ['API_KEY'] = '{}'", 'a["b"][ "db_pwd" ]="{}"', 'password: str = "{}"', 'const apiKey: string = "{}";',
+        'db_pwd:str="{}"', 'token: Optional[str] = "{}"', 'secret: Dict[str, List[int]] = "{}"', 'secret: str | None = "{}"', "let token: &'static str = \"{}\";",
+        'val pwd: String? = "{}"', 'x: Map<String, std::string> = "a" + "b"; pwd: std::string = "{}"', 'note: passphrase = "{}"',
+    ]
+    for form in forms:
+        text = form.format(one)
+        assert text[text.index(one) :].startswith(one) and one in {text[s[1] : s[2]] for s in secrets.scan(text)}, form
+        assert one not in secrets.mask(text, secrets.scan(text))
+    for form in ('db_pwd = "{}" +\n    "{}"', "db_pwd = ('x'\n db_pwd = '{}'\n  + '{}'", 'db_pwd = "{}" + \\\n "{}"', 'b = "{1}"\ndb_pwd = "{0}" +\r\n b'):
+        text = form.format(one, two)
+        assert {one, two} <= {text[s[1] : s[2]] for s in secrets.scan(text)}, form
+    for form in ('a: {}\n+pwd: {}', ' "a": "{}"\n+ "db_pwd": "{}"', "a = {}\n+ pwd = {}", "a = '{}'\n+c['pwd'] = '{}'"):
+        text = form.format(one, two)
+        assert {text[s[1] : s[2]] for s in secrets.scan(text)} == {two}, form
+    assert not secrets.scan('if config["password"] == "Zx81kd9Qm" or token: pass')
+    for text in ("pwd: a[" * 30_000, "pwd: a" + " " * 200_000 + "x", "pwd: a[" + " b" * 100_000, "pwd=a" + "\n" * 200_000, "pwd='a'" + "\n+" * 100_000, "pwd:a|b" + "|c" * 100_000, "pwd:" + "a::b" * 50_000, 'c["pwd"' + " " * 200_000):
+        start = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - start < 5
+
+
 def test_masking_keeps_the_name():
     text = 'password=abcdef0123 and token = "feedfacefeedfacefeedface" end'
     assert secrets.mask(text, secrets.scan(text)) == 'password=[REDACTED] and token = "[REDACTED]" end'
