@@ -9,7 +9,7 @@
 3. Each (place, item) pair is aligned by Smith-Waterman over words (+2 equal, -1 different, -1 gap), but for those whose
    words in common can't reach the score needed in any order, such as most that share a phrase of common words.  A document
    is contaminated by an item of n words if the best local score reaches n, half of a perfect copy's 2n, and at least that
-   of eight equal words (or of the whole item, if shorter).
+   of eight equal words (or of the whole item, if shorter).  The score of ``PART_WORDS`` equal words is enough for any item.
 
 A hot passage makes one join key hot on the side of the places, which adaptive execution splits; every later step works on
 one place at a time.  Defined cases: null and empty texts are clean; items of fewer than three words can't be found; equal
@@ -33,6 +33,7 @@ TABLE_BITS = 25
 MATCH, MISMATCH, GAP = 2, -1, -1
 SHARE = 0.5
 LEAST_WORDS = 8
+PART_WORDS = 20
 
 
 def _ragged(values: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -168,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     slack = (n / 4).cast("int") + 8
     met = pairs.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item").join(places.select("place", "doc_id", "text_key", "words"), "place")
     start = F.greatest(F.col("lo") - slack, F.lit(0))
-    least = F.greatest(F.ceil(SHARE * MATCH * n), F.least(F.lit(LEAST_WORDS), n) * MATCH)
+    least = F.least(F.greatest(F.ceil(SHARE * MATCH * n), F.least(F.lit(LEAST_WORDS), n) * MATCH), F.lit(PART_WORDS * MATCH))
     met = met.select("doc_id", "text_key", "item_id", n.cast("long").alias("n_words"), least.cast("long").alias("least"), F.slice("words", start + 1, F.col("hi") + n + slack - start).alias("words"), "item_words")
     scored = met.mapInArrow(_best_scores, "doc_id long, text_key long, item_id long, n_words long, least long, score long").where("score >= least")
     return scored.groupBy("doc_id", "text_key", "item_id", "n_words").agg(F.max("score").alias("score"))

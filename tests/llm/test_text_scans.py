@@ -209,3 +209,13 @@ def test_exact_copy_beside_many_edited_copies(spark):
     store.ship(spark)
     got = {r["doc_id"]: r["score"] for r in decontam.contamination(docs, bench).collect()}
     assert got == {0: 40, **dict.fromkeys(range(1, 1001), decontam.MATCH * 16 - 3)}
+
+
+def test_long_verbatim_part_of_a_long_item(spark):
+    item = [f"plain{i}" for i in range(200)]
+    parts = {0: item[100:128], 1: item[:20], 2: item[-19:], 3: item[50:62] + ["other"] + item[63:73]}
+    docs = spark.createDataFrame([(k, " ".join(["before", *part, "behind"])) for k, part in parts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item[100:159]))], "item_id long, text string")
+    store.ship(spark)
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contamination(docs, bench).collect()}
+    assert got == {(0, 7): 56, (0, 8): 56, (1, 7): 40, (3, 7): 43}
