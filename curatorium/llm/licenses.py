@@ -3,7 +3,7 @@
 1. A batch of texts is cut into words (lower case, no punctuation at the edges) as flat arrays of hashes; one lookup marks
    the words that any template has.  A template can only reach its coverage if the words it shares with the text weigh
    enough, which rules out nearly all texts without an alignment.
-2. In the others, runs of template words (gaps of at most ``GAP`` other words) are the regions.  A region that starts with
+2. In the others, runs of template words (gaps of at most ``GAP`` other words, or half the template's length) are the regions.  A region that starts with
    enough shared words is aligned with the template: words unique to both are anchors, their longest increasing
    subsequence is kept, and the gaps between anchors are aligned in the same way, down to equal words at either end.
 3. Coverage is the share of template words that were aligned.  Of overlapping finds the one with more aligned words stays.
@@ -147,12 +147,12 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def regions(marked: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of template words with at most GAP other words in between."""
+def regions(marked: np.ndarray, gap: int = GAP) -> list[tuple[int, int]]:
+    """Runs of template words with at most ``gap`` other words in between."""
     at = np.flatnonzero(marked)
     if not len(at):
         return []
-    cut = np.flatnonzero(np.diff(at) > GAP + 1)
+    cut = np.flatnonzero(np.diff(at) > gap + 1)
     return list(zip(at[np.concatenate(([0], cut + 1))].tolist(), (at[np.append(cut, len(at) - 1)] + 1).tolist()))
 
 
@@ -163,7 +163,7 @@ def find(words: np.ndarray, templates: Templates, candidates) -> list[tuple[str,
         template = templates.all[k]
         own = np.isin(words, np.array(template.words, np.uint64))
         least = int(templates.needed[k])
-        for lo, hi in regions(own):
+        for lo, hi in regions(own, max(GAP, len(template.words) // 2)):
             # a long region may hold several copies: look again behind each one found
             while hi - lo >= least:
                 if np.count_nonzero(own[lo:hi]) < least:

@@ -147,6 +147,17 @@ def test_license_copies_with_changes():
     assert not _find("Licensed under the Apache License") and not _find(" ".join(full[:30])) and not _find(LONG)
 
 
+def test_license_copies_with_a_long_insertion():
+    full = licenses.TEMPLATES["MIT"][2].split()
+    foreign = [f"foreign{i}" for i in range(len(full) // 2)]
+    for at in (20, 42, 70):
+        (found,) = _find(" ".join(["hello", *full[:at], *foreign, *full[at:], "bye"]))
+        assert found == ("MIT", 1, 1 + len(full) + len(foreign), len(full), len(full))
+    twice = [*full[:42], *foreign, *full[42:], *foreign] * 2
+    assert [f[3] for f in _find(" ".join(twice))] == [len(full)] * 2
+    assert not _find(" ".join([*full[:42], *foreign * 3, *full[42:]]))
+
+
 def test_patience_alignment_is_increasing_and_equal():
     rng = random.Random(1)
     for _ in range(300):
