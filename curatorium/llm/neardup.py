@@ -46,12 +46,14 @@ LEAST_EQUAL = int(np.ceil(PERMUTATIONS * (CUT * (1 - 2.0**-BITS) + 2.0**-BITS)))
 ONES = sum(1 << (BITS * i) for i in range(LANES))
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
 FILTER_BITS = 20
+#: Pairs of a block that are compared at a time: 4 MB of packed minima a side.
+PAIRS = 1 << 16
 
 _RNG = np.random.default_rng(77)
 _FACTORS = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_SEEDS = _RNG.integers(1, 1 << 63, BANDS, dtype=np.uint64)
 
-SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, packed array<long>"
+SIGNATURE = "doc_id long, text_key long, n_shingles long, fp1 long, fp2 long, bands array<long>, packed array<long>"
 
 
 def shingles(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +120,14 @@ def _sign(batches):
                 mins = minima(hashes, starts)
                 keys[some], packed[some] = band_keys(mins), pack(mins)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(fp1), pa.array(fp2), _lists(keys.ravel(), BANDS), _lists(packed.ravel(), WORDS)],
-                ["doc_id", "n_shingles", "fp1", "fp2", "bands", "packed"],
+                [part.column("doc_id"), part.column("text_key"), pa.array(counts.astype(np.int64)), pa.array(fp1), pa.array(fp2), _lists(keys.ravel(), BANDS), _lists(packed.ravel(), WORDS)],
+                ["doc_id", "text_key", "n_shingles", "fp1", "fp2", "bands", "packed"],
             )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, SIGNATURE)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return keyed.mapInArrow(_sign, SIGNATURE)
 
 
 def _sets(batches):
@@ -183,14 +186,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _pairs_within(first: np.ndarray, rows: int):
-    """Index pairs p < q inside runs that start at ``first``, about a million pairs at a time."""
+    """Index pairs p < q inside runs that start at ``first``, about ``PAIRS`` at a time (one row's pairs at least)."""
     ends = np.repeat(np.append(first[1:], rows), np.diff(np.append(first, rows)))
     counts = ends - np.arange(rows) - 1
     upto = np.cumsum(counts)
     at = 0
     while at < rows:
         base = upto[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(upto, base + (1 << 20), side="right")))
+        stop = max(at + 1, int(np.searchsorted(upto, base + PAIRS, side="right")))
         c = counts[at:stop]
         p = np.repeat(np.arange(at, stop), c)
         q = np.arange(len(p)) - np.repeat(np.cumsum(c) - c, c) + p + 1
@@ -206,6 +209,16 @@ def _matrix(column, width: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, width)
 
 
+def _first_shared(bands: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The first band in which each pair of rows agrees (BANDS if none), band by band for the pairs still open."""
+    found, open_ = np.full(len(p), BANDS), np.arange(len(p))
+    for k in range(BANDS):
+        same = bands[p[open_], k] == bands[q[open_], k]
+        found[open_[same]] = k
+        open_ = open_[~same]
+    return found
+
+
 def _survivors(batches):
     """Per block row, the nodes of the same block pair that the estimate can't rule out."""
     for table_ in W.complete_runs(batches, "block"):
@@ -220,9 +233,9 @@ def _survivors(batches):
             p, q = p[ok], q[ok]
             ok = equal_lanes(packed[p], packed[q]) >= LEAST_EQUAL
             p, q = p[ok], q[ok]
-            ok = (bands[p] == bands[q]).argmax(axis=1) == col["band"][p] if len(p) else np.zeros(0, bool)
-            kept_p.append(p[ok])
-            kept_q.append(q[ok])
+            ok = _first_shared(bands, p, q) == col["band"][p]
+            kept_p.append(p[ok].astype(np.int32))
+            kept_q.append(q[ok].astype(np.int32))
         p, q = np.concatenate(kept_p), np.concatenate(kept_q)
         if not len(p):
             continue
@@ -345,18 +358,18 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, text_key, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text); text_key is xxhash64 of the text."""
     signed = settle(signatures(docs), "signatures")
     classes = classes_of(signed)
     labels = link_classes(docs, classes)
     placed = classes.select("node", "doc_id", "fp1", "fp2").join(labels, "node", "left")
     smallest = placed.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("smallest"))
     placed = placed.join(smallest, "label", "left").select("fp1", "fp2", F.coalesce("smallest", "doc_id").alias("class_id"))
-    rows = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(placed, ["fp1", "fp2"], "left")
+    rows = signed.select("doc_id", "text_key", "n_shingles", "fp1", "fp2").join(placed, ["fp1", "fp2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 @query("op2_near_duplicates")
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")

@@ -2,7 +2,10 @@
 
 import random
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from fixtures import EDGE, SF, edge, near_duplicate_classes, shingle_set
 
 from curatorium.llm import graph, neardup, store
@@ -81,3 +84,25 @@ def test_partial_labels_never_cross_components(spark):
     partial = {r["node"]: r["label"] for r in graph.components(table, rounds=1).collect()}
     assert whole.keys() == partial.keys()
     assert all(whole[n] == whole[label] for n, label in partial.items())
+
+
+def _block(rows: int, seed: int) -> pa.RecordBatch:
+    """Two halves of near copies with different labels that meet in one block; every pair of the halves passes the estimate."""
+    rng = np.random.default_rng(seed)
+    mins = np.repeat(rng.integers(0, 1 << 32, (1, neardup.PERMUTATIONS), dtype=np.uint64), rows, axis=0)
+    mins[np.arange(rows), rng.integers(4, neardup.PERMUTATIONS, rows)] ^= np.uint64(1)
+    column = lambda values, kind: pa.array(np.full(rows, values) if np.isscalar(values) else values, kind)
+    half = (np.arange(rows) >= rows // 2).astype(np.int32)
+    lists = [neardup._lists(neardup.band_keys(mins).ravel(), neardup.BANDS), neardup._lists(neardup.pack(mins).ravel(), neardup.WORDS)]
+    plain = [column(seed, pa.int64()), column(np.arange(rows), pa.int64()), column(half, pa.int64()), column(100, pa.int64()), column(half, pa.int32()), column(False, pa.bool_()), column(0, pa.int32())]
+    return pa.RecordBatch.from_arrays([*plain, *lists], ["block", "node", "label", "n_shingles", "side", "alone", "band", "bands", "packed"])
+
+
+def test_memory_of_a_block_whose_pairs_all_pass():
+    block = _block(2 * neardup.BLOCK_ROWS, 5)
+    tracemalloc.start()
+    found = list(neardup._survivors(iter([block])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(p) for b in found for p in b.column("partners")) == neardup.BLOCK_ROWS**2
+    assert peak < 48 << 20, peak

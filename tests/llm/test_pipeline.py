@@ -38,3 +38,10 @@ def test_one_row_of_each_group_stays(spark):
     kept = pipeline.near_dedup(spark, edge(spark), SF).collect()
     ids = [r["doc_id"] for r in kept]
     assert ids.count(8) == 0 and ids.count(7) == 1 and ids.count(None) == 2 and {1, 2, 3, 4, 5} <= set(ids)
+
+
+def test_texts_of_one_id_are_decided_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(7, a), (8, a), (8, b), (8, b), (None, b), (9, a + " more"), (7, a)], "doc_id long, text string")
+    store.ship(spark)
+    assert sorted(pipeline.near_dedup(spark, docs, SF).collect(), key=str) == sorted([(7, a), (8, b), (None, b)], key=str)
