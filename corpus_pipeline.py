@@ -31,9 +31,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; of repeated rows one."""
     ship(spark)
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    found = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    return found.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    found = neardup.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
+    found = settle(found.agg((F.count(F.lit(1)) > 1).alias("__again")), "kept")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+    once = docs.join(found.where("not __again"), same, "left_semi")
+    # repeated rows: few texts pass the broadcast slots of their keys (a bounded number), so few are shuffled
+    slot = lambda key: F.pmod(key, F.lit(1 << 20))
+    again = found.where("__again")
+    slots = F.broadcast(again.select(slot(F.col("__key")).alias("__slot")).distinct())
+    repeated = docs.join(slots, slot(F.xxhash64(docs["text"])) == F.col("__slot"), "left_semi").join(again, same, "left_semi")
+    repeated = repeated.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return once.unionByName(repeated)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
