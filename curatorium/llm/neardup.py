@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatorium.llm import wordhash as W
+from curatorium.llm.blocks import meeting_blocks, pairs_within, starts_of
 from curatorium.llm.graph import components
 from curatorium.llm.registry import query, table
 from curatorium.llm.store import settle
@@ -185,26 +186,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(100 * F.col("both") >= THRESHOLD * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
-def _pairs_within(first: np.ndarray, rows: int):
-    """Index pairs p < q inside runs that start at ``first``, about ``PAIRS`` at a time (one row's pairs at least)."""
-    ends = np.repeat(np.append(first[1:], rows), np.diff(np.append(first, rows)))
-    counts = ends - np.arange(rows) - 1
-    upto = np.cumsum(counts)
-    at = 0
-    while at < rows:
-        base = upto[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(upto, base + PAIRS, side="right")))
-        c = counts[at:stop]
-        p = np.repeat(np.arange(at, stop), c)
-        q = np.arange(len(p)) - np.repeat(np.cumsum(c) - c, c) + p + 1
-        yield p, q
-        at = stop
-
-
-def _starts_of(values: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
-
-
 def _matrix(column, width: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, width)
 
@@ -222,18 +203,18 @@ def _first_shared(bands: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray
 def _survivors(batches):
     """Per block row, the nodes of the same block pair that the estimate can't rule out."""
     for table_ in W.complete_runs(batches, "block"):
-        col = {c: table_.column(c).to_numpy() for c in ("block", "node", "label", "n_shingles", "side", "alone", "band")}
+        col = {c: table_.column(c).to_numpy() for c in ("block", "node", "label", "weight", "side", "alone", "tag")}
         packed, bands = _matrix(table_.column("packed"), WORDS), _matrix(table_.column("bands"), BANDS)
         kept_p, kept_q = [], []
-        for p, q in _pairs_within(_starts_of(col["block"]), len(packed)):
+        for p, q in pairs_within(starts_of(col["block"]), len(packed), PAIRS):
             ok = (col["label"][p] != col["label"][q]) & (col["alone"][p] | (col["side"][p] != col["side"][q]))
             p, q = p[ok], q[ok]
-            a, b = col["n_shingles"][p], col["n_shingles"][q]
+            a, b = col["weight"][p], col["weight"][q]
             ok = 100 * np.minimum(a, b) >= THRESHOLD * np.maximum(a, b)
             p, q = p[ok], q[ok]
             ok = equal_lanes(packed[p], packed[q]) >= LEAST_EQUAL
             p, q = p[ok], q[ok]
-            ok = _first_shared(bands, p, q) == col["band"][p]
+            ok = _first_shared(bands, p, q) == col["tag"][p]
             kept_p.append(p[ok].astype(np.int32))
             kept_q.append(q[ok].astype(np.int32))
         p, q = np.concatenate(kept_p), np.concatenate(kept_q)
@@ -251,7 +232,7 @@ def _links(batches):
     for table_ in W.complete_runs(batches, "block"):
         blocks, nodes = table_.column("block").to_numpy(), table_.column("node").to_numpy()
         sets, partners = table_.column("shingles").combine_chunks(), table_.column("partners").combine_chunks()
-        bounds = np.append(_starts_of(blocks), len(blocks))
+        bounds = np.append(starts_of(blocks), len(blocks))
         out_a, out_b = [], []
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             own = {int(v): k for k, v in enumerate(nodes[lo:hi], lo)}
@@ -283,44 +264,6 @@ def _links(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
-def _parts(rows: Column, weight: Column) -> Column:
-    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(weight / BLOCK_SHINGLES), F.lit(1)).cast("int")
-
-
-def _blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets that still hold two labels, once for every pair of blocks they belong to.
-
-    The rows of a bucket's most frequent label need no look at each other: their blocks only meet those of the other rows,
-    so a hot bucket with few strangers is listed about once, not once per block.
-    """
-    labelled = members.join(labels, F.col("node") == F.col("nid"), "left").select("key", "band", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
-    per_label = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("weight"))
-    main = F.max(F.struct("rows", "weight", "label"))
-    open_ = per_label.groupBy("key").agg(main.alias("main"), F.sum("rows").alias("rows"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("labels"))
-    open_ = open_.where("labels > 1").select(
-        "key", F.col("main.label").alias("main"), _parts(F.col("main.rows"), F.col("main.weight")).alias("main_parts"),
-        _parts(F.col("rows") - F.col("main.rows"), F.col("weight") - F.col("main.weight")).alias("parts"),
-    )
-    rows = labelled.join(open_, "key").withColumn("usual", F.col("label") == F.col("main"))
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("usual"), F.col("main_parts")).otherwise(F.col("parts"))).cast("int")
-    rows = rows.withColumn("own", own)
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-
-    def meeting(with_main: bool, other: Column) -> Column:
-        usual = F.col("usual")
-        first = F.when(usual, other).otherwise(F.col("own")) if with_main else F.least(F.col("own"), other)
-        second = F.when(usual, F.col("own")).otherwise(other) if with_main else F.greatest(F.col("own"), other)
-        side = usual.cast("int") if with_main else (F.col("own") > other).cast("int")
-        alone = F.lit(False) if with_main else F.col("own") == other
-        return F.struct(F.xxhash64("key", F.lit(with_main), first, second).alias("block"), side.alias("side"), alone.alias("alone"))
-
-    strangers = F.transform(upto("parts"), lambda other: meeting(False, other))
-    against_main = F.transform(F.when(F.col("usual"), upto("parts")).otherwise(upto("main_parts")), lambda other: meeting(True, other))
-    blocks = F.when(F.col("usual"), against_main).otherwise(F.concat(against_main, strangers))
-    # a block met with itself lists each row once; of two blocks one is side 0
-    return rows.select("node", "n_shingles", "label", "band", F.inline(blocks))
-
-
 def classes_of(signed: DataFrame) -> DataFrame:
     """One row per distinct set: node, its smallest doc_id, and the signature."""
     same = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("fp1", "fp2")
@@ -346,7 +289,8 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     stars = settle(_confirmed(likely, sets), "stars")
     labels = components(stars, rounds=2)  # partial labels do: they only spare comparisons
 
-    blocks = _blocks(members, labels.select(F.col("node").alias("nid"), "label"))
+    listed = members.select("key", F.col("band").alias("tag"), "node", F.col("n_shingles").alias("weight"))
+    blocks = meeting_blocks(listed, labels.select(F.col("node").alias("nid"), "label"), BLOCK_ROWS, BLOCK_SHINGLES)
     blocks = blocks.join(classes.select("node", "bands", "packed"), "node")
     pairs = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_survivors, "block long, node long, partners array<long>")
     pairs = settle(pairs, "pairs")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curatorium.llm.store import ship
 
-MODULES = ["quality", "urls", "neardup", "tokens", "pieces", "secrets", "decontam", "pages", "langid", "licenses", "filteraudit", "divergence"]
+MODULES = ["quality", "urls", "neardup", "tokens", "pieces", "secrets", "decontam", "pages", "langid", "licenses", "filteraudit", "divergence", "capfilters"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

@@ -95,7 +95,7 @@ def _block(rows: int, seed: int) -> pa.RecordBatch:
     half = (np.arange(rows) >= rows // 2).astype(np.int32)
     lists = [neardup._lists(neardup.band_keys(mins).ravel(), neardup.BANDS), neardup._lists(neardup.pack(mins).ravel(), neardup.WORDS)]
     plain = [column(seed, pa.int64()), column(np.arange(rows), pa.int64()), column(half, pa.int64()), column(100, pa.int64()), column(half, pa.int32()), column(False, pa.bool_()), column(0, pa.int32())]
-    return pa.RecordBatch.from_arrays([*plain, *lists], ["block", "node", "label", "n_shingles", "side", "alone", "band", "bands", "packed"])
+    return pa.RecordBatch.from_arrays([*plain, *lists], ["block", "node", "label", "weight", "side", "alone", "tag", "bands", "packed"])
 
 
 def test_memory_of_a_block_whose_pairs_all_pass():
