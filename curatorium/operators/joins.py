@@ -206,33 +206,6 @@ def usable_reserves(queue: DataFrame, cell: str, tier: str, ready: Column) -> Da
     return queue.where((F.col(tier) == "reserve") & ~ready).join(open_cells, cell)
 
 
-def resolve_titles(facts: DataFrame, pages: DataFrame, accept: int = 80) -> DataFrame:
-    """Match facts to pages by title variants and score; accept a unique best of at least ``accept``.
-
-    Page titles are unique, so a fact meets at most one page per variant.
-    """
-    variant = lambda text, points: F.named_struct(F.lit("k"), normalized_title(text), F.lit("points"), F.lit(points))
-    year = F.col("year").cast("string")
-    variants = F.array(
-        variant(F.concat("title", F.lit(" ("), year, F.lit(" film)")), 100),
-        variant(F.concat("title", F.lit(" (film)")), 80),
-        variant(F.col("title"), 60),
-    )
-    asked = facts.select("id", year.alias("year_text"), F.explode(variants).alias("v")).select("id", "year_text", "v.*")
-    found = asked.join(pages.withColumn("k", normalized_title(F.col("page_title"))), "k").where(~F.col("disambiguation"))
-    dated = F.col("page_title").rlike("[0-9]") & F.array_contains(F.regexp_extract_all("page_title", F.lit("([A-Za-z0-9_]+)"), 1), F.col("year_text"))
-    scored = found.groupBy("id", "page_title").agg(
-        F.max(F.col("points") + F.when(dated, 30).otherwise(0) + F.col("structure_score")).alias("score")
-    )
-    best = scored.groupBy("id").agg(
-        F.max("score").alias("best"),
-        F.max_by("page_title", "score").alias("page_title"),
-        F.collect_list("score").alias("scores"),  # at most one per variant
-    )
-    unique = F.size(F.filter("scores", lambda s: s == F.col("best"))) == 1
-    return best.select("id", F.when((F.col("best") >= accept) & unique, F.col("page_title")).alias("page_title"), F.col("best").alias("score"))
-
-
 def approval_freshness(recorded: DataFrame, actual: DataFrame, key: str, hashes: Sequence[str]) -> DataFrame:
     """STALE_APPROVAL per hash that differs from its recomputed value."""
     a = recorded.select(key, F.struct(*hashes).alias("a"))

@@ -9,6 +9,7 @@ from curatorium.functions.columns import digest, joined, reasons
 from curatorium.operators import joins as J
 from curatorium.operators import predicates as P
 from curatorium.operators import ranking
+from curatorium.operators import titles as N
 from curatorium.operators.aggregates import identity_index
 from curatorium.plans.checks import editorial
 from curatorium.plans.predicates import routing
@@ -333,35 +334,98 @@ def _(t):
     return J.usable_reserves(queue, "cell", "tier", c("is_ready")).select("tmdb_id", "cell", c("rn").cast("bigint").alias("rn"), "quota", "ready")
 
 
-CTES["wiki_pages"] = (
+# facts: customers, and the first letters of some names, which many page titles contain
+CTES["title_facts"] = (
     (),
-    """SELECT c_name || CASE WHEN c_nationkey % 4 = 0 THEN ' (' || (1980 + c_custkey % 45) || ' film)' WHEN c_nationkey % 4 = 1 THEN ' (film)' ELSE '' END AS page_title, c_nationkey = 7 AS disambiguation,
-       CASE WHEN c_mktsegment = 'BUILDING' THEN 50 ELSE 0 END AS structure_score FROM customer
-       UNION ALL SELECT c_name || ' (film)', false, 0 FROM customer WHERE c_nationkey % 4 = 3 AND c_mktsegment <> 'BUILDING'""",
+    """SELECT c_custkey AS id, c_name AS title, 1980 + c_custkey % 45 AS year, c_nationkey AS kind, c_mktsegment AS segment FROM customer
+       UNION ALL SELECT 1000000 + c_custkey, substr(c_name, 1, 16), 1980 + c_custkey % 45, 99, '' FROM customer WHERE c_custkey % 50 = 0""",
+)
+# pages: named like a variant, longer titles, and pages that only redirects lead to
+CTES["wiki_pages"] = (
+    ("title_facts",),
+    """SELECT title || CASE WHEN kind % 4 = 0 THEN ' (' || year || ' film)' WHEN kind % 4 = 1 THEN ' (film)' ELSE '' END AS page_title, kind = 7 AS disambiguation, CASE WHEN segment = 'BUILDING' THEN 50 ELSE 0 END AS structure_score FROM title_facts WHERE id < 1000000
+       UNION ALL SELECT title || ' (film)', false, 0 FROM title_facts WHERE kind % 4 = 3 AND kind < 99 AND segment <> 'BUILDING'
+       UNION ALL SELECT 'The Story of ' || title || CASE WHEN id % 2 = 0 THEN ', ' || year ELSE '' END, false, CASE WHEN segment = 'MACHINERY' THEN 70 ELSE 30 END FROM title_facts WHERE kind % 5 = 0
+       UNION ALL SELECT 'Another name of ' || id || ' (' || year || ' film)', false, 70 FROM title_facts WHERE kind % 6 = 1""",
 )
+# redirects: some titles over one step, some over two, some in circles
+CTES["wiki_redirects"] = (
+    ("title_facts",),
+    """SELECT title || ' (film)' AS source, 'Alias ' || id AS target FROM title_facts WHERE kind % 6 = 1
+       UNION ALL SELECT 'Alias ' || id, CASE WHEN id % 3 = 0 THEN 'Alias of alias ' || id ELSE 'Another name of ' || id || ' (' || year || ' film)' END FROM title_facts WHERE kind % 6 = 1
+       UNION ALL SELECT 'Alias of alias ' || id, CASE WHEN id % 4 = 0 THEN title || ' (film)' ELSE 'Another name of ' || id || ' (' || year || ' film)' END FROM title_facts WHERE kind % 6 = 1 AND id % 3 = 0""",
+)
+
+
+def title_facts(t):
+    cust = t.raw("customer")
+    year = F.lit(1980).cast("bigint") + c("c_custkey") % 45
+    whole = cust.select(c("c_custkey").alias("id"), c("c_name").alias("title"), year.alias("year"), c("c_nationkey").cast("bigint").alias("kind"), c("c_mktsegment").alias("segment"))
+    short = cust.where("c_custkey % 50 = 0").select((c("c_custkey") + 1000000).alias("id"), F.substring("c_name", 1, 16).alias("title"), year.alias("year"), F.lit(99).cast("bigint").alias("kind"), F.lit("").alias("segment"))
+    return whole.unionByName(short)
+
+
+def wiki_tables(t):
+    """(pages, redirects) drawn from the facts."""
+    facts, kind, year = title_facts(t), c("kind"), c("year").cast("string")
+    of_year, other = F.concat(F.lit(" ("), year, F.lit(" film)")), F.concat(F.lit("Another name of "), c("id").cast("string"), F.lit(" ("), year, F.lit(" film)"))
+    tail = F.when(kind % 4 == 0, of_year).when(kind % 4 == 1, " (film)").otherwise("")
+    page = lambda title, structure, off=F.lit(False): (title.alias("page_title"), off.alias("disambiguation"), structure.cast("int").alias("structure_score"))
+    building = c("segment") == "BUILDING"
+    story = F.concat(F.lit("The Story of "), c("title"), F.when(c("id") % 2 == 0, F.concat(F.lit(", "), year)).otherwise(""))
+    pages = J.union_all(
+        [
+            facts.where("kind < 99").select(*page(F.concat("title", tail), F.when(building, 50).otherwise(0), kind == 7)),
+            facts.where((kind % 4 == 3) & (kind < 99) & ~building).select(*page(F.concat("title", F.lit(" (film)")), F.lit(0))),
+            facts.where(kind % 5 == 0).select(*page(story, F.when(c("segment") == "MACHINERY", 70).otherwise(30))),
+            facts.where(kind % 6 == 1).select(*page(other, F.lit(70))),
+        ]
+    )
+    alias, second = F.concat(F.lit("Alias "), c("id").cast("string")), F.concat(F.lit("Alias of alias "), c("id").cast("string"))
+    film = F.concat("title", F.lit(" (film)"))
+    third = c("id") % 3 == 0
+    steps = F.array_compact(
+        F.array(
+            F.struct(film.alias("source"), alias.alias("target")),
+            F.struct(alias.alias("source"), F.when(third, second).otherwise(other).alias("target")),
+            F.when(third, F.struct(second.alias("source"), F.when(c("id") % 4 == 0, film).otherwise(other).alias("target"))),
+        )
+    )
+    return pages, facts.where(kind % 6 == 1).select(F.inline(steps))
+
+
+@query(
+    "resolve_redirects",
+    ["wiki_redirects"],
+    """RECURSIVE walk AS (SELECT source, target, 1 AS hops FROM wiki_redirects UNION ALL SELECT w.source, r.target, w.hops + 1 FROM walk w JOIN wiki_redirects r ON r.source = w.target WHERE w.hops < 10)
+       SELECT source, max(CASE WHEN target NOT IN (SELECT source FROM wiki_redirects) THEN target END) AS final, max(CASE WHEN target NOT IN (SELECT source FROM wiki_redirects) THEN hops END)::BIGINT AS hops FROM walk GROUP BY source""",
+)
+def _(t):
+    return N.redirect_ends(wiki_tables(t)[1])
 
 
 @query(
     "resolve_title_identity",
-    ["wiki_pages"],
-    """v AS (SELECT c_custkey AS id, 1980 + c_custkey % 45 AS year, unnest([{'k': lower(c_name) || ' (' || (1980 + c_custkey % 45) || ' film)', 'p': 100}, {'k': lower(c_name) || ' (film)', 'p': 80}, {'k': lower(c_name), 'p': 60}]) AS v FROM customer),
-       s AS (SELECT id, page_title, v.p + structure_score + CASE WHEN contains(page_title, '(' || year || ' ') THEN 30 ELSE 0 END AS score FROM v JOIN wiki_pages ON lower(page_title) = v.k WHERE NOT disambiguation),
-       b AS (SELECT id, max(score) AS best FROM s GROUP BY id)
-       SELECT b.id, CASE WHEN best >= 80 AND count(*) = 1 THEN max(page_title) END AS page_title, best AS score FROM b JOIN s ON s.id = b.id AND s.score = b.best GROUP BY b.id, best""",
+    ["wiki_pages", "wiki_redirects"],
+    """RECURSIVE walk AS (SELECT source, target, 1 AS hops FROM wiki_redirects UNION ALL SELECT w.source, r.target, w.hops + 1 FROM walk w JOIN wiki_redirects r ON r.source = w.target WHERE w.hops < 10),
+       ends AS (SELECT source, target AS final FROM walk WHERE target NOT IN (SELECT source FROM wiki_redirects)),
+       f AS (SELECT id, title, year, [title, title || ' (film)', title || ' (' || year || ' film)'] AS asked FROM title_facts),
+       v AS (SELECT id, a.asked, coalesce(final, a.asked) AS reached, a.ask FROM (SELECT id, unnest(asked) AS asked, unnest([0, 1, 2]) AS ask FROM f) a LEFT JOIN ends ON ends.source = a.asked),
+       p AS (SELECT page_title, structure_score, regexp_replace(lower(page_title), '[^a-z0-9]+', '', 'g') AS key FROM wiki_pages WHERE NOT disambiguation),
+       named AS (SELECT id, page_title, arg_min(CASE WHEN reached <> asked THEN asked || ' > ' || reached ELSE asked END, ask) AS path FROM v JOIN p ON key = regexp_replace(lower(reached), '[^a-z0-9]+', '', 'g') GROUP BY id, page_title),
+       inside AS (SELECT id, page_title, title || ' > ' || page_title AS path FROM f JOIN p ON contains(key, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g'))),
+       pairs AS (SELECT id, page_title, coalesce(named.path, inside.path) AS path FROM named FULL JOIN inside USING (id, page_title)),
+       s AS (SELECT id, page_title, path, structure_score + CASE WHEN regexp_matches(page_title, '\\b' || year || '\\b') THEN 30 ELSE 0 END
+               + CASE WHEN key = regexp_replace(lower(title || year || 'film'), '[^a-z0-9]+', '', 'g') THEN 100 WHEN key = regexp_replace(lower(title || 'film'), '[^a-z0-9]+', '', 'g') THEN 80
+                   WHEN key = regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') THEN 60 WHEN contains(key, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g')) THEN 20 ELSE 0 END AS score FROM pairs JOIN f USING (id) JOIN p USING (page_title)),
+       b AS (SELECT id, score, count(*) AS n, min(page_title) AS page_title, arg_min(path, page_title) AS path, row_number() OVER (PARTITION BY id ORDER BY score DESC) AS rn FROM s GROUP BY id, score)
+       SELECT f.id, CASE WHEN score >= 80 AND n = 1 THEN 'RESOLVED_HIGH_CONFIDENCE' ELSE 'UNRESOLVED_UNIQUE_FILM_PAGE_NOT_ESTABLISHED' END AS result, CASE WHEN score >= 80 AND n = 1 THEN page_title END AS page_title,
+         score, CASE WHEN score >= 80 AND n = 1 THEN path END AS path FROM f LEFT JOIN b ON b.id = f.id AND rn = 1""",
 )
 def _(t):
-    cust = t.raw("customer")
-    year = (F.lit(1980) + c("c_custkey") % 45).cast("string")
-    kind = c("c_nationkey") % 4
-    tail = F.when(kind == 0, F.concat(F.lit(" ("), year, F.lit(" film)"))).when(kind == 1, " (film)").otherwise("")
-    building = c("c_mktsegment") == "BUILDING"
-    pages = cust.select(
-        F.concat("c_name", tail).alias("page_title"), (c("c_nationkey") == 7).alias("disambiguation"), F.when(building, 50).otherwise(0).alias("structure_score")
-    ).unionByName(
-        cust.where((kind == 3) & ~building).select(F.concat("c_name", F.lit(" (film)")).alias("page_title"), F.lit(False).alias("disambiguation"), F.lit(0).alias("structure_score"))
-    )
-    facts = cust.select(c("c_custkey").alias("id"), c("c_name").alias("title"), year.alias("year"))
-    return J.resolve_titles(facts, pages)
+    pages, redirects = wiki_tables(t)
+    found = N.resolve_titles(title_facts(t).select("id", "title", "year"), pages, redirects)
+    return found.withColumn("path", F.array_join("path", " > "))
 
 
 HASHES = ["curated", "facts", "poster", "palette", "editorial", "verifier", "decision"]

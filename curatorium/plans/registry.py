@@ -28,13 +28,15 @@ def _closure(names: Sequence[str]) -> list[str]:
 
 
 def with_ctes(names: Sequence[str], body: str) -> str:
-    """Prefix ``body`` (a SELECT, or further CTEs starting with a name) with the projections it uses."""
+    """Prefix ``body`` (a SELECT, or further CTEs starting with a name, or RECURSIVE and those) with the projections it uses."""
     body = body.strip()
+    start = "WITH RECURSIVE" if body.startswith("RECURSIVE ") else "WITH"
+    body = body.removeprefix("RECURSIVE ")
     ctes = ",\n".join(f"{n} AS ({CTES[n][1].strip()})" for n in _closure(names))
     starts_select = body.lower().startswith(("select", "from"))
     if not ctes:
-        return body if starts_select else f"WITH {body}"
-    return f"WITH {ctes}\n{body}" if starts_select else f"WITH {ctes},\n{body}"
+        return body if starts_select else f"{start} {body}"
+    return f"{start} {ctes}\n{body}" if starts_select else f"{start} {ctes},\n{body}"
 
 
 def query(name: str, uses: Sequence[str] = (), sql: str | None = None):
