@@ -6,7 +6,10 @@
 2. In the others, runs of template words (gaps of at most ``GAP`` other words, or half the template's length) are the regions.  A region that starts with
    enough shared words is aligned with the template: words unique to both are anchors, their longest increasing
    subsequence is kept, and the gaps between anchors are aligned in the same way, down to equal words at either end.
-3. Coverage is the share of template words that were aligned.  Of overlapping finds the one with more aligned words stays.
+3. Coverage is the share of template words that were aligned.  Where another license's text would cover a template as well,
+   the words that this one has and the other lacks must be aligned too, all of them or, if many, the same share of them.
+   Of overlapping finds the one with more aligned words stays, so a notice beats one that it contains.
+4. A tag ("SPDX-License-Identifier: MIT") is a template of two words that must stand side by side.
 
 The templates are a bounded parameter that goes along with the code.  Nothing is shuffled.  Defined cases: null, empty and
 license-free texts have an empty list; a license named twice is found twice; repeated rows are scanned alike; templates
@@ -28,43 +31,72 @@ from curatorium.llm.registry import query, table
 from curatorium.llm.store import Carried
 
 # Fixed texts: notices of common licenses, as their authors word them.
+_GNU = "{this} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{b} either version {version} of the License, or (at your option) any later version."
+_BSD_TERMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_AUTHOR = "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_MIT_TERMS = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC_TERMS = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+
+
+def _gnu(kind: str, version: str, *subjects: str) -> list[str]:
+    """The usual notice of a GNU license, in the punctuation of its version."""
+    mark = (":", ",") if version == "3" else (";", ";")
+    return [_GNU.format(this=f"This {subject}", kind=kind, version=version, a=mark[0], b=mark[1]) for subject in subjects]
+
+
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
-    "MIT": [
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "GPL-2.0": [
-        "This work is licensed under the GNU General Public License, version 2.",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    ],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", _MIT_TERMS, f"{_MIT_TERMS} {_MIT_WARRANTY}"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", *_gnu("", "3", "program")],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", *_gnu("", "2", "program")],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", *_gnu("Lesser ", "3", "program", "library")],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", *_gnu("Lesser ", "2.1", "library")],
+    "LGPL-2.0": ["This work is licensed under the GNU Library General Public License, version 2.", *_gnu("Library ", "2", "library")],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", *_gnu("Affero ", "3", "program")],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", _BSD_TERMS, f"{_BSD_TERMS} {_BSD_WARRANTY}"],
     "BSD-3-Clause": [
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Licensed under the BSD 3-Clause License.", f"{_BSD_TERMS} {_BSD_NAMES}", f"{_BSD_TERMS} {_BSD_NAMES} {_BSD_WARRANTY}", f"{_BSD_TERMS} {_BSD_AUTHOR}",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
-    "ISC": [
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC": [_ISC_TERMS, f"{_ISC_TERMS} {_ISC_WARRANTY}"],
+    "0BSD": [f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. {_ISC_WARRANTY}"],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
 }
+# Every license may also be named by its tag.
+_FAMILIES = ("GPL", "LGPL", "AGPL")
+for _name, _texts in TEMPLATES.items():
+    _tails = ("", "-only", "-or-later") if _name.startswith(_FAMILIES) else ("",)
+    _texts += [f"SPDX-License-Identifier: {_name}{tail}" for tail in _tails]
 COVERAGE = 0.8
 #: Templates of at most so many words must be aligned whole: one word is the difference between two licenses there.
 SHORT = 16
+#: Templates of at most so many words are tags: nothing may come between their words.
+TAG = 2
 GAP = 12
 
 
@@ -87,6 +119,21 @@ class Templates:
             np.add.at(self.weights[k], np.searchsorted(self.vocabulary, np.array(template.words, np.uint64)), 1)
         self.sizes = self.weights.sum(axis=1)
         self.needed = np.array([needed(len(t.words)) for t in self.all])
+        self.telling = [self._telling(k) for k in range(len(self.all))]
+
+    def _telling(self, k: int) -> list[frozenset[int]]:
+        """Per template of another license that would pass for this one: the words of this one that the other lacks."""
+        own, out = self.all[k], []
+        for j in np.flatnonzero(np.minimum(self.weights, self.weights[k]).sum(axis=1) >= self.needed[k]):
+            if self.all[j].license != own.license:
+                shared = {q for _, q in patience(self.all[j].words, own.words)}
+                if len(shared) >= self.needed[k] and len(shared) < len(own.words):
+                    out.append(frozenset(range(len(own.words))) - shared)
+        return out
+
+    def tells(self, k: int, aligned: set[int]) -> bool:
+        """Whether the aligned words of template k rule out every license that it could be taken for."""
+        return all(len(words & aligned) >= needed(len(words)) for words in self.telling[k])
 
 
 def needed(words: int) -> int:
@@ -161,9 +208,16 @@ def find(words: np.ndarray, templates: Templates, candidates) -> list[tuple[str,
     found = []
     for k in candidates:
         template = templates.all[k]
+        size = len(template.words)
+        if size <= TAG:
+            at = np.arange(max(0, len(words) - size + 1))
+            for i, word in enumerate(template.words):
+                at = at[words[at + i] == np.uint64(word)]
+            found += [(template.license, int(i), int(i) + size, size, size, k) for i in at]
+            continue
         own = np.isin(words, np.array(template.words, np.uint64))
         least = int(templates.needed[k])
-        for lo, hi in regions(own, max(GAP, len(template.words) // 2)):
+        for lo, hi in regions(own, max(GAP, size // 2)):
             # a long region may hold several copies: look again behind each one found
             while hi - lo >= least:
                 if np.count_nonzero(own[lo:hi]) < least:
@@ -171,9 +225,9 @@ def find(words: np.ndarray, templates: Templates, candidates) -> list[tuple[str,
                 pairs = _best_window(words[lo:hi].tolist(), template.words, least)
                 if pairs is None:
                     break
-                start, end, aligned = pairs
-                found.append((template.license, lo + start, lo + end, aligned, len(template.words), k))
-                lo += end
+                if templates.tells(k, {q for _, q in pairs}):
+                    found.append((template.license, lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs), size, k))
+                lo += pairs[-1][0] + 1
     found.sort(key=lambda f: (-f[3], f[5], f[1]))
     kept: list = []  # disjoint, so in order of their starts and of their ends
     for f in found:
@@ -184,7 +238,7 @@ def find(words: np.ndarray, templates: Templates, candidates) -> list[tuple[str,
 
 
 def _best_window(text: list, template: list, least: int):
-    """(start, end, aligned) of the first window of the region that the template covers, or None.
+    """Aligned pairs of the first window of the region that the template covers, or None.
 
     Windows of twice the template's length start at half-length steps, so a copy with up to half as many words put in lies
     inside one of them, and a second copy doesn't hide the words unique to the first.
@@ -194,12 +248,10 @@ def _best_window(text: list, template: list, least: int):
     for at in range(0, max(1, len(text) - least + 1), step):
         pairs = patience(text[at : at + size], template)
         if len(pairs) >= least:
-            end = pairs[-1][0]
             # the same copy may be seen better a little further on
-            better = patience(text[at + pairs[0][0] : at + pairs[0][0] + size], template)
-            if len(better) > len(pairs):
-                return at + pairs[0][0] + better[0][0], at + pairs[0][0] + better[-1][0] + 1, len(better)
-            return at + pairs[0][0], at + end + 1, len(pairs)
+            start = at + pairs[0][0]
+            better = patience(text[start : start + size], template)
+            return [(start + i, j) for i, j in better] if len(better) > len(pairs) else [(at + i, j) for i, j in pairs]
     return None
 
 

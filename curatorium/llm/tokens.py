@@ -4,6 +4,10 @@ Texts are cut into pre-tokens; the distinct new ones of a slice are laid out as
 in each round every sequence applies all occurrences of its own lowest-rank pair, leftmost first, until no pair has a
 rank.  The surviving symbols are the tokens.  Counts of frequent pre-tokens are remembered per worker, up to a bound.
 
+A word of many thousand letters has as many ranks, and rounds over its whole array would be quadratic.  Sequences longer than
+``LONG`` keep the places of their pairs by rank instead: a merge makes only pairs of higher rank, so ranks are taken in
+ascending order, all places of one rank in all these sequences at once, and a round touches these and their neighbours only.
+
 Nothing is shuffled or collected; a worker holds about a megabyte of text, the merge table and the remembered counts.
 Defined cases: a null or empty text has 0 bytes and 0 tokens; special strings inside a text are one token each, as the
 library does by default; repeated rows are counted alike; other columns pass through (one named like a result is replaced).
@@ -11,6 +15,7 @@ library does by default; repeated rows are counted alike; other columns pass thr
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -26,6 +31,8 @@ from curatorium.llm.store import Carried
 
 LIMIT = 1024
 REMEMBERED = 400_000
+#: Bytes of a sequence from which its pairs are kept by rank.
+LONG = 512
 #: Fixed: how byte-level vocabularies split a text before any merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -72,6 +79,71 @@ def merges(path: str) -> Merges:
 
 def count_symbols(tokens: list[bytes], table_: Merges) -> np.ndarray:
     """Symbols that survive in each sequence of bytes."""
+    lengths = np.array([len(t) for t in tokens], np.int64)
+    long = lengths > LONG
+    if not long.any():
+        return _count_short(tokens, table_)
+    counts = np.zeros(len(tokens), np.int64)
+    counts[~long] = _count_short([t for t in tokens if len(t) <= LONG], table_)
+    counts[long] = _count_long([t for t in tokens if len(t) > LONG], table_)
+    return counts
+
+
+def _count_long(tokens: list[bytes], table_: Merges) -> np.ndarray:
+    lengths = np.array([len(t) for t in tokens], np.int64)
+    owner = np.repeat(np.arange(len(tokens)), lengths)
+    symbols = table_.of_byte[np.frombuffer(b"".join(tokens), np.uint8)]
+    n = len(symbols)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    ends = np.cumsum(lengths)
+    after[ends - 1], before[ends - lengths] = -1, -1
+    rank_at = np.full(n, table_.none)  # of the pair that begins at each place
+    places: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def note(at: np.ndarray) -> None:
+        """Rank the pairs that begin at the places ``at``."""
+        paired = after[at] >= 0
+        rank_at[at[~paired]] = table_.none
+        at = at[paired]
+        rank = table_.look_up(symbols[at], symbols[after[at]])[0]
+        rank_at[at] = rank
+        ranked = rank < table_.none
+        at, rank = at[ranked], rank[ranked]
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        starts = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1]))) if len(rank) else []
+        for r, some in zip(rank[starts].tolist() if len(rank) else [], np.split(at, starts[1:])):
+            if r not in places:
+                places[r] = []
+                heapq.heappush(ranks, r)
+            places[r].append(some)
+
+    note(np.arange(n))
+    counts = lengths.copy()
+    while ranks:
+        r = heapq.heappop(ranks)
+        at = np.unique(np.concatenate(places.pop(r)))
+        at = at[rank_at[at] == r]  # pairs that a merge has changed since are noted elsewhere
+        if not len(at):
+            continue
+        # of pairs that overlap ("aaa"), take every second one from the left
+        run = np.flatnonzero(np.concatenate(([True], after[at[:-1]] != at[1:])))
+        place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+        at = at[place % 2 == 0]
+        gone = after[at]
+        symbols[at] = table_.look_up(symbols[at], symbols[gone])[1]
+        rank_at[gone] = table_.none
+        after[at] = after[gone]
+        followed = after[at] >= 0
+        before[after[at[followed]]] = at[followed]
+        counts -= np.bincount(owner[at], minlength=len(counts))
+        left = before[at]
+        note(np.unique(np.concatenate((at, left[left >= 0]))))
+    return counts
+
+
+def _count_short(tokens: list[bytes], table_: Merges) -> np.ndarray:
     lengths = np.array([len(t) for t in tokens], np.int64)
     counts = lengths.copy()
     symbols = table_.of_byte[np.frombuffer(b"".join(tokens), np.uint8)]

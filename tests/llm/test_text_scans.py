@@ -5,6 +5,9 @@ import random
 import re
 import time
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from fixtures import EDGE, LONG, SF, contaminated, edge
 
 from curatorium.llm import decontam, licenses, registry, secrets, store
@@ -127,9 +130,6 @@ def test_licenses_of_a_table(spark):
 
 
 def _find(text):
-    import numpy as np
-    import pyarrow as pa
-
     templates = licenses.Templates(licenses.TEMPLATES)
     words, _ = licenses.W.plain_words(pa.array([text], pa.string()))
     return licenses.find(words, templates, np.arange(len(templates.all)))
@@ -147,6 +147,64 @@ def test_license_copies_with_changes():
     assert not _find("Licensed under the Apache License") and not _find(" ".join(full[:30])) and not _find(LONG)
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_every_template_is_told_from_its_neighbours(name):
+    rng = random.Random(name)
+    for text in licenses.TEMPLATES[name]:
+        whole = text.split()
+        assert {f[0] for f in _find(" ".join(["hello", "there", *whole, "and", "more"]))} == {name}, text
+        if len(whole) > 3 * licenses.SHORT:
+            templates = licenses.Templates({name: [text]})
+            told = set().union(*licenses.Templates(licenses.TEMPLATES).telling[_index(text)], set())
+            for _ in range(5):
+                # words that tell nothing apart may change
+                edited = [w if i in told or rng.random() > 0.06 else f"other{i}" for i, w in enumerate(whole)]
+                got = _find(" ".join(edited))
+                assert [f[0] for f in got] == [name], text
+                words = licenses.W.plain_words(pa.array([" ".join(edited)], pa.string()))[0].tolist()
+                assert got[0][3] <= _common(words, templates.all[0].words)
+
+
+def _index(text):
+    return [t for group in licenses.TEMPLATES.values() for t in group].index(text)
+
+
+def _common(a, b):
+    """Length of the longest common subsequence, cell by cell."""
+    above = [0] * (len(b) + 1)
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b):
+            now.append(above[j] + 1 if x == y else max(above[j + 1], now[j]))
+        above = now
+    return above[-1]
+
+
+def test_finds_equal_an_aligner_of_all_cells(spark):
+    """Notices with random edits among junk: found exactly where the longest common subsequence covers the template."""
+    rng = random.Random(12)
+    templates = licenses.Templates({"A": ["one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"]})
+    size, least = 20, licenses.needed(20)
+    for _ in range(300):
+        text = [w if rng.random() > 0.2 else f"x{rng.randrange(99)}" for w in "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()]
+        words = licenses.W.plain_words(pa.array([" ".join(["junk", *text, "junk"])], pa.string()))[0]
+        common = _common(words.tolist(), templates.all[0].words)
+        got = licenses.find(words, templates, [0])
+        assert bool(got) == (common >= least) and all(f[3] == common and f[4] == size for f in got)
+
+
+def test_changed_names_of_licenses_are_others():
+    gpl = licenses.TEMPLATES["GPL-3.0"][1]
+    for word, name in (("Lesser ", "LGPL-3.0"), ("Affero ", "AGPL-3.0"), ("", "GPL-3.0")):
+        assert [f[0] for f in _find(gpl.replace("GNU ", f"GNU {word}"))] == [name]
+    two, three = licenses.TEMPLATES["BSD-2-Clause"][1], licenses.TEMPLATES["BSD-3-Clause"][1]
+    numbered = two.replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in")
+    assert [f[0] for f in _find(numbered)] == ["BSD-2-Clause"] and [f[0] for f in _find(three)] == ["BSD-3-Clause"]
+    assert [f[0] for f in _find("// SPDX-License-Identifier: GPL-2.0-or-later */")] == ["GPL-2.0"]
+    assert [f[0] for f in _find("# SPDX-License-Identifier: MIT\n" + two)] == ["MIT", "BSD-2-Clause"]
+    assert not _find("SPDX-License-Identifier: Foo, then MIT")
+
+
 def test_license_copies_with_a_long_insertion():
     full = licenses.TEMPLATES["MIT"][2].split()
     foreign = [f"foreign{i}" for i in range(len(full) // 2)]

@@ -1,6 +1,7 @@
 """Token counts, SentencePiece, main text and language ID."""
 
 import random
+import time
 from html.parser import HTMLParser
 
 import numpy as np
@@ -35,6 +36,26 @@ def test_token_counts_of_odd_strings():
     assert tokens.counter(JSON)(texts) == want
 
 
+def test_token_counts_of_very_long_words():
+    rng = random.Random(2)
+    letters = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    texts = [letters("ACGT", 40_000), letters("abcdefghijklmnopqrstuvwxyz", 30_000), "a" * 20_001, "é" * 3000 + "日本語" * 900, letters("abc", 700) + " " + "x" * 513, "=" * 10_001, "the" * 200, letters("0123456789abcdef", 9000)]
+    want = [len(e.ids) for e in Tokenizer.from_file(JSON).encode_batch(texts, add_special_tokens=False)]
+    assert tokens.counter(JSON)(texts) == want
+    started = time.perf_counter()
+    assert tokens.counter(JSON)([letters("abcdefghijklmnopqrstuvwxyz", 1_000_000)])[0] > 300_000
+    assert time.perf_counter() - started < 30
+
+
+def test_pairs_kept_by_rank_equal_whole_rounds(monkeypatch):
+    rng = random.Random(3)
+    table = tokens.merges(JSON)
+    words = ["".join(rng.choice("aabcdeé ") for _ in range(rng.randrange(1, 300))).encode() for _ in range(400)]
+    want = tokens.count_symbols(words, table).tolist()
+    monkeypatch.setattr(tokens, "LONG", 0)
+    assert tokens.count_symbols(words, table).tolist() == want
+
+
 def test_remembered_counts_are_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 5)
     library = Tokenizer.from_file(JSON)
