@@ -1,16 +1,19 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. Words are lower-cased runs without punctuation at their edges, as 64-bit hashes.  The 3-grams of all test items set
    bits of a fixed-size table (2^25 bits, whatever the benchmark's size); it is broadcast, and one pass over the texts keeps
-   the places whose 3-gram hits a set bit, with the words around them.
-2. Those places meet the items by an equality join on the 3-gram.  Every 3-gram of an item is a seed, however often it is
-   found: how frequent a 3-gram is says nothing about the place it was found at, as copies of an edited item make its
-   intact 3-grams frequent.
+   the places whose 3-gram hits a set bit, with the words around them, as many as the longest item of such grams needs.
+2. Those places meet the items by an equality join on the 3-gram.  An item's grams are ranked by how often the corpus holds
+   them.  A copy that reaches the score with at most one edit per ``EDIT_EVERY`` equal words keeps at least t of them
+   (``least_shared``), so all but the t - 1 most frequent are seeds: whatever grams such a copy has kept, one is a seed.
+   The frequent rest ("which of the") makes a pair only together with a second hit; this finds most copies with more edits.
 3. Each (place, item) pair is aligned by Smith-Waterman over words (+2 equal, -1 different, -1 gap), but for those whose
    words in common can't reach the score needed in any order, such as most that share a phrase of common words.  A document
    is contaminated by an item of n words if the best local score reaches n, half of a perfect copy's 2n, and at least that
    of eight equal words (or of the whole item, if shorter).  The score of ``PART_WORDS`` equal words is enough for any item.
 
+Copies that share no 3-gram with the item, such as those with every third word replaced, can't be seeded.
+
 A hot passage makes one join key hot on the side of the places, which adaptive execution splits; every later step works on
 one place at a time.  Defined cases: null and empty texts are clean; items of fewer than three words can't be found; equal
 items are reported each; rows of the same doc_id and text share their verdict, also where doc_id is null; empty tables give
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatorium.llm import wordhash as W
@@ -34,6 +37,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 SHARE = 0.5
 LEAST_WORDS = 8
 PART_WORDS = 20
+EDIT_EVERY = 4
+REACH_BITS = 20
 
 
 def _ragged(values: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -64,9 +69,36 @@ def gram_table(items: DataFrame) -> np.ndarray:
     return out
 
 
-def _places(bits, reach: int):
+def least_score(words: Column) -> Column:
+    """The score that an item of so many words needs."""
+    return F.least(F.greatest(F.ceil(SHARE * MATCH * words), F.least(F.lit(LEAST_WORDS), words) * MATCH), F.lit(PART_WORDS * MATCH)).cast("long")
+
+
+def least_shared(score: Column) -> Column:
+    """Grams that a part of this score keeps at least, with one edit per EDIT_EVERY equal words: m equal words in e + 1 runs
+    hold m - (GRAM - 1) * (e + 1) grams, where e = m / EDIT_EVERY and MATCH * m - e reaches the score."""
+    equal = F.ceil(score / (MATCH - 1 / EDIT_EVERY))
+    return F.greatest(equal - (GRAM - 1) * (F.floor(equal / EDIT_EVERY) + 1), F.lit(1)).cast("long")
+
+
+def _needed_around(words: Column) -> Column:
+    """Words on either side of a hit that an alignment with an item of so many words may use."""
+    return words + (words / 4).cast("int") + 8
+
+
+def reach_table(items: DataFrame) -> np.ndarray:
+    """Per leading bits of a gram, the logarithm of the words around it that the items with such grams need."""
+    slot = F.shiftrightunsigned(F.col("gram"), 64 - REACH_BITS)
+    grams = items.select(F.explode("grams").alias("gram"), F.ceil(F.log2(_needed_around(F.size("words")))).cast("int").alias("need"))
+    rows = grams.groupBy(slot.alias("at")).agg(F.max("need").alias("need")).toPandas()  # at most 2^REACH_BITS numbers
+    out = np.zeros(1 << REACH_BITS, np.uint8)
+    out[rows["at"].to_numpy(np.int64)] = rows["need"].to_numpy(np.uint8)
+    return out
+
+
+def _places(tables):
     def run(batches):
-        table_ = bits.value
+        table_, reach_of = tables.value
         for batch in batches:
             for part in W.slices(batch, "text"):
                 words, first = W.plain_words(part.column("text"))
@@ -77,19 +109,19 @@ def _places(bits, reach: int):
                     continue
                 row = np.searchsorted(gram_first, hits, side="right") - 1
                 word_at = hits - gram_first[row] + first[row]
+                reach = np.int64(1) << reach_of[(grams[hits] >> np.uint64(64 - REACH_BITS)).astype(np.int64)].astype(np.int64)
+                begin, end = np.maximum(word_at - reach, first[row]), np.minimum(word_at + GRAM + reach, first[row + 1])
                 # hits whose surroundings touch share one place
-                opens = np.concatenate(([True], (row[1:] != row[:-1]) | (np.diff(word_at) > 2 * reach + GRAM)))
-                place = np.cumsum(opens) - 1
-                begins = np.flatnonzero(opens)
-                closes = np.append(begins[1:], len(hits)) - 1
-                owner = row[begins]
-                lo = np.maximum(word_at[begins] - reach, first[owner])
-                hi = np.minimum(word_at[closes] + GRAM + reach, first[owner + 1])
+                order = np.argsort(begin, kind="stable")
+                upto = np.maximum.accumulate(end[order])
+                opens = np.flatnonzero(np.concatenate(([True], begin[order][1:] >= upto[:-1])))
+                lo, hi = begin[order][opens], upto[np.append(opens[1:], len(order)) - 1]
+                place = np.searchsorted(lo, word_at, side="right") - 1
                 sizes = hi - lo
                 starts = np.concatenate(([0], np.cumsum(sizes)))
                 around = words[np.arange(starts[-1]) - np.repeat(starts[:-1], sizes) + np.repeat(lo, sizes)]
-                offsets = np.append(begins, len(hits))
-                take = pa.array(owner)
+                offsets = np.searchsorted(place, np.arange(len(lo) + 1))
+                take = pa.array(row[offsets[:-1]])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(take), part.column("text_key").take(take), _ragged(around, starts), _ragged(grams[hits], offsets), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((word_at - lo[place]).astype(np.int32)))],
                     ["doc_id", "text_key", "words", "grams", "at"],
@@ -150,27 +182,35 @@ def _align(rows, left, left_at, n, right, right_at, m) -> np.ndarray:
     return best
 
 
+def seeds_of(items: DataFrame, hits: DataFrame) -> DataFrame:
+    """(item, gram, item_at, seed): every place of every gram of the items, and whether the gram is rare enough to be a seed."""
+    grams = items.select("item", F.size("words").alias("n"), F.posexplode("grams").alias("item_at", "gram"))
+    often = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
+    own = grams.groupBy("item", "n", "gram").agg(F.collect_list("item_at").alias("places")).join(often, "gram")
+    # places of the item taken up by its most frequent grams, this one included
+    upto = F.sum(F.size("places")).over(Window.partitionBy("item").orderBy(F.col("times").desc(), "gram").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = own.withColumn("seed", upto >= least_shared(least_score(F.col("n"))))
+    return ranked.select("item", "gram", F.explode("places").alias("item_at"), "seed")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, text_key, item_id, n_words, score) of every document and item that it contains; text_key is xxhash64 of the text."""
     spark = docs.sparkSession
     items = items_of(benchmark)
-    longest = items.agg(F.max(F.size("words"))).first()[0] or 0
-    reach = longest + longest // 4 + 8
-    bits = spark.sparkContext.broadcast(gram_table(items))
+    tables = spark.sparkContext.broadcast((gram_table(items), reach_table(items)))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    places = keyed.mapInArrow(_places(bits, reach), "doc_id long, text_key long, words array<long>, grams array<long>, at array<int>")
+    places = keyed.mapInArrow(_places(tables), "doc_id long, text_key long, words array<long>, grams array<long>, at array<int>")
     places = settle(places.withColumn("place", F.monotonically_increasing_id()), "places")
 
     hits = places.select("place", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("at").alias("at"))))
-    seeds = items.select("item", F.posexplode("grams").alias("item_at", "gram"))
-
-    pairs = hits.join(seeds, "gram").groupBy("place", "item").agg(F.min(F.col("at") - F.col("item_at")).alias("lo"), F.max(F.col("at") - F.col("item_at")).alias("hi"))
+    pairs = hits.join(seeds_of(items, hits), "gram").groupBy("place", "item")
+    pairs = pairs.agg(F.min(F.col("at") - F.col("item_at")).alias("lo"), F.max(F.col("at") - F.col("item_at")).alias("hi"), F.bool_or("seed").alias("seeded"), F.count(F.lit(1)).alias("hits"))
+    pairs = pairs.where(F.col("seeded") | (F.col("hits") > 1)).select("place", "item", "lo", "hi")
     n = F.size("item_words")
     slack = (n / 4).cast("int") + 8
     met = pairs.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item").join(places.select("place", "doc_id", "text_key", "words"), "place")
     start = F.greatest(F.col("lo") - slack, F.lit(0))
-    least = F.least(F.greatest(F.ceil(SHARE * MATCH * n), F.least(F.lit(LEAST_WORDS), n) * MATCH), F.lit(PART_WORDS * MATCH))
-    met = met.select("doc_id", "text_key", "item_id", n.cast("long").alias("n_words"), least.cast("long").alias("least"), F.slice("words", start + 1, F.col("hi") + n + slack - start).alias("words"), "item_words")
+    met = met.select("doc_id", "text_key", "item_id", n.cast("long").alias("n_words"), least_score(n).alias("least"), F.slice("words", start + 1, F.col("hi") + n + slack - start).alias("words"), "item_words")
     scored = met.mapInArrow(_best_scores, "doc_id long, text_key long, item_id long, n_words long, least long, score long").where("score >= least")
     return scored.groupBy("doc_id", "text_key", "item_id", "n_words").agg(F.max("score").alias("score"))
 

@@ -93,6 +93,6 @@ def contaminated(text: str | None, items: list[str]) -> bool:
     own = plain(text)
     for item in map(plain, items):
         n = len(item)
-        if n >= 3 and len(set(own) & set(item)) >= 3 and smith_waterman(own, item) >= max(n, 2 * min(8, n)):
+        if n >= 3 and len(set(own) & set(item)) >= 3 and smith_waterman(own, item) >= min(max(n, 2 * min(8, n)), 2 * 20):
             return True
     return False

@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
-from fixtures import EDGE, LONG, SF, contaminated, edge
+from fixtures import EDGE, LONG, SF, contaminated, edge, smith_waterman
 
 from curatorium.llm import decontam, licenses, registry, secrets, store
 
@@ -288,3 +288,51 @@ def test_long_verbatim_part_of_a_long_item(spark):
     store.ship(spark)
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contamination(docs, bench).collect()}
     assert got == {(0, 7): 56, (0, 8): 56, (1, 7): 40, (3, 7): 43}
+
+
+def test_recall_by_density_of_edits(spark):
+    """Copies with every k-th word replaced: all that reach the score down to one edit in five words, most down to one in four."""
+    rng = random.Random(21)
+    common = [f"very{i}" for i in range(30)]
+    items = [[rng.choice(common) if rng.random() < 0.5 else f"rare{rng.randrange(5000)}" for _ in range(rng.choice([12, 20, 40, 90]))] for _ in range(60)]
+    rows, every = [], [4, 5, 6, 8, 12]
+    for k, item in enumerate(items):
+        for e in every:
+            shift = rng.randrange(e)
+            rows.append((k * 100 + e, " ".join([*rng.choices(common, k=50), *[f"new{i}" if i % e == shift else w for i, w in enumerate(item)], *rng.choices(common, k=50)])))
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    store.ship(spark)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    shares = {}
+    for e in every:
+        due = [(k * 100 + e, k) for k, item in enumerate(items) if smith_waterman(rows[k * len(every) + every.index(e)][1].split(), item) >= min(max(len(item), 16), 40)]
+        shares[e] = sum(x in got for x in due) / len(due)
+    assert all(shares[e] == 1 for e in every if e > 4) and shares[4] > 0.9, shares
+
+
+def test_seeds_are_the_rare_grams(spark):
+    """A gram that most texts hold makes no pair by itself; a copy of the item is found by what else it has."""
+    store.ship(spark)
+    item = "which of the following " + " ".join(f"w{i}" for i in range(16))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    items = decontam.items_of(bench)
+    grams = {tuple(r["grams"]) for r in items.collect()}.pop()
+    hits = spark.createDataFrame([(0, grams[0], i) for i in range(500)] + [(1, g, 0) for g in grams], "place long, gram long, at int")
+    seeds = {r["gram"]: r["seed"] for r in decontam.seeds_of(items, hits).collect()}
+    assert not seeds[grams[0]] and sum(seeds.values()) == len(grams) - 3
+
+
+def test_reach_follows_the_items_of_a_gram(spark):
+    store.ship(spark)
+    long = [f"long{i}" for i in range(600)]
+    items = decontam.items_of(spark.createDataFrame([(1, " ".join(long)), (2, "tiny little thing")], "item_id long, text string"))
+    tables = decontam.gram_table(items), decontam.reach_table(items)
+
+    class Held:
+        value = tables
+
+    words = [f"x{i}" for i in range(3000)]
+    words[1500:1503] = "tiny", "little", "thing"
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text_key": [1, 2, 3], "text": [" ".join(words), " ".join(["a", *long[:3], *words[:1490]]), "tiny little thing and tiny little thing"]})
+    places = [r for b in decontam._places(Held)(iter([batch])) for r in b.to_pylist()]
+    assert [len(p["words"]) for p in places] == [3 + 2 * 16, 4 + 1024, 7] and [p["at"] for p in places] == [[16], [1], [0, 4]]
