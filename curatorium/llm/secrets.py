@@ -2,10 +2,11 @@
 
 Base kinds are fixed patterns over the whole text.  The method adds ``literal`` spans: source and configuration syntax
 (``name = "x"``, ``"name": 'x'``, ``name: x``, ``a["name"] = "x"``, ``name: type = "x"``, ``--name x``, ``<name>x</name>``, and
-literals joined by ``+``, also over line breaks) is read into pairs of a name and literals,
+literals joined by ``+``, also over line breaks, string prefixes, triple quotes, tuples, lists and conversions such as
+``String::from("x")``, ``a = b = "x"``, ``setName("x")`` and ``put("name", "x")``) is read into pairs of a name and literals,
 constants are propagated (``a = "x"; password = a + b`` reaches the literals of a and b, however many and however far), and a
-literal counts when the score of its target name times the score of its own characters is high enough.  A literal that
-meets a base span adds none.
+literal counts when the score of its target name times the score of its characters is high enough: its own, or those of the
+whole value that it is joined into.  A literal that meets a base span adds none.
 
 Base spans cover the whole match (name, sign and value for ``assign``); ``value_start`` says where the value begins, which
 is what ``redact`` masks.  Positions are code points, ends exclusive.
@@ -51,13 +52,28 @@ _BARE = r"[^\s\"'`,;(){}\[\]<>&|+]++"
 # A type between ':' and '=': one name with its arguments and alternatives, as two words in a row are prose or another pair.
 _ARGS = r"[\[<][^\s=:;{}]*+(?:[\x20\t]++[^\s=:;{}]++)*+"
 _TYPE = rf"(?:[&*?]++(?:'\w++\x20)?(?:mut\x20)?)?(?P<type>[A-Za-z_][\w$]*+(?:(?:::|\.)[A-Za-z_][\w$]*+)*+)(?:{_ARGS})?+(?:[\x20\t]*+\|[\x20\t]*+[A-Za-z_][\w.$]*+(?:{_ARGS})?+)*+[?!]?+"
+# What may stand before a quote, and what may be opened before the first literal: brackets, and calls that only convert.
+_PREFIX = r"""(?:(?:[bBfFrRuUL]{1,2}|u8|@|\$)(?=["'`]))?+"""
+_OPEN = r"(?P<open>(?:(?:new[\x20\t]++)?(?:[A-Za-z_][\w$]*+(?:(?:::|\.)[A-Za-z_][\w$]*+)*+!?+)?[(\[{]\s*+)++)?+"
+# Further names before a literal: a = b = "x".
+_CHAINED = rf"""(?:{_NAME}[\x20\t]*+=(?![=>~])[\x20\t]*+){{1,8}}["'`]"""
 _TYPED = rf""":[\x20\t]*+{_TYPE}(?:[\x20\t]++=(?=[\x20\t])|[\x20\t]*+=(?=[\x20\t]*+["'`]))"""
 _PAIR = re.compile(
-    rf"""(?:<(?P<tag>{_NAME})>(?P<body>[^<>\n]++)</)|(?:(?:(?<![\w\-])--(?P<flag>[A-Za-z][\w\-]*+)[\x20=]|(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:(?<=["'])[\x20\t]*+\])?+[\x20\t]*+(?:{_TYPED}|:=|=>|=(?!=)|:(?![:/]))[\x20\t]*+)(?P<first>{_QUOTED}|{_BARE}))"""
+    rf"""(?:<(?P<tag>{_NAME})>(?P<body>[^<>\n]++)</)|(?:(?:(?<![\w\-])--(?P<flag>[A-Za-z][\w\-]*+)[\x20=]|(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:(?<=["'])[\x20\t]*+\])?+[\x20\t]*+(?:{_TYPED}|:=|=>|=(?!=)|:(?![:/]))[\x20\t]*+)(?:(?P<chained>(?={_CHAINED}))|{_OPEN}{_PREFIX}(?P<first>{_QUOTED}|{_BARE})))"""
 )
 # Over a line break only what is no name of a pair itself: a leading '+' may also mark an added line.
 _BREAK = r"(?:\s|\\(?=\r?\n))*+"
-_MORE = re.compile(rf"""[\x20\t]*+\+[\x20\t]*+(?!\\\r?\n)({_QUOTED}|{_BARE})|{_BREAK}\+{_BREAK}((?:{_QUOTED}|{_NAME})(?![\x20\t]*+(?:\]|[:=])))""")
+_MORE = re.compile(rf"""[\x20\t]*+\+[\x20\t]*+(?!\\\r?\n){_PREFIX}({_QUOTED}|{_BARE})|{_BREAK}\+{_BREAK}{_PREFIX}((?:{_QUOTED}|{_NAME})(?![\x20\t]*+(?:\]|[:=])))""")
+_NEXT = re.compile(rf"""\s*+,\s*+{_PREFIX}({_QUOTED})(?!\s*+[:=])""")
+_KEYED = re.compile(r"\s*+[:=]")
+_CALL = re.compile(
+    rf"""(?:(?<![\w$])(?:set|with|add|use)_?|\.)(?P<name>[A-Za-z][\w$]*+)\([\x20\t]*+{_PREFIX}(?P<value>{_QUOTED})[\x20\t]*+\)"""
+    rf"""|\([\x20\t]*+(?P<q>["'])(?P<key>[A-Za-z_$][\w$.\-]*+)(?P=q)[\x20\t]*+,[\x20\t]*+{_PREFIX}(?P<keyed>{_QUOTED})"""
+)
+# Calls that hand their text on as it is, by the last part of their name; calls that ask for a value, by their beginning.
+CONVERSIONS = ["from", "new", "of", "str", "string", "bytes", "bytearray", "encode", "valueof", "fromstring", "secret", "secretstr", "secretstring", "password", "token", "literal", "value"]
+_ASKING = re.compile(r"(?:get|find|read|fetch|load|check|verify|is|has|delete|remove|compare|match|test)", re.I)
+_CALLEES = re.compile(r"([A-Za-z_$][\w$]*+)!?+[(\[{]")
 
 
 def name_score(name: str) -> float:
@@ -70,67 +86,205 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str, quoted: bool) -> float:
     """Between 0 and 1: length, entropy and mixture of characters; bare words of prose and placeholders score 0."""
-    low = value.lower()
-    if len(value) < 6 or any(p in low for p in PLACEHOLDERS) or re.match(r"[$%@{(]|https?:", value) or len(set(value)) < 4:
+    return _score(value[:REMEMBERED], Counter(value), quoted)
+
+
+#: Characters of a joined value that are looked at as text; all of them count.
+REMEMBERED = 4096
+
+
+def _score(beginning: str, counts: Counter, quoted: bool) -> float:
+    length = sum(counts.values())
+    low = beginning.lower()
+    if length < 6 or any(p in low for p in PLACEHOLDERS) or re.match(r"[$%@{(]|https?:", beginning) or len(counts) < 4:
         return 0.0
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^\sA-Za-z0-9]"))
-    if re.search(r"\s", value) or (kinds < 2 and not quoted) or (not quoted and not re.search("[0-9]", value)):
+    characters = "".join(counts)
+    kinds = sum(bool(re.search(p, characters)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^\sA-Za-z0-9]"))
+    if re.search(r"\s", characters) or (kinds < 2 and not quoted) or (not quoted and not re.search("[0-9]", characters)):
         return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+    entropy = -sum(n / length * math.log2(n / length) for n in counts.values())
     return min(1.0, entropy / 3.0) * (0.7 + 0.1 * min(kinds, 3))
 
 
+class Constants:
+    """Assignments in order: the values of each, a value being what is joined: literals (start, end, quoted) and earlier assignments."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.values: list[list[list]] = []
+        self.named: dict[str, int] = {}
+        self.known: dict[int, tuple[str, Counter] | None] = {}
+        self.reached: list[float] = []
+        self.whole: list[float] = []
+        self.found: dict[tuple[int, int], tuple[str, float]] = {}
+
+    def add(self, values: list[list]) -> int:
+        self.values.append(values)
+        self.reached.append(0.0)
+        self.whole.append(0.0)
+        return len(self.values) - 1
+
+    def _joined(self, value: list) -> tuple[str, Counter] | None:
+        """(beginning, counts of characters) of a joined value, its references known."""
+        beginning, counts = "", Counter()
+        for part in value:
+            if isinstance(part, int):
+                known = self.known.get(part)
+                if known is None:
+                    continue
+                beginning, counts = (beginning + known[0])[:REMEMBERED], counts + known[1]
+            elif part[2]:
+                own = self.text[part[0] : part[1]]
+                beginning = (beginning + own)[:REMEMBERED]
+                counts.update(own)
+        return (beginning, counts) if counts else None
+
+    def _know(self, node: int) -> None:
+        """Characters of an assignment's value; of a list, none, as its elements are values of their own."""
+        work = [node]
+        while work:
+            at = work[-1]
+            if at in self.known:
+                work.pop()
+                continue
+            open_ = [p for value in self.values[at] for p in value if isinstance(p, int) and p not in self.known]
+            if open_:
+                work += open_
+                continue
+            self.known[at] = self._joined(self.values[at][0]) if len(self.values[at]) == 1 else None
+            work.pop()
+
+    def _report(self, part: tuple, name: str, score: float) -> None:
+        start, end = part[:2]
+        if end > start and score >= LEAST_SCORE and score > self.found.get((start, end), ("", 0.0))[1]:
+            self.found[start, end] = (name, score)
+
+    def reach(self, node: int, name: str, score: float) -> None:
+        """Report what a sensitive name reaches: literals that score by themselves, and all literals of joined values that do.
+
+        The walk passes by assignments that one of at least its score has reached, so each is visited once per score.
+        """
+        walk = [node]
+        while walk:
+            at = walk.pop()
+            if self.reached[at] >= score:
+                continue
+            self.reached[at] = score
+            for value in self.values[at]:
+                for part in value:
+                    if isinstance(part, int):
+                        walk.append(part)
+                    else:
+                        self._report(part, name, score * literal_score(self.text[part[0] : part[1]], part[2]))
+        for value in self.values[node]:
+            if len(value) == 1 and not isinstance(value[0], int):
+                continue
+            for part in value:
+                if isinstance(part, int):
+                    self._know(part)
+            joined = self._joined(value)
+            whole = score * _score(*joined, True) if joined else 0.0
+            if whole < LEAST_SCORE:
+                continue
+            for part in value:
+                if not isinstance(part, int) and part[2]:
+                    self._report(part, name, whole)
+            walk = [p for p in value if isinstance(p, int)]
+            while walk:
+                at = walk.pop()
+                if self.whole[at] >= whole:
+                    continue
+                self.whole[at] = whole
+                for own in self.values[at]:
+                    for part in own:
+                        if isinstance(part, int):
+                            walk.append(part)
+                        elif part[2]:
+                            self._report(part, name, whole)
+
+
+def _closed(text: str, start: int, missing: set[str]) -> tuple[int, int, int] | None:
+    """(start, end, after) of the text in triple quotes at ``start``, or None; ``missing`` holds quotes that close nowhere further on."""
+    mark = text[start : start + 3]
+    if mark not in ('"""', "'''") or mark in missing:
+        return None
+    end = text.find(mark, start + 3)
+    if end < 0:
+        missing.add(mark)
+        return None
+    return start + 3, end, end + 3
+
+
 def literal_spans(text: str) -> list[tuple[int, int, str, float]]:
-    """(start, end, target name, score) of the literals that reach a sensitive name.
-
-    Every assignment is a node: its literals, and the nodes its names stood for at that place.  The walk from a sensitive
-    name passes by nodes that one of at least its score has reached, so each is visited once per score.
-    """
-    nodes: list[tuple[list[tuple[int, int, bool]], list[int]]] = []
-    constants: dict[str, int] = {}
-    reached: list[float] = []
-    found: dict[tuple[int, int], tuple[str, float]] = {}
-    resume = 0
+    """(start, end, target name, score) of the literals that reach a sensitive name."""
+    constants = Constants(text)
+    named = constants.named
+    missing: set[str] = set()
+    chain: list[str] = []
+    resume = chained = 0
     while pair := _PAIR.search(text, resume):
-        resume = pair.end()
+        if pair.start() != chained:
+            chain = []
+        name, values, after = pair["tag"] or pair["name"] or pair["flag"], [[]], pair.end()
+        if pair["chained"] is not None:
+            chain.append(name)
+            resume = chained = after
+            continue
         if pair["tag"]:
-            name, parts, names = pair["tag"], [(pair.start("body"), pair.end("body"), True)], []
+            values = [[(pair.start("body"), pair.end("body"), True)]]
         else:
-            name, parts, names, at = pair["name"] or pair["flag"], [], [], pair
+            opened = pair["open"] or ""
+            if any(c.lower() not in CONVERSIONS for c in _CALLEES.findall(opened)) or (opened and (text[pair.start("first")] not in "\"'`" or _KEYED.match(text, after))):
+                # an unknown call, or brackets around something else than literals: what is inside is read by itself
+                if "(" in opened and _CALLEES.search(opened):
+                    start = pair.start("open")
+                    values[0].append((start, start + len(re.match(r"[\w$:.]*", text[start:after])[0]), False))
+                resume = pair.end("open")
+                constants.named[name] = constants.add(values)
+                chain = []
+                continue
             if pair["type"]:
-                parts.append((*pair.span("type"), False))
-            group = "first"
+                values[0].append((*pair.span("type"), False))
+                values.append([])
+            at, group = pair, "first"
             while at:
                 start, end = at.span(group)
-                if text[start] in "\"'`":
-                    parts.append((start + 1, end - 1, True))
-                elif text[start:end] in constants:
-                    names.append(constants[text[start:end]])
+                if triple := _closed(text, start, missing):
+                    values[-1].append((*triple[:2], True))
+                    after = triple[2]
+                elif text[start] in "\"'`":
+                    values[-1].append((start + 1, end - 1, True))
+                    after = at.end()
                 else:
-                    parts.append((start, end, False))
-                resume = at.end()
-                at = _MORE.match(text, end)
+                    values[-1].append(named[text[start:end]] if text[start:end] in named else (start, end, False))
+                    after = at.end()
+                at = _MORE.match(text, after)
                 group = at.lastindex if at else 0
-        constants[name] = len(nodes)
-        nodes.append((parts, names))
-        reached.append(0.0)
+                if not at and opened and (at := _NEXT.match(text, after)):
+                    values.append([])
+                    group = 1
+        resume = after
+        node = constants.add([v for v in values if v] or [[]])
         score = name_score(name)
+        for target in [*chain, name]:
+            named[target] = node
+            if name_score(target) > score:
+                name, score = target, name_score(target)
+        chain = []
         # "note: password = x" may be a word and a pair as well
         if pair["type"] and name_score(pair["type"]) > score:
             name, score = pair["type"], name_score(pair["type"])
-            constants[name] = len(nodes) - 1
-        walk = [len(nodes) - 1] if score else []
-        while walk:
-            node = walk.pop()
-            if reached[node] >= score:
-                continue
-            reached[node] = score
-            walk.extend(nodes[node][1])
-            for start, end, quoted in nodes[node][0]:
-                value = score * literal_score(text[start:end], quoted)
-                if value >= LEAST_SCORE and value > found.get((start, end), ("", 0.0))[1]:
-                    found[start, end] = (name, value)
-    return [(start, end, name, value) for (start, end), (name, value) in sorted(found.items())]
+            named[name] = node
+        if score:
+            constants.reach(node, name, score)
+    for call in _CALL.finditer(text):
+        group = "value" if call["name"] else "keyed"
+        start, end = call.span(group)
+        value = text[start + 1 : end - 1]
+        if call["name"] and _ASKING.match(call["name"]) or not call["name"] and not re.search("[0-9]", value):
+            continue
+        constants._report((start + 1, end - 1), call["name"] or call["key"], name_score(call["name"] or call["key"]) * literal_score(value, True))
+    return [(start, end, name, value) for (start, end), (name, value) in sorted(constants.found.items())]
 
 
 def scan(text: str) -> list[tuple[str, int, int, int, str, float]]:

@@ -93,6 +93,34 @@ def test_literals_of_subscripts_types_and_broken_lines():
         assert time.process_time() - start < 5
 
 
+def test_literals_of_further_source_forms():
+    one, two = "Zx81kd9Qm", "q9Zt7Lp"
+    forms = [
+        'db_pwd = f"{}"', "db_pwd = b'{}'", 'db_pwd = rb"{}"', 'db_pwd = @"{}";', 'db_pwd = """{}"""', "passphrase = \'\'\'{}\'\'\'", 'auth = ("user", "{}")', 'db_pwds_secret = ["{}", "b"]',
+        'secret = ["x", "{}"]', 'let db_pwd = String::from("{}");', 'db_pwd = SecretStr("{}")', 'db_pwd = str(bytes("{}"))', 'setPassword("{}");', "client.set_token('{}')",
+        'builder.password("{}").build()', 'map.put("password", "{}")', "os.environ.setdefault('API_KEY', '{}')", 'pw = db_pwd = "{}"', 'db_pwd = pw = x = "{}"', 'secret = (\n  "{}",\n)',
+    ]
+    for form in forms:
+        text = form.format(one)
+        assert one in {text[s[1] : s[2]] for s in secrets.scan(text)}, form
+        assert one not in secrets.mask(text, secrets.scan(text)), form
+    # parts that only together are a secret
+    for form in ('db_pwd = "aB3d" + "{}"', 'a = "aB3d"\ndb_pwd = a + "{}"', 'a = "aB3d"\nb = a + "{}"\ndb_pwd = b'):
+        text = form.format("E6gH")
+        assert {text[s[1] : s[2]] for s in secrets.scan(text)} == {"aB3d", "E6gH"}, form
+    text = f'auth = ("{one}", "{two}")'
+    assert {text[s[1] : s[2]] for s in secrets.scan(text)} == {one, two}
+    for text in (
+        'db_pwd = getpass("Enter1abc: ")', 'db_pwd = os.getenv("DB_PWD_9x")', 'client.getSecret("db/Path1x")', 'put("password", "user_password")', 'db_pwd = "see " + name + ", thanks"', 'auth = {"user": "Zx81kd9Qm"}',
+        'x = ("password", "is not set 1")', 'db_pwd = a["Zx81kd9Qm"]', 'pwd = pwd2 = x', 'if pwd == x == "Zx81kd9Qm": pass',
+    ):
+        assert not secrets.scan(text), text
+    for text in ('pwd="""' * 30_000, "pwd=(" * 50_000, 'pwd=("a",' * 30_000, "pwd=a(" * 50_000, "pwd=a=" * 50_000, 'k = k + k + "Zx81kd9Qm"\n' * 5_000 + "pwd = k", '.pwd("' * 50_000, '("pwd","' * 50_000, "pwd=new " * 50_000, "pwd=((((" * 20_000, "pwd=" + "a::" * 100_000):
+        start = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - start < 5, text[:20]
+
+
 def test_masking_keeps_the_name():
     text = 'password=abcdef0123 and token = "feedfacefeedfacefeedface" end'
     assert secrets.mask(text, secrets.scan(text)) == 'password=[REDACTED] and token = "[REDACTED]" end'
