@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatorium.functions.columns import joined
-from curatorium.functions.spread import integer_bucket
+from curatorium.functions.spread import integer_bucket, ranked
+from curatorium.operators import ledger
 from curatorium.plans.registry import query
 from curatorium.schemas import CATALOGUE
 from curatorium.session import ensure_checkpoint_dir
 from curatorium.sources import readers, sinks
 
+c = F.col
+
 CATALOGUE_SQL = """SELECT id, ord, title, array_to_string(moods, '|') AS moods, array_to_string(situations, '|') AS situations, pace,
   emotional_weight, attention_demand, discovery_style, array_to_string(palette, '|') AS palette FROM catalogue"""
 
@@ -76,39 +79,66 @@ def _(t):
     )
 
 
+# two runs wrote an artifact per decided candidate; the second one only for some, and some files are torn, repeat a name or
+# carry another id
 @query(
     "scan_artifact_directory",
-    (),
-    "SELECT 'labels' AS artifact, count(*) AS records FROM labels UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'benchmark', count(*) FROM benchmark",
+    ["review"],
+    """adjudicated AS (SELECT * FROM review WHERE human_decision IS NOT NULL),
+       f AS (SELECT candidate_id, lang, source, CASE WHEN source = 'src3' THEN 'x' WHEN source = 'src4' THEN 'x' WHEN source = 'src5' THEN 'x' END AS problem FROM adjudicated
+         UNION ALL SELECT candidate_id, lang, source, NULL FROM adjudicated WHERE ord % 3 = 0)
+       SELECT candidate_id AS identity, count(*) AS artifacts, count(problem) AS unusable, CASE WHEN count(problem) = count(*) THEN 'UNUSABLE' WHEN count(*) > 1 THEN 'REPEATED' ELSE 'MATERIALIZED' END AS status
+       FROM f WHERE lang <> 'fr' GROUP BY candidate_id""",
 )
 def _(t):
-    # every file below the folder is one artifact; only the path says which
-    frames = [
-        readers.with_file_identity(t.raw(n).select("_metadata.*", F.col("_metadata")), r"([^/]+)\.parquet", "artifact").select("artifact")
-        for n in ("labels", "documents", "benchmark")
-    ]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2]).groupBy("artifact").agg(F.count(F.lit(1)).alias("records"))
+    path = _folder(t, "run")
+    rows = t.review.where(c("human_decision").isNotNull())
+    record = F.to_json(F.struct(F.when(c("source") == "src5", "somebody").otherwise(c("candidate_id")).alias("candidateId"), c("human_decision").alias("decision"), c("n_chars")))
+    text = F.when(c("source") == "src3", F.substring(record, 1, 25)).when(c("source") == "src4", F.regexp_replace(record, r"\}$", ',"decision":"REVISE"}')).otherwise(record)
+    whole = F.to_json(F.struct(c("candidate_id").alias("candidateId"), c("human_decision").alias("decision"), c("n_chars")))
+    for run, some, body in (("first", rows, text), ("second", rows.where("ord % 3 = 0"), whole), ("evidencePackets", rows.where("ord % 5 = 0"), whole)):
+        files = some.select("candidate_id", body.alias("value"))
+        files.write.partitionBy("candidate_id").text(f"{path}/{run}")
+    # text files are what a run writes; they are JSON by name
+    schema = "candidateId string, decision string, n_chars bigint"
+    parsed = readers.read_artifact_directory(t.spark, path, schema, "candidateId", r"candidate_id=([^/]+)/", "/evidencePackets/", "*.txt")
+    return readers.artifact_summary(parsed, t.review.where("lang <> 'fr'"), "candidate_id").drop("provenance")
 
 
 def _ledger_lines(t):
-    line = F.to_json(F.struct(F.col("seq"), F.col("attempt_id"), F.col("lifecycle")))
-    # costly records lost their tail, the costliest closed too early
-    text = F.when(F.col("cost_cents") > 25000, F.lit('{"seq":}')).when(F.col("cost_cents") > 20000, F.substring(line, 1, 20)).otherwise(line)
-    return t.ledger.select("attempt_id", "seq", text.alias("line"))
+    """Sealed records as lines: some payloads were rewritten later, some names are there twice, costly records lost their tail."""
+    daily = ranked(t.ledger, ["attempt_id"], [c("seq").asc()], [(integer_bucket("seq"), True)], out="pos").withColumn("pos", c("pos") - 1)
+    sealed = ledger.seal(daily.select("attempt_id", "pos", "lifecycle", "payload", "cost_cents"), "pos", SEALED, ["attempt_id"])
+    cost = c("cost_cents")
+    line = F.to_json(F.struct("pos", "lifecycle", F.when(cost % 211 == 7, "{}").otherwise(c("payload")).alias("payload"), "prev_hash", "hash"))
+    twice = F.regexp_replace(line, r"\}$", ',"pos":0}')
+    text = F.when(cost > 25000, F.lit('{"seq":}')).when(cost > 20000, F.substring(line, 1, 20)).when(cost % 509 == 3, twice).otherwise(line)
+    return sealed.select("attempt_id", "pos", text.alias("line"))
+
+
+SEALED = ["lifecycle", "payload"]
 
 
 @query(
     "scan_event_ledger",
     ["ledger"],
     """w AS (SELECT attempt_id FROM ledger UNION SELECT -1 - c_custkey FROM customer WHERE c_nationkey = 3),
-       s AS (SELECT attempt_id, count(*) AS lines, count(*) FILTER (WHERE cost_cents > 20000) AS bad, arg_max(cost_cents > 20000 AND cost_cents <= 25000, seq) AS torn FROM ledger GROUP BY attempt_id)
-       SELECT w.attempt_id, coalesce(lines, 0) AS lines, coalesce(bad, 0) AS bad, CASE WHEN lines IS NULL THEN 'EMPTY' WHEN bad = 0 THEN 'VALID' WHEN bad = 1 AND torn THEN 'TORN_TRAILING_RECORD' ELSE 'WAL_CORRUPTION' END AS status
+       l AS (SELECT *, cost_cents > 20000 OR cost_cents % 509 = 3 AS is_bad, cost_cents > 20000 AND cost_cents <= 25000 AS is_torn FROM ledger),
+       s AS (SELECT attempt_id, count(*) AS lines, count(*) FILTER (WHERE is_bad) AS bad, arg_max(is_torn, seq) AS torn, bool_or(NOT is_bad AND cost_cents % 211 = 7 AND payload <> '{}') AS rewritten FROM l GROUP BY attempt_id)
+       SELECT w.attempt_id, coalesce(lines, 0) AS lines, coalesce(bad, 0) AS bad, CASE WHEN lines IS NULL THEN 'EMPTY' WHEN rewritten THEN 'WAL_CORRUPTION' WHEN bad = 0 THEN 'VALID' WHEN bad = 1 AND torn THEN 'TORN_TRAILING_RECORD' ELSE 'WAL_CORRUPTION' END AS status
        FROM w LEFT JOIN s USING (attempt_id)""",
 )
 def _(t):
     # some ledgers were opened but never written
     opened = t.ledger.select("attempt_id").unionByName(t.raw("customer").where("c_nationkey = 3").select((-1 - F.col("c_custkey")).alias("attempt_id")))
-    return readers.ledger_status(_ledger_lines(t), "attempt_id", "seq", "line", F.try_parse_json("line"), opened)
+    path = _folder(t, "wal")
+    _ledger_lines(t).write.parquet(path)
+    lines = t.spark.read.parquet(path)
+    # the chain of the records that can be read decides as well
+    fields = "pos bigint, lifecycle string, payload string, prev_hash string, hash string"
+    readable = lines.where(readers.is_strict_json(c("line"))).select("attempt_id", F.from_json("line", fields).alias("r")).select("attempt_id", "r.*")
+    broken = ledger.chain_validate(readable, "pos", SEALED, ["attempt_id"])
+    return readers.ledger_status(lines, "attempt_id", "pos", "line", F.when(readers.is_strict_json(c("line")), F.lit(True)), opened, broken)
 
 
 @query("scan_identity_only", ["review"], "SELECT candidate_id AS \"candidateId\", tmdb_id AS \"tmdbId\" FROM review")

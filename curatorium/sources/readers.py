@@ -44,10 +44,57 @@ def with_file_identity(df: DataFrame, pattern: str, out: str) -> DataFrame:
     return df.withColumn(out, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
-def read_artifact_directory(spark: SparkSession, path: str, schema: T.StructType, pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
-    """All JSON artifacts below a run folder, one row per file, identity from the path."""
-    frame = spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", True).json(path)
-    return with_file_identity(frame, pattern, "candidate_id")
+def is_strict_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else, with no member name twice in an object, escapes resolved.
+
+    The parser behind ``try_parse_json`` refuses repeated names but ignores what follows a value.  A text that parses both as
+    the only element of an array and as the only member of an object can hold nothing more: what would close one of them
+    early is an error in the other.
+    """
+    alone = lambda before, after: F.try_parse_json(F.concat(F.lit(before), text, F.lit(after))).isNotNull()
+    return F.coalesce(alone("[", "]") & alone('{"v":', "}"), F.lit(False))
+
+
+def read_artifact_files(spark: SparkSession, path: str, pattern: str = r"([^/]+)/[^/]+$", skip: str | None = None, names: str = "*.json") -> DataFrame:
+    """(identity, file, text): every JSON file below a run folder as it is, identity from the path.
+
+    Files are small and many: Spark packs them into tasks by size, no file is opened on the driver.  ``skip`` is a pattern of
+    paths to leave out.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).text(path, wholetext=True)
+    found = with_file_identity(files.select("value", "_metadata"), pattern, "identity").select("identity", F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return found.where(~F.col("file").rlike(skip)) if skip else found
+
+
+def parse_artifacts(files: DataFrame, schema: T.StructType | str, named: str) -> DataFrame:
+    """identity, file, problem, record: one row per file.
+
+    problem is BAD_JSON (not one strict JSON value), IDENTITY_MISMATCH (the member ``named`` differs from the path), else null;
+    the record is null where there is a problem.
+    """
+    record = F.from_json("text", schema)
+    parsed = files.withColumn("record", F.when(is_strict_json(F.col("text")), record))
+    problem = F.when(F.col("record").isNull(), "BAD_JSON").when(~F.col(f"record.{named}").cast("string").eqNullSafe(F.col("identity")), "IDENTITY_MISMATCH")
+    parsed = parsed.withColumn("problem", problem)
+    return parsed.select("identity", "file", "problem", F.when(F.col("problem").isNull(), F.col("record")).alias("record"))
+
+
+def artifact_summary(parsed: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Per known identity with a file: artifacts, unusable ones, status (MATERIALIZED, REPEATED or UNUSABLE) and the first path.
+
+    Files of unknown identities are left out, as an index of identities decides what counts.
+    """
+    held = parsed.join(known.select(F.col(key).cast("string").alias("identity")).distinct(), "identity", "left_semi")
+    found = held.groupBy("identity").agg(F.count(F.lit(1)).alias("artifacts"), F.count("problem").alias("unusable"), F.min("file").alias("provenance"))
+    status = F.when(F.col("unusable") == F.col("artifacts"), "UNUSABLE").when(F.col("artifacts") > 1, "REPEATED").otherwise("MATERIALIZED")
+    return found.withColumn("status", status)
+
+
+def read_artifact_directory(
+    spark: SparkSession, path: str, schema: T.StructType | str, named: str, pattern: str = r"([^/]+)/[^/]+$", skip: str | None = None, names: str = "*.json"
+) -> DataFrame:
+    """All JSON artifacts below a run folder, one row per file: identity, file, problem, record."""
+    return parse_artifacts(read_artifact_files(spark, path, pattern, skip, names), schema, named)
 
 
 def is_incomplete(line: Column) -> Column:

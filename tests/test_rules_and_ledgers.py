@@ -158,17 +158,32 @@ def test_ledger_status(spark):
     assert got == {"ok": "VALID", "torn": torn, "bad": "WAL_CORRUPTION", "wrong": "WAL_CORRUPTION", "deep": torn, "quoted": torn, "forged": "WAL_CORRUPTION", "new": "EMPTY"}
 
 
+def test_strict_json(spark):
+    good = ['{"a":1}', ' {"a":{"a":[1,{"b":2},{"b":2}]}} ', "null", '"s"', "1e5", "[]", '{"a":"}]"}', '{"\\u0062":1,"a":2}', '{"A":1,"a":2}']
+    bad = ['{"a":1,"a":2}', '{"a":1,"\\u0061":2}', '{"x":{"b":1,"b":2}}', '[{"c":1,"c":1}]', '{"a":1} x', '{"a":1}{"b":2}', '{"a":1}] [', '1}{', '1,"b":2', "1,2", '"a":1', "", " ", "{'a':1}", '{"a":01}', '{"a":1,}', '{"a":NaN}', '{"a":"\t"}', '{"a":"\\x"}', "{a:1}", "[1,2", None]
+    df = spark.createDataFrame([(t,) for t in good + bad], "t string")
+    got = {r.t: r.ok for r in df.select("t", readers.is_strict_json(F.col("t")).alias("ok")).collect()}
+    assert [t for t in good if not got[t]] == [] and [t for t in bad if got[t]] == []
+
+
 def test_readers_from_files(spark, tmp_path):
     (tmp_path / "facts.json").write_text(json.dumps({"m1": {"title": "A", "year": 1990}, "m2": {"title": "B", "year": 1991}}, indent=1))
     from pyspark.sql.types import StructType
 
     rows = readers.read_keyed_map(spark, str(tmp_path / "facts.json"), StructType.fromDDL("title string, year int"))
     assert sorted(tuple(r) for r in rows.collect()) == [("m1", "A", 1990), ("m2", "B", 1991)]
-    for name in ("c1", "c2"):
-        (tmp_path / "run" / name).mkdir(parents=True)
-        (tmp_path / "run" / name / "output.json").write_text(json.dumps({"score": 1}, indent=1))
-    found = readers.read_artifact_directory(spark, str(tmp_path / "run"), StructType.fromDDL("score int"))
-    assert sorted(r.candidate_id for r in found.collect()) == ["c1", "c2"]
+    whole = lambda name: json.dumps({"id": name, "score": 1}, indent=1)
+    files = {"a/c1/output.json": whole("c1"), "b/c1/output.json": whole("c1"), "a/c2/output.json": whole("c9"), "a/c3/output.json": whole("c3")[:-3], "a/c4/output.json": '{"id":"c4","id":"c4"}'}
+    files |= {"a/c5/output.json": whole("c5") + "\n", "a/c6/report.json": whole("c6"), "a/c7/notes.txt": whole("c7"), "b/c5/output.json": "[]", "a/c8/output.json": whole("c8")}
+    for name, text in files.items():
+        (tmp_path / "run" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "run" / name).write_text(text)
+    found = readers.read_artifact_directory(spark, str(tmp_path / "run"), "id string, score int", "id", skip="/report[.]json$")
+    problems = {(r.identity, r.problem, r.record and r.record.score) for r in found.collect()}
+    assert problems == {("c1", None, 1), ("c2", "IDENTITY_MISMATCH", None), ("c3", "BAD_JSON", None), ("c4", "BAD_JSON", None), ("c5", None, 1), ("c5", "IDENTITY_MISMATCH", None), ("c8", None, 1)}
+    known = spark.createDataFrame([(f"c{i}",) for i in range(8)], "k string")
+    summary = {r.identity: (r.artifacts, r.unusable, r.status) for r in readers.artifact_summary(found, known, "k").collect()}
+    assert summary == {"c1": (2, 0, "REPEATED"), "c2": (1, 1, "UNUSABLE"), "c3": (1, 1, "UNUSABLE"), "c4": (1, 1, "UNUSABLE"), "c5": (2, 1, "REPEATED")}
     with pytest.raises(ValueError):
         readers.parse_identity(rows, "title", {"humanDecision": "string"})
 
