@@ -157,3 +157,57 @@ def discrete_quantiles(
         for name, position in positions.items()
     ]
     return cumulative.join(sizes, list(parts)).groupBy(*parts).agg(*picks, F.max("n").alias("n"))
+
+
+def ntile(df: DataFrame, parts: Sequence[str], order: Sequence[Column], buckets: Sequence[tuple[Column, bool]], tiles: int, out: str = "tile") -> DataFrame:
+    """``ntile(tiles)`` per group: equal shares in order, the first ones a row larger."""
+    rows = ranked(df, parts, order, buckets, "__place", "__size") if parts else ranked(df.withColumn("__all", F.lit(0)), ["__all"], order, buckets, "__place", "__size").drop("__all")
+    share, rest = F.floor(F.col("__size") / tiles), F.col("__size") % tiles
+    edge = rest * (share + 1)  # rows in the larger tiles
+    tile = F.when(F.col("__place") <= edge, F.ceil(F.col("__place") / (share + 1))).otherwise(rest + F.ceil((F.col("__place") - edge) / F.greatest(share, F.lit(1))))
+    return rows.withColumn(out, tile.cast("int")).drop("__place", "__size")
+
+
+def value_ranks(df: DataFrame, parts: Sequence[str], value: str, width: int = BUCKET_WIDTH) -> DataFrame:
+    """(parts, value, rows, rank, dense_rank, percent_rank, cume_dist): one row per value of a whole-number column.
+
+    Equal values are counted first, so neither a hot group nor a hot value is sorted; rows meet their value by a join where
+    they need its rank.  Null values have no rank.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*parts, value).agg(F.count(F.lit(1)).alias("rows"))
+    keyed = counts if parts else counts.withColumn("__all", F.lit(0))
+    keys = list(parts) or ["__all"]
+    placed = running_sums(keyed, keys, [F.col(value).asc()], [(integer_bucket(value, width), True)], {"__upto": F.col("rows"), "dense_rank": F.lit(1)})
+    sizes = keyed.groupBy(*keys).agg(F.sum("rows").alias("__size"))
+    below = F.col("__upto") - F.col("rows")
+    return placed.join(sizes, keys).select(
+        *parts, value, "rows", (below + 1).alias("rank"), F.col("dense_rank").cast("long").alias("dense_rank"),
+        F.when(F.col("__size") > 1, below / (F.col("__size") - 1)).otherwise(F.lit(0.0)).alias("percent_rank"),
+        (F.col("__upto") / F.col("__size")).alias("cume_dist"),
+    )
+
+
+def sliding_totals(
+    df: DataFrame, parts: Sequence[str], at: str, before: int, after: int, sums: dict[str, Column], highest: dict[str, Column] | None = None, width: int | None = None
+) -> DataFrame:
+    """Totals over the range from ``before`` behind to ``after`` ahead of every value of a whole-number or date column.
+
+    One row per group and value: parts, at, rows, the sums and maxima over the range.  Rows of one value are added up first;
+    then every value goes to the bucket that it lies in and, as a guest, to the buckets whose ranges reach it, so a bucket
+    holds at most ``width`` + ``before`` + ``after`` rows whatever the size of the group.  Null values are left out.
+    """
+    highest = highest or {}
+    width = width or max(1, before + after)
+    is_date = dict(df.dtypes)[at] == "date"
+    number = F.unix_date(F.col(at)) if is_date else F.col(at)
+    daily = df.where(F.col(at).isNotNull()).groupBy(*parts, number.cast("long").alias("__at"))
+    daily = daily.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(n) for n, c in sums.items()], *[F.max(c).alias(n) for n, c in highest.items()])
+    cell = lambda x: F.floor(x / width).cast("long")
+    placed = daily.withColumn("__bucket", F.explode(F.sequence(cell(F.col("__at") - after), cell(F.col("__at") + before))))
+    frame = Window.partitionBy(*parts, "__bucket").orderBy("__at").rangeBetween(-before, after)
+    totals = placed.select(
+        *parts, "__at", "__bucket", F.sum("rows").over(frame).alias("rows"), *[F.sum(n).over(frame).alias(n) for n in sums], *[F.max(n).over(frame).alias(n) for n in highest]
+    )
+    own = totals.where(F.col("__bucket") == cell(F.col("__at")))
+    value = F.date_from_unix_date(F.col("__at").cast("int")) if is_date else F.col("__at").cast(dict(df.dtypes)[at])
+    return own.select(*parts, value.alias(at), "rows", *sums, *highest)

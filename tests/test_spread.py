@@ -61,3 +61,41 @@ def test_discrete_quantiles(rows):
         data.setdefault(r.g, []).append(r.v)
     want = {g: sorted(v)[-(-len(v) * 9 // 10) - 1] for g, v in data.items()}
     assert {r.g: r.p90 for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("tiles", [1, 3, 7, 1000])
+@pytest.mark.parametrize("parts", [["g"], []])
+def test_ntile(rows, tiles, parts):
+    got = spread.ntile(rows, parts, [F.col("ord").asc()], [(spread.integer_bucket("ord", 9), True)], tiles)
+    want = rows.withColumn("tile", F.ntile(tiles).over(Window.partitionBy(*parts).orderBy("ord")))
+    assert collected(got, "ord", "tile") == collected(want, "ord", "tile")
+
+
+@pytest.mark.parametrize("parts", [["g"], []])
+@pytest.mark.parametrize("value", ["score", "v"])
+def test_value_ranks(rows, parts, value):
+    got = spread.value_ranks(rows, parts, value, width=2)
+    w = Window.partitionBy(*parts).orderBy(value)
+    names = ["rank", "dense_rank", "percent_rank", "cume_dist"]
+    want = rows.select(*parts, value, *[getattr(F, n)().over(w).alias(n) for n in names]).distinct()
+    assert collected(got, *parts, value, *names) == collected(want, *parts, value, *names)
+    assert got.agg(F.sum("rows")).first()[0] == rows.count()
+
+
+@pytest.mark.parametrize("before, after, width", [(3, 0, None), (0, 5, 1), (10, 10, 4), (0, 0, None), (200, 0, 7)])
+@pytest.mark.parametrize("parts", [["g"], []])
+def test_sliding_totals(spark, rows, before, after, width, parts):
+    extra = rows.unionByName(spark.createDataFrame([("a", 999, 1, None), ("a", 998, 1, -40)], rows.schema))
+    got = spread.sliding_totals(extra, parts, "v", before, after, {"total": F.col("score")}, {"most": F.col("ord")}, width)
+    frame = Window.partitionBy(*parts).orderBy("v").rangeBetween(-before, after)
+    plain = extra.where("v is not null")
+    want = plain.select(*parts, "v", F.count("*").over(frame).alias("rows"), F.sum("score").over(frame).alias("total"), F.max("ord").over(frame).alias("most")).distinct()
+    assert collected(got, *parts, "v", "rows", "total", "most") == collected(want, *parts, "v", "rows", "total", "most")
+
+
+def test_sliding_totals_of_dates(spark):
+    days = spark.sql("select 'x' as g, date_add(date'2024-01-01', cast(id * id as int)) as d, id as v from range(12)")
+    got = {str(r.d): (r.rows, r.total) for r in spread.sliding_totals(days, ["g"], "d", 6, 0, {"total": F.col("v")}).collect()}
+    at = [i * i for i in range(12)]
+    want = {k: [j for j in range(12) if at[k] - 6 <= at[j] <= at[k]] for k in range(12)}
+    assert sorted(got.values()) == sorted((len(js), sum(js)) for js in want.values())
