@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,16 +105,25 @@ def normalized_title(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
 
 
-def slug(text: Column, suffix: Column, limit: int = 40) -> Column:
-    """Kebab-case slug with marks stripped, cut to ``limit``, plus '-suffix'."""
-    plain = strip_marks(F.lower(text))
-    body = F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.concat(F.regexp_replace(F.substring(body, 1, limit), "-+$", ""), F.lit("-"), suffix.cast("string"))
+def slug(text: Column, year: Column, limit: int = 40) -> Column:
+    """Kebab-case slug of a title: compatibility decomposition, marks stripped, cut to ``limit``, plus '-year' if there is one.
 
+    A title without Latin letters or digits is 'movie'.  The cut comes last, so it may leave a hyphen at the end.
+    """
+    plain = F.lower(F.regexp_replace(decomposed(F.coalesce(text, F.lit(""))), r"[\u0300-\u036f]", ""))
+    body = F.substring(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, limit)
+    base = F.when(body == "", F.lit("movie")).otherwise(body)
+    return F.when(year > 0, F.concat(base, F.lit("-"), year.cast("string"))).otherwise(base)
+
+
+def decomposed(text: Column) -> Column:
+    """Unicode compatibility decomposition (NFKD), which no built-in function has; whole Arrow batches at a time."""
+
+    @F.pandas_udf("string")
+    def nfkd(values: pd.Series) -> pd.Series:
+        return values.str.normalize("NFKD")
 
-def strip_marks(text: Column) -> Column:
-    """Fold the accented Latin letters of Western European text to ASCII."""
-    return F.translate(text, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    return nfkd(text)
 
 
 def settle(df, **columns: Column):

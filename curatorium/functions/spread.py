@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatorium.session import stored
+
 BUCKET_WIDTH = 1 << 18
 
 
@@ -211,3 +213,18 @@ def sliding_totals(
     own = totals.where(F.col("__bucket") == cell(F.col("__at")))
     value = F.date_from_unix_date(F.col("__at").cast("int")) if is_date else F.col("__at").cast(dict(df.dtypes)[at])
     return own.select(*parts, value.alias(at), "rows", *sums, *highest)
+
+
+def placed(df: DataFrame, order: Sequence[Column], out: str = "place") -> DataFrame:
+    """1-based position of every row in the order of the whole table, which must be total.
+
+    Spark sorts by ranges of the whole key, so a frequent first value spreads; the sorted table is written once with each
+    row's partition and place in it, and partitions are shifted by the rows before them, one number per partition.
+    """
+    inside = F.monotonically_increasing_id()  # partition number and place in the partition
+    rows = stored(df.orderBy(*order).withColumn("__at", inside), "sorted").withColumn("__part", F.shiftright("__at", 33))
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1
+    return rows.join(F.broadcast(shifts), "__part").withColumn(out, place).drop("__at", "__part", "__before")

@@ -217,15 +217,16 @@ def escalation_problems(attempts: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def block_rollup(rows: DataFrame, seq: str, complete: Column, content: Column, size: int = 8, first: int = 2) -> DataFrame:
-    """Counts and digest per fixed block of positions, and whether all earlier blocks are complete."""
+    """Counts and digest per fixed block of positions, and whether all earlier blocks are complete.
+
+    Rows of one position are merged first, so a block lists at most ``size`` of them: a repeated position enters the digest
+    with its smallest content and its number of rows, and counts once, as complete if all its rows are.
+    """
+    per_seq = rows.where(F.col(seq) >= first).groupBy(F.col(seq).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min(content).alias("c"), F.bool_and(F.coalesce(complete, F.lit(False))).alias("ok"))
+    text = F.transform(F.sort_array(F.collect_list(F.struct("s", "n", "c"))), lambda x: F.when(x["n"] == 1, x["c"]).otherwise(F.concat_ws("#", x["c"], x["n"].cast("string"))))
     blocks = (
-        rows.where(F.col(seq) >= first)
-        .withColumn("block", F.floor((F.col(seq) - first) / size).cast("bigint"))
-        .groupBy("block")
-        .agg(
-            F.count_if(complete).alias("completed"),
-            F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), content.alias("c")))), lambda x: x["c"]), "|"), 256).alias("digest"),
-        )
+        per_seq.groupBy(F.floor((F.col("s") - first) / size).cast("bigint").alias("block"))
+        .agg(F.count_if("ok").alias("completed"), F.sha2(F.array_join(text, "|"), 256).alias("digest"))
         .withColumn("complete", F.col("completed") == size)
     )
     first_open = blocks.where(~F.col("complete")).agg(F.min("block").alias("first_open"))

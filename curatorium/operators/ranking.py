@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curatorium.functions.columns import hex_mod, overlap_count, preimage_hash
 from curatorium.functions.spread import earlier_max, hash_bucket, integer_bucket, ranked
+from curatorium.session import stored
 
 
 def rank_pool(pool: DataFrame, by_tier: bool = True) -> DataFrame:
@@ -214,37 +215,42 @@ def first_per_group(rows: DataFrame, parts: Sequence[str], order: Sequence[Colum
     return rows.withColumn(out, F.row_number().over(window)).where(F.col(out) <= k)
 
 
+#: Candidates that a round of the greedy choice brings to the driver.
+LAZY = 1024
+
+
 def greedy_coverage(items: DataFrame, id_column: str, features: Column, n: int) -> list[str]:
     """Ids chosen one at a time, each adding the most unseen features (ties by id).
 
-    Rows with the same feature set are equal to the rule, so the rounds run on
-    one row per distinct set with its smallest ids; each round is one small
-    aggregate and reads back a single row.
+    Rows with the same feature set are equal to the rule, so one row per distinct set with its ``n`` smallest ids is written
+    once.  A round brings the ``LAZY`` best candidates by gain and id; what an item adds only shrinks while others are chosen,
+    so the choice goes on among them for as long as the best one beats every item left out, which is at most the last
+    candidate in that order.  Then a new round begins; a round chooses at least one item, usually many.
     """
     profiles = (
         items.select(F.col(id_column).alias("__id"), F.array_sort(F.array_distinct(features)).alias("__f"))
         .withColumn("__r", F.row_number().over(Window.partitionBy("__f").orderBy("__id")))
         .where(F.col("__r") <= n)
         .drop("__r")
-        .cache()
     )
+    profiles = stored(profiles, "profiles")
     chosen: list[str] = []
-    seen: list[str] = []
-    try:
-        for _ in range(n):
-            known = F.array(*[F.lit(v) for v in seen]).cast("array<string>")
-            row = (
-                profiles.where(~F.col("__id").isin(chosen) if chosen else F.lit(True))
-                .select("__id", "__f", F.size(F.array_except("__f", known)).alias("gain"))
-                .orderBy(F.col("gain").desc(), "__id")
-                .first()
-            )
-            if row is None:
+    seen: set[str] = set()
+    while len(chosen) < n:
+        known = F.array(*[F.lit(v) for v in sorted(seen)]).cast("array<string>")
+        gain = F.size(F.array_except("__f", known)).alias("gain")
+        left = profiles.where(~F.col("__id").isin(chosen) if chosen else F.lit(True)).select("__id", "__f", gain)
+        best = left.orderBy(F.col("gain").desc(), "__id").limit(LAZY).collect()
+        if not best:
+            break
+        last = (-best[-1]["gain"], best[-1]["__id"]) if len(best) == LAZY else None
+        candidates = {r["__id"]: set(r["__f"]) for r in best}
+        while candidates and len(chosen) < n:
+            key = min((-len(f - seen), i) for i, f in candidates.items())
+            if last is not None and key > last:
                 break
-            chosen.append(row["__id"])
-            seen.extend(v for v in row["__f"] if v not in seen)
-    finally:
-        profiles.unpersist()
+            chosen.append(key[1])
+            seen |= candidates.pop(key[1])
     return chosen
 
 

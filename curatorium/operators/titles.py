@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatorium.functions.columns import normalized_title
-from curatorium.session import ensure_checkpoint_dir
+from curatorium.session import stored
 
 #: Characters of a seed: titles that share none can't contain each other.
 SEED = 5
@@ -16,12 +14,6 @@ ACCEPT = 80
 RESOLVED, UNRESOLVED = "RESOLVED_HIGH_CONFIDENCE", "UNRESOLVED_UNIQUE_FILM_PAGE_NOT_ESTABLISHED"
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def redirect_ends(redirects: DataFrame) -> DataFrame:
     """(source, final, hops) of every redirect (source, target): the end of its chain, null if it runs into a loop.
 
@@ -31,13 +23,13 @@ def redirect_ends(redirects: DataFrame) -> DataFrame:
     """
     rows = redirects.where(F.col("source").isNotNull() & F.col("target").isNotNull() & (F.col("source") != F.col("target")))
     rows = rows.groupBy("source").agg(F.min("target").alias("target")).withColumn("hops", F.lit(1).cast("long")).withColumn("ended", F.lit(False))
-    rows, open_ = _stored(rows, "redirects"), None
+    rows, open_ = stored(rows, "redirects"), None
     while True:
         onward = rows.select(F.col("source").alias("target"), F.col("target").alias("__next"), F.col("hops").alias("__more"), F.col("ended").alias("__ended"))
         met = rows.join(onward, "target", "left")
         ends = F.col("ended") | F.col("__next").isNull() | F.col("__ended")
         moved = ~F.col("ended") & F.col("__next").isNotNull()
-        rows = _stored(
+        rows = stored(
             met.select(
                 "source", F.when(moved, F.col("__next")).otherwise(F.col("target")).alias("target"),
                 (F.col("hops") + F.when(moved, F.col("__more")).otherwise(0)).alias("hops"), ends.alias("ended"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatorium.functions.columns import joined, preimage_hash, slug
-from curatorium.functions.spread import ranked
+from curatorium.functions.spread import placed, ranked
 from curatorium.operators import predicates as P
 from curatorium.operators import ranking as R
 from curatorium.operators.joins import range_join, union_all
@@ -369,6 +369,20 @@ def _(t):
     return R.unique_slugs(rows.where("emotional_weight <> 'light'"), taken, "tmdb_id", text).select("id", "unique_slug")
 
 
+# letters, ligatures, fractions and scripts that decompose to something, or to nothing, of a slug
+_TAILS = [(" Café", "-cafe"), (" ﬁne ÅNGSTRÖM", "-fine-angstrom"), (" Ǆ№5", "-dzno5"), (" ½", "-1-2"), (" 東京", "")]
+
+
+@query(
+    "title_slugs",
+    ["catalogue"],
+    f"""SELECT id, replace(title, ' ', '-') || ({[tail for _, tail in _TAILS]})[1 + ord % 5] || CASE WHEN ord % 7 = 0 THEN '' ELSE '-' || year END AS slug FROM catalogue""",
+)
+def _(t):
+    tail = F.element_at(F.array(*[F.lit(text) for text, _ in _TAILS]), (c("ord") % 5 + 1).cast("int"))
+    return t.catalogue.select("id", slug(F.concat(F.initcap("title"), tail), F.when(c("ord") % 7 != 0, c("year"))).alias("slug"))
+
+
 @query(
     "first_k_qualifying",
     ["review"],
@@ -384,7 +398,7 @@ def _(t):
 
 @query("sort_multi_key", ["facts"], "SELECT tmdb_id, votes, rating, row_number() OVER (ORDER BY votes DESC, rating DESC, tmdb_id) AS place FROM facts")
 def _(t):
-    return ranked(t.facts.select("tmdb_id", "votes", "rating"), [], best_first(), [(c("votes"), False)], out="place").orderBy("place")
+    return placed(t.facts.select("tmdb_id", "votes", "rating"), best_first()).orderBy("place")
 
 
 DIGEST_SQL = """p AS (SELECT g, sha256(j) AS d FROM src),
@@ -405,4 +419,4 @@ def _(t):
 @query("stable_sort_text", ["catalogue"], "SELECT title, id, row_number() OVER (ORDER BY title, id) AS place FROM catalogue")
 def _(t):
     # binary text order, ties by id
-    return ranked(t.catalogue.select("title", "id"), [], [c("title").asc(), c("id").asc()], [(F.substring("title", 1, 2), True)], out="place").orderBy("place")
+    return placed(t.catalogue.select("title", "id"), [c("title").asc(), c("id").asc()]).orderBy("place")

@@ -275,3 +275,47 @@ def test_grams_skip_stop_word_runs(spark):
 def test_greedy_prefers_new_features_then_id(spark):
     rows = spark.createDataFrame([("b", ["x", "y"]), ("a", ["x", "y"]), ("c", ["z"]), ("d", ["x"])], "id string, f array<string>")
     assert R.greedy_coverage(rows, "id", F.col("f"), 4) == ["a", "c", "b", "d"]
+
+
+def test_greedy_in_rounds_equals_one_pick_at_a_time(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    sets = {f"i{k:03}": sorted(rng.sample(range(60), rng.randrange(0, 9))) for k in range(150)}
+    sets |= {f"j{k}": sets["i000"] for k in range(5)}
+    seen, want = set(), []
+    for _ in range(25):
+        best = min((k for k in sets if k not in want), key=lambda k: (-len(set(sets[k]) - seen), k))
+        want.append(best)
+        seen |= set(sets[best])
+    rows = spark.createDataFrame([(k, [str(x) for x in f]) for k, f in sets.items()], "id string, f array<string>")
+    for lazy in (1, 7, 1024):
+        monkeypatch.setattr(R, "LAZY", lazy)
+        assert R.greedy_coverage(rows, "id", F.col("f"), 25) == want
+    assert R.greedy_coverage(rows.limit(0), "id", F.col("f"), 3) == []
+
+
+def test_blocks_of_repeated_positions_stay_short(spark):
+    rows = [(i, True, f"c{i}") for i in range(2, 18)] + [(5, True, "other")] * 200 + [(9, False, "z")]
+    got = {r.block: (r.completed, r.complete, r.reachable) for r in L.block_rollup(spark.createDataFrame(rows, "seq long, ok boolean, c string"), "seq", F.col("ok"), F.col("c")).collect()}
+    assert got == {0: (7, False, True), 1: (8, True, False)}
+
+
+def test_slugs_equal_the_plain_rule(spark):
+    import re
+    import unicodedata
+
+    from curatorium.functions.columns import slug
+
+    titles = [f"x{chr(c)}{chr(c)} {chr(c)}y" for block in ((0xA0, 0x250), (0x1E00, 0x1F00), (0x2070, 0x2190), (0x2460, 0x2500), (0xFB00, 0xFB50), (0xFF00, 0xFFF0), (0x3300, 0x3400)) for c in range(*block)]
+    titles += ["", None, "!!", "Amélie  (2001)", "a" * 39 + " b c", "Ünïcödé" * 9, "東京物語"]
+    years = [None, 0, 1999]
+    rows = spark.createDataFrame([(i, t, years[i % 3]) for i, t in enumerate(titles)], "i int, t string, y int")
+
+    def plain(title, year):
+        text = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", title or "")).lower()
+        base = re.sub("^-+|-+$", "", re.sub("[^a-z0-9]+", "-", text))[:40] or "movie"
+        return f"{base}-{year}" if year else base
+
+    got = {r.i: r.s for r in rows.select("i", slug(F.col("t"), F.col("y")).alias("s")).collect()}
+    assert [(t, got[i], plain(t, years[i % 3])) for i, t in enumerate(titles) if got[i] != plain(t, years[i % 3])] == []

@@ -99,3 +99,10 @@ def test_sliding_totals_of_dates(spark):
     at = [i * i for i in range(12)]
     want = {k: [j for j in range(12) if at[k] - 6 <= at[j] <= at[k]] for k in range(12)}
     assert sorted(got.values()) == sorted((len(js), sum(js)) for js in want.values())
+
+
+def test_places_of_a_whole_table(rows):
+    got = spread.placed(rows, [F.col("score").desc(), F.col("v").asc(), F.col("ord").asc()])
+    want = rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "v", "ord")).cast("long"))
+    assert collected(got, "ord", "place") == collected(want, "ord", "place")
+    assert spread.placed(rows.limit(0), [F.col("ord").asc()]).count() == 0
