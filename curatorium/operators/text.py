@@ -132,6 +132,7 @@ def lint_voice(rows: DataFrame, key: str, fields: Sequence[str], description: st
     return per_field.unionByName(twins.select(key, F.lit("DESCRIPTION_HOOK_DUPLICATION").alias("code"), F.lit(hook).alias("field")))
 
 
+# Fixed pattern: three words in a row.
 TRIAD = rf"(?i){EDGE_L}[a-z]+,\s+[a-z]+,\s+and\s+[a-z]+{EDGE_R}"
 
 
@@ -305,10 +306,10 @@ def content_risk(rows: DataFrame, html: str, heading: str) -> DataFrame:
 
 
 # Fixed stop words: a run of only these is no evidence of copying.
-STOP_WORDS = (
-    "a an the in on at of to for is are was were and or it that this with by as from be not all its into their can do how "
-    "what where when will then than so if up out no only"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "in", "on", "at", "of", "to", "for", "is", "are", "was", "were", "and", "or", "it", "that", "this", "with", "by", "as", "from", "be", "not", "all", "its", "into", "their", "can", "do", "how",
+    "what", "where", "when", "will", "then", "than", "so", "if", "up", "out", "no", "only",
+]
 
 
 def explode_grams(rows: DataFrame, text: str, n: int = 4, keep: Sequence[str] = ()) -> DataFrame:
@@ -350,12 +351,54 @@ def phrase_exposure(texts: DataFrame, key: str, text: str, phrases: Sequence[str
     return texts.select(key, F.explode(F.array_compact(F.array(*found))).alias("p")).select(key, "p.*")
 
 
+def _tokens(text: Column) -> Column:
+    """Words and single other characters in order; only ASCII letters are lower-cased, as the rules count them."""
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_extract_all(low, F.lit(r"([A-Za-z0-9_]+|[^A-Za-z0-9_])"), 0)
+
+
+def phrase_trie(phrases: DataFrame, phrase: str) -> tuple[DataFrame, DataFrame]:
+    """(first, whole): the first tokens with the lengths of the phrases that begin so, and all phrases by their tokens."""
+    rows = phrases.select(F.col(phrase).alias("phrase")).where(F.col("phrase") != "").distinct().select("phrase", _tokens(F.col("phrase")).alias("__t"))
+    whole = rows.select("phrase", F.array_join("__t", "").alias("__gram"), F.size("__t").alias("__n"), F.get("__t", F.lit(0)).alias("__first"))
+    return whole.groupBy("__first").agg(F.array_sort(F.collect_set("__n")).alias("__lengths")), whole.select("phrase", "__gram")
+
+
+def phrases_found(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
+    """(key, phrase) for every phrase of a table that stands in a text between word edges, case of ASCII letters aside.
+
+    The same as testing each phrase by a pattern, for lists of any length: a text is cut into tokens once, a token that begins
+    phrases is followed by as many tokens as these phrases are long (a short list of lengths per first token), and the
+    sequence meets the phrases by equality.  Texts never meet the whole list, which may be as large as a table; a frequent
+    first token costs its lengths, not its phrases.
+    """
+    first, whole = phrase_trie(phrases, phrase)
+    cut = settle(texts.select(key, text).withColumn("__h", F.xxhash64(text)), __t=_tokens(F.col(text))).drop(text)
+    # places whose token begins a phrase, gathered per text: as many as its tokens at most
+    begun = cut.select(key, "__h", F.posexplode("__t").alias("__i", "__first")).join(first, "__first")
+    begun = begun.groupBy(F.col(key).alias("__key"), "__h").agg(F.collect_set(F.struct("__i", "__lengths")).alias("__places"))
+    same = cut[key].eqNullSafe(begun["__key"]) & (cut["__h"] == begun["__h"])
+    t = F.col("__t")
+    is_word = lambda v: F.coalesce(v.rlike("^[A-Za-z0-9_]"), F.lit(False))
+
+    def grams(place: Column) -> Column:
+        at = place["__i"]
+        whole_begin = is_word(F.get(t, at)) | ~is_word(F.get(t, at - 1))
+        whole_end = lambda n: is_word(F.get(t, at + n - 1)) | ~is_word(F.get(t, at + n))
+        fits = F.filter(place["__lengths"], lambda n: whole_begin & (at + n <= F.size(t)) & whole_end(n))
+        return F.transform(fits, lambda n: F.array_join(F.slice(t, at + 1, n), ""))
+
+    met = cut.join(begun, same).select(key, F.explode(F.array_distinct(F.flatten(F.transform("__places", grams)))).alias("__gram"))
+    return met.join(whole, "__gram").select(key, "phrase").distinct()
+
+
 def quote_in_excerpt(excerpt: Column, quote: Column) -> Column:
     """A non-blank quote occurs in the excerpt, whitespace aside."""
     wanted = collapse_space(quote)
     return F.coalesce((wanted != "") & F.contains(collapse_space(excerpt), wanted), F.lit(False))
 
 
+# Fixed patterns: where an id stands in a text.
 ID_PATTERNS = [rf"{EDGE_L}(?:candidateId|tmdbId)\s*[:=]\s*['\"]?([0-9]+){EDGE_R}", rf"[\"']id[\"']\s*:\s*([0-9]+){EDGE_R}"]
 
 

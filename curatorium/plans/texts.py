@@ -312,6 +312,25 @@ def _(t):
     return X.phrase_exposure(t.texts("documents"), "doc_id", "text", PHRASES, NAMES)
 
 
+@query(
+    "phrases_found",
+    ["catalogue"],
+    r"""p AS (SELECT DISTINCT title AS phrase FROM catalogue UNION SELECT DISTINCT unnest(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' ')[1:2]) FROM benchmark UNION SELECT DISTINCT string_split(text, ' ')[4] || ' ' || string_split(text, ' ')[5] FROM benchmark),
+       w AS (SELECT phrase, regexp_extract_all(lower(phrase), '[a-z0-9_]+|[^a-z0-9_]') AS t FROM p WHERE phrase <> ''),
+       d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+|[^a-z0-9_]') AS t FROM documents),
+       e AS (SELECT doc_id, t, unnest(t) AS v, generate_subscripts(t, 1) AS i FROM d)
+       SELECT DISTINCT doc_id, phrase FROM e JOIN w ON w.t[1] = v WHERE e.t[i:i + len(w.t) - 1] = w.t AND (regexp_matches(w.t[-1], '^[a-z0-9_]') OR NOT regexp_matches(coalesce(e.t[i + len(w.t)], ''), '^[a-z0-9_]'))""",
+)
+def _(t):
+    # titles, and words and pairs of words of the protected texts: a list that grows with the tables
+    words = F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " ")
+    pair = F.split("text", " ")
+    bench = t.raw("benchmark")
+    phrases = t.catalogue.select(c("title").alias("phrase")).unionByName(bench.select(F.explode(F.slice(words, 1, 2)).alias("phrase")))
+    phrases = phrases.unionByName(bench.select(F.concat(F.get(pair, F.lit(3)), F.lit(" "), F.get(pair, F.lit(4))).alias("phrase")))
+    return X.phrases_found(t.texts("documents"), "doc_id", "text", phrases)
+
+
 @query(
     "quote_in_excerpt",
     (),
