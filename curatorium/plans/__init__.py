@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["requests", "scans", "predicates", "checks", "joins", "aggregates", "selection", "sets", "texts", "ledgers", "pixels", "flows", "streams", "temporal", "summaries", "distributions"]
+MODULES = ["requests", "scans", "predicates", "checks", "joins", "aggregates", "selection", "sets", "texts", "ledgers", "pixels", "flows", "streams", "temporal", "summaries", "distributions", "sql_text"]
 
 
 def load_all() -> None:
