@@ -19,44 +19,56 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def _codes(df: DataFrame, code: str, key: str) -> DataFrame:
-    return df.select(F.lit(code).alias("code"), F.col(key).cast("string").alias("value"))
+def keyed_counts(sides: dict[str, tuple[DataFrame, dict[str, Column], dict[str, Column]]]) -> DataFrame:
+    """(kind, value, n_<side>, low_<side>_<name>, high_<side>_<name>): rows of every side per key, in one pass over each.
+
+    A side is (rows, keys by kind, values by name): each row counts once for each of its keys.  Counts and the extremes of the
+    values tell duplicates, missing sides and differing values apart without a join per question.
+    """
+    tagged, names = [], []
+    for side, (df, keys, values) in sides.items():
+        pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("value")) for kind, key in keys.items()])
+        tagged.append(df.select(F.lit(side).alias("__side"), *[v.alias(f"__{side}_{n}") for n, v in values.items()], F.inline(pairs)))
+        names += [(side, n) for n in values]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    counts = [F.count_if(F.col("__side") == side).alias(f"n_{side}") for side in sides]
+    extremes = [f(f"__{side}_{n}").alias(f"{end}_{side}_{n}") for side, n in names for end, f in (("low", F.min), ("high", F.max))]
+    return rows.groupBy("kind", "value").agg(*counts, *extremes)
 
 
 def join_facts_strict(curated: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Curated rows with their facts, and one row per broken expectation."""
-    violations = union_all(
-        [
-            _codes(duplicates(curated, "id"), "DUPLICATE_ID", "id"),
-            _codes(duplicates(curated, "tmdb_id"), "DUPLICATE_TMDB_ID", "tmdb_id"),
-            _codes(curated.join(facts.select("id"), "id", "left_anti"), "MISSING_FACTS", "id"),
-            _codes(
-                curated.select("id", "tmdb_id").join(facts.select("id", F.col("tmdb_id").alias("__t")), "id").where("tmdb_id <> __t"),
-                "ID_MISMATCH",
-                "id",
-            ),
-        ]
+    """Curated rows with their facts, and one row per key and broken expectation."""
+    tmdb = F.col("tmdb_id")
+    counts = keyed_counts({"curated": (curated, {"id": F.col("id"), "tmdb": tmdb}, {"tmdb": tmdb}), "facts": (facts, {"id": F.col("id")}, {"tmdb": tmdb})})
+    is_id, held = F.col("kind") == "id", F.col("n_curated") > 0
+    both = is_id & held & (F.col("n_facts") > 0) & F.col("value").isNotNull()
+    differ = (F.col("low_curated_tmdb") != F.col("high_facts_tmdb")) | (F.col("high_curated_tmdb") != F.col("low_facts_tmdb"))
+    found = reasons(
+        (is_id & (F.col("n_curated") > 1), "DUPLICATE_ID"),
+        (~is_id & (F.col("n_curated") > 1), "DUPLICATE_TMDB_ID"),
+        (is_id & held & ~both, "MISSING_FACTS"),
+        (both & differ, "ID_MISMATCH"),
     )
     shared = [c for c in facts.columns if c in curated.columns and c != "id"]
-    return curated.join(facts.drop(*shared), "id"), violations
+    return curated.join(facts.drop(*shared), "id"), counts.select(F.explode(found).alias("code"), "value")
 
 
 def reconcile_one_to_one(curated: DataFrame, mapping: DataFrame, facts: DataFrame) -> DataFrame:
-    """One row per violation of curated : mapping : facts = 1 : 1 : 1, as (code, value)."""
-    cur = curated.select("id", F.col("tmdb_id").alias("c_tmdb"))
-    per_id = mapping.groupBy("id").agg(F.count(F.lit(1)).alias("m_n"), F.min("tmdb_id").alias("m_tmdb"))
-    seen = facts.select("id", F.col("tmdb_id").alias("f_tmdb"))
-    wide = cur.withColumn("in_c", F.lit(True)).join(per_id, "id", "full_outer").join(seen, "id", "left")
+    """One row per key and violation of curated : mapping : facts = 1 : 1 : 1, as (code, value)."""
+    tmdb, by_id = F.col("tmdb_id"), {"id": F.col("id")}
+    counts = keyed_counts({"c": (curated, by_id, {"tmdb": tmdb}), "m": (mapping, {**by_id, "tmdb": tmdb}, {"tmdb": tmdb}), "f": (facts, by_id, {"tmdb": tmdb})})
+    is_id, in_c, in_m, in_f = F.col("kind") == "id", F.col("n_c") > 0, F.col("n_m") > 0, F.col("n_f") > 0
+    off = lambda other: (F.col("low_c_tmdb") != F.col(other)) | (F.col("high_c_tmdb") != F.col(other))
     found = reasons(
-        (F.col("m_n") > 1, "DUPLICATE_MAPPING_ID"),
-        (F.col("in_c").isNull(), "MAPPING_WITHOUT_CURATED_ROW"),
-        (F.col("in_c") & F.col("m_n").isNull(), "MISSING_MAPPING"),
-        (F.col("in_c") & F.col("f_tmdb").isNull(), "MISSING_FACTUAL_SNAPSHOT"),
-        (F.col("in_c") & (F.col("m_tmdb") != F.col("c_tmdb")), "MAPPING_ID_DIFFERS"),
-        (F.col("in_c") & (F.col("f_tmdb") != F.col("c_tmdb")), "FACTS_ID_DIFFERS"),
+        (is_id & (F.col("n_m") > 1), "DUPLICATE_MAPPING_ID"),
+        (~is_id & (F.col("n_m") > 1), "DUPLICATE_MAPPED_TMDB_ID"),
+        (is_id & in_m & ~in_c, "MAPPING_WITHOUT_CURATED_ROW"),
+        (is_id & in_c & ~in_m, "MISSING_MAPPING"),
+        (is_id & in_c & ~in_f, "MISSING_FACTUAL_SNAPSHOT"),
+        (is_id & in_c & in_m & off("low_m_tmdb"), "MAPPING_ID_DIFFERS"),
+        (is_id & in_c & in_f & (off("low_f_tmdb") | off("high_f_tmdb")), "FACTS_ID_DIFFERS"),
     )
-    rows = wide.select(F.explode(found).alias("code"), F.col("id").alias("value"))
-    return union_all([rows, _codes(duplicates(mapping, "tmdb_id"), "DUPLICATE_MAPPED_TMDB_ID", "tmdb_id")])
+    return counts.select(F.explode(found).alias("code"), "value")
 
 
 def reconcile_membership(sets: dict[str, DataFrame], key: str) -> DataFrame:
@@ -104,9 +116,10 @@ def firewall(rows: DataFrame, held: DataFrame, key: str = "id", title: str = "ti
 
 def collision_check(batch: DataFrame, mapping: DataFrame, key: str, owner: str) -> DataFrame:
     """Batch keys already mapped (with the owner) or repeated inside the batch."""
-    taken = batch.select(key).distinct().join(mapping.select(key, owner), key)
+    counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("n"))  # both branches read one shuffled copy
+    taken = counts.where("n > 0").join(mapping.select(key, owner), key)
     taken = taken.select(key, F.lit("ALREADY_MAPPED").alias("kind"), F.col(owner).cast("string").alias("detail"))
-    twice = duplicates(batch, key).select(key, F.lit("DUPLICATE_IN_BATCH").alias("kind"), F.col("n").cast("string").alias("detail"))
+    twice = counts.where("n > 1").select(key, F.lit("DUPLICATE_IN_BATCH").alias("kind"), F.col("n").cast("string").alias("detail"))
     return taken.unionByName(twice)
 
 

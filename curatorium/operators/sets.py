@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatorium.functions.columns import digest
+from curatorium.functions.columns import digest, reasons
+from curatorium.operators.joins import keyed_counts
 
 
 def tag_sets(sets: dict[str, DataFrame], id_column: str = "id") -> DataFrame:
@@ -78,15 +79,13 @@ def table_digest(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 
 def promote_append(baseline: DataFrame, accepted: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The union, and one row per collision (key, value, how it collides)."""
-    problems = []
-    for key in keys:
-        inside = accepted.groupBy(F.col(key).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        problems.append(inside.select(F.lit(key).alias("key"), "value", F.lit("DUPLICATE_IN_BATCH").alias("kind")))
-        taken = accepted.join(baseline.select(key), key, "left_semi").select(F.col(key).cast("string").alias("value")).distinct()
-        problems.append(taken.select(F.lit(key).alias("key"), "value", F.lit("ALREADY_IN_BASELINE").alias("kind")))
-    collisions = problems[0]
-    for frame in problems[1:]:
-        collisions = collisions.unionByName(frame)
+    by_key = {key: F.col(key) for key in keys}
+    counts = keyed_counts({"baseline": (baseline, by_key, {}), "accepted": (accepted, by_key, {})})
+    found = reasons(
+        (F.col("n_accepted") > 1, "DUPLICATE_IN_BATCH"),
+        ((F.col("n_accepted") > 0) & (F.col("n_baseline") > 0) & F.col("value").isNotNull(), "ALREADY_IN_BASELINE"),
+    )
+    collisions = counts.select(F.col("kind").alias("key"), "value", F.explode(found).alias("kind"))
     return baseline.unionByName(accepted), collisions
 
 

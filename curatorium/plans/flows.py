@@ -13,6 +13,7 @@ from curatorium.operators import sets as S
 from curatorium.plans.predicates import routing
 from curatorium.plans.registry import query
 from curatorium.plans.selection import PROTOCOL
+from curatorium.session import stored
 
 c = F.col
 
@@ -44,16 +45,19 @@ def _(t):
 )
 def _(t):
     """Route records, overlay corrections on the decisions, accept, and append to the held rows with collision checks."""
-    rows = routing(t).withColumn("record_hash", digest("candidate_id", "text"))
+    narrow = ["candidate_id", "tmdb_id", "route", "human_decision", "lang", "source"]
+    rows = stored(routing(t).select(*narrow, digest("candidate_id", "text").alias("record_hash")), "routed")  # texts are read once
     live = rows.where("route <> 'QUARANTINED'")
     stated = F.coalesce("human_decision", F.when(c("route") == "AUTO_ELIGIBLE", "APPROVE"))
-    history = live.select("candidate_id", stated.alias("decision"), "record_hash")
+    history = live.select("candidate_id", "tmdb_id", stated.alias("decision"), "record_hash")
     corrections = live.where(c("human_decision").isNotNull() & (c("lang") == "es")).select(
         "candidate_id", F.lit("REJECT").alias("decision"), F.when(c("source") == "src2", "old").otherwise(c("record_hash")).alias("bound_hash")
     )
-    approved = J.overlay_corrections(history, corrections, "candidate_id").where("effective = 'APPROVE'").select("candidate_id")
-    accepted = rows.select("candidate_id", "tmdb_id").join(approved, "candidate_id", "left_semi")
+    effective = J.overlay_corrections(history, corrections, "candidate_id").where("effective = 'APPROVE'").select("candidate_id")
+    accepted = stored(rows.select("candidate_id", "tmdb_id").join(effective, "candidate_id", "left_semi"), "accepted")
     baseline = rows.where("route = 'QUARANTINED' AND human_decision = 'APPROVE'").select("candidate_id", "tmdb_id")
     union, collisions = S.promote_append(baseline, accepted, ["candidate_id", "tmdb_id"])
-    size = lambda df, part: df.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("rows"))
-    return J.union_all([size(accepted, "accepted"), size(baseline, "baseline"), size(union, "promoted"), size(collisions, "collisions")])
+    parts = {"accepted": accepted, "baseline": baseline, "promoted": union, "collisions": collisions}
+    tagged = J.union_all([df.select(F.lit(part).alias("part")) for part, df in parts.items()])
+    sizes = tagged.agg(*[F.count_if(c("part") == part).alias(part) for part in parts])
+    return sizes.select(F.inline(F.array(*[F.struct(F.lit(part).alias("part"), c(part).alias("rows")) for part in parts])))

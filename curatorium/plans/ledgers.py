@@ -13,7 +13,7 @@ from curatorium.operators import ledger as L
 from curatorium.operators import rules
 from curatorium.plans.joins import HASHES
 from curatorium.plans.registry import query
-from curatorium.session import ensure_checkpoint_dir
+from curatorium.session import ensure_checkpoint_dir, stored
 from curatorium.sources.projections import CTES, Tables
 from curatorium.streaming import ledger_stream
 
@@ -62,14 +62,14 @@ def _(t):
     # one ledger a day
     daily = ranked(t.ledger, ["day"], [c("seq").asc()], [(integer_bucket("seq"), True)], out="pos").withColumn("pos", c("pos") - 1)
     fields = ["lifecycle", "payload"]
-    sealed = L.seal(daily.select("day", "pos", *fields, "cost_cents"), "pos", fields, ["day"])
+    sealed = stored(L.seal(daily.select("day", "pos", *fields, "cost_cents"), "pos", fields, ["day"]), "sealed")
     # costly intents were removed, costly failures rewritten, costly fetches rewritten with a new hash
     costly = lambda state: (c("cost_cents") > 30000) & (c("lifecycle") == state)
-    stored = sealed.where("NOT (cost_cents > 25000 AND lifecycle = 'INTENT')").withColumn(
+    damaged = sealed.where("NOT (cost_cents > 25000 AND lifecycle = 'INTENT')").withColumn(
         "payload", F.when(costly("FAILED") | costly("FETCHING"), "{}").otherwise(c("payload"))
     )
-    stored = stored.withColumn("hash", F.when(costly("FETCHING"), L.record_hash("pos", fields, c("prev_hash"))).otherwise(c("hash")))
-    return L.chain_validate(stored, "pos", fields, ["day"])
+    damaged = damaged.withColumn("hash", F.when(costly("FETCHING"), L.record_hash("pos", fields, c("prev_hash"))).otherwise(c("hash")))
+    return L.chain_validate(damaged, "pos", fields, ["day"])
 
 
 CTES["transitions"] = (

@@ -72,9 +72,12 @@ def _(t):
     renamed = F.when(c("runtime_minutes") == 160, F.concat(F.lit("m"), (c("tmdb_id") - 1).cast("string"))).otherwise(c("id"))
     accepted = rows.where("pace <> 'slow'").select(renamed.alias("id"), "tmdb_id")
     union, collisions = S.promote_append(base, accepted, ["id", "tmdb_id"])
-    total = union.agg(F.lit("rows").alias("key"), F.count(F.lit(1)).cast("string").alias("value"), F.lit("TOTAL").alias("kind"))
-    kept = base.join(union, ["id", "tmdb_id"], "left_semi").agg(F.lit("baseline").alias("key"), F.count(F.lit(1)).cast("string").alias("value"), F.lit("UNCHANGED").alias("kind"))
-    return collisions.unionByName(total).unionByName(kept)
+    # every row of the baseline is still there: counts of equal rows before and after
+    before = base.select("*", F.lit(1).alias("old"), F.lit(0).alias("new")).unionByName(union.select("*", F.lit(0).alias("old"), F.lit(1).alias("new")))
+    equal = before.groupBy("id", "tmdb_id").agg(F.sum("old").alias("old"), F.sum("new").alias("new"))
+    sizes = equal.agg(F.coalesce(F.sum("new"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(c("new") > 0, c("old"))), F.lit(0)).alias("kept"))
+    row = lambda key, value, kind: F.struct(F.lit(key).alias("key"), F.col(value).cast("string").alias("value"), F.lit(kind).alias("kind"))
+    return collisions.unionByName(sizes.select(F.inline(F.array(row("rows", "total", "TOTAL"), row("baseline", "kept", "UNCHANGED")))))
 
 
 @query(

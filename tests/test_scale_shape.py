@@ -90,3 +90,22 @@ def test_titles_meet_in_every_spelling(spark):
     held = spark.createDataFrame([(1, "Spider-Man"), (2, "The  Long Day"), (3, "!!")], "id long, title string")
     rows = spark.createDataFrame([(10, "Spiderman"), (11, "spider man"), (12, "THELONGDAY"), (13, "Spider Men"), (14, "?")], "id long, title string")
     assert sorted(r.id for r in J.firewall(rows, held).collect()) == [10, 11, 12]
+
+
+@pytest.mark.parametrize("name, scans", [("join_facts_strict", 6), ("promote_append", 5), ("reconcile_one_to_one", 6), ("review_and_promote", 6)])
+def test_reports_take_one_pass_per_side(spark, name, scans):
+    assert executed(QUERIES[name](spark, SF)).count("FileScan") <= scans
+
+
+def test_reports_name_every_broken_expectation(spark):
+    curated = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2), ("c", 3), ("d", 9), ("e", 3), (None, 7)], "id string, tmdb_id long")
+    facts = spark.createDataFrame([("a", 1, "x"), ("b", 2, "x"), ("d", 4, "x"), ("e", 3, "x"), (None, 7, "x")], "id string, tmdb_id long, note string")
+    rows, found = J.join_facts_strict(curated, facts)
+    want = {("DUPLICATE_ID", "b"), ("DUPLICATE_TMDB_ID", "2"), ("DUPLICATE_TMDB_ID", "3"), ("MISSING_FACTS", "c"), ("MISSING_FACTS", None), ("ID_MISMATCH", "d")}
+    assert {tuple(r) for r in found.collect()} == want and rows.count() == 5
+    mapping = spark.createDataFrame([("a", 1), ("a", 1), ("b", 5), ("d", 9), ("z", 5), ("e", 3)], "id string, tmdb_id long")
+    got = {tuple(r) for r in J.reconcile_one_to_one(curated.where("id <> 'b'").unionByName(curated.where("id = 'b'").limit(1)), mapping, facts).collect()}
+    assert got == {
+        ("DUPLICATE_MAPPING_ID", "a"), ("DUPLICATE_MAPPED_TMDB_ID", "1"), ("DUPLICATE_MAPPED_TMDB_ID", "5"), ("MAPPING_WITHOUT_CURATED_ROW", "z"), ("MISSING_MAPPING", "c"), ("MISSING_FACTUAL_SNAPSHOT", "c"),
+        ("MAPPING_ID_DIFFERS", "b"), ("FACTS_ID_DIFFERS", "d"),
+    }
