@@ -1,19 +1,25 @@
 """HTML extraction by inferring one wrapper per host: a union-free regular expression over token streams.
 
 1. ``stream`` reads a page into tokens: opening and closing block tags and text slots, each slot named by its role and
-   the nearest blocks around it.  A block equal to its left neighbour is folded into it, which makes the pair a repeated group.
-2. ``merge`` aligns two streams of a host: tokens of both stay, tokens of one side become optional, repeated groups stay
-   repeated.  Every task merges the pages of its own slice of a host; the results are merged again in groups of at most a
-   few dozen until one wrapper per host is left, so no task ever gets all pages of a hot host.
+   the nearest blocks around it.  Up to ``RUN`` sibling blocks that equal their left neighbours are folded into them, which
+   makes them a repeated group.
+2. ``merge`` aligns two streams of a host: tokens of both stay; a mismatch becomes a repeated group if it repeats what stands
+   before it, else its tokens become optional.  Every task merges the pages of its own slice of a host; the results are
+   merged again in groups of at most a few dozen, dealt out evenly, until one wrapper per host is left, so no task ever gets
+   all pages of a hot host.
 3. The wrapper also sums what its slots held: characters, characters in links, and whether the text ever differed.  Each
-   page is then aligned with the wrapper of its host, and the texts in main slots are its main text.
-
-A slot is boilerplate if one of its blocks is navigation, a header, footer, sidebar, form, advert, notice or comment, by tag,
-role or class.  If a page has slots inside ``article`` or ``main``, those are main.  Otherwise all other slots are, but for
-those the wrapper shows to be template: mostly links, or text that never differs, is on at least ``SAME_PAGES`` pages and on
-the share ``SAME_SHARE`` of those pages of the host that have the slot's outermost block below ``body``.  Pages count once
-if all their texts outside boilerplate are equal.  Which pages have a token is known for a seeded sample, the ``SEEN`` pages
-of least hash among them, so shares are exact up to ``SEEN`` pages and need no list of pages beyond.
+   page is then aligned with the wrapper of its host, and the texts in its main slots are its main text.
+
+Roles come from the wrapper (``roles``).  Template is what is mostly links, or a text that never differs, is on at least
+``SAME_PAGES`` pages and on the share ``SAME_SHARE`` of those pages of the host that have the slot's outermost block below
+``body``; this holds inside ``article`` and ``main`` as well.  All other slots are fields.  The host's region is the innermost
+block, not a block of text only, that holds ``REGION`` of the characters in its fields; fields outside it are asides, so a
+host without telling names still gives its articles.  Names say what the wrapper can't: navigation, header, footer, sidebar,
+form, advert and comment blocks are boilerplate by tag, role or class, and ``article`` or ``main`` is the region of a page
+that has one.  The doubtful names (``DOUBTFUL``: social, related, notice, ...) only decide where the wrapper has nothing to say: inside
+``article`` or ``main`` such a block belongs to the text if it differs between pages and is as long as prose.  Pages
+count once if all their texts outside boilerplate are equal.  Which pages have a token is known for a seeded sample, the
+``SEEN`` pages of least hash among them, so shares are exact up to ``SEEN`` pages and need no list of pages beyond.
 
 Only the joined pages are shuffled, once, by host; the wrapper side has one row per host, so adaptive execution splits a
 hot host.  Defined cases: null, empty or text-free html gives an empty text; a null url is a host of its own; unclosed tags
@@ -53,6 +59,8 @@ BOILER_NAMES = {
     "widget", "toolbar", "pagination", "skip", "complementary", "contentinfo", "alert",
 }
 COMMENT_NAMES = {"comment", "comments", "respond"}
+# Of these, names that articles use for parts of their own as well.
+DOUBTFUL = {"alert", "banner", "contentinfo", "header", "modal", "notice", "notices", "popup", "promo", "related", "share", "sharing", "skip", "social", "toolbar", "widget"}
 MAIN_TAGS, MAIN_NAMES = {"article", "main"}, {"articlebody", "main"}
 BLOCK_ENDS_P = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "nav", "header", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figure", "main", "hr"}
 SAME_PAGES = 3
@@ -61,6 +69,11 @@ SEEN = 16
 #: Blocks of the path that names a slot, beside its role.
 PATH = 6
 GROUP = 48
+#: Sibling blocks of a repeated group, at most.
+RUN = 6
+REGION = 0.8
+#: Characters a page of a doubtful block that counts as prose.
+PROSE = 120
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -69,17 +82,21 @@ _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 
 
 def _role(parent: str, block: str) -> str:
-    """boiler inside any boilerplate block, else main inside article or main, else other.
+    """boiler inside any boilerplate block, doubtful inside one that has a doubtful name only, else main inside article or main, else other.
 
-    Names of the whole page say nothing, and those of an article only whether it is a comment.
+    doubtful is within article or main; elsewhere it is boiler.  Names of the whole page say nothing, and those of an
+    article only whether it is a comment.
     """
     tag, *names = block.split(".")
     if tag in ("html", "body"):
         names = []
     elif tag in MAIN_TAGS:
         names = [n for n in names if n in COMMENT_NAMES]
-    if parent == "boiler" or tag in BOILER_TAGS or BOILER_NAMES.intersection(names):
+    found = BOILER_NAMES.intersection(names)
+    if parent == "boiler" or tag in BOILER_TAGS or found - DOUBTFUL or (found and parent not in ("main", "doubtful")):
         return "boiler"
+    if found or parent == "doubtful":
+        return "doubtful"
     return "main" if parent == "main" or tag in MAIN_TAGS or MAIN_NAMES.intersection(names) else "other"
 
 
@@ -122,7 +139,8 @@ def stream(page: str) -> tuple[list, list]:
     """(tokens, texts) of a page: tokens are [symbol, repeated], texts are (token index, text, characters in links)."""
     tokens: list[list] = []
     texts: list[tuple[int, str, int]] = []
-    stack: list[tuple[str, str, int, int, str]] = []  # tag, symbol, first token, first text, role
+    stack: list[tuple[str, str, int, str]] = []  # tag, symbol, first token, role
+    starts: list[list[int]] = [[]]  # of the blocks inside each open block, and of the page
     parts: list[str] = []
     links, in_link = 0, 0
 
@@ -131,7 +149,7 @@ def stream(page: str) -> tuple[list, list]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                symbol = f"#{stack[-1][4] if stack else 'other'}:" + "/".join(s[1] for s in stack[-PATH:])
+                symbol = f"#{stack[-1][3] if stack else 'other'}:" + "/".join(s[1] for s in stack[-PATH:])
                 if tokens and tokens[-1][0] == symbol:
                     tokens[-1][1] = True
                 else:
@@ -142,16 +160,25 @@ def stream(page: str) -> tuple[list, list]:
 
     def close():
         flush()
-        _, symbol, first, first_text, _ = stack.pop()
+        _, symbol, first, _ = stack.pop()
         tokens.append(["</" + symbol, False])
-        size = len(tokens) - first
-        if first >= size and all(tokens[first + k][0] == tokens[first - size + k][0] for k in range(size)):
-            for k in range(size):
-                tokens[first - size + k][1] = True
-            del tokens[first:]
-            for k in range(first_text, len(texts)):
-                at, text, linked = texts[k]
-                texts[k] = (at - size, text, linked)
+        starts.pop()
+        siblings = starts[-1]
+        siblings.append(first)
+        for k in range(1, RUN + 1):
+            if len(siblings) < 2 * k:
+                break
+            a, b = siblings[-2 * k], siblings[-k]
+            size = b - a
+            if len(tokens) - b == size and all(tokens[a + i][0] == tokens[b + i][0] for i in range(size)):
+                for i in range(a, b):
+                    tokens[i][1] = True
+                del tokens[b:], siblings[-k:]
+                at = len(texts) - 1
+                while at >= 0 and texts[at][0] >= b:
+                    texts[at] = (texts[at][0] - size, *texts[at][1:])
+                    at -= 1
+                break
 
     ends: dict[int, int] | None = None
     at, n, last = 0, len(page), page.rfind(">")
@@ -199,7 +226,8 @@ def stream(page: str) -> tuple[list, list]:
         while stack and stack[-1][0] in implied:
             close()
         symbol = _block(tag, m[3] or m[6] or "")
-        stack.append((tag, symbol, len(tokens), len(texts), _role(stack[-1][4] if stack else "other", symbol)))
+        stack.append((tag, symbol, len(tokens), _role(stack[-1][3] if stack else "other", symbol)))
+        starts.append([])
         tokens.append(["<" + symbol, False])
     while stack:
         close()
@@ -244,15 +272,34 @@ def merge(a: list, b: list) -> list:
     left, right = [x[0] for x in a], [x[0] for x in b]
     if left == right:
         return [_joined(x, y) for x, y in zip(a, b)]
-    out = []
+    out: list = []
     for kind, i, j, k, m in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
         if kind == "equal":
             out.extend(_joined(x, y) for x, y in zip(a[i:j], b[k:m]))
         else:
-            out.extend([*x[:2], True, *x[3:]] for x in (*a[i:j], *b[k:m]))
+            for side in (a[i:j], b[k:m]):
+                if not _repeats(out, side):
+                    out.extend([*x[:2], True, *x[3:]] for x in side)
     return out
 
 
+def _repeats(out: list, side: list) -> bool:
+    """Folds a mismatch into the end of the wrapper if it is a whole block or several, and equal to what stands there."""
+    size, depth = len(side), 0
+    for x in side:
+        depth += x[0].startswith("<") - 2 * x[0].startswith("</")
+        if depth < 0:
+            return False
+    if not size or depth or side[0][0][0] != "<" or size > len(out) or any(x[0] != y[0] for x, y in zip(out[-size:], side)):
+        return False
+    for at, x in enumerate(side, len(out) - size):
+        own = out[at]
+        joined = _joined(own, x)
+        # the same pages: a repetition adds text to the slot, not pages
+        out[at] = [own[0], True, own[2], own[3], *joined[4:]]
+    return True
+
+
 def expression(wrapper: list) -> str:
     """The wrapper in the notation of regular expressions, tokens between blanks."""
     return " ".join(f"{'#' if x[0][0] == '#' else x[0]}{'+' * x[1]}{'?' * x[2]}" for x in wrapper)
@@ -263,7 +310,7 @@ def _own_role(symbol: str) -> str:
 
 
 def roles(wrapper: list) -> list[str]:
-    """Per token: main, other (main if a page has no main slot), template or boiler; tags are none of these."""
+    """Per token: main, other (main if a page has no main slot), aside, template, doubtful or boiler; tags are none of these."""
     differs = any(x[0][0] == "#" and x[6] != x[7] for x in wrapper)
     pages_of: dict[str, list] = {}
     every: list = []
@@ -277,13 +324,38 @@ def roles(wrapper: list) -> list[str]:
         of = pages_of.get("<" + blocks[0], every) if blocks else every
         return len(seen) >= SAME_PAGES and len(set(of).intersection(seen)) >= SAME_SHARE * len(of)
 
-    out = []
-    for symbol, _, _, _, chars, linked, low, high, seen in wrapper:
+    out, held = [], {}
+    path: tuple = ()
+    paths = []
+    for symbol, _, _, pages, chars, linked, low, high, seen in wrapper:
         role = _own_role(symbol)
-        if role == "other" and (2 * linked > chars or (differs and low == high and common(symbol, seen))):
-            role = "template"
+        if symbol.startswith("</"):
+            # blocks that only some pages have may close twice
+            if symbol[2:] in path:
+                path = path[: len(path) - 1 - path[::-1].index(symbol[2:])]
+        elif symbol[0] == "<":
+            path = (*path, symbol[1:])
+        paths.append(path)
+        if role in ("main", "other", "doubtful"):
+            fixed = differs and low == high and common(symbol, seen)
+            if fixed or (role != "main" and 2 * linked > chars):
+                role = "template"
+            elif role == "doubtful":
+                role = "main" if low != high and chars >= PROSE * max(1, pages) else "doubtful"
+        if role == "other":
+            for depth in range(len(path)):
+                held[path[: depth + 1]] = held.get(path[: depth + 1], 0) + chars
         out.append(role)
-    return out
+    region = _region(held, paths)
+    return ["aside" if role == "other" and path[: len(region)] != region else role for role, path in zip(out, paths)]
+
+
+def _region(held: dict[tuple, int], paths: list[tuple]) -> tuple:
+    """The innermost block with blocks inside that holds REGION of the characters of all fields; () if none does."""
+    whole = max(held.values(), default=0)
+    nested = {path[:-1] for path in paths if path}
+    best = [path for path, chars in held.items() if path in nested and chars >= REGION * whole]
+    return max(best, key=len, default=())
 
 
 def _decided(batches):
@@ -322,7 +394,7 @@ class Extractor:
         plan = self._plan(wrapper_json, tuple(t[0] for t in tokens))
         # a slot that the alignment left out keeps the role of its own path
         kinds = [plan[at] or _own_role(tokens[at][0]) for at, _, _ in texts]
-        wanted = "main" if "main" in kinds else "other"
+        wanted = next((kind for kind in ("main", "doubtful", "other", "aside") if kind in kinds), "")
         return " ".join(text for (_, text, _), kind in zip(texts, kinds) if kind == wanted)
 
 
@@ -357,7 +429,8 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         if most <= 1:
             return rows
         parts = F.ceil(F.col("n") / GROUP)
-        grouped = rows.join(sizes, "host").select("host", "wrapper", F.xxhash64("host", F.pmod(F.xxhash64("wrapper"), parts)).alias("grp"))
+        # by row number: equal wrappers would all get one number by their content
+        grouped = rows.withColumn("row", F.monotonically_increasing_id()).join(sizes, "host").select("host", "wrapper", F.xxhash64("host", F.pmod(F.xxhash64("row"), parts)).alias("grp"))
         rows = settle(grouped.repartition("grp").sortWithinPartitions("grp").mapInArrow(_merge_groups, "host string, wrapper string"), "wrappers")
 
 

@@ -1,6 +1,7 @@
 """Token counts, SentencePiece, main text and language ID."""
 
 import random
+import re
 import time
 from html.parser import HTMLParser
 
@@ -222,6 +223,64 @@ def test_wrappers_merge_in_any_grouping(spark, monkeypatch):
     assert "<li+ #+ </li+" in text and "<p+?" in text or "<p?" in text
 
 
+def _renamed(html, rng, names):
+    """The page with its containers and all class, id and role names replaced, the same way all over the host."""
+    name = lambda word: names.setdefault(word, "x" + "".join(rng.choice("abcdefghij") for _ in range(7)))
+    html = re.sub(r"(</?)(nav|article|div|header|footer|aside|form|section|main)\b", lambda m: m[1] + name(m[2]), html)
+    return re.sub(r'\b(class|id|role)="([^"]*)"', lambda m: f'{m[1]}="{" ".join(name(w) for w in m[2].split())}"', html)
+
+
+def test_renamed_pages_give_the_same_texts(spark):
+    """Without any telling name the wrapper of a host of three pages or more still finds every article."""
+    store.ship(spark)
+    rng, hosts = random.Random(8), {}
+    for r in spark.read.parquet(f"{SF}/../sf0.01/pages.parquet").collect():
+        hosts.setdefault(r["url"].split("/")[2], []).append(r)
+    rows, want = [], {}
+    for own in hosts.values():
+        names: dict = {}
+        for r in own if len(own) >= 3 else []:
+            rows.append((r["page_id"], r["url"], _renamed(r["html"], rng, names)))
+            want[r["page_id"]] = _article(r["html"])
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(want) > 200 and got == want
+
+
+def test_doubtful_names_and_template_inside_articles(spark):
+    store.ship(spark)
+    prose = lambda n: " ".join(f"word{(n * 31 + k * k) % 997}" for k in range(40))
+    page = "<article><h1>About {n}</h1><p>{a}</p><div class='social-history'><p>{b}</p></div><div class='alert'>Sign up today</div><p>Read our other articles</p><div class='share'>{n} shares</div><div class='comment'><p>{b}</p></div></article>"
+    rows = [(n, "http://h.com/", page.format(n=n, a=prose(n), b=prose(n + 100))) for n in range(8)]
+    rows += [(20, "http://one.com/", page.format(n=1, a="A", b="B")), (21, "http://two.com/", "<article><div class='social-history'><p>All there is</p></div></article>")]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for n in range(8):
+        assert got[n] == f"About {n} {prose(n)} {prose(n + 100)}"
+    # a single page shows no wrapper: names decide, but they leave no article empty
+    assert got[20] == "About 1 A Read our other articles" and got[21] == "All there is"
+
+
+def test_siblings_repeat_as_groups():
+    tokens_, texts = pages.stream("<div>" + "".join(f"<h2>h{k}</h2><p>a{k}</p><p>b{k}</p>" for k in range(5)) + "<ul><li>x</li></ul></div>")
+    assert " ".join(f"{s}{'+' * r}" for s, r in tokens_ if s[0] == "<") == "<div <h2+ </h2+ <p+ </p+ <ul <li </li </ul </div"
+    assert [t for _, t, _ in texts] == [x for k in range(5) for x in (f"h{k}", f"a{k}", f"b{k}")] + ["x"]
+    assert all(tokens_[at][0][0] == "#" for at, _, _ in texts)
+    tokens_, _ = pages.stream("<div>" + "<section><h3>a</h3><p>b</p></section>" * 7 + "<p>c</p>" * 2 + "</div>")
+    assert sum(s == "<section" for s, _ in tokens_) == 1 and sum(s == "<p" for s, _ in tokens_) == 2
+
+
+def test_mismatches_become_repeated_groups():
+    own = lambda html: pages.page_wrapper(*pages.stream(html))
+    one, two = own("<div><h2>a</h2><p>b</p></div>"), own("<div><h2>a</h2><p>b</p><table>c</table><h2>d</h2><p>e</p></div>")
+    merged = pages.merge(one, two)
+    assert len(merged) == len(pages.merge(two, one)) == len(two)
+    # pages of many lengths make no longer wrapper than the longest
+    many = None
+    for k in range(1, 40):
+        page = own("<div>" + "<h2>a</h2><p>b</p><blockquote>c</blockquote><p>d</p>" * k + "</div>")
+        many = pages.merge(many, page) if many else page
+    assert len(many) <= 16
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(0)
     net = langid.Network(3, hidden=4)
