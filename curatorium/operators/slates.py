@@ -261,11 +261,11 @@ def compare_pairs(slates: DataFrame, slate: str = "request_id", limit: int = 2)
     fields = ["id", "slot", "title", "runtime_minutes", "pace", "emotional_weight", "attention_demand",
               "discovery_style", "genres", "moods"]
     context = [c for c in slates.columns if c.startswith("q_")]
-    left = slates.select(slate, *context, F.struct(*fields).alias("a"))
-    right = slates.select(slate, F.struct(*fields).alias("b"))
+    # a slate has a few rows, so its pairs are made inside one row
+    rows = slates.groupBy(slate, *context).agg(F.collect_list(F.struct(*fields)).alias("rows"))
+    pairs = F.flatten(F.transform("rows", lambda a: F.transform(F.filter("rows", lambda b: a["slot"] < b["slot"]), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return (
-        left.join(right, slate)
-        .where(F.col("a.slot") < F.col("b.slot"))
+        rows.select(slate, *context, F.inline(pairs))
         .select(
             slate,
             F.col("a.id").alias("first_id"),

@@ -13,6 +13,7 @@ from curatorium.operators.joins import range_join, union_all
 from curatorium.operators.sets import table_digest
 from curatorium.plans.predicates import routing
 from curatorium.plans.registry import query
+from curatorium.session import stored
 from curatorium.sources.projections import CTES, Tables
 
 c = F.col
@@ -98,9 +99,8 @@ CTES["foreign_rows"] = (("celled",), "SELECT * FROM celled WHERE lang <> 'en'")
 QUOTA_SQL = "CASE split_part({c}, ':', 2) WHEN 'discovery' THEN 6 ELSE 7 END"
 
 
-def _halves(t: Tables, cell: str, quota):
+def _halves(rows: DataFrame, cell: str, quota):
     """English rows by genre and other rows by language, half of the quota each."""
-    rows = celled(t)
     english = R.round_robin(
         rows.where("lang = 'en'"), [cell], "genre", best_first(), json_seed(c(cell), F.lit(":english")), F.ceil(quota / 2), 7
     )
@@ -117,7 +117,7 @@ def _halves(t: Tables, cell: str, quota):
         UNION ALL SELECT decade, tmdb_id, 2 * bucket_index + 1 FROM {_rotation_sql('foreign_rows', 'decade', 'lang', "decade || ':non-english'", '3', True)}""",
 )
 def _(t):
-    english, other = _halves(t, "decade", F.lit(7))
+    english, other = _halves(celled(t), "decade", F.lit(7))
     cols = ["decade", "tmdb_id", c("bucket_index").cast("bigint").alias("position")]
     return R.interleave(english.select(*cols), other.select(*cols), ["decade"], "position")
 
@@ -130,7 +130,7 @@ def _(t):
 )
 def _(t):
     quota = F.when(c("cell").endswith(":discovery"), 6).otherwise(7)
-    english, other = _halves(t, "cell", quota)
+    english, other = _halves(celled(t), "cell", quota)
     cols = ["cell", "tmdb_id", c("bucket_index").cast("bigint").alias("position")]
     return R.interleave(english.select(*cols), other.select(*cols), ["cell"], "position")
 
@@ -149,9 +149,10 @@ _QUOTA = QUOTA_SQL.format(c="cell")
 )
 def _(t):
     quota = F.when(c("cell").endswith(":discovery"), 6).otherwise(7)
-    english, other = _halves(t, "cell", quota)
+    rows = stored(celled(t), "celled")  # read for both halves and for the cells
+    english, other = _halves(rows, "cell", quota)
     # cells of years that the pool doesn't have are wanted too
-    pool = celled(t).select("cell")
+    pool = rows.select("cell")
     cells = pool.unionByName(pool.select(F.replace("cell", F.lit("0s"), F.lit("5s")).alias("cell")))
     return R.cell_shortage(cells, {"english": english, "other": other}, "cell", {"english": F.ceil(quota / 2), "other": F.floor(quota / 2)})
 
