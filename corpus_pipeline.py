@@ -28,27 +28,40 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality(docs.select(_others(docs), "text")).where("kept").select(*_columns(docs))
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _same(docs: DataFrame, found: DataFrame):
+    """Rows of ``found`` (doc, key) meet the rows of their id and text; references by table, as docs may have columns of these names."""
+    return docs["doc_id"].cast("long").eqNullSafe(found["doc"]) & (F.xxhash64(docs["text"]) == found["key"])
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; of repeated rows one."""
     ship(spark)
-    found = neardup.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
-    found = settle(found.agg((F.count(F.lit(1)) > 1).alias("__again")), "kept")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__key"))
-    once = docs.join(found.where("not __again"), same, "left_semi")
+    found = neardup.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("doc"), F.col("text_key").alias("key"))
+    found = settle(found.agg((F.count(F.lit(1)) > 1).alias("again")), "kept")
+    once, again = found.where("not again"), found.where("again")
+    kept = docs.join(once, _same(docs, once), "left_semi")
     # repeated rows: few texts pass the broadcast slots of their keys (a bounded number), so few are shuffled
     slot = lambda key: F.pmod(key, F.lit(1 << 20))
-    again = found.where("__again")
-    slots = F.broadcast(again.select(slot(F.col("__key")).alias("__slot")).distinct())
-    repeated = docs.join(slots, slot(F.xxhash64(docs["text"])) == F.col("__slot"), "left_semi").join(again, same, "left_semi")
-    repeated = repeated.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
-    return once.unionByName(repeated)
+    slots = F.broadcast(again.select(slot(F.col("key")).alias("slot")).distinct())
+    repeated = docs.join(slots, slot(F.xxhash64(docs["text"])) == slots["slot"], "left_semi").join(again, _same(docs, again), "left_semi")
+    key = _unused(docs, "text_key")
+    repeated = repeated.withColumn(key, F.xxhash64(docs["text"])).dropDuplicates(["doc_id", key]).drop(key)
+    return kept.unionByName(repeated)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no test item."""
     ship(spark)
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("doc"), F.col("text_key").alias("key")).distinct()
+    return docs.join(found, _same(docs, found), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
