@@ -45,3 +45,20 @@ def test_texts_of_one_id_are_decided_apart(spark):
     docs = spark.createDataFrame([(7, a), (8, a), (8, b), (8, b), (None, b), (9, a + " more"), (7, a)], "doc_id long, text string")
     store.ship(spark)
     assert sorted(pipeline.near_dedup(spark, docs, SF).collect(), key=str) == sorted([(7, a), (8, b), (None, b)], key=str)
+
+
+def test_columns_named_like_those_in_use(spark):
+    """Columns with the names that stages use inside stay as they are; repeated rows and masked texts among them."""
+    store.ship(spark)
+    names = ["doc", "key", "text_key", "again", "slot", "kept", "spans", "redacted", "others", "body", "broken", "place", "label", "words", "c0"]
+    text = " ".join(f"the word{i} of" for i in range(60)) + ' db_pwd = "Zx81kd9Qm"'
+    rows = [(1, text, *names), (1, text, *names), (2, text, *names), (3, None, *names), (None, "short", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found and all([r[n] for n in names] == names for r in found), name
+    assert len(pipeline.near_dedup(spark, docs, SF).collect()) == 3
+    assert "Zx81kd9Qm" not in str(pipeline.secret_scan(spark, docs, SF).collect())
+    assert pipeline.STAGES[-1][1](spark, docs.selectExpr("*", "'en' as lang", "'s' as source"), SF).count() == 5
