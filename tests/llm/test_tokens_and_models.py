@@ -1,5 +1,6 @@
 """Token counts, SentencePiece, main text and language ID."""
 
+import math
 import random
 import re
 import time
@@ -303,6 +304,51 @@ def test_gradients_equal_differences():
                 assert (up - down) / 2e-5 == pytest.approx(grad[key].reshape(-1)[at], rel=1e-3, abs=1e-7)
 
 
+def _plain_probabilities(net, word):
+    """The network unit by unit and byte by byte, in Python numbers."""
+
+    def states(direction, codes):
+        x, u, b = (direction.w[k].astype(float).tolist() for k in ("x", "u", "b"))
+        size = len(u)
+        h, out = [0.0] * size, []
+        for code in codes:
+            a = [x[code][j] + b[j] for j in range(3 * size)]
+            g = [sum(h[i] * u[i][j] for i in range(size)) for j in range(3 * size)]
+            z = [1 / (1 + math.exp(-(a[j] + g[j]))) for j in range(size)]
+            r = [1 / (1 + math.exp(-(a[size + j] + g[size + j]))) for j in range(size)]
+            n = [math.tanh(a[2 * size + j] + r[j] * g[2 * size + j]) for j in range(size)]
+            h = [z[j] * h[j] + (1 - z[j]) * n[j] for j in range(size)]
+            out.append(h)
+        return out
+
+    ahead, back = states(net.ahead, word), states(net.back, word[::-1])[::-1]
+    rows = []
+    for one, two in zip(ahead, back):
+        logits = [sum(v * net.top["o"][i][k] for i, v in enumerate([*one, *two])) + net.top["c"][k] for k in range(len(net.top["c"]))]
+        whole = sum(math.exp(v) for v in logits)
+        rows.append([math.exp(v) / whole for v in logits])
+    return rows
+
+
+def test_network_equals_plain_loops():
+    rng = np.random.default_rng(3)
+    net = langid.Network(3, hidden=5)
+    for part in net.parts:
+        for key in part:
+            part[key] = rng.normal(0, 0.6, part[key].shape)
+    words = [b"abcdefg", "größe".encode(), b"x", b"zz"]
+    codes, mask = langid.padded(words)
+    got, _ = net.probabilities(codes, mask)
+    want = [_plain_probabilities(net, word) for word in words]
+    for k, word in enumerate(words):
+        assert got[k, : len(word)] == pytest.approx(np.array(want[k]), abs=1e-9)
+    # a text is the mean over the positions of its words, lower-cased and without their edges
+    pooled = langid.Labeller(langid.Model(["a", "b", "c"], net)).pooled(pa.array(["ABCDEFG, (x) zz!", "12 -- ...", None, "Größe größe"]))
+    positions = [*want[0], *want[2], *want[3]]
+    assert pooled[0] == pytest.approx(np.mean(positions, axis=0), abs=1e-6) and not pooled[1].any() and not pooled[2].any()
+    assert pooled[3] == pytest.approx(np.mean(want[1], axis=0), abs=1e-6)
+
+
 def test_language_of_held_out_documents(spark):
     sf = f"{SF}/../sf0.01"
     truth = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
