@@ -123,3 +123,33 @@ def _(t):
     S.run_windows(S.session_totals(stream, "12 hours", ["owner"], "24 hours"), f"{folder}/out", f"{folder}/checkpoint")
     found = t.spark.read.parquet(f"{folder}/out")
     return found.select("owner", F.unix_millis("starts").alias("first_ms"), F.unix_millis("ends").alias("ends_ms"), "events", "cost_cents")
+
+
+@query(
+    "answered_stream",
+    (),
+    """e AS (SELECT event_id AS seq, user_id AS owner, event_type, epoch_us(ts) AS us FROM events),
+       a AS (SELECT * FROM e WHERE event_type = 'signup'), r AS (SELECT * FROM e WHERE event_type = 'click'),
+       f AS (SELECT (least((SELECT max(us) FROM a), (SELECT max(us) FROM r)) // 1000 - 12 * 3600000) * 1000 AS final)
+       SELECT a.owner, a.seq, r.seq AS answer_seq FROM a LEFT JOIN r ON r.owner = a.owner AND r.us BETWEEN a.us AND a.us + 36000000000, f WHERE r.seq IS NOT NULL OR a.us + 36000000000 < final""",
+)
+def _(t):
+    # answers within ten hours; questions that may still be answered are not written
+    folder = f"{ensure_checkpoint_dir(t.spark)}/answers-{uuid.uuid4().hex}"
+    rows = t.raw("events").select(c("event_id").alias("seq"), c("user_id").alias("owner"), c("ts").cast("timestamp").alias("ts"), "event_type")
+    rows.where("event_type IN ('signup', 'click')").write.parquet(f"{folder}/in")
+    read = lambda kind: t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in").where(c("event_type") == kind)
+    S.run_windows(S.answered(read("signup"), read("click"), "owner", "10 hours", "12 hours"), f"{folder}/out", f"{folder}/checkpoint")
+    return t.spark.read.parquet(f"{folder}/out").select("owner", "seq", "answer_seq")
+
+
+@query("events_once_stream", ["arrivals"], "SELECT seq, owner, lifecycle FROM arrivals")
+def _(t):
+    # a third of the events arrive twice, the second time with the next wave or within their own
+    folder = f"{ensure_checkpoint_dir(t.spark)}/once-{uuid.uuid4().hex}"
+    rows = arrivals(t).select("seq", "owner", "lifecycle", "ts")
+    out, checkpoint = f"{folder}/out", f"{folder}/checkpoint"
+    for part in (rows.unionByName(rows.where("seq % 6 = 0")), rows.where("seq % 6 = 3")):
+        part.write.mode("append").parquet(f"{folder}/in")
+        S.run_windows(S.once(t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), "seq", "40 days"), out, checkpoint)
+    return t.spark.read.parquet(out).select("seq", "owner", "lifecycle")

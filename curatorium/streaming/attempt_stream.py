@@ -149,3 +149,23 @@ def session_totals(events: DataFrame, gap: str, keys: list[str], delay: str) ->
 def run_windows(totals: DataFrame, out: str, checkpoint: str) -> None:
     """Append the windows that close to ``out``."""
     _finish(totals.sparkSession, totals.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+
+
+# --- streams against streams -------------------------------------------------------
+
+
+def answered(asked: DataFrame, answers: DataFrame, key: str, within: str, delay: str) -> DataFrame:
+    """Every question (key, seq, ts) with the answers of its key that follow ``within`` the interval, or none.
+
+    Both sides are kept only as long as the watermark allows a match; a question without an answer is written once no answer
+    can come any more.  Result: key, seq, ts, answer_seq, answer_ts.
+    """
+    left = asked.select(key, "seq", "ts").withWatermark("ts", delay)
+    right = answers.select(F.col(key).alias("__key"), F.col("seq").alias("answer_seq"), F.col("ts").alias("answer_ts")).withWatermark("answer_ts", delay)
+    follows = (F.col(key) == F.col("__key")) & (F.col("answer_ts") >= F.col("ts")) & (F.col("answer_ts") <= F.col("ts") + F.expr(f"interval {within}"))
+    return left.join(right, follows, "left_outer").drop("__key")
+
+
+def once(events: DataFrame, key: str, delay: str) -> DataFrame:
+    """Events without the repetitions that arrive within ``delay`` of the first; the state holds the keys of that time only."""
+    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
