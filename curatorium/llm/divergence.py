@@ -106,28 +106,34 @@ def divergence(p: Column, q: Column) -> Column:
 
 
 def model(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The written tables (groups, terms, cells).
+    """The written tables (groups, chunks) and the cells over them.
 
     groups: lang, lang_id, source, gid, total, n_terms (V of the lang), zero (p of a count of 0; null without terms);
-    terms: lang, term, q, held (groups that have it); cells: lang_id, gid, lang, term, n, p.
+    chunks: chunk, lang; cells: a row per group and kept term that it has, with gid, lang_id, term, n, p, and of the term
+    term_key, all (its occurrences in the lang), chunk and q.  Terms travel with their counts once; later steps need no join
+    on them.
     """
     counts = settle(term_counts(docs), "term-counts")
     own = counts.where("term <> ''")
     terms = own.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("held")).where(F.col("docs") >= least)
-    terms = settle(terms.drop("docs"), "terms")
+    # chunks of one order of magnitude of frequency, some CHUNK_CELLS counts each; terms of one chunk share few counts otherwise
+    terms = settle(terms.drop("docs").withColumn("class", F.floor(F.log2("all")).cast("int")).withColumn("term_key", F.monotonically_increasing_id()), "terms")
     langs = terms.groupBy("lang").agg(F.sum("all").alias("lang_total"), F.count(F.lit(1)).alias("n_terms"))
     langs = settle(counts.where("term = ''").select("lang").distinct().withColumn("lang_id", F.monotonically_increasing_id()).join(langs, "lang", "left"), "langs")
-    kept = own.select("lang", "source", "term", "n").join(terms, ["lang", "term"])
+    sizes = terms.groupBy("lang", "class").agg(F.ceil(F.sum("held") / CHUNK_CELLS).cast("long").alias("chunks"))
+    chunk = F.xxhash64("lang", "class", F.pmod(F.xxhash64("term"), F.col("chunks")))
+    placed = terms.join(sizes, ["lang", "class"]).join(langs, "lang")
+    placed = placed.select("lang", "term", "term_key", "all", chunk.alias("chunk"), probability(F.col("all"), F.col("lang_total"), F.col("n_terms")).alias("q"))
+    kept = settle(own.select("lang", "source", "term", "n").join(placed, ["lang", "term"]), "kept")
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = counts.where("term = ''").select("lang", "source").withColumn("gid", F.monotonically_increasing_id())
     groups = groups.join(totals, ["lang", "source"], "left").join(langs, "lang").withColumn("total", F.coalesce("total", F.lit(0)))
     groups = groups.withColumn("n_terms", F.coalesce("n_terms", F.lit(0)))
     zero = F.when(F.col("n_terms") > 0, probability(F.lit(0), F.col("total"), F.greatest("n_terms", F.lit(1))))
     groups = settle(groups.select("lang", "lang_id", "source", "gid", "total", "n_terms", zero.alias("zero")), "groups")
-    terms = terms.join(langs, "lang").select("lang", "term", "all", "held", probability(F.col("all"), F.col("lang_total"), F.col("n_terms")).alias("q"))
-    cells = kept.select("lang", "source", "term", "n").join(groups, ["lang", "source"])
-    cells = cells.select("lang_id", "gid", "lang", "term", "n", probability(F.col("n"), F.col("total"), F.col("n_terms")).alias("p"))
-    return groups, settle(terms, "term-probabilities"), settle(cells, "cells")
+    cells = kept.join(groups, ["lang", "source"])
+    cells = cells.select("lang_id", "gid", "term", "term_key", "all", "chunk", "n", "q", probability(F.col("n"), F.col("total"), F.col("n_terms")).alias("p"))
+    return groups, settle(kept.select("chunk", "lang").distinct(), "chunks"), cells
 
 
 def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -191,25 +197,19 @@ def _pairs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, len(groups))), pa.array(np.tile(groups, len(rows))), pa.array(values[at : at + step].ravel())], ["a", "b", "value"])
 
 
-def pair_values(groups: DataFrame, terms: DataFrame, cells: DataFrame) -> DataFrame:
+def pair_values(groups: DataFrame, chunks: DataFrame, cells: DataFrame) -> DataFrame:
     """(a, b, value) for the groups a and b of a language with kept terms: f summed over its kept terms."""
-    # chunks of one order of magnitude of frequency, some CHUNK_CELLS counts each; terms of one chunk share few counts otherwise
-    classed = terms.withColumn("class", F.floor(F.log2("all")).cast("int")).withColumn("term_key", F.monotonically_increasing_id())
-    sizes = classed.groupBy("lang", "class").agg(F.ceil(F.sum("held") / CHUNK_CELLS).cast("long").alias("chunks"))
-    chunk = F.xxhash64("lang", "class", F.pmod(F.xxhash64("term"), F.col("chunks")))
-    placed = settle(classed.join(sizes, ["lang", "class"]).select("lang", "term", "term_key", F.col("all").alias("total"), chunk.alias("chunk")), "chunks")
-    rows = cells.join(placed, ["lang", "term"]).select("chunk", "lang_id", "gid", "term_key", "total", "n", "p")
-    zero = placed.select("chunk", "lang").distinct().join(groups, "lang")
-    zero = zero.select("chunk", "lang_id", "gid", F.lit(-1).cast("long").alias("term_key"), F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("n"), F.col("zero").alias("p"))
+    rows = cells.select("chunk", "lang_id", "gid", "term_key", F.col("all").alias("total"), "n", "p")
+    none = F.lit(0).cast("long")
+    zero = chunks.join(groups, "lang").select("chunk", "lang_id", "gid", F.lit(-1).cast("long").alias("term_key"), none.alias("total"), none.alias("n"), F.col("zero").alias("p"))
     dealt = rows.unionByName(zero).repartition("chunk").sortWithinPartitions("chunk")
     found = dealt.mapInArrow(_pairs, "a long, b long, value long").where("a <> b")
     return found.groupBy("a", "b").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("long").alias("value"))
 
 
-def term_values(groups: DataFrame, terms: DataFrame, cells: DataFrame, ranks: int | None = TERM_RANKS) -> DataFrame:
+def term_values(cells: DataFrame, ranks: int | None = TERM_RANKS) -> DataFrame:
     """(gid, item, value, rank): the kept terms that a group uses more than its language."""
-    found = cells.join(terms.select("lang", "term", "q"), ["lang", "term"]).where("p > q")
-    found = found.select("gid", F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
+    found = cells.where("p > q").select("gid", F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
     return _ranked(found, ranks)
 
 
@@ -221,13 +221,13 @@ def _ranked(rows: DataFrame, ranks: int | None = None) -> DataFrame:
 
 def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int | None = TERM_RANKS) -> DataFrame:
     """(lang, source, part, item, value, rank) of ``docs`` (text, lang, source)."""
-    groups, terms, cells = model(docs, least)
+    groups, chunks, cells = model(docs, least)
     names = groups.select("lang", "source", "gid")
-    values = pair_values(groups, terms, cells)
+    values = pair_values(groups, chunks, cells)
     other = groups.select("lang", F.col("source").alias("item"), F.col("gid").alias("b"))
     pairs = names.withColumnRenamed("gid", "a").join(other, "lang").where("a <> b").join(values, ["a", "b"], "left")
     pairs = _ranked(pairs.select(F.col("a").alias("gid"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value")))
-    found = pairs.withColumn("part", F.lit("pair")).unionByName(term_values(groups, terms, cells, ranks).withColumn("part", F.lit("term")))
+    found = pairs.withColumn("part", F.lit("pair")).unionByName(term_values(cells, ranks).withColumn("part", F.lit("term")))
     return found.join(names, "gid").select("lang", "source", "part", "item", "value", "rank")
 
 
