@@ -76,11 +76,12 @@ def _count(batches):
             if group not in found:
                 found[group] = Counter({b"": 0}), Counter()  # the empty term stands for the group itself
             n, df = found[group]
-            before, own = len(n), Counter()
+            before, seen = len(n), set()
             for piece in _pieces(text.as_py().lower()):  # of bytes, only A-Z
-                own.update(TERM.findall(piece))
-            n.update(own)
-            df.update(own.keys())
+                terms = TERM.findall(piece)
+                n.update(terms)
+                seen.update(terms)
+            df.update(seen)
             held += len(n) - before
             if held > HELD:
                 yield flush()
