@@ -40,7 +40,7 @@ LEAST_DOCUMENTS = 3
 SCALE = 1_000_000_000
 TERM_RANKS = 200
 #: Entries of a worker's dictionaries, bytes of text matched at a time, counts in a chunk, bitset pairs compared at a time.
-HELD, PIECE, CHUNK_CELLS, PAIRS = 1 << 19, 1 << 20, 1 << 17, 1 << 19
+HELD, PIECE, CHUNK_CELLS, PAIRS = 1 << 18, 1 << 20, 1 << 17, 1 << 19
 
 
 def _pieces(data: bytes):
