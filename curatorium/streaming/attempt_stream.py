@@ -11,6 +11,11 @@ durably has, DURABLE_RESPONSE or UNKNOWN_IN_FLIGHT, and is never retried.
 
 One attempt may hold a large part of a trigger: the state is kept per attempt and shard, a hash of the sequence number, and
 ``closed_attempts`` adds the shards up.  Results don't depend on the shards or on the order of events inside a trigger.
+
+Most attempts have a few events per trigger, so a call per attempt would cost more than its events.  Attempts and shards are
+dealt over ``buckets``, hashes of both: a bucket folds its events at once, keeps the six numbers of every open pair as one
+Arrow table and has one timer, for the pair that is due first.  A bucket holds its share of the open pairs; take more buckets
+where that is too much for one value.
 """
 
 from __future__ import annotations
@@ -22,71 +27,102 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SHARDS = 8
-STATE = "events long, first_ms long, last_ms long, undispatched boolean, terminal boolean, response boolean"
-OUTPUT = f"attempt string, shard int, kind string, seq long, {STATE}"
+BUCKETS = 1024
+PAIR = ["attempt", "shard"]
+STATE = "due long, pairs binary"
+OUTPUT = "attempt string, shard int, kind string, seq long, events long, first_ms long, last_ms long, undispatched boolean, terminal boolean, response boolean"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 class AttemptTimers(StatefulProcessor):
-    """Folds events into the state of (attempt, shard) and closes it when its timer passes."""
+    """Folds events into the states of the (attempt, shard) pairs of a bucket and closes a pair when its time has passed."""
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("attempt", STATE)
+        self.state = handle.getValueState("pairs", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
         mark = timerValues.getCurrentWatermarkInMs()
-        held = self.state.get() if self.state.exists() else None
-        events, first, last, flags = (held[0], held[1], held[2], list(held[3:])) if held else (0, None, None, [False] * 3)
-        before = last
+        due, pairs = self._held()
         for frame in rows:
             is_late = frame["ts_ms"] < mark
-            late = frame[is_late]
+            late, fresh = frame[is_late], frame[~is_late]
             if len(late):
-                yield pd.DataFrame({"attempt": key[0], "shard": key[1], "kind": "LATE", "seq": late["seq"], "events": None, "first_ms": late["ts_ms"], "last_ms": late["ts_ms"], "undispatched": None, "terminal": None, "response": None})
-            fresh = frame[~is_late]
-            if not len(fresh):
-                continue
-            ends = fresh["lifecycle"] == "TERMINAL"
-            events += len(fresh)
-            first = int(fresh["ts_ms"].min()) if first is None else min(first, int(fresh["ts_ms"].min()))
-            last = int(fresh["ts_ms"].max()) if last is None else max(last, int(fresh["ts_ms"].max()))
-            seen = [(ends & (fresh["disposition"] == "PROVABLY_NOT_DISPATCHED")).any(), ends.any(), (fresh["lifecycle"] == "RESPONSE").any()]
-            flags = [a or bool(b) for a, b in zip(flags, seen)]
-        if last is not None and (events, last) != ((held[0], held[2]) if held else (0, None)):
-            self.state.update((events, first, last, *flags))
-            if last != before:
-                if before is not None:
-                    self.handle.deleteTimer(before + self.timeout_ms)
-                self.handle.registerTimer(last + self.timeout_ms)
+                yield pd.DataFrame({"attempt": late["attempt"], "shard": late["shard"], "kind": "LATE", "seq": late["seq"], "events": None, "first_ms": late["ts_ms"], "last_ms": late["ts_ms"], "undispatched": None, "terminal": None, "response": None})
+            if len(fresh):
+                ends = fresh["lifecycle"] == "TERMINAL"
+                seen = {"undispatched": ends & (fresh["disposition"] == "PROVABLY_NOT_DISPATCHED"), "terminal": ends, "response": fresh["lifecycle"] == "RESPONSE"}
+                pairs = _folded(pairs, pd.DataFrame({**{k: fresh[k] for k in PAIR}, "events": 1, "first_ms": fresh["ts_ms"], "last_ms": fresh["ts_ms"], **seen}))
+        self._keep(pairs, due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
-        events, first, last, undispatched, terminal, response = self.state.get()
-        self.state.clear()
-        yield pd.DataFrame({"attempt": [key[0]], "shard": [key[1]], "kind": ["CLOSED"], "seq": [None], "events": [events], "first_ms": [first], "last_ms": [last], "undispatched": [undispatched], "terminal": [terminal], "response": [response]})
+        _, pairs = self._held()
+        expiry = pairs["last_ms"] + self.timeout_ms
+        over = (expiry < timerValues.getCurrentWatermarkInMs()) | (expiry <= expiredTimerInfo.getExpiryTimeInMs())
+        self._keep(pairs[~over], None)  # the timer that has fired is gone
+        closed = pairs[over]
+        yield pd.DataFrame({**{k: closed[k] for k in PAIR}, "kind": "CLOSED", "seq": None, **{k: closed[k] for k in closed.columns if k not in PAIR}})
 
     def close(self) -> None:
         pass
 
+    def _held(self):
+        """Time of the timer and table of the open pairs, both None if there are none."""
+        import pyarrow as pa
 
-def timed_attempts(events: DataFrame, delay: str, timeout_ms: int, shards: int = SHARDS) -> DataFrame:
+        held = self.state.get() if self.state.exists() else None
+        return (held[0], pa.ipc.open_stream(bytes(held[1])).read_pandas()) if held else (None, None)
+
+    def _keep(self, pairs, due: int | None) -> None:
+        """Store the open pairs and set the timer for the first one that is due; ``due`` is the timer that is set."""
+        import pyarrow as pa
+
+        if pairs is None:
+            return
+        first = pairs["last_ms"].min()
+        wanted = int(first) + self.timeout_ms if first == first else None
+        if wanted != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        if len(pairs):
+            table, sink = pa.Table.from_pandas(pairs, preserve_index=False), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            self.state.update((wanted, sink.getvalue().to_pybytes()))
+        else:
+            self.state.clear()
+
+
+def _folded(pairs, more):
+    """One row per pair of both tables."""
+    import pandas as pd
+
+    rows = more if pairs is None else pd.concat([pairs, more], ignore_index=True)
+    how = {"events": "sum", "first_ms": "min", "last_ms": "max", **dict.fromkeys(("undispatched", "terminal", "response"), "max")}
+    return rows.groupby(PAIR, dropna=False, sort=False, as_index=False).agg(how)
+
+
+def timed_attempts(events: DataFrame, delay: str, timeout_ms: int, shards: int = SHARDS, buckets: int = BUCKETS) -> DataFrame:
     """The stream of LATE events and CLOSED attempt shards of (attempt, seq, ts, arrived, lifecycle, disposition)."""
     keyed = events.withWatermark("arrived", delay).select(
         F.col("attempt").cast("string").alias("attempt"), F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("int").alias("shard"),
         F.col("seq").cast("long").alias("seq"), F.unix_millis("ts").alias("ts_ms"), "lifecycle", "disposition", "arrived",
     )
-    return keyed.groupBy("attempt", "shard").transformWithStateInPandas(AttemptTimers(timeout_ms), OUTPUT, "Append", "EventTime")
+    dealt = keyed.withColumn("bucket", F.pmod(F.xxhash64("attempt", "shard"), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("bucket").transformWithStateInPandas(AttemptTimers(timeout_ms), OUTPUT, "Append", "EventTime")
 
 
-def run_timed_attempts(events: DataFrame, delay: str, timeout_ms: int, out: str, checkpoint: str, shards: int = SHARDS) -> int:
+def run_timed_attempts(events: DataFrame, delay: str, timeout_ms: int, out: str, checkpoint: str, shards: int = SHARDS, buckets: int = BUCKETS) -> int:
     """Process all available events; each trigger writes its rows to a folder of its own below ``out``.
 
     A trigger that is repeated after a failure overwrites its folder.  Returns the rows of state that are left.
@@ -95,7 +131,7 @@ def run_timed_attempts(events: DataFrame, delay: str, timeout_ms: int, out: str,
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    done = _finish(events.sparkSession, timed_attempts(events, delay, timeout_ms, shards).writeStream.foreachBatch(write).outputMode("append"), checkpoint)
+    done = _finish(events.sparkSession, timed_attempts(events, delay, timeout_ms, shards, buckets).writeStream.foreachBatch(write).outputMode("append"), checkpoint)
     return done["stateOperators"][0]["numRowsTotal"] if done and done["stateOperators"] else 0
 
 

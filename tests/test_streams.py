@@ -65,3 +65,15 @@ def test_a_repeated_trigger_changes_nothing(spark, tmp_path):
     S.run_timed_attempts(stream, "2 hours", 24 * HOUR, f"{tmp_path}/out", f"{tmp_path}/checkpoint", 2)
     found = spark.read.schema(S.OUTPUT).parquet(f"{tmp_path}/out")
     assert S.closed_attempts(found).count() == len(closed) and S.late_events(found).count() == len(late)
+
+
+def test_calls_grow_with_buckets_not_with_attempts(spark, tmp_path):
+    """Many attempts of one event each: a bucket keeps them all in one row of state under one timer."""
+    rows = [(f"a{i}", i, START + dt.timedelta(minutes=i % 60), START + dt.timedelta(minutes=i % 60), "INTENT", None) for i in range(3000)]
+    for wave, part in enumerate((rows, [_event("end", 9000, 60, "INTENT")])):
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+        left = S.run_timed_attempts(stream, "2 hours", 24 * HOUR, f"{tmp_path}/out", f"{tmp_path}/checkpoint", 1)
+        assert left <= (3 * S.BUCKETS if wave == 0 else 3)
+    closed = S.closed_attempts(spark.read.schema(S.OUTPUT).parquet(f"{tmp_path}/out"))
+    assert {tuple(r) for r in closed.select("attempt", "events", "status").collect()} == {(f"a{i}", 1, "UNKNOWN_IN_FLIGHT") for i in range(3000)}
