@@ -168,10 +168,12 @@ def grounding_issues(rationale: Column, source_refs: Column) -> Column:
 
 
 SPACE = "[ \\t\\r\\n\\f]+"
+# the runs of white space that are not one space already
+WIDE_SPACE = "[\\t\\r\\n\\f][ \\t\\r\\n\\f]*| [ \\t\\r\\n\\f]+"
 
 
 def collapse_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+    return F.trim(F.regexp_replace(text, WIDE_SPACE, " "))
 
 
 def strip_html(text: Column) -> Column:
@@ -189,21 +191,24 @@ def html_paragraphs(html: Column) -> Column:
 
 # Fixed pattern of sentences about awards, money and scores.
 PROHIBITED = (
-    r"(?i)" + EDGE_L + r"(?:award|accolade|nominat|festival|box[ -]?office|gross(?:ed|ing)?|revenue|chart|ranking|ranked|"
+    r"(?i)(?=[abcfgimnr0-9])" + EDGE_L + r"(?:award|accolade|nominat|festival|box[ -]?office|gross(?:ed|ing)?|revenue|chart|ranking|ranked|"
     r"rotten tomatoes|metacritic|imdb|[0-9]+(?:\.[0-9]+)?%|[0-9]+(?:\.[0-9]+)?\s*(?:out of|/|stars?))"
 )
 
 
 def drop_sentences(paragraph: Column) -> Column:
     found = F.regexp_extract_all(paragraph, F.lit(r"[^.!?]+[.!?]+|[^.!?]+$"), 0)
-    sentences = F.when(F.size(found) == 0, F.array(paragraph)).otherwise(found)
+    # bound by a lambda, or the sentences would be cut once for the test and once more for the result
+    sentences = F.flatten(F.transform(F.array(found), lambda f: F.when(F.size(f) == 0, F.array(paragraph)).otherwise(f)))
     return collapse_space(F.array_join(F.filter(sentences, lambda s: ~s.rlike(PROHIBITED)), " "))
 
 
 def descriptive_excerpt(paragraphs: Column, minimum: int = 24, limit: int = 1000) -> Column:
     """The excerpt kept as evidence: the first two clean paragraphs, at most ``limit`` characters."""
     clean = F.filter(F.transform(paragraphs, lambda p: drop_sentences(p)), lambda p: F.length(p) >= minimum)
-    return F.nullif(F.substring(collapse_space(F.array_join(F.slice(clean, 1, 2), " ")), 1, limit), F.lit(""))
+    cut = F.substring(collapse_space(F.array_join(F.slice(clean, 1, 2), " ")), 1, limit)
+    # bound by a lambda: a plain nullif would work out the whole excerpt twice
+    return F.get(F.transform(F.array(cut), lambda text: F.when(text != "", text)), F.lit(0))
 
 
 # Fixed lists and patterns of section headings.
@@ -267,6 +272,21 @@ BUDGET = 1000
 LEAD_MODERATE, LEAD_HIGH = 2, 5
 
 
+def _listed(phrases: str) -> str:
+    """The pattern of listed phrases, grouped by first letter: a place in a text tries a branch per letter, not per phrase.
+
+    Only phrases of the same first letter can compete for a place, and they keep their order, so the matches are the same.
+    """
+    letters: dict[str, list[str]] = {}
+    for phrase in phrases.split("|"):
+        letters.setdefault(phrase[0], []).append(phrase[1:])
+    return rf"(?i)(?=[{''.join(letters)}]){EDGE_L}(?:{'|'.join(f'{a}(?:{"|".join(rest)})' for a, rest in letters.items())}){EDGE_R}"
+
+
+def _only(phrases: str):
+    return lambda found: found.rlike(rf"(?i)^(?:{phrases})$")
+
+
 def content_risk(rows: DataFrame, html: str, heading: str) -> DataFrame:
     """Risk level per word family over the kept excerpt, and whether the section is usable as evidence.
 
@@ -278,15 +298,21 @@ def content_risk(rows: DataFrame, html: str, heading: str) -> DataFrame:
     kept = F.when(eligible_heading(F.col(heading)), descriptive_excerpt(F.col("paragraphs")))
     read = settle(read, excerpt=F.coalesce(kept, F.lit("")), full_text=F.array_join("paragraphs", " "))
     read = settle(read, lead=F.substring("full_text", 1, BUDGET))
-    count = lambda text, family: F.regexp_count(F.col(text), F.lit(_edged(RISK_FAMILIES[family])))
-    mentions = lambda text, family: F.col(text).rlike(_edged(RISK_FAMILIES[family]))
     level = lambda n, high: F.when(n >= high, "HIGH").when(n >= 1, "MODERATE").otherwise("LOW")
+    # phrases of two families never share a word, so one reading of the excerpt finds what a reading per family would
     read = settle(
         read,
-        late=~mentions("excerpt", "experiential") & mentions("full_text", "experiential"),
-        lead_n=count("lead", "commercial"),
-        **{f: level(count("excerpt", f), HIGH_FROM[f]) for f in RISK_FAMILIES},
+        lead_n=F.regexp_count("lead", F.lit(_listed(RISK_FAMILIES["commercial"]))),
+        __found=F.regexp_extract_all("excerpt", F.lit(_listed("|".join(RISK_FAMILIES.values()))), 0),
     )
+    counts = {f: f"__n_{f}" for f in RISK_FAMILIES}
+    of_family = {f: F.filter("__found", _only(p)) for f, p in RISK_FAMILIES.items()}
+    read = settle(read, **{counts[f]: F.size(found) for f, found in of_family.items()}).drop("__found")
+    read = settle(
+        read,
+        late=(F.col(counts["experiential"]) == 0) & F.col("full_text").rlike(_listed(RISK_FAMILIES["experiential"])),
+        **{f: level(F.col(n), HIGH_FROM[f]) for f, n in counts.items()},
+    ).drop(*counts.values())
     lead = F.when(F.col("lead_n") >= LEAD_HIGH, "HIGH").when(F.col("lead_n") >= LEAD_MODERATE, "MODERATE").otherwise("LOW")
     read = read.withColumns(
         {

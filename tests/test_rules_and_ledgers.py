@@ -319,3 +319,26 @@ def test_slugs_equal_the_plain_rule(spark):
 
     got = {r.i: r.s for r in rows.select("i", slug(F.col("t"), F.col("y")).alias("s")).collect()}
     assert [(t, got[i], plain(t, years[i % 3])) for i, t in enumerate(titles) if got[i] != plain(t, years[i % 3])] == []
+
+
+def test_risk_families_are_told_apart_in_one_reading():
+    """No phrase begins with a word of another family's phrase, so matches of two families never compete for a word."""
+    from curatorium.operators import text as X
+
+    words = {f: [p.replace("u?", "u").split(" ") for p in ps.split("|")] for f, ps in X.RISK_FAMILIES.items()}
+    for family, phrases in words.items():
+        others = {w for f, ps in words.items() if f != family for p in ps for w in p}
+        assert not {p[0] for p in phrases} & others
+
+
+def test_excerpt_is_worked_out_once_and_levels_hold(spark):
+    from curatorium.operators import text as X
+
+    texts = ["Tone, tonal and humor; HUMOUR of the finale. A toned twist! Best film festival, in the final approval rating censored", "...", "quiet  \t places\nand quiet_ones here we go again", ""]
+    rows = spark.createDataFrame([(i, f"<p>{t}</p>", "Reception") for i, t in enumerate(texts)], "k long, html string, heading string")
+    found = X.content_risk(rows, "html", "heading")
+    got = {r.k: (r.experiential, r.spoiler, r.prestige, r.commercial, r.controversy, r.excerpt) for r in found.collect()}
+    assert got[0][:5] == ("HIGH", "HIGH", "LOW", "LOW", "LOW")
+    assert got[1] == ("LOW",) * 5 + ("",) and got[3] == got[1]
+    assert got[2] == ("MODERATE", "LOW", "LOW", "LOW", "LOW", "quiet places and quiet_ones here we go again")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("[^.!?]+[.!?]+|[^.!?]+$") == 1
