@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -423,7 +425,7 @@ def axis_audit(catalogue: DataFrame) -> DataFrame:
     ).select("mood", "ord", "id", "a.axis", "a.value")
     counts = long.groupBy("mood", "axis", "value").agg(F.count(F.lit(1)).alias("value_count"))
     pools = counts.where(F.col("axis") == "pace").groupBy("mood").agg(F.sum("value_count").alias("pool_size"))
-    heads = ranking.first_per_group(long, ["mood", "axis", "value"], [F.col("ord")], 3, "r")
+    heads = ranking.first_per_group(_near_the_first(long, ["mood", "axis", "value"], "ord", "id", 3), ["mood", "axis", "value"], [F.col("ord")], 3, "r")
     options = counts.select("mood", "axis", F.col("value").alias("chosen"))
     seen = heads.join(options, ["mood", "axis"]).where(
         F.col("axis").isin(*SOFT_AXES) | (F.col("value") == F.col("chosen"))
@@ -440,6 +442,26 @@ def axis_audit(catalogue: DataFrame) -> DataFrame:
     )
 
 
+SAMPLES = 64
+
+
+def _near_the_first(rows: DataFrame, keys: list[str], order: str, key: str, n: int) -> DataFrame:
+    """The rows of each group that may be among its first ``n``, and few others, without sorting a group.
+
+    Rows are dealt over samples by a hash; the first rows of ``n`` samples are ``n`` rows of the group, so nothing behind the
+    ``n``-th of them can be among the first ``n``.  Groups with rows in fewer samples keep all rows, and null, the first
+    in order, stays.  The keys are short
+    vocabularies, so the limits are few.
+    """
+    at = F.col(order)
+    firsts = rows.groupBy(*keys, F.pmod(F.xxhash64(order, key), F.lit(SAMPLES)).alias("__sample")).agg(F.min(at).alias("__first"))
+    limits = firsts.groupBy(*keys).agg(F.get(F.sort_array(F.collect_list("__first")), F.lit(n - 1)).alias("__limit"))
+    limits = limits.select(*[F.col(k).alias(f"__{k}") for k in keys], "__limit")
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    met = rows.join(F.broadcast(limits), same).where(F.col("__limit").isNull() | at.isNull() | (at <= F.col("__limit")))
+    return met.select(*rows.columns)
+
+
 def _slate_text(rows: DataFrame, keys: list[str]) -> DataFrame:
     ids: Column = F.transform(F.sort_array(F.collect_list(F.struct("p", "id"))), lambda s: s["id"])
     return rows.groupBy(*keys).agg(F.array_join(ids, "|").alias("slate"))

@@ -111,3 +111,17 @@ def test_links(spark):
     assert sorted(got) == [1, 3, 5]
     assert (got[1].genres, got[1].runtime, got[1].situation, got[1].avoid_heavy) == ("a|b", "short", None, True)
     assert (got[3].kind, got[3].ids, got[5].ids) == ("dl", "m1|m2|m3", "m1|m1|m2")
+
+
+def test_axis_heads_are_cut_without_sorting_the_groups(spark):
+    """Null orders come first, equal ones stay, small and null groups keep all their rows, and few others are left to sort."""
+    from curatorium.plans.requests import _near_the_first
+
+    rows = [("big", "x", i, f"i{i}") for i in range(5000)] + [("big", None, None if i == 7 else i, f"n{i}") for i in range(3000)] + [("few", "y", i, f"f{i}") for i in range(2)] + [("same", "z", 5, f"s{i}") for i in range(9)]
+    found = _near_the_first(spark.createDataFrame(rows, "mood string, value string, ord long, id string"), ["mood", "value"], "ord", "id", 3)
+    got = {}
+    for r in found.collect():
+        got.setdefault((r.mood, r.value), set()).add(r.id)
+    assert got[("big", "x")] >= {"i0", "i1", "i2"} and got[("big", None)] >= {"n7", "n0", "n1"}
+    assert got[("few", "y")] == {"f0", "f1"} and len(got[("same", "z")]) == 9
+    assert len(got[("big", "x")]) + len(got[("big", None)]) < 40
