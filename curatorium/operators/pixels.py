@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed numbers of the palette rules.
 GRID_WIDTH, GRID_HEIGHT = 64, 96
+PIXELS_PER_TASK = 1 << 16
 MIN_DISTANCE = 48.0
 CHROMATIC_SATURATION, CHROMATIC_BRIGHTNESS = 0.22, 45
 CHROMATIC_COVERAGE, CHROMATIC_SCORE_SHARE = 0.25, 0.20
@@ -44,11 +45,13 @@ def color_histogram(pixels: DataFrame) -> DataFrame:
     """Counts of quantized colours on the sample grid, with raw sums and chromatic pixels.
 
     The grid bounds an image to 64 x 96 samples, so everything after this works
-    on at most that many rows per image.
+    on at most that many rows per image.  Pixels are counted first and images dealt by hash over as many tasks as that
+    asks for: everything up to the palettes stays in these tasks, so their memory does not grow with the table.
     """
     size = pixels.groupBy("image").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
     c = F.col
-    kept = pixels.join(size, "image").where(
+    tasks = pixels.count() // PIXELS_PER_TASK + 1
+    kept = pixels.repartition(tasks, "image").join(size.repartition(tasks, "image"), "image").where(
         (c("a") >= 128) & _sampled(c("x"), c("width"), GRID_WIDTH) & _sampled(c("y"), c("height"), GRID_HEIGHT)
     )
     color = F.struct(*[quantize(c(ch)).alias(ch) for ch in "rgb"])

@@ -109,3 +109,21 @@ def test_reports_name_every_broken_expectation(spark):
         ("DUPLICATE_MAPPING_ID", "a"), ("DUPLICATE_MAPPED_TMDB_ID", "1"), ("DUPLICATE_MAPPED_TMDB_ID", "5"), ("MAPPING_WITHOUT_CURATED_ROW", "z"), ("MISSING_MAPPING", "c"), ("MISSING_FACTUAL_SNAPSHOT", "c"),
         ("MAPPING_ID_DIFFERS", "b"), ("FACTS_ID_DIFFERS", "d"),
     }
+
+
+def test_images_are_dealt_over_more_tasks_as_pixels_grow(spark, monkeypatch):
+    from curatorium.operators import pixels as P
+
+    monkeypatch.setattr(P, "PIXELS_PER_TASK", 256, raising=False)
+    shade = F.col("id") % 5 * 50
+    table = lambda images: spark.range(images * 64).select(
+        F.floor(F.col("id") / 64).alias("image"), (F.col("id") % 8).alias("x"), F.floor(F.col("id") % 64 / 8).alias("y"), *[shade.alias(c) for c in "rgb"], F.lit(255).alias("a")
+    )
+    tasks = {}
+    for images in (16, 128):
+        found = P.two_color_palette(P.palette_evidence(P.color_histogram(table(images)))).select("image", "valid", F.spark_partition_id().alias("task")).collect()
+        assert sorted((r.image, r.valid) for r in found) == [(i, 64) for i in range(images)]
+        tasks[images] = len({r.task for r in found})
+    # the session deals out to 8 partitions unless told otherwise
+    assert tasks[16] <= 5 and 16 < tasks[128] <= 33
+    assert P.color_histogram(table(1).where("image < 0")).count() == 0
