@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from curatorium.functions.columns import joined
 from curatorium.functions.spread import integer_bucket, ranked
 from curatorium.operators import ledger
+from curatorium.operators.joins import union_all
 from curatorium.plans.registry import query
 from curatorium.schemas import CATALOGUE
 from curatorium.session import ensure_checkpoint_dir
@@ -96,12 +97,11 @@ def _(t):
     record = F.to_json(F.struct(F.when(c("source") == "src5", "somebody").otherwise(c("candidate_id")).alias("candidateId"), c("human_decision").alias("decision"), c("n_chars")))
     text = F.when(c("source") == "src3", F.substring(record, 1, 25)).when(c("source") == "src4", F.regexp_replace(record, r"\}$", ',"decision":"REVISE"}')).otherwise(record)
     whole = F.to_json(F.struct(c("candidate_id").alias("candidateId"), c("human_decision").alias("decision"), c("n_chars")))
-    for run, some, body in (("first", rows, text), ("second", rows.where("ord % 3 = 0"), whole), ("evidencePackets", rows.where("ord % 5 = 0"), whole)):
-        files = some.select("candidate_id", body.alias("value"))
-        files.write.partitionBy("candidate_id").text(f"{path}/{run}")
-    # text files are what a run writes; they are JSON by name
+    runs = (("first", rows, text), ("second", rows.where("ord % 3 = 0"), whole), ("evidencePackets", rows.where("ord % 5 = 0"), whole))
+    files = union_all([some.select(F.lit(run).alias("run"), "candidate_id", body.alias("value")) for run, some, body in runs])
+    sinks.write_artifacts(files, path, "run", "candidate_id", "value")
     schema = "candidateId string, decision string, n_chars bigint"
-    parsed = readers.read_artifact_directory(t.spark, path, schema, "candidateId", r"candidate_id=([^/]+)/", "/evidencePackets/", "*.txt")
+    parsed = readers.read_artifact_directory(t.spark, path, schema, "candidateId", r"([^/]+)[.]json$", "/evidencePackets/")
     return readers.artifact_summary(parsed, t.review.where("lang <> 'fr'"), "candidate_id").drop("provenance")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from curatorium.operators.sets import table_digest
 
 PREFIX = "version="
+#: Folders per run; one task writes a folder, one task lists it.
+SHARDS = 256
 
 
 def _fs(spark: SparkSession, path: str):
@@ -80,3 +82,37 @@ def append_ledger(rows: DataFrame, path: str, seq: str = "seq") -> None:
     if check["n"] and (check["low"] <= last or check["n"] != check["d"]):
         raise ValueError(f"sequence must grow past {last} without repeats")
     rows.write.mode("append").parquet(path)
+
+
+def write_artifacts(rows: DataFrame, path: str, run: str, identity: str, text: str) -> None:
+    """One file per run and identity, ``path/run/shard/identity.json``; lines of one identity share its file.
+
+    A folder per identity costs more than its file: it is made, renamed at commit and listed one by one.  Here identities are
+    dealt by hash over folders and each folder is written by one task, through the file system that the path names.  A
+    repeated task writes the same names again.  Identities must be fit to be file names.
+    """
+
+    store, jvm = _fs(rows.sparkSession, path)
+    path = store.makeQualified(jvm.org.apache.hadoop.fs.Path(path)).toUri().toString()
+
+    def write(part) -> None:
+        from itertools import groupby
+
+        from pyarrow import fs
+
+        target, root = fs.FileSystem.from_uri(path)
+        made = set()
+        for (shard, name, identified), lines in groupby(part, lambda r: (r[0], r[1], r[2])):
+            if "/" in identified or identified.startswith((".", "_")):
+                raise ValueError(f"not a file name: {identified!r}")
+            folder = f"{root}/{name}/{shard:04d}"
+            if folder not in made:
+                target.create_dir(folder)
+                made.add(folder)
+            with target.open_output_stream(f"{folder}/{identified}.json") as out:
+                out.write("".join(f"{r[3]}\n" for r in lines).encode())
+
+    shard = F.pmod(F.xxhash64(identity), F.lit(SHARDS)).cast("int").alias("shard")
+    lines = rows.select(shard, run, identity, F.coalesce(text, F.lit("")).alias("line"))
+    dealt = lines.repartition(SHARDS, "shard").sortWithinPartitions("shard", run, identity)
+    dealt.foreachPartition(write)

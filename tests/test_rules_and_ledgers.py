@@ -188,6 +188,21 @@ def test_readers_from_files(spark, tmp_path):
         readers.parse_identity(rows, "title", {"humanDecision": "string"})
 
 
+def test_artifacts_share_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "SHARDS", 4, raising=False)
+    whole = lambda k: json.dumps({"id": k, "score": 1})
+    rows = [("a", f"c{i}", whole(f"c{i}")) for i in range(40)] + [("b", "c1", whole("c1")), ("b", "c2", "[]"), ("b", "c3", None), ("a", "c4", whole("c4"))]
+    root = tmp_path / "some runs"
+    sinks.write_artifacts(spark.createDataFrame(rows, "run string, k string, body string").repartition(5), str(root), "run", "k", "body")
+    assert len([p for p in root.glob("a/*")]) <= 4 and len(list(root.glob("*/*/*.json"))) == 43
+    found = readers.read_artifact_directory(spark, str(root), "id string, score int", "id", r"([^/]+)[.]json$", "^nothing$")
+    assert {(r.identity, r.problem) for r in found.collect() if r.problem} == {("c2", "IDENTITY_MISMATCH"), ("c3", "BAD_JSON"), ("c4", "BAD_JSON")}
+    summary = {r.identity: (r.artifacts, r.unusable) for r in readers.artifact_summary(found, spark.createDataFrame(rows, "run string, k string, body string"), "k").collect()}
+    assert summary == {f"c{i}": {1: (2, 0), 2: (2, 1), 3: (2, 1), 4: (1, 1)}.get(i, (1, 0)) for i in range(40)}
+    with pytest.raises(Exception, match="not a file name"):
+        sinks.write_artifacts(spark.createDataFrame([("a", "x/y", "{}")], "run string, k string, body string"), str(root), "run", "k", "body")
+
+
 def test_chain_detects_each_defect(spark):
     rows = spark.createDataFrame([(i, "x", f"p{i}") for i in range(6)], "seq bigint, lifecycle string, payload string")
     sealed = L.seal(rows, "seq", ["lifecycle", "payload"], [])
