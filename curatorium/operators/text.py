@@ -383,11 +383,40 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(r"([A-Za-z0-9_]+|[^A-Za-z0-9_])"), 0)
 
 
-def phrase_trie(phrases: DataFrame, phrase: str) -> tuple[DataFrame, DataFrame]:
-    """(first, whole): the first tokens with the lengths of the phrases that begin so, and all phrases by their tokens."""
+#: Numbers of slots that list lengths by first token, and of 64-bit words that mark the phrases of a list.
+SLOTS, MARKS = 1 << 16, 1 << 17
+
+
+def phrase_trie(phrases: DataFrame, phrase: str) -> tuple[Column, Column, DataFrame]:
+    """(lengths, marks, whole): what tells early that no phrase begins or stands at a place, and all phrases by their tokens.
+
+    ``lengths`` lists per slot the lengths in tokens of the phrases whose first token falls into it, ``marks`` has a bit set per
+    phrase.  Both are arrays of a fixed number of entries however long the list is (of ``lengths``, an entry holds at most the
+    different lengths that phrases have).  Tokens or phrases that share a slot or a bit only let more through; ``whole`` decides.
+    """
     rows = phrases.select(F.col(phrase).alias("phrase")).where(F.col("phrase") != "").distinct().select("phrase", _tokens(F.col("phrase")).alias("__t"))
     whole = rows.select("phrase", F.array_join("__t", "").alias("__gram"), F.size("__t").alias("__n"), F.get("__t", F.lit(0)).alias("__first"))
-    return whole.groupBy("__first").agg(F.array_sort(F.collect_set("__n")).alias("__lengths")), whole.select("phrase", "__gram")
+
+    def dense(listed: DataFrame, size: int, entry: Column) -> Column:
+        """An entry for each of ``size`` places, as one array."""
+        every = listed.unionByName(phrases.sparkSession.range(0, size, 1, 1).select(F.col("id").alias("__at")), allowMissingColumns=True)
+        placed = every.groupBy("__at").agg(entry.alias("__entry"))
+        return placed.agg(F.sort_array(F.collect_list(F.struct("__at", "__entry")))["__entry"]).scalar()
+
+    lengths = dense(whole.select(_slot(F.col("__first")).alias("__at"), "__n"), SLOTS, F.sort_array(F.collect_set("__n")))
+    word, bit = _mark(F.col("__gram"))
+    marks = dense(whole.select(word.alias("__at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__bit")), MARKS, F.coalesce(F.bit_or("__bit"), F.lit(0).cast("long")))
+    return lengths, marks, whole.select("phrase", "__gram")
+
+
+def _slot(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(SLOTS))
+
+
+def _mark(gram: Column) -> tuple[Column, Column]:
+    """The place of a phrase's word among the marks, and its bit there."""
+    at = F.pmod(F.xxhash64(gram), F.lit(64 * MARKS))
+    return F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
 
 
 def phrases_found(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
@@ -396,26 +425,22 @@ def phrases_found(texts: DataFrame, key: str, text: str, phrases: DataFrame, phr
     The same as testing each phrase by a pattern, for lists of any length: a text is cut into tokens once, a token that begins
     phrases is followed by as many tokens as these phrases are long (a short list of lengths per first token), and the
     sequence meets the phrases by equality.  Texts never meet the whole list, which may be as large as a table; a frequent
-    first token costs its lengths, not its phrases.
+    first token costs its lengths, not its phrases.  Neither texts nor tokens are shuffled: a task looks tokens and sequences
+    up in two arrays of fixed size, and only sequences that are most likely phrases leave it, once per key.
     """
-    first, whole = phrase_trie(phrases, phrase)
-    cut = settle(texts.select(key, text).withColumn("__h", F.xxhash64(text)), __t=_tokens(F.col(text))).drop(text)
-    # places whose token begins a phrase, gathered per text: as many as its tokens at most
-    begun = cut.select(key, "__h", F.posexplode("__t").alias("__i", "__first")).join(first, "__first")
-    begun = begun.groupBy(F.col(key).alias("__key"), "__h").agg(F.collect_set(F.struct("__i", "__lengths")).alias("__places"))
-    same = cut[key].eqNullSafe(begun["__key"]) & (cut["__h"] == begun["__h"])
-    t = F.col("__t")
+    lengths, marks, whole = phrase_trie(phrases, phrase)
+    cut = settle(texts.select(key, text), __t=_tokens(F.col(text))).drop(text)
+    begun = cut.select(key, "__t", F.posexplode("__t").alias("__i", "__first"))
+    begun = begun.select(key, "__t", "__i", F.explode(F.get(lengths, _slot(F.col("__first")))).alias("__n"))
+    t, at, n = F.col("__t"), F.col("__i"), F.col("__n")
     is_word = lambda v: F.coalesce(v.rlike("^[A-Za-z0-9_]"), F.lit(False))
-
-    def grams(place: Column) -> Column:
-        at = place["__i"]
-        whole_begin = is_word(F.get(t, at)) | ~is_word(F.get(t, at - 1))
-        whole_end = lambda n: is_word(F.get(t, at + n - 1)) | ~is_word(F.get(t, at + n))
-        fits = F.filter(place["__lengths"], lambda n: whole_begin & (at + n <= F.size(t)) & whole_end(n))
-        return F.transform(fits, lambda n: F.array_join(F.slice(t, at + 1, n), ""))
-
-    met = cut.join(begun, same).select(key, F.explode(F.array_distinct(F.flatten(F.transform("__places", grams)))).alias("__gram"))
-    return met.join(whole, "__gram").select(key, "phrase").distinct()
+    whole_begin = is_word(F.get(t, at)) | ~is_word(F.get(t, at - 1))
+    whole_end = is_word(F.get(t, at + n - 1)) | ~is_word(F.get(t, at + n))
+    grams = begun.where((at + n <= F.size(t)) & whole_begin & whole_end).select(key, F.array_join(F.slice(t, at + 1, n), "").alias("__gram"))
+    word, bit = _mark(F.col("__gram"))
+    met = grams.where(F.getbit(F.get(marks, word), bit) == 1).distinct()
+    # keys with sequences are distinct here, and a phrase has one sequence
+    return met.join(whole, "__gram").select(key, "phrase")
 
 
 def quote_in_excerpt(excerpt: Column, quote: Column) -> Column:
