@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatorium.functions.columns import EDGE_L, EDGE_R, reasons, settle, words_pattern
+from curatorium.functions.columns import EDGE_L, EDGE_R, dense, reasons, settle, words_pattern
 from curatorium.operators.rules import CLICHE_PHRASES, SPOILER_PHRASES, duplicate_hook, phrase_pattern
 
 # Fixed vocabularies of the claim rules.
@@ -397,12 +397,6 @@ def phrase_trie(phrases: DataFrame, phrase: str) -> tuple[Column, Column, DataFr
     rows = phrases.select(F.col(phrase).alias("phrase")).where(F.col("phrase") != "").distinct().select("phrase", _tokens(F.col("phrase")).alias("__t"))
     whole = rows.select("phrase", F.array_join("__t", "").alias("__gram"), F.size("__t").alias("__n"), F.get("__t", F.lit(0)).alias("__first"))
 
-    def dense(listed: DataFrame, size: int, entry: Column) -> Column:
-        """An entry for each of ``size`` places, as one array."""
-        every = listed.unionByName(phrases.sparkSession.range(0, size, 1, 1).select(F.col("id").alias("__at")), allowMissingColumns=True)
-        placed = every.groupBy("__at").agg(entry.alias("__entry"))
-        return placed.agg(F.sort_array(F.collect_list(F.struct("__at", "__entry")))["__entry"]).scalar()
-
     lengths = dense(whole.select(_slot(F.col("__first")).alias("__at"), "__n"), SLOTS, F.sort_array(F.collect_set("__n")))
     word, bit = _mark(F.col("__gram"))
     marks = dense(whole.select(word.alias("__at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__bit")), MARKS, F.coalesce(F.bit_or("__bit"), F.lit(0).cast("long")))
